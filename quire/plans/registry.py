@@ -52,3 +52,21 @@ def d_tokens(expr: str) -> str:
 
 def d_strip(expr: str) -> str:
     return f"regexp_replace({expr}, '\\A{D_WS}+|{D_WS}+\\z', '', 'g')"
+
+
+def sql_lit(s: str) -> str:
+    """A DuckDB string literal (newlines kept as they are)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def d_template(template: str, **fields: str) -> str:
+    """DuckDB twin of ``render_template``: literals and expressions concatenated."""
+    from quire.functions.text import template_parts
+
+    pieces = []
+    for literal, field in template_parts(template):
+        if literal:
+            pieces.append(sql_lit(literal))
+        if field is not None:
+            pieces.append(f"({fields[field]})")
+    return "(" + " || ".join(pieces) + ")" if pieces else "''"
