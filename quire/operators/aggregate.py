@@ -22,16 +22,20 @@ def _join_sorted(order_field: str, value_field: str, sep: str):
 
 
 def ordered_concat(
-    df: DataFrame, key, order_col: str, text_col: str, sep: str, out_col: str, block: int = BLOCK
+    df: DataFrame, key, order_col, text_col: str, sep: str, out_col: str, block: int = BLOCK
 ) -> DataFrame:
-    """``string_agg(text, sep ORDER BY order_col)`` per key, in two levels.
+    """``string_agg(text, sep ORDER BY order_cols)`` per key, in two levels.
 
-    ``order_col`` must be an integral, unique-within-key position.
+    ``order_col`` is one column or a list; the first must be integral and
+    the whole list unique within a key.  Level one groups by (key, block of
+    the first order column).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    blk = F.floor(F.col(order_col) / block).alias("_blk")
+    orders = [order_col] if isinstance(order_col, str) else list(order_col)
+    blk = F.floor(F.col(orders[0]) / block).alias("_blk")
+    okey = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(orders)])
     lvl1 = df.groupBy(*keys, blk).agg(
-        _join_sorted("o", "t", sep)(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t")))).alias("_part"),
+        _join_sorted("o", "t", sep)(F.collect_list(F.struct(okey.alias("o"), F.col(text_col).alias("t")))).alias("_part"),
         F.count(F.col(text_col)).alias("_n"),
     )
     # a block whose texts are all null contributes nothing (string_agg skips nulls)

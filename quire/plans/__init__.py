@@ -1,6 +1,6 @@
 """Named queries over the input tables (importing this module registers them)."""
 
-from quire.plans import chunking, cleaning, prompts, rouge, splits, vectors  # noqa: F401
+from quire.plans import chunking, cleaning, folds, prompts, rouge, splits, vectors  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
