@@ -17,8 +17,9 @@ from quire.functions.text import WS, py_strip
 # attachment link below"); documents containing it are dropped.
 DEFAULT_BOILERPLATE = "點選下方附件連結"
 
-# Lexicons above this many entries are not inlined into the plan.
-MAX_INLINE_LEXICON = 50_000
+# Lexicons above this many entries are not inlined into the plan (an inline
+# array or map is searched linearly); larger ones use a hashed lookup table.
+MAX_INLINE_LEXICON = 256
 
 
 def drop_boilerplate(df: DataFrame, text_col: str = "text", phrase: str = DEFAULT_BOILERPLATE) -> DataFrame:
@@ -41,7 +42,7 @@ def drop_columns_strict(df: DataFrame, *cols: str) -> DataFrame:
 
 def content_id(*cols) -> Column:
     """Deterministic surrogate id: md5 over the content, stable across retries."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if isinstance(c, str) else c for c in cols]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("␀")) if isinstance(c, str) else c for c in cols]
     return F.md5(F.concat_ws("\x1f", *parts))
 
 
@@ -67,24 +68,23 @@ def remove_stop_words(tokens: Column, stop_words: list[str]) -> Column:
 
 
 def remove_stop_words_df(
-    df: DataFrame, key: str, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens"
+    df: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens"
 ) -> DataFrame:
-    """Stop-word removal against a lexicon table of any size.
+    """Stop-word removal against a lexicon table (column ``word``) of any size.
 
-    Small lexicon (checked): inlined array, no shuffle.  Large lexicon:
-    explode with positions, anti-join, ordered re-collect by ``key``.
+    A small lexicon (checked) is inlined; a larger one becomes a hashed
+    lookup table shipped once by a scalar subquery.  Either way the token
+    data is filtered in place: no explode, no shuffle.
     """
+    from quire.operators.tokens import lookup, vocab_map, with_lookup
+
     if _lexicon_size_checked(lexicon) <= MAX_INLINE_LEXICON:
         words = [r["word"] for r in lexicon.select("word").collect()]
         return df.withColumn(out_col, remove_stop_words(F.col(tokens_col), words))
-    ex = df.select(key, F.posexplode(tokens_col).alias("pos", "tok"))
-    kept = ex.join(lexicon.select(F.col("word").alias("tok")), "tok", "left_anti")
-    agg = kept.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias(out_col)
-    )
-    return df.drop(out_col).join(agg, key, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))
-    )
+    table = vocab_map(lexicon.select(F.col("word").alias("token"), F.lit(1).alias("id")).distinct())
+    df = with_lookup(df, "_stop", table)
+    kept = F.filter(F.col(tokens_col), lambda t: lookup(F.col("_stop"), t).isNull())
+    return df.withColumn(out_col, kept).drop("_stop")
 
 
 def replace_synonyms(tokens: Column, synonyms: dict[str, str]) -> Column:
