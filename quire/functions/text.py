@@ -29,6 +29,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    An expression used inside a higher-order function's lambda is
+    re-evaluated for every element; binding it first keeps, for example,
+    the tokenisation of a document to one pass however many windows are
+    cut from it.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def collapse_ws(c) -> Column:
     """Every whitespace run becomes one space; nothing is trimmed."""
     return F.regexp_replace(_col(c), f"{WS}+", " ")

@@ -55,3 +55,23 @@ def ordered_collect(df: DataFrame, key, order_col: str, value_col: str, out_col:
             lambda s: s["v"],
         ).alias(out_col)
     )
+
+
+def blocked_row_number(df: DataFrame, keys: list[str], block, order: list, out_col: str = "rn") -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` without
+    putting a hot key in one task.
+
+    ``block`` must be non-decreasing along ``order`` within a key (a prefix
+    of a hash, ``floor(position / B)``).  Rows are numbered inside each
+    (key, block) window; each block's offset is a running sum over the
+    per-block counts, a table with one row per block.
+    """
+    from pyspark.sql import Window
+
+    d = df.withColumn("_b", block)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    d = d.withColumn("_r", F.row_number().over(w))
+    cnt = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
+    return d.join(cnt, [*keys, "_b"]).withColumn(out_col, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off")

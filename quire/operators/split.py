@@ -106,18 +106,21 @@ def minibatches(
     """Batches of ``batch_size`` rows inside hash shards.
 
     Shuffled: rows ordered by the seeded hash within the shard; in order:
-    by ``id_col``.  The window is partitioned by shard, so no single task
-    sees the whole table.
+    by ``id_col``.  The position inside a shard is a blocked row number
+    (blocks = hash prefixes), so a shard is never numbered by one task.
     """
-    from pyspark.sql import Window
-
-    order = seeded_hash(id_col, seed) if shuffle else F.col(id_col)
-    w = Window.partitionBy("shard").orderBy(order, F.col(id_col))
-    rn = F.row_number().over(w) - 1
+    from quire.operators.aggregate import blocked_row_number
+
+    h = seeded_hash(id_col, seed)
+    if shuffle:
+        block, order = F.substring(F.col("_h"), 1, PREFIX), [F.col("_h"), F.col(id_col)]
+    else:
+        block, order = F.floor(F.col(id_col) / F.lit(1 << 16)), [F.col(id_col)]
+    d = df.withColumn("shard", hash_shard(id_col, seed, n_shards)).withColumn("_h", h)
+    d = blocked_row_number(d, ["shard"], block, order, "_rn")
+    rn = F.col("_rn") - 1
     return (
-        df.withColumn("shard", hash_shard(id_col, seed, n_shards))
-        .withColumn("_rn", rn)
-        .withColumn("batch_no", F.floor(F.col("_rn") / batch_size).cast("bigint"))
-        .withColumn("pos_in_batch", F.pmod(F.col("_rn"), F.lit(batch_size)).cast("bigint"))
-        .drop("_rn")
+        d.withColumn("batch_no", F.floor(rn / batch_size).cast("bigint"))
+        .withColumn("pos_in_batch", F.pmod(rn, F.lit(batch_size)).cast("bigint"))
+        .drop("_rn", "_h")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import ws_tokens
+from quire.functions.text import bind, ws_tokens
 from quire.operators.prompt import first_or_follow_prompt  # noqa: F401  (re-export)
 
 # Phrases that mark an output declining to summarise.
@@ -43,14 +43,23 @@ def lead(text: Column, n: int) -> Column:
 def rolling_steps(chunks: Column, n: int) -> Column:
     """All step outputs of the carry-forward fold with the lead-n stand-in:
     step 0 summarises chunk 0; step i appends the summary of chunk i to the
-    output of step i-1."""
-    init = F.struct(F.array().cast("array<string>").alias("steps"), F.lit(None).cast("string").alias("last"))
+    output of step i-1.
+
+    For this stand-in the fold has a closed form, step i = the first i+1
+    chunk summaries joined, so each chunk is summarised once and no step
+    array is copied per step.  Models whose step depends on the previous
+    output in any other way go through ``rolling_apply``.
+    """
+    return bind(
+        F.transform(chunks, lambda c: lead(c, n)),
+        lambda leads: F.transform(leads, lambda _x, i: F.array_join(F.slice(leads, 1, i + 1), " ")),
+    )
 
-    def step(acc, chunk):
-        new = F.when(acc["last"].isNull(), lead(chunk, n)).otherwise(F.concat(acc["last"], F.lit(" "), lead(chunk, n)))
-        return F.struct(F.concat(acc["steps"], F.array(new)).alias("steps"), new.alias("last"))
 
-    return F.aggregate(chunks, init, step, lambda acc: acc["steps"])
+def rolling_last(chunks: Column, n: int) -> Column:
+    """Final step of ``rolling_steps`` in O(chunks)."""
+    out = F.array_join(F.transform(chunks, lambda c: lead(c, n)), " ")
+    return F.when(F.size(chunks) > 0, out)
 
 
 def rolling_apply(

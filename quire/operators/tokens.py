@@ -29,14 +29,19 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
         raise ValueError(f"vocabulary size must be in (0, {MAX_VOCAB}]")
     from pyspark.sql import Window
 
+    from quire.session import cut_lineage
+
     counts = tokens_df.select(F.explode(tokens_col).alias("token")).groupBy("token").count()
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(size)
-    w = Window.orderBy(F.desc("count"), F.asc("token"))
-    return top.select(
+    w = Window.orderBy(F.desc("count"), F.asc("token"))  # over at most ``size`` rows
+    vocab = top.select(
         "token",
         (F.row_number().over(w) - 1 + len(SPECIALS)).cast("int").alias("id"),
         F.col("count").alias("n"),
     )
+    # built once: the lookups, the size check and the id array all read
+    # this reliable checkpoint instead of re-scanning the corpus
+    return cut_lineage(vocab)
 
 
 def vocab_map(vocab: DataFrame, per_bucket: int = 4) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import first_line, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import summarise as SM
-from quire.operators.aggregate import ordered_concat
+from quire.operators.aggregate import blocked_row_number, ordered_concat
 from quire.plans.registry import d_tokens, query
 from quire.sources.tables import conversations, documents
 
@@ -100,7 +99,7 @@ SELECT doc_id, CASE WHEN len(chunks) = 0 THEN NULL
 def last_summary(spark, sf_dir):
     """The final step of each document's fold (null without chunks)."""
     ca = chunk_arrays(spark, sf_dir)
-    return ca.select("doc_id", SM.last_output(SM.rolling_steps(F.col("chunks"), LEAD)).alias("summary"))
+    return ca.select("doc_id", SM.rolling_last(F.col("chunks"), LEAD).alias("summary"))
 
 
 @query(
@@ -167,10 +166,15 @@ SELECT u.conv_id, CAST(u.k AS INTEGER) AS k, u.text AS user_text, a.text AS assi
 def zip_shortest(spark, sf_dir):
     """User and assistant turns paired by position; the longer side is cut."""
     cv = conversations(spark, sf_dir)
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    u = cv.filter(F.col("role") == "user").select("conv_id", F.row_number().over(w).alias("k"), F.col("text").alias("user_text"))
-    a = cv.filter(F.col("role") == "assistant").select("conv_id", F.row_number().over(w).alias("k"), F.col("text").alias("assistant_text"))
-    return u.join(a, ["conv_id", "k"])
+    blk = F.floor(F.col("turn") / F.lit(4096))  # a long conversation spans many blocks
+
+    def ordinal(role, text_name):
+        side = cv.filter(F.col("role") == role).select("conv_id", "turn", F.col("text").alias(text_name))
+        return blocked_row_number(side, ["conv_id"], blk, [F.col("turn")], "k").drop("turn")
+
+    return ordinal("user", "user_text").join(ordinal("assistant", "assistant_text"), ["conv_id", "k"]).select(
+        "conv_id", F.col("k").cast("int").alias("k"), "user_text", "assistant_text"
+    )
 
 
 @query(
