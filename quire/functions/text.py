@@ -160,3 +160,17 @@ def segment_words(c) -> Column:
 def ascii_tokens(c) -> Column:
     """Lower-case, keep ``[a-z0-9]`` runs (the ROUGE-score tokenizer rule)."""
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), 0)
+
+
+def explode_rows(df, arr: Column, keep: list, names: tuple, with_pos: bool = True):
+    """One row per array element; rows with a null or empty array vanish.
+
+    Written as ``posexplode_outer`` plus a filter on the produced position:
+    the same rows as ``posexplode``, but the optimizer does not infer a
+    ``size(arr) > 0`` filter that it would push below the generator (and
+    below any exchange), evaluating an expensive array expression twice.
+    """
+    pos_name = names[0] if with_pos else "_pos"
+    val_name = names[1] if with_pos else names[0]
+    out = df.select(*keep, F.posexplode_outer(arr).alias(pos_name, val_name)).filter(F.col(pos_name).isNotNull())
+    return out if with_pos else out.drop("_pos")

@@ -31,7 +31,9 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
 
     from quire.session import cut_lineage
 
-    counts = tokens_df.select(F.explode(tokens_col).alias("token")).groupBy("token").count()
+    from quire.functions.text import explode_rows
+
+    counts = explode_rows(tokens_df, F.col(tokens_col), [], ("token",), with_pos=False).groupBy("token").count()
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("count"), F.asc("token"))  # over at most ``size`` rows
     vocab = top.select(
@@ -41,7 +43,7 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
     )
     # built once: the lookups, the size check and the id array all read
     # this reliable checkpoint instead of re-scanning the corpus
-    return cut_lineage(vocab)
+    return cut_lineage(vocab, "vocab")
 
 
 def vocab_map(vocab: DataFrame, per_bucket: int = 4) -> Column:

@@ -205,7 +205,7 @@ SELECT doc_id, CAST(piece_no - 1 AS INTEGER) AS piece_no, piece FROM (
 def split_keep_end(spark, sf_dir):
     """Split on '. ' keeping the separator at the end of each piece."""
     d = documents(spark, sf_dir)
-    return d.select("doc_id", F.posexplode(C.split_keep_end(F.col("text"), ". ")).alias("piece_no", "piece"))
+    return X.explode_rows(d, C.split_keep_end(F.col("text"), ". "), ["doc_id"], ("piece_no", "piece"))
 
 
 @query(
@@ -223,7 +223,7 @@ SELECT doc_id, CAST(piece_no - 1 AS INTEGER) AS piece_no, piece FROM (
 def split_keep_start(spark, sf_dir):
     """Split on newline keeping the separator at the start of the next piece."""
     d = documents(spark, sf_dir)
-    return d.select("doc_id", F.posexplode(C.split_keep_start(F.col("text"), "\n")).alias("piece_no", "piece"))
+    return X.explode_rows(d, C.split_keep_start(F.col("text"), "\n"), ["doc_id"], ("piece_no", "piece"))
 
 
 # recursive splitter settings for the test corpus (texts up to 33k characters)
@@ -242,7 +242,7 @@ def recursive_chunks(spark, sf_dir):
     cfg = recursive_cfg()
     d = documents(spark, sf_dir).select("doc_id", "lang", "text")
     ch = C.recursive_chunks(F.col("text"), cfg)
-    out = d.select("doc_id", "lang", F.posexplode(ch).alias("chunk_no", "chunk"))
+    out = X.explode_rows(d, ch, ["doc_id", "lang"], ("chunk_no", "chunk"))
     return out.select(
         "doc_id",
         "lang",

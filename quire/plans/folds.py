@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import first_line, ws_tokens
+from quire.functions.text import explode_rows, first_line, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
@@ -43,7 +43,7 @@ def chunk_arrays(spark, sf_dir):
 
 def chunk_rows(spark, sf_dir):
     ca = chunk_arrays(spark, sf_dir)
-    return ca.select("doc_id", "summary", F.posexplode("chunks").alias("chunk_no", "chunk"))
+    return explode_rows(ca, F.col("chunks"), ["doc_id", "summary"], ("chunk_no", "chunk"))
 
 
 @query(
@@ -59,7 +59,7 @@ def rolling_summary(spark, sf_dir):
     """Carry-forward fold over each document's chunks, every step kept."""
     ca = chunk_arrays(spark, sf_dir)
     steps = SM.rolling_steps(F.col("chunks"), LEAD)
-    return ca.select("doc_id", F.posexplode(steps).alias("step", "output"))
+    return explode_rows(ca, steps, ["doc_id"], ("step", "output"))
 
 
 def _stand_in_model(prompt: str) -> str:

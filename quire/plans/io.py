@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_text, first_line, ws_tokens
+from quire.functions.text import clean_text, explode_rows, first_line, ws_tokens
 from quire.operators import clean as K
 from quire.operators import summarise as SM
 from quire.operators import vector as V
@@ -102,7 +102,7 @@ def results_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "results")
     IO.write_jsonl(res, path)
     back = IO.read_jsonl(spark, path, "doc_id long, steps array<string>")
-    return back.select("doc_id", F.posexplode("steps").alias("step", "output"))
+    return explode_rows(back, F.col("steps"), ["doc_id"], ("step", "output"))
 
 
 @query(
@@ -116,7 +116,7 @@ SELECT word FROM (SELECT word FROM c ORDER BY n DESC, word LIMIT 50) UNION ALL S
 def lexicon_roundtrip(spark, sf_dir):
     """A4: a stop-word file (padded lines and a blank line) read into a set."""
     d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
-    tok = d.select(F.explode(ws_tokens(clean_text(F.col("text")))).alias("t"))
+    tok = explode_rows(d, ws_tokens(clean_text(F.col("text"))), [], ("t",), with_pos=False)
     top = tok.groupBy("t").count().orderBy(F.desc("count"), F.asc("t")).limit(50)
     lines = top.select(F.concat(F.lit("  "), F.col("t"), F.lit("\t")).alias("line")).unionByName(
         spark.range(1).select(F.lit(" ").alias("line"))

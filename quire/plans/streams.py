@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import first_line, ws_tokens
+from quire.functions.text import explode_rows, first_line, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import prompt as P
 from quire.operators import summarise as SM
@@ -66,7 +66,8 @@ def stream_rolling_summary(spark, sf_dir):
     """L2: the carry-forward fold as a stateful stream keyed by document."""
     docs = J.file_stream(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
     arr = docs.select("doc_id", C.window_texts(ws_tokens(F.col("text")), folds.WIN, folds.OVL).alias("chunks"))
-    rows = arr.select("doc_id", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "chunk"))
+    arr = arr.withColumn("n_chunks", F.size("chunks"))
+    rows = explode_rows(arr, F.col("chunks"), ["doc_id", "n_chunks"], ("chunk_no", "chunk"))
     out = J.rolling_stream(rows, _lead_step)
     path = J.run_available(out, "stream-rolling")
     return spark.read.schema(J.ROLLING_OUTPUT).parquet(path)
