@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import bind, ws_tokens
-from quire.operators.prompt import first_or_follow_prompt  # noqa: F401  (re-export)
 
 # Phrases that mark an output declining to summarise.
 REFUSAL_PHRASES = [

@@ -9,6 +9,7 @@ from quire.operators import chunk as C
 from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
 from quire.plans.registry import d_tokens, query
+from quire.session import cut_lineage
 from quire.sources.tables import conversations, documents
 
 WIN, OVL = 128, 32
@@ -137,8 +138,11 @@ def run_concat(spark, sf_dir):
     """E2/F1 positional form: outputs concatenated while consecutive chunk rows
     share a summary, so neighbouring documents with equal summaries merge."""
     rows = chunk_rows(spark, sf_dir).withColumn("out", SM.map_outputs(F.col("chunk"), n=LEAD))
-    docs = rows.filter(F.col("chunk_no") == 0).select("doc_id", "summary")
-    runs = SM.run_ids(docs, "doc_id", "summary")
+    # documents that produce at least one chunk, straight from the table
+    d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
+    docs = d.filter(F.size(ws_tokens(F.col("text"))) > 0).select("doc_id", first_line(F.col("text")).alias("summary"))
+    # run ids are read by two branches below: materialise them once
+    runs = cut_lineage(SM.run_ids(docs, "doc_id", "summary"), "runs")
     r = rows.join(runs.select("doc_id", "run_start"), "doc_id")
     text = ordered_concat(r, "run_start", ["doc_id", "chunk_no"], "out", "", "text")
     meta = runs.groupBy("run_start").agg(F.count(F.lit(1)).alias("n_docs"), F.min("summary").alias("summary"))

@@ -7,23 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import explode_rows, first_line, ws_tokens
+from quire.functions.text import explode_rows, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import prompt as P
-from quire.operators import summarise as SM
 from quire.operators import vector as V
-from quire.operators.aggregate import ordered_concat
 from quire.plans import chunking, folds, vectors
 from quire.plans.registry import ORACLES, query
 from quire.session import scratch_path
-from quire.sources.tables import documents
 from quire.streaming import jobs as J
 
 
 @query("stream_chunks", sql=ORACLES["token_windows"])
 def stream_chunks(spark, sf_dir):
     """L3: the document stream chunked by the same narrow plan as in batch."""
-    docs = J.file_stream(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = J.file_stream(spark, sf_dir, "documents", spread_keys=["doc_id"]).select("doc_id", "lang", "text")
     chunks = C.token_chunks(docs, "text", chunking.WIN, chunking.OVL, keep=["doc_id", "lang"])
     path = J.run_available(chunks, "stream-chunks")
     return spark.read.schema(chunks.schema).parquet(path)
@@ -36,16 +33,8 @@ def stream_rag(spark, sf_dir):
     questions = J.file_stream(spark, sf_dir, "benchmark").select("item_id", "text")
 
     def per_batch(batch, batch_id):
-        q = batch.select("item_id", V.hash_counts(ws_tokens(vectors.clean_text(F.col("text"))), vectors.DIM).alias("v"))
-        docs = documents(spark, sf_dir).select(
-            "doc_id", first_line(F.col("text")).alias("summary"),
-            V.hash_counts(vectors._summary_tokens(F.col("text")), vectors.DIM).alias("v"),
-        )
-        top = V.topk_cosine(q, "item_id", "v", docs, "doc_id", "v", vectors.K, vectors.DIM)
-        hits = top.join(docs.select("doc_id", "summary"), top.cand_id == docs.doc_id).select(
-            F.col("query_id").alias("item_id"), "rank", "summary"
-        )
-        ctx = ordered_concat(hits, "item_id", "rank", "summary", "\n\n", "context")
+        # the batch D5 + E7 plan, run on this micro-batch's questions
+        ctx = vectors._contexts(spark, sf_dir, questions=batch)
         out = ctx.join(batch.select("item_id", "text"), "item_id").select(
             "item_id", P.rag_prompt(F.col("context"), F.col("text")).alias("prompt")
         )
@@ -79,7 +68,7 @@ def stream_upsert(spark, sf_dir):
     schema = "id long, vector array<double>, origin string, version int"
     coll = J.ParquetCollection(spark, scratch_path(spark, "collection"), schema)
     coll.commit(vectors.points(spark, sf_dir), -1)
-    delta = J.file_stream(spark, sf_dir, "documents").select(
+    delta = J.file_stream(spark, sf_dir, "documents", spread_keys=["doc_id"]).select(
         F.col("doc_id").alias("id"),
         V.hash_embed(vectors._summary_tokens(F.col("text")), vectors.DIM).alias("vector"),
         F.lit("delta").alias("origin"),

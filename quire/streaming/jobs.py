@@ -25,15 +25,24 @@ from pyspark.sql import functions as F
 from quire.session import scratch_path
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1, spread_keys=None) -> DataFrame:
+    """A table's Parquet files as a stream.
+
+    ``spread_keys``: hash each micro-batch on these keys over the shuffle
+    partitions, for CPU-heavy per-row work on batches that arrive as a few
+    large files.
+    """
     base = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{base}/{table}.parquet").schema
-    return (
+    df = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", f"{table}.parquet")
         .parquet(base)
     )
+    if spread_keys:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *spread_keys)
+    return df
 
 
 def run_available(stream_df: DataFrame, name: str, sink_path: str | None = None,
