@@ -45,6 +45,12 @@ def ordered_concat(
     )
 
 
+def tap(df: DataFrame, name: str, *metrics) -> DataFrame:
+    """Pass-through with named metrics gathered while the data flows
+    (``DataFrame.observe``): no extra pass over the data."""
+    return df.observe(name, *metrics) if metrics else df
+
+
 def ordered_collect(df: DataFrame, key, order_col: str, value_col: str, out_col: str) -> DataFrame:
     """Ordered array per key (use only where a group is one logical row,
     e.g. the tokens of one document)."""

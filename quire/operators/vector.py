@@ -61,14 +61,19 @@ def hash_embed(tokens: Column, dim: int = 64) -> Column:
 
 
 def embed_batches(
-    df: DataFrame, text_col: str, fn: Callable[[list], list], out_col: str = "embedding", batch_size: int = 64
+    df: DataFrame,
+    text_col: str,
+    fn: Callable[[list], list],
+    out_col: str = "embedding",
+    batch_size: int = 64,
+    element_type: T.DataType = T.FloatType(),
 ) -> DataFrame:
     """Pluggable embedder hook: ``fn(list[str]) -> list[vector]`` on batches.
 
     Rows stay keyed (the function's output is attached to its own rows),
     so no positional alignment survives outside a batch.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(element_type))])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import chunk as C
 from quire.operators import clean as K
-from quire.plans.registry import D_NWORD, d_clean, d_strip, d_tokens, query
+from quire.operators.aggregate import tap
+from quire.plans.registry import D_NWORD, d_clean, d_strip, d_tokens, query, sql_lit
 from quire.sources.tables import documents, table
 
 BOILERPLATE = "Licensed under the"
@@ -243,7 +244,7 @@ def recursive_chunks(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", "lang", "text")
     ch = C.recursive_chunks(F.col("text"), cfg)
     out = X.explode_rows(d, ch, ["doc_id", "lang"], ("chunk_no", "chunk"))
-    return out.select(
+    out = out.select(
         "doc_id",
         "lang",
         "chunk_no",
@@ -251,6 +252,9 @@ def recursive_chunks(spark, sf_dir):
         F.char_length("chunk").alias("n_chars"),
         C.oversize_flag(F.col("chunk"), cfg).alias("is_oversize"),
     )
+    # C13 report: chunk and oversize counts observed as the rows flow by
+    return tap(out, "recursive_chunks", F.count(F.lit(1)).alias("n_chunks"),
+               F.sum(F.col("is_oversize").cast("long")).alias("n_oversize"))
 
 
 @query(
@@ -302,3 +306,17 @@ def augmented(spark, sf_dir):
         ).alias("v"),
     )
     return ex.select("doc_id", "v.is_augmented", "v.text")
+
+
+@query(
+    "metadata_lines",
+    sql=f"""
+SELECT doc_id, {sql_lit('案件類型: ')} || coalesce(lang, 'None') || {sql_lit(chr(10) + '爭點: ')} || coalesce(source, 'None')
+       || chr(10) || split_part(text, chr(10), 1) AS page_content
+FROM documents
+""",
+)
+def metadata_lines(spark, sf_dir):
+    """Labelled metadata lines (null prints None) ahead of the summary."""
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", F.concat(X.format_metadata(F.col("lang"), F.col("source")), X.first_line(F.col("text"))).alias("page_content"))
