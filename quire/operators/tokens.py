@@ -16,6 +16,9 @@ PAD, UNK, BOS, EOS = 0, 1, 2, 3
 SPECIALS = ["[PAD]", "[UNK]", "[BOS]", "[EOS]"]
 IGNORE_INDEX = -100
 MAX_VOCAB = 1_000_000
+# Up to this many entries the table travels inside the plan; above it the
+# vocabulary is broadcast-joined instead.
+INLINE_VOCAB = 200_000
 
 
 def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
@@ -131,3 +134,32 @@ def unmask_labels(labels: Column, pad: int = PAD) -> Column:
 
 def ids_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+
+
+def encode_df(
+    df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out_col: str = "ids", add_special: bool = True
+) -> DataFrame:
+    """Encode ``tokens_col`` of every row with a vocabulary of any size.
+
+    Up to ``INLINE_VOCAB`` entries: the hashed table of ``vocab_map``, no
+    shuffle.  Larger (at most ``MAX_VOCAB``, so the broadcast is bounded):
+    explode with positions, broadcast hash join, ordered re-collect by
+    ``key`` (one row's tokens come back to one row).
+    """
+    from quire.functions.text import explode_rows
+    from quire.operators.aggregate import ordered_collect
+
+    n = vocab.count()
+    if n > MAX_VOCAB:
+        raise ValueError(f"vocabulary of {n} entries exceeds {MAX_VOCAB}")
+    if n <= INLINE_VOCAB:
+        d = with_lookup(df, "_vm", vocab_map(vocab))
+        return d.withColumn(out_col, encode(F.col(tokens_col), F.col("_vm"), add_special)).drop("_vm")
+    ex = explode_rows(df.select(key, tokens_col), F.col(tokens_col), [key], ("pos", "token"))
+    j = ex.join(F.broadcast(vocab.select("token", F.col("id").alias("_tid"))), "token", "left")
+    j = j.withColumn("_tid", F.coalesce(F.col("_tid"), F.lit(UNK)))
+    ids = ordered_collect(j, key, "pos", "_tid", out_col)
+    out = df.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+    if add_special:
+        out = out.withColumn(out_col, F.concat(F.array(F.lit(BOS)), F.col(out_col), F.array(F.lit(EOS))))
+    return out

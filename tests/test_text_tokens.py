@@ -95,3 +95,13 @@ def test_vocab_encode_decode_roundtrip(spark):
     dec = x.select("id", TK.decode(TK.encode(F.col("tok"), F.col("_vm")), F.col("_ia")).alias("t")).orderBy("id").collect()
     assert dec[0].t == "b a b c"
     assert dec[1].t == "a b [UNK]"
+
+
+def test_encode_df_both_paths_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, ["a", "zz"]), (3, [])], "id long, tok array<string>")
+    vocab = TK.build_vocab(docs, "tok", 3)
+    inline = {r.id: r.ids for r in TK.encode_df(docs, "id", "tok", vocab).collect()}
+    monkeypatch.setattr(TK, "INLINE_VOCAB", 1)
+    joined = {r.id: r.ids for r in TK.encode_df(docs, "id", "tok", vocab).collect()}
+    assert inline == joined
+    assert inline[3] == [TK.BOS, TK.EOS]
