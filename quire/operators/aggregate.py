@@ -22,7 +22,8 @@ def _join_sorted(order_field: str, value_field: str, sep: str):
 
 
 def ordered_concat(
-    df: DataFrame, key, order_col, text_col: str, sep: str, out_col: str, block: int = BLOCK
+    df: DataFrame, key, order_col, text_col: str, sep: str, out_col: str, block: int = BLOCK,
+    count_col: str | None = None,
 ) -> DataFrame:
     """``string_agg(text, sep ORDER BY order_cols)`` per key, in two levels.
 
@@ -40,9 +41,10 @@ def ordered_concat(
     )
     # a block whose texts are all null contributes nothing (string_agg skips nulls)
     lvl1 = lvl1.filter(F.col("_n") > 0)
-    return lvl1.groupBy(*keys).agg(
-        _join_sorted("b", "p", sep)(F.collect_list(F.struct(F.col("_blk").alias("b"), F.col("_part").alias("p")))).alias(out_col)
-    )
+    out = [_join_sorted("b", "p", sep)(F.collect_list(F.struct(F.col("_blk").alias("b"), F.col("_part").alias("p")))).alias(out_col)]
+    if count_col:
+        out.append(F.sum("_n").alias(count_col))  # number of non-null texts
+    return lvl1.groupBy(*keys).agg(*out)
 
 
 def tap(df: DataFrame, name: str, *metrics) -> DataFrame:

@@ -74,10 +74,11 @@ def render_turn_rows(
     content_col: str = "text",
     turn_template: str = DEFAULT_TURN_TEMPLATE,
     out_col: str = "text",
+    count_col: str | None = None,
 ) -> DataFrame:
     """Turn rows -> one rendered chat per key, in ``order_col`` order."""
     rendered = df.select(key, order_col, render_turn(F.col(role_col), F.col(content_col), turn_template).alias("_t"))
-    return ordered_concat(rendered, key, order_col, "_t", "", out_col)
+    return ordered_concat(rendered, key, order_col, "_t", "", out_col, count_col=count_col)
 
 
 def first_or_follow_prompt(chunk: Column, chunk_no: Column, previous: Column) -> Column:

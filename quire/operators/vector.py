@@ -103,8 +103,13 @@ def cosine(a: Column, b: Column) -> Column:
 def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int):
     """Yield bounded blocks (ids, matrix) of the query side, one at a time."""
     rows_per_block = max(1, min(MAX_QUERY_BLOCK, MAX_BLOCK_BYTES // (8 * max(dim, 1))))
+    q = queries.select(qid, qvec)
+    # a query side that fits in one block (checked) is fetched in one job;
+    # a larger one streams partition by partition, one block held at a time
+    small = q.limit(rows_per_block + 1).count() <= rows_per_block
+    rows = q.collect() if small else q.toLocalIterator()
     ids, vecs = [], []
-    for r in queries.select(qid, qvec).orderBy(qid).toLocalIterator():
+    for r in rows:
         v = r[qvec]
         if v is None:
             continue

@@ -77,9 +77,8 @@ FROM conversations GROUP BY conv_id
 def chat_render(spark, sf_dir):
     """J2 from turn rows: one rendered chat per conversation, in turn order."""
     cv = conversations(spark, sf_dir)
-    rendered = P.render_turn_rows(cv, "conv_id", "turn", "role", "text")
-    counts = cv.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
-    return rendered.join(counts, "conv_id")
+    out = P.render_turn_rows(cv, "conv_id", "turn", "role", "text", count_col="n_turns")
+    return out.select("conv_id", "text", F.col("n_turns").cast("bigint").alias("n_turns"))
 
 
 def _lead(col, n=LEAD):
