@@ -8,7 +8,8 @@ from quire.functions.text import explode_rows, first_line, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
-from quire.plans.registry import d_tokens, query
+from quire.operators.prompt import FOLLOW_PROMPT, INIT_PROMPT
+from quire.plans.registry import d_template, d_tokens, query
 from quire.session import cut_lineage
 from quire.sources.tables import conversations, documents
 
@@ -69,7 +70,24 @@ def _stand_in_model(prompt: str) -> str:
     return " ".join(body.split()[:LEAD])
 
 
-@query("rolling_summary_udf")
+def _d_first_tokens(upto: str) -> str:
+    """First LEAD tokens of chunks 0..upto joined (the toy model's output)."""
+    return (f"array_to_string(list_slice(flatten(list_transform(list_slice(chunks, 1, {upto} + 1), "
+            f"lambda c: {d_tokens('c')})), 1, {LEAD}), ' ')")
+
+
+@query(
+    "rolling_summary_udf",
+    sql=f"""
+WITH {_D_CHUNK_ARRAYS},
+s AS (SELECT doc_id, chunk_no, chunk, chunks FROM ca JOIN cr USING (doc_id))
+SELECT doc_id, chunk_no AS step,
+  CASE WHEN chunk_no = 0 THEN {d_template(INIT_PROMPT, document='chunk')}
+       ELSE {d_template(FOLLOW_PROMPT, summary=_d_first_tokens('chunk_no - 1'), document='chunk')} END AS prompt,
+  {_d_first_tokens('chunk_no')} AS output
+FROM s
+""",
+)
 def rolling_summary_udf(spark, sf_dir):
     """K2 with a pluggable model: prompts (first / follow-up) built per step."""
     rows = chunk_rows(spark, sf_dir)
