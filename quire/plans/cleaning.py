@@ -237,7 +237,74 @@ def recursive_cfg(size=RC_SIZE, overlap=RC_OVERLAP):
     )
 
 
-@query("recursive_chunks")
+def _d_recursive_chunks(size: int, overlap: int, separators) -> str:
+    """DuckDB twin of the recursive splitter (characters, separators kept at
+    the end): a recursive CTE builds the piece tree (first separator that
+    occurs, split, recurse on pieces not below the size while separators
+    remain); runs of small sibling pieces are packed by a second recursive
+    CTE that carries the window, its lengths and its total."""
+    seps = "[" + ", ".join(sql_lit(x) for x in separators) + "]"
+    return f"""
+WITH RECURSIVE
+tree(doc_id, path, txt, seps, terminal) AS (
+  SELECT doc_id, []::INTEGER[], text, {seps}, length(text) < {size} FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, path || [CAST(k AS INTEGER)], piece, rest, length(piece) < {size} OR len(rest) = 0
+  FROM (
+    SELECT doc_id, path, rest, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
+    FROM (
+      SELECT doc_id, path, rest,
+        regexp_extract_all(txt, '(?s)(?:.*?(?:' || regexp_escape(sep) || ')|.+)') AS pieces
+      FROM (
+        SELECT doc_id, path, txt, m,
+          coalesce(m[1], seps[len(seps)]) AS sep,
+          CASE WHEN len(m) = 0 THEN []::VARCHAR[]
+               ELSE list_slice(seps, list_position(seps, m[1]) + 1, len(seps)) END AS rest
+        FROM (SELECT *, list_filter(seps, lambda s: contains(txt, s)) AS m FROM tree WHERE NOT terminal))))
+),
+kids AS (
+  SELECT doc_id, path, txt, terminal, length(txt) < {size} AS small,
+    list_slice(path, 1, len(path) - 1) AS parent, path[len(path)] AS k
+  FROM tree),
+runs AS (
+  SELECT doc_id, parent, run, min(path) AS first_path,
+         list(txt ORDER BY k) AS pieces, list(length(txt) ORDER BY k) AS plen
+  FROM (SELECT *, sum(CASE WHEN small THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, parent ORDER BY k
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+        FROM kids WHERE len(path) > 0 OR terminal)
+  WHERE small
+  GROUP BY doc_id, parent, run),
+merge(doc_id, first_path, idx, pieces, plen, win, wl, total, emit) AS (
+  SELECT doc_id, first_path, 0, pieces, plen, []::VARCHAR[], []::BIGINT[], 0::BIGINT, NULL::VARCHAR FROM runs
+  UNION ALL
+  SELECT doc_id, first_path, idx + 1, pieces, plen,
+    CASE WHEN brk THEN list_slice(win, p + 1, len(win)) || [d] ELSE win || [d] END,
+    CASE WHEN brk THEN list_slice(wl, p + 1, len(wl)) || [n] ELSE wl || [n] END,
+    CASE WHEN brk THEN total - list_sum(list_slice(wl, 1, p))::BIGINT + n ELSE total + n END,
+    CASE WHEN brk THEN nullif({d_strip("array_to_string(win, '')")}, '') END
+  FROM (
+    SELECT *,
+      list_filter(range(0, len(wl) + 1), lambda q:
+          (total - coalesce(list_sum(list_slice(wl, 1, q)), 0)) <= {overlap}
+          AND ((total - coalesce(list_sum(list_slice(wl, 1, q)), 0)) + n <= {size}
+               OR (total - coalesce(list_sum(list_slice(wl, 1, q)), 0)) = 0))[1] AS p
+    FROM (SELECT *, pieces[idx + 1] AS d, plen[idx + 1] AS n,
+                 total + plen[idx + 1] > {size} AND len(win) > 0 AS brk
+          FROM merge WHERE idx < len(pieces)))
+),
+chunks AS (
+  SELECT doc_id, first_path AS key, idx AS sub, emit AS chunk FROM merge WHERE emit IS NOT NULL
+  UNION ALL
+  SELECT doc_id, first_path, idx + 1, nullif({d_strip("array_to_string(win, '')")}, '') FROM merge WHERE idx = len(pieces)
+  UNION ALL
+  SELECT doc_id, path, 0, txt FROM kids WHERE terminal AND NOT small)
+SELECT c.doc_id, d.lang, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY key, sub) - 1 AS INTEGER) AS chunk_no,
+  c.chunk, CAST(length(c.chunk) AS INTEGER) AS n_chars, length(c.chunk) > {size} AS is_oversize
+FROM chunks c JOIN documents d USING (doc_id) WHERE c.chunk IS NOT NULL
+"""
+
+
+@query("recursive_chunks", sql=_d_recursive_chunks(RC_SIZE, RC_OVERLAP, C.CJK_SEPARATORS))
 def recursive_chunks(spark, sf_dir):
     """Recursive separator-aware chunks, flat, with oversize flag."""
     cfg = recursive_cfg()
