@@ -12,7 +12,7 @@ from quire.sources.tables import documents
 
 WIN, OVL = 128, 32
 STRIDE = WIN - OVL
-# boilerplate line of the test corpus (the reference's own default phrase is
+# boilerplate line of the test corpus (the library default is
 # ``quire.operators.clean.DEFAULT_BOILERPLATE``)
 BOILERPLATE = "Licensed under the"
 
