@@ -45,3 +45,11 @@ def test_small_queries_run(spark):
     q = E.queries()
     for name in ["filter_boilerplate", "clean_text", "rouge_n", "epoch_loss", "cosine_topk", "split_exact"]:
         assert q[name](spark, SF_SMALL).count() >= 1
+
+
+def test_stream_equals_batch(spark):
+    q = E.queries()
+    for stream, batch in [("stream_chunks", "token_windows"), ("stream_rolling_summary", "rolling_summary")]:
+        a = sorted(map(tuple, q[stream](spark, SF_SMALL).collect()))
+        b = sorted(map(tuple, q[batch](spark, SF_SMALL).select(*q[stream](spark, SF_SMALL).columns).collect()))
+        assert a == b, stream

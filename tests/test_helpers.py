@@ -79,3 +79,14 @@ def test_bucket_of_binary_search(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x long")
     got = [r.b for r in df.select(bucket_of(F.col("x"), bounds).alias("b")).collect()]
     assert got == [sum(1 for b in bounds if b <= x) for x in xs]
+
+
+def test_read_nested_results(spark, tmp_path):
+    import json
+
+    from quire.sources.io import read_nested_results
+
+    p = tmp_path / "results.json"
+    p.write_text(json.dumps([["s0", "s1"], [], ["t0"]], ensure_ascii=False))
+    rows = sorted((r.doc_pos, r.step, r.output) for r in read_nested_results(spark, str(p)).collect())
+    assert rows == [(0, 0, "s0"), (0, 1, "s1"), (2, 0, "t0")]
