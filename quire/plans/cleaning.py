@@ -237,7 +237,15 @@ def recursive_cfg(size=RC_SIZE, overlap=RC_OVERLAP):
     )
 
 
-def _d_recursive_chunks(size: int, overlap: int, separators) -> str:
+def _d_len_chars(e: str) -> str:
+    return f"length({e})"
+
+
+def _d_len_tokens(e: str) -> str:
+    return f"len({d_tokens(e)})"
+
+
+def _d_recursive_chunks(size: int, overlap: int, separators, length=_d_len_chars, size_col: str = "n_chars") -> str:
     """DuckDB twin of the recursive splitter (characters, separators kept at
     the end): a recursive CTE builds the piece tree (first separator that
     occurs, split, recurse on pieces not below the size while separators
@@ -247,9 +255,9 @@ def _d_recursive_chunks(size: int, overlap: int, separators) -> str:
     return f"""
 WITH RECURSIVE
 tree(doc_id, path, txt, seps, terminal) AS (
-  SELECT doc_id, []::INTEGER[], text, {seps}, length(text) < {size} FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, []::INTEGER[], text, {seps}, {length('text')} < {size} FROM documents WHERE text IS NOT NULL
   UNION ALL
-  SELECT doc_id, path || [CAST(k AS INTEGER)], piece, rest, length(piece) < {size} OR len(rest) = 0
+  SELECT doc_id, path || [CAST(k AS INTEGER)], piece, rest, {length('piece')} < {size} OR len(rest) = 0
   FROM (
     SELECT doc_id, path, rest, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
     FROM (
@@ -263,12 +271,12 @@ tree(doc_id, path, txt, seps, terminal) AS (
         FROM (SELECT *, list_filter(seps, lambda s: contains(txt, s)) AS m FROM tree WHERE NOT terminal))))
 ),
 kids AS (
-  SELECT doc_id, path, txt, terminal, length(txt) < {size} AS small,
+  SELECT doc_id, path, txt, terminal, {length('txt')} < {size} AS small,
     list_slice(path, 1, len(path) - 1) AS parent, path[len(path)] AS k
   FROM tree),
 runs AS (
   SELECT doc_id, parent, run, min(path) AS first_path,
-         list(txt ORDER BY k) AS pieces, list(length(txt) ORDER BY k) AS plen
+         list(txt ORDER BY k) AS pieces, list({length('txt')} ORDER BY k) AS plen
   FROM (SELECT *, sum(CASE WHEN small THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, parent ORDER BY k
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
         FROM kids WHERE len(path) > 0 OR terminal)
@@ -299,7 +307,7 @@ chunks AS (
   UNION ALL
   SELECT doc_id, path, 0, txt FROM kids WHERE terminal AND NOT small)
 SELECT c.doc_id, d.lang, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY key, sub) - 1 AS INTEGER) AS chunk_no,
-  c.chunk, CAST(length(c.chunk) AS INTEGER) AS n_chars, length(c.chunk) > {size} AS is_oversize
+  c.chunk, CAST({length('c.chunk')} AS INTEGER) AS {size_col}, {length('c.chunk')} > {size} AS is_oversize
 FROM chunks c JOIN documents d USING (doc_id) WHERE c.chunk IS NOT NULL
 """
 
@@ -387,3 +395,43 @@ def metadata_lines(spark, sf_dir):
     """Labelled metadata lines (null prints None) ahead of the summary."""
     d = documents(spark, sf_dir)
     return d.select("doc_id", F.concat(X.format_metadata(F.col("lang"), F.col("source")), X.first_line(F.col("text"))).alias("page_content"))
+
+
+def ws_token_count(text: str) -> int:
+    """Length function: number of whitespace tokens (Python ``str.split``)."""
+    return len(text.split())
+
+
+RT_SIZE, RT_OVERLAP = 200, 40
+
+
+@query(
+    "recursive_chunks_tokens",
+    sql=_d_recursive_chunks(RT_SIZE, RT_OVERLAP, C.CJK_SEPARATORS, length=_d_len_tokens, size_col="n_tokens"),
+)
+def recursive_chunks_tokens(spark, sf_dir):
+    """The recursive splitter measuring pieces with a pluggable length
+    function (whitespace tokens) instead of characters: no fast path, every
+    text goes through the Arrow UDF."""
+    cfg = C.SplitterConfig(
+        chunk_size=RT_SIZE, chunk_overlap=RT_OVERLAP, separators=tuple(C.CJK_SEPARATORS),
+        keep_separator="end", length_function=ws_token_count,
+    )
+    d = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    out = X.explode_rows(d, C.recursive_chunks(F.col("text"), cfg), ["doc_id", "lang"], ("chunk_no", "chunk"))
+    n = F.size(X.ws_tokens(F.col("chunk")))
+    return out.select("doc_id", "lang", "chunk_no", "chunk", n.alias("n_tokens"), (n > RT_SIZE).alias("is_oversize"))
+
+
+@query(
+    "split_drop",
+    sql="""
+SELECT doc_id, CAST(piece_no - 1 AS INTEGER) AS piece_no, piece FROM (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS piece_no
+  FROM (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: x <> '') AS p FROM documents))
+""",
+)
+def split_drop(spark, sf_dir):
+    """C2 third mode: split on '. ' dropping the separator; empty pieces removed."""
+    d = documents(spark, sf_dir)
+    return X.explode_rows(d, C.split_drop(F.col("text"), ". "), ["doc_id"], ("piece_no", "piece"))
