@@ -60,10 +60,17 @@ def normalize_contractions(c, rules=CONTRACTIONS) -> Column:
     out = _col(c)
     for src, dst in rules:
         pat = rf"(?<!{WORD}){_quote(src)}(?!{WORD})"
-        out = F.regexp_replace(out, pat, dst)
+        # a byte search first: the regex (a look-behind tried at every
+        # position) only runs on texts that contain the literal at all
+        out = bind(out, _guarded_rule(src, pat, dst))
     return out
 
 
+def _guarded_rule(src: str, pat: str, dst: str):
+    # one-argument lambda (PySpark picks (x) or (x, i) from the arity)
+    return lambda t: F.when(t.contains(src), F.regexp_replace(t, pat, dst)).otherwise(t)
+
+
 def _quote(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in s)
 
