@@ -177,3 +177,29 @@ def test_parquet_collection_idempotent(spark, tmp_path):
     assert coll.upsert(spark.createDataFrame([(1, "b", 1), (2, "c", 1)], schema), 0, "id", "version")
     assert not coll.upsert(spark.createDataFrame([(1, "zzz", 9)], schema), 0, "id", "version")
     assert {r.id: r.v for r in coll.current().collect()} == {1: "b", 2: "c"}
+
+
+def test_rolling_stream_out_of_order_micro_batches(spark, tmp_path):
+    import os
+    import time
+
+    src = tmp_path / "chunks"
+    src.mkdir()
+    schema = "doc_id long, chunk_no int, n_chunks int, chunk string"
+    # micro-batch 1 carries chunk 1 of doc 7 (and all of doc 8); batch 2 brings chunk 0 of doc 7
+    first = spark.createDataFrame([(7, 1, 2, "b b"), (8, 0, 1, "x")], schema)
+    second = spark.createDataFrame([(7, 0, 2, "a a")], schema)
+    first.coalesce(1).write.parquet(str(src / "p1"))
+    time.sleep(1.1)
+    second.coalesce(1).write.parquet(str(src / "p2"))
+    files = sorted(str(p) for p in src.rglob("*.parquet"))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i, f in enumerate(files):  # one file per micro-batch, in this order
+        os.link(f, flat / f"part-{i}.parquet")
+        os.utime(flat / f"part-{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+    out = J.rolling_stream(stream, lambda prev, c: c if prev is None else prev + "|" + c)
+    path = J.run_available(out, "test-rolling")
+    rows = sorted((r.doc_id, r.step, r.output) for r in spark.read.parquet(path).collect())
+    assert rows == [(7, 0, "a a"), (7, 1, "a a|b b"), (8, 0, "x")]
