@@ -435,3 +435,27 @@ def split_drop(spark, sf_dir):
     """C2 third mode: split on '. ' dropping the separator; empty pieces removed."""
     d = documents(spark, sf_dir)
     return X.explode_rows(d, C.split_drop(F.col("text"), ". "), ["doc_id"], ("piece_no", "piece"))
+
+
+def _d_recursive_profile() -> str:
+    base = _d_recursive_chunks(RC_SIZE, RC_OVERLAP, C.CJK_SEPARATORS)
+    head, final_select = base.rsplit("SELECT c.doc_id, d.lang", 1)
+    return (head.rstrip() + ",\nrc AS (SELECT c.doc_id, d.lang" + final_select + ")\n"
+            "SELECT lang, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_chunks,\n"
+            "  round(avg(n_chars), 4) AS avg_chars, CAST(max(n_chars) AS INTEGER) AS max_chars,\n"
+            "  CAST(sum(CASE WHEN is_oversize THEN 1 ELSE 0 END) AS BIGINT) AS n_oversize\n"
+            "FROM rc GROUP BY lang")
+
+
+@query("recursive_profile", sql=_d_recursive_profile())
+def recursive_profile(spark, sf_dir):
+    """Recursive chunks per language: documents, chunks, average and
+    longest chunk, oversize chunks."""
+    rc = recursive_chunks(spark, sf_dir)
+    return rc.groupBy("lang").agg(
+        F.sum(F.when(F.col("chunk_no") == 0, 1).otherwise(0)).cast("bigint").alias("n_docs"),
+        F.count(F.lit(1)).cast("bigint").alias("n_chunks"),
+        F.round(F.avg("n_chars"), 4).alias("avg_chars"),
+        F.max("n_chars").alias("max_chars"),
+        F.sum(F.col("is_oversize").cast("bigint")).alias("n_oversize"),
+    )
