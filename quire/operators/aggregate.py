@@ -23,27 +23,36 @@ def _join_sorted(order_field: str, value_field: str, sep: str):
 
 def ordered_concat(
     df: DataFrame, key, order_col, text_col: str, sep: str, out_col: str, block: int = BLOCK,
-    count_col: str | None = None,
+    count_col: str | None = None, extras: dict | None = None,
 ) -> DataFrame:
     """``string_agg(text, sep ORDER BY order_cols)`` per key, in two levels.
 
     ``order_col`` is one column or a list; the first must be integral and
     the whole list unique within a key.  Level one groups by (key, block of
-    the first order column).
+    the first order column).  ``extras`` maps an output name to a pair
+    (level-one aggregate, level-two combine function), e.g.
+    ``{"n": (F.count(F.lit(1)), F.sum)}``, for decomposable aggregates
+    computed in the same pass.
     """
     keys = [key] if isinstance(key, str) else list(key)
     orders = [order_col] if isinstance(order_col, str) else list(order_col)
     blk = F.floor(F.col(orders[0]) / block).alias("_blk")
     okey = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(orders)])
+    extras = extras or {}
     lvl1 = df.groupBy(*keys, blk).agg(
         _join_sorted("o", "t", sep)(F.collect_list(F.struct(okey.alias("o"), F.col(text_col).alias("t")))).alias("_part"),
         F.count(F.col(text_col)).alias("_n"),
+        *[first.alias(f"_x_{name}") for name, (first, _) in extras.items()],
     )
-    # a block whose texts are all null contributes nothing (string_agg skips nulls)
-    lvl1 = lvl1.filter(F.col("_n") > 0)
-    out = [_join_sorted("b", "p", sep)(F.collect_list(F.struct(F.col("_blk").alias("b"), F.col("_part").alias("p")))).alias(out_col)]
+    # like string_agg: null texts are skipped (a block of only nulls gives a
+    # null part, which array_join skips with its separator), and a key whose
+    # texts are all null gets a null result
+    lvl1 = lvl1.withColumn("_part", F.when(F.col("_n") > 0, F.col("_part")))
+    joined = _join_sorted("b", "p", sep)(F.collect_list(F.struct(F.col("_blk").alias("b"), F.col("_part").alias("p"))))
+    out = [F.when(F.sum("_n") > 0, joined).alias(out_col)]
     if count_col:
         out.append(F.sum("_n").alias(count_col))  # number of non-null texts
+    out += [combine(f"_x_{name}").alias(name) for name, (_, combine) in extras.items()]
     return lvl1.groupBy(*keys).agg(*out)
 
 

@@ -10,7 +10,6 @@ from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
 from quire.operators.prompt import FOLLOW_PROMPT, INIT_PROMPT
 from quire.plans.registry import d_template, d_tokens, query
-from quire.session import cut_lineage
 from quire.sources.tables import conversations, documents
 
 WIN, OVL = 128, 32
@@ -160,12 +159,15 @@ def run_concat(spark, sf_dir):
     d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
     # "has a token" = has a non-whitespace character: one regex find, no split
     docs = d.filter(F.col("text").rlike(f"[^{WS_CLASS}]")).select("doc_id", first_line(F.col("text")).alias("summary"))
-    # run ids are read by two branches below: materialise them once
-    runs = cut_lineage(SM.run_ids(docs, "doc_id", "summary"), "runs")
+    runs = SM.run_ids(docs, "doc_id", "summary")
     r = rows.join(runs.select("doc_id", "run_start"), "doc_id")
-    text = ordered_concat(r, "run_start", ["doc_id", "chunk_no"], "out", "", "text")
-    meta = runs.groupBy("run_start").agg(F.count(F.lit(1)).alias("n_docs"), F.min("summary").alias("summary"))
-    return meta.join(text, "run_start")
+    # text, document count and summary of each run in one two-level pass
+    extras = {
+        "n_docs": (F.sum(F.when(F.col("chunk_no") == 0, 1).otherwise(0)).cast("bigint"), F.sum),
+        "summary": (F.min("summary"), F.min),
+    }
+    out = ordered_concat(r, "run_start", ["doc_id", "chunk_no"], "out", "", "text", extras=extras)
+    return out.select("run_start", F.col("n_docs").cast("bigint").alias("n_docs"), "summary", "text")
 
 
 @query(
