@@ -122,11 +122,16 @@ def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int):
         yield np.asarray(ids, dtype=np.int64), np.vstack(vecs)
 
 
-def _partition_topk(block, k: int, cid: str, cvec: str, exclude_self: bool):
-    """``block`` is a broadcast of (ids, matrix), read inside the task."""
+def _partition_topk(block, k: int, cid: str, cvec: str, exclude_self: bool, payload: list[str]):
+    """``block`` is a broadcast of (ids, matrix), read inside the task.
+
+    ``payload`` columns of the corpus travel with the kept candidates, so
+    the caller needs no second pass over the corpus to fetch them.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qmat = block.value
+        kept: dict = {}  # candidate id -> payload values, for current bests only
         qn = np.sqrt((qmat * qmat).sum(axis=1))
         nq = len(qids)
         best_s = np.full((nq, 0), -np.inf)
@@ -140,6 +145,7 @@ def _partition_topk(block, k: int, cid: str, cvec: str, exclude_self: bool):
             cn = np.sqrt((mat * mat).sum(axis=1))
             keep = cn > 0
             ids, mat, cn = ids[keep], mat[keep], cn[keep]
+            pay = pdf.loc[keep, payload] if payload else None
             if len(ids) == 0:
                 continue
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -157,11 +163,20 @@ def _partition_topk(block, k: int, cid: str, cvec: str, exclude_self: bool):
             o2 = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
             best_s = np.take_along_axis(all_s, o2, axis=1)
             best_i = np.take_along_axis(all_i, o2, axis=1)
+            if payload:
+                live = set(best_i[np.isfinite(best_s)].tolist())
+                for cand, row in zip(ids.tolist(), pay.itertuples(index=False)):
+                    if cand in live:
+                        kept[cand] = tuple(row)
+                kept = {c: v for c, v in kept.items() if c in live}
         if best_s.shape[1] == 0:
             return
         q = np.repeat(qids, best_s.shape[1])
         out = pd.DataFrame({"query_id": q, "cand_id": best_i.ravel(), "score": best_s.ravel()})
-        yield out[np.isfinite(out["score"])]
+        out = out[np.isfinite(out["score"])]
+        for j, col in enumerate(payload):
+            out[col] = [kept[c][j] for c in out["cand_id"]]
+        yield out
 
     return run
 
@@ -176,25 +191,34 @@ def topk_cosine(
     k: int,
     dim: int,
     exclude_self: bool = False,
+    payload: list[str] | None = None,
 ) -> DataFrame:
-    """Exact top-k by cosine: (query_id, rank, cand_id, score); ties by id."""
+    """Exact top-k by cosine: (query_id, rank, cand_id, score, *payload);
+    ties by id.  ``payload`` columns of the corpus ride along with the kept
+    candidates (one pass over the corpus, no join back)."""
     if k <= 0:
         raise ValueError("k must be positive")
+    payload = list(payload or [])
     spark = corpus.sparkSession
-    schema = "query_id long, cand_id long, score double"
+    pay_fields = [corpus.schema[c] for c in payload]
+    schema = T.StructType(
+        [T.StructField("query_id", T.LongType()), T.StructField("cand_id", T.LongType()), T.StructField("score", T.DoubleType())]
+        + [T.StructField(f.name, f.dataType) for f in pay_fields]
+    )
     parts = []
     for qids, qmat in _query_blocks(queries, qid, qvec, dim):
         bq = spark.sparkContext.broadcast((qids, qmat))
-        fn = _partition_topk(bq, k, cid, cvec, exclude_self)
-        parts.append(corpus.select(cid, cvec).mapInPandas(fn, schema))
+        fn = _partition_topk(bq, k, cid, cvec, exclude_self, payload)
+        parts.append(corpus.select(cid, cvec, *payload).mapInPandas(fn, schema))
     if not parts:
-        return spark.createDataFrame([], schema + ", rank int").select("query_id", "rank", "cand_id", "score")
+        empty = spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
+        return empty.select("query_id", "rank", "cand_id", "score", *payload)
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
     ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "cand_id", "score")
+    return ranked.select("query_id", "rank", "cand_id", "score", *payload)
 
 
 # ------------------------------------------------------------------- upsert

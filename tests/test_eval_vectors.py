@@ -203,3 +203,14 @@ def test_rolling_stream_out_of_order_micro_batches(spark, tmp_path):
     path = J.run_available(out, "test-rolling")
     rows = sorted((r.doc_id, r.step, r.output) for r in spark.read.parquet(path).collect())
     assert rows == [(7, 0, "a a"), (7, 1, "a a|b b"), (8, 0, "x")]
+
+
+def test_topk_payload_rides_along(spark):
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)], f"doc{i}") for i in range(40)]
+    cdf = spark.createDataFrame(rows, "doc_id long, v array<double>, summary string").repartition(3)
+    qdf = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [4.0, 1.0, 2.0])], "qid long, v array<double>")
+    got = V.topk_cosine(qdf, "qid", "v", cdf, "doc_id", "v", 4, 3, payload=["summary"]).collect()
+    assert len(got) == 8
+    assert all(r.summary == f"doc{r.cand_id}" for r in got)
+    plain = {(r.query_id, r.rank): r.cand_id for r in V.topk_cosine(qdf, "qid", "v", cdf, "doc_id", "v", 4, 3).collect()}
+    assert plain == {(r.query_id, r.rank): r.cand_id for r in got}
