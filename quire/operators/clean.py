@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS, py_strip
+from quire.functions.text import WS
 
 # Fixed value: the boilerplate phrase of the original corpus ("click the
 # attachment link below"); documents containing it are dropped.
@@ -51,11 +51,6 @@ def random_id(seed: int | None = None) -> Column:
     return F.uuid(seed) if seed is not None else F.uuid()
 
 
-def read_lexicon(spark, path: str) -> DataFrame:
-    """One word per line, stripped; blank lines give the empty word."""
-    return spark.read.text(path).select(py_strip(F.col("value")).alias("word")).distinct()
-
-
 def _lexicon_size_checked(lex: DataFrame, limit: int = MAX_INLINE_LEXICON) -> int:
     n = lex.limit(limit + 1).count()
     return n
