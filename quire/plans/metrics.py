@@ -128,3 +128,46 @@ def profile_dispatch(spark, sf_dir):
     size = F.when(F.col("chunk_size").isNull(), F.raise_error(F.lit("unsupported model profile"))).otherwise(F.col("chunk_size"))
     n = C.n_windows_col(F.size(ws_tokens(F.col("text"))), size, F.col("chunk_overlap"))
     return j.select("doc_id", "profile", size.cast("int").alias("chunk_size"), "chunk_overlap", n.alias("n_chunks"))
+
+
+_D_PROFILE_ROWS = f"""
+WITH p AS (SELECT * FROM (VALUES ('bart', 'summary: ', 1024, 1024), ('mt5', 'summarize: ', 1000000000000, NULL))
+           s(profile, prefix, tok_max, max_pos)),
+pw AS (SELECT profile,
+         CASE WHEN tok_max < 10000 THEN tok_max ELSE coalesce(max_pos, 512) END
+           - len({d_tokens('prefix')}) AS cs FROM p),
+lp AS (SELECT * FROM (VALUES ('en', 'bart'), ('de', 'mt5'), ('fr', 'mt5'), ('es', 'mt5')) s(lang, profile)),
+d AS (SELECT d.doc_id, lp.profile, {d_tokens('d.text')} AS tok FROM documents d JOIN lp USING (lang)),
+n AS (SELECT d.*, pw.cs, pw.cs - pw.cs // 4 AS st,
+        CASE WHEN len(tok) = 0 THEN 0 WHEN len(tok) <= pw.cs THEN 1
+             ELSE CAST(ceil((len(tok) - pw.cs) / (pw.cs - pw.cs // 4)) AS BIGINT) + 1 END AS nw
+      FROM d JOIN pw USING (profile)),
+w AS (SELECT doc_id, profile, tok, cs, st, unnest(generate_series(0, nw - 1)) AS i FROM n WHERE nw > 0)
+SELECT doc_id, profile, CAST(i AS INTEGER) AS chunk_no, CAST(i * st AS INTEGER) AS chunk_start,
+  CAST(len(list_slice(tok, i * st + 1, i * st + cs)) AS INTEGER) AS n_tokens,
+  md5(array_to_string(list_slice(tok, i * st + 1, i * st + cs), ' ')) AS chunk_md5
+FROM w
+"""
+
+
+@query("profile_chunks", sql=_D_PROFILE_ROWS)
+def profile_chunks(spark, sf_dir):
+    """B9 + C4: every document cut into token windows with the chunk size and
+    overlap of its own model profile (per-row window parameters)."""
+    from quire.functions.text import explode_rows
+
+    prof = spark.createDataFrame(PROFILES, "profile string, prefix string, tok_max long, max_pos long")
+    window = F.when(F.col("tok_max") < 10000, F.col("tok_max")).otherwise(F.coalesce("max_pos", F.lit(512)))
+    prof = prof.select("profile", (window - F.size(ws_tokens(F.col("prefix")))).cast("int").alias("cs"))
+    prof = prof.withColumn("ov", F.floor(F.col("cs") / 4).cast("int"))
+    lp = F.create_map(*[F.lit(x) for kv in sorted(LANG_PROFILE.items()) for x in kv])
+    d = documents(spark, sf_dir).select("doc_id", F.element_at(lp, F.col("lang")).alias("profile"), "text")
+    j = d.join(F.broadcast(prof), "profile")
+    j = j.select("doc_id", "profile", "cs", "ov", ws_tokens(F.col("text")).alias("tok"))
+    w = explode_rows(j, C.token_windows_col(F.col("tok"), F.col("cs"), F.col("ov")), ["doc_id", "profile", "cs", "ov"], ("chunk_no", "w"))
+    return w.select(
+        "doc_id", "profile", "chunk_no",
+        (F.col("chunk_no") * (F.col("cs") - F.col("ov"))).alias("chunk_start"),
+        F.size("w").alias("n_tokens"),
+        F.md5(F.array_join("w", " ")).alias("chunk_md5"),
+    )
