@@ -9,7 +9,7 @@ from quire.operators import chunk as C
 from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
 from quire.operators.prompt import FOLLOW_PROMPT, INIT_PROMPT
-from quire.plans.registry import d_template, d_tokens, query
+from quire.plans.registry import ORACLES, d_template, d_tokens, query
 from quire.sources.tables import conversations, documents
 
 WIN, OVL = 128, 32
@@ -226,3 +226,16 @@ def refusal_rate(spark, sf_dir):
         F.sum(F.col("refused").cast("bigint")).alias("n_refused"),
         F.round(F.avg(F.col("refused").cast("double")), 6).alias("refusal_rate"),
     )
+
+
+def _stand_in_batch(texts):
+    """Toy batched model for the map hook: the first LEAD tokens of each text."""
+    return [None if t is None else " ".join(t.split()[:LEAD]) for t in texts]
+
+
+@query("map_combine_udf", sql=ORACLES["map_combine_summary"])
+def map_combine_udf(spark, sf_dir):
+    """K3/M2 with a pluggable batched model (Arrow ``pandas_udf``) per chunk,
+    then the ordered combine by document."""
+    rows = chunk_rows(spark, sf_dir).withColumn("out", SM.map_outputs(F.col("chunk"), fn=_stand_in_batch))
+    return ordered_concat(rows, "doc_id", "chunk_no", "out", "", "summary")
