@@ -42,6 +42,7 @@ def test_per_document_aggregation_reuses_partitioning(spark):
 def test_topk_is_group_limited_and_pair_free(spark):
     plan = _plan(E.queries()["cosine_topk"](spark, SF_SMALL))
     assert "MapInPandas" in plan
+    assert "WindowGroupLimit" in plan  # k per query kept before and after the shuffle
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
@@ -60,3 +61,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = _plan(E.queries()["filter_boilerplate"](spark, SF_SMALL))
     assert "StringContains(text,Licensed under the)" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,n_chars:bigint>" in plan or "n_chars" in plan
+
+
+def test_profile_config_is_broadcast(spark):
+    plan = _plan(E.queries()["profile_dispatch"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_rouge_counts_are_pre_aggregated(spark):
+    plan = _plan(E.queries()["rouge_n"](spark, SF_SMALL))
+    assert "partial_sum" in plan
