@@ -113,49 +113,83 @@ def rolling_stream(chunk_rows: DataFrame, summarise: Callable[[str | None, str],
 # -------------------------------------------------------- point collection
 
 class ParquetCollection:
-    """Versioned Parquet point table with idempotent, batch-keyed upserts."""
+    """Point table on plain Parquet, hash-bucketed by id, with idempotent,
+    batch-keyed upserts.
+
+    A batch rewrites only the buckets its ids fall into: the touched
+    buckets (at most ``buckets`` values reach the driver) are read with
+    partition pruning, merged with the batch, staged, and written back with
+    a dynamic partition overwrite.  A commit record per batch id makes a
+    replayed batch a no-op; an interrupted batch is simply re-run, since an
+    upsert by id is idempotent.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str, buckets: int = 64, id_col: str = "id"):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
+        self.buckets = buckets
+        self.id_col = id_col
 
     @property
     def _commits(self) -> str:
         return f"{self.root}/_commits"
 
+    @property
+    def _data(self) -> str:
+        return f"{self.root}/data"
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(self.buckets)).cast("int")
+
     def last_commit(self):
         try:
-            rows = self.spark.read.schema("batch_id long, version string").json(self._commits).agg(
-                F.max_by("version", "batch_id").alias("v"), F.max("batch_id").alias("b")
-            ).collect()
+            rows = self.spark.read.schema("batch_id long").json(self._commits).agg(F.max("batch_id").alias("b")).collect()
         except Exception:  # noqa: BLE001 - no commit yet
-            return None, None
-        if not rows or rows[0]["b"] is None:
-            return None, None
-        return rows[0]["b"], rows[0]["v"]
+            return None
+        return rows[0]["b"] if rows else None
+
+    def _read(self, buckets=None) -> DataFrame:
+        if self.last_commit() is None:
+            return self.spark.createDataFrame([], self.schema).withColumn("bucket", F.lit(0).cast("int")).limit(0)
+        df = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", self._data).parquet(self._data)
+        if buckets is not None:
+            df = df.filter(F.col("bucket").isin(buckets))  # partition pruning
+        return df
 
     def current(self) -> DataFrame:
-        _, version = self.last_commit()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(version)
+        return self._read().drop("bucket")
+
+    def _record(self, batch_id: int) -> None:
+        rec = self.spark.createDataFrame([(batch_id,)], "batch_id long")
+        rec.coalesce(1).write.mode("append").json(self._commits)
 
     def commit(self, df: DataFrame, batch_id: int) -> bool:
-        last, _ = self.last_commit()
+        """Write a full collection (the initial load)."""
+        last = self.last_commit()
         if last is not None and batch_id <= last:
-            return False  # replayed batch: already applied
-        version = f"{self.root}/v={batch_id:012d}"
-        df.write.mode("overwrite").parquet(version)
-        rec = self.spark.createDataFrame([(batch_id, version)], "batch_id long, version string")
-        rec.coalesce(1).write.mode("append").json(self._commits)
+            return False
+        df.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(self._data)
+        self._record(batch_id)
         return True
 
-    def upsert(self, delta: DataFrame, batch_id: int, id_col: str = "id", version_col: str | None = None) -> bool:
-        from quire.operators.vector import upsert
+    def upsert(self, delta: DataFrame, batch_id: int, id_col: str | None = None, version_col: str | None = None) -> bool:
+        from quire.operators.vector import latest_by_id
 
-        last, _ = self.last_commit()
+        last = self.last_commit()
         if last is not None and batch_id <= last:
-            return False
-        merged = upsert(self.current(), delta, id_col, version_col)
-        return self.commit(merged, batch_id)
+            return False  # replayed batch: already applied
+        d = latest_by_id(delta, self.id_col, version_col) if version_col else delta
+        d = d.withColumn("bucket", self._bucket())
+        touched = [r["bucket"] for r in d.select("bucket").distinct().collect()]
+        if touched:
+            cur = self._read(touched)
+            merged = cur.join(d.select(self.id_col), self.id_col, "left_anti").unionByName(d.select(*cur.columns))
+            # stage first: a path cannot be overwritten while it is read
+            stage = scratch_path(self.spark, "collection-stage")
+            merged.write.partitionBy("bucket").parquet(stage)
+            staged = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", stage).parquet(stage)
+            (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("bucket").parquet(self._data))
+        self._record(batch_id)
+        return True

@@ -214,3 +214,14 @@ def test_topk_payload_rides_along(spark):
     assert all(r.summary == f"doc{r.cand_id}" for r in got)
     plain = {(r.query_id, r.rank): r.cand_id for r in V.topk_cosine(qdf, "qid", "v", cdf, "doc_id", "v", 4, 3).collect()}
     assert plain == {(r.query_id, r.rank): r.cand_id for r in got}
+
+
+def test_collection_rewrites_only_touched_buckets(spark, tmp_path):
+    schema = "id long, v string, version int"
+    coll = J.ParquetCollection(spark, str(tmp_path / "coll2"), schema, buckets=8)
+    coll.commit(spark.createDataFrame([(i, f"v{i}", 0) for i in range(100)], schema), -1)
+    assert coll.upsert(spark.createDataFrame([(5, "new", 1), (500, "ins", 1)], schema), 0, "id", "version")
+    got = {r.id: r.v for r in coll.current().collect()}
+    want = {i: f"v{i}" for i in range(100)}
+    want.update({5: "new", 500: "ins"})
+    assert got == want
