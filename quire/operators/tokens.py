@@ -49,7 +49,7 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
     return cut_lineage(vocab, "vocab")
 
 
-def vocab_map(vocab: DataFrame, per_bucket: int = 4) -> Column:
+def vocab_map(vocab: DataFrame, per_bucket: int = 4, max_size: int | None = None) -> Column:
     """Scalar subquery: the vocabulary as a hash table ``array<map<token, id>>``.
 
     A Spark map is searched linearly, so one map of V entries would cost
@@ -59,7 +59,8 @@ def vocab_map(vocab: DataFrame, per_bucket: int = 4) -> Column:
     and shipped to the tasks; the token data is never shuffled.
     """
     spark = vocab.sparkSession
-    n = vocab.count()
+    # ``max_size``: a known upper bound (a top-k build) spares the count job
+    n = max_size if max_size is not None else vocab.count()
     if n > MAX_VOCAB:
         raise ValueError(f"vocabulary of {n} entries exceeds {MAX_VOCAB}")
     buckets = max(1, n // per_bucket)

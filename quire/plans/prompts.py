@@ -148,7 +148,7 @@ def vocab_and_tokens(spark, sf_dir):
     )
     vocab = TK.build_vocab(tk, "tok", VOCAB)
     # the bounded vocabulary travels as two scalar-subquery values
-    tk = TK.with_lookup(tk, "_vm", TK.vocab_map(vocab))
+    tk = TK.with_lookup(tk, "_vm", TK.vocab_map(vocab, max_size=VOCAB))
     tk = TK.with_lookup(tk, "_ia", TK.id_array(vocab))
     return vocab, tk
 
@@ -279,7 +279,7 @@ def seq2seq_pairs(spark, sf_dir):
     itok = ws_tokens(F.concat(F.lit(PREFIX), F.col("chunk")))
     ltok = ws_tokens(F.col("summary"))
     x = ch.select("doc_id", "chunk_no", itok.alias("itok"), ltok.alias("ltok"))
-    x = TK.with_lookup(x, "_vm", TK.vocab_map(vocab))
+    x = TK.with_lookup(x, "_vm", TK.vocab_map(vocab, max_size=VOCAB))
     vmap = F.col("_vm")
     return x.select(
         "doc_id",
