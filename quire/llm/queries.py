@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import decontaminate, licenses, mixing, quality, toxicity
 from quire.llm.common import read
 from quire.llm.simhash import simhash_near_dedup
 
@@ -14,7 +15,32 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_license_scan": op3_license_scan,
+    "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {}
