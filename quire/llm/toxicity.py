@@ -9,9 +9,10 @@ turns both into a score.
 *Symbols.*  UTF-8 bytes after lower-casing A-Z, mapped onto 64 symbols:
 the letters, a digit, a separator, and 36 for the bytes of other scripts.
 
-*Models.*  Interpolated Kneser-Ney over symbols.  The longest order uses a
-class's raw counts; each shorter order down to four counts distinct left
-contexts within the class.  Below that both classes share one backoff: the
+*Models.*  Interpolated Kneser-Ney over symbols.  The longest order counts
+the class's texts that hold an n-gram (so one repetitive text weighs no
+more than another); the shorter order counts distinct left contexts within
+the class.  Below that both classes share one backoff: the
 distinct left contexts of trigrams and the frequencies counted over all
 documents, labelled or not.  An expression that neither class has seen
 therefore gets the same probability from both and carries no evidence, and
@@ -44,11 +45,11 @@ from quire.llm import logistic
 from quire.llm.common import byte_view, col, held_out, steps
 from quire.llm.sample import labelled_sample
 
-ORDER = 6
+ORDER = 5
 SHARED = 3  # orders up to this one are shared by the classes
 WIDTH = 6  # bits of a symbol
 SEPARATOR, DIGIT, OTHER = 0, 27, 28
-WINDOW = 48  # symbols in the window that is looked for
+WINDOW = 24  # symbols in the window that is looked for
 SLOTS = 20  # bits of the scoring tables
 
 
@@ -92,7 +93,7 @@ def _own(off: np.ndarray, total: int) -> np.ndarray:
 
 
 def count_sample(batches):
-    """Per task: the n-grams of the sample with their counts in each class."""
+    """Per task: the n-grams of the sample with the number of texts of each class that hold them."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def merged():
@@ -106,9 +107,11 @@ def count_sample(batches):
         for i, j in steps(at):
             s, off = _padded(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             own = _own(off, len(s))[ORDER - 1 :]
-            toxic = np.repeat(y[i:j], np.diff(off))[ORDER - 1 :]
-            g, t = _codes(s, ORDER)[own], toxic[own]
-            keys, back = np.unique(g, return_inverse=True)
+            text = np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(off))[ORDER - 1 :]
+            bits = np.uint64(ORDER * WIDTH)
+            pairs = np.unique(_codes(s, ORDER)[own] | text[own] << bits)  # once per text
+            t = y[i:j][(pairs >> bits).astype(np.int64)]
+            keys, back = np.unique(pairs & ((np.uint64(1) << bits) - np.uint64(1)), return_inverse=True)
             ones = np.bincount(back, t, len(keys))
             parts.append((keys, ones, np.bincount(back, minlength=len(keys)) - ones))
         if len(parts) > 8:
@@ -181,7 +184,7 @@ def _table(keys: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np
     return tags, out
 
 
-def kneser_ney(g: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray, discount: float = 0.75) -> Model:
+def kneser_ney(g: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray, discount: float = 0.9) -> Model:
     """Both class models over the sample's n-grams ``g``; ``shared`` is the backoff."""
     w, model = np.uint64(WIDTH), Model()
     chain = [(g, np.column_stack([toxic, plain]).astype(float))]
