@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, licenses, mixing, quality, toxicity
+from quire.llm import decontaminate, licenses, mixing, quality, toxicity, warc
 from quire.llm.common import read
 from quire.llm.simhash import simhash_near_dedup
 
@@ -35,6 +35,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(read(spark, sf_dir, "pages"))
+
+
+# base32 of a SHA-1: five hex digits are four base32 digits
+OP10_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages
+), d as (
+  select page_id, n, h, min(page_id) over (partition by h) as first,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31))::int, 1)), '') as digest
+  from p
+)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from d
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_license_scan": op3_license_scan,
@@ -42,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_warc": OP10_SQL.strip()}
