@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, decontaminate, licenses, mixing, quality, spans, toxicity, warc
+from quire.llm import ann, decontaminate, licenses, mixing, pii, quality, spans, toxicity, warc
 from quire.llm.common import read
 from quire.llm.simhash import simhash_near_dedup
 
@@ -15,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count="n_replaced")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ from d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
@@ -74,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op10_warc": OP10_SQL.strip()}
