@@ -112,73 +112,33 @@ def refusal_flag(text: Column, phrases=REFUSAL_PHRASES) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def bucket_of(x: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (sorted) that are <= x: a binary search written
-    as a fold over log2(len) halving steps, O(log n) per row."""
-    m = len(bounds)
-    if m == 0:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    steps = max(1, m.bit_length())
-    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
-
-    def step(acc, _i):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_right = F.element_at(arr, mid + 1) <= x.cast("double")
-        return F.when(
-            lo < hi,
-            F.struct(
-                F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
-                F.when(go_right, hi).otherwise(mid).alias("hi"),
-            ),
-        ).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
-
-
-def range_blocks(df: DataFrame, order_col: str, rows_per_block: int = 1_000_000) -> DataFrame:
-    """Add ``_blk``: contiguous ranges of ``order_col`` with about
-    ``rows_per_block`` rows each, from approximate quantiles (the bounds,
-    one per block, are the only thing that reaches the driver).  Quantile
-    error only changes block sizes, never results; it is kept below a tenth
-    of a block."""
-    n = df.count()
-    nb = max(1, -(-n // rows_per_block))
-    if nb == 1:
-        return df.withColumn("_blk", F.lit(0))
-    probs = [i / nb for i in range(1, nb)]
-    err = min(0.001, 0.1 / nb)
-    bounds = sorted(set(df.approxQuantile(order_col, probs, err)))
-    return df.withColumn("_blk", bucket_of(F.col(order_col), bounds))
-
-
-def run_ids(df: DataFrame, order_col: str, value_col: str, rows_per_block: int = 1_000_000) -> DataFrame:
-    """Number runs of consecutive equal ``value_col`` along ``order_col``.
-
-    Adds ``run_start`` (the ``order_col`` of the run's first row).  Windows
-    are partitioned by range block; the value carried across a block edge
-    comes from a per-block table (one row per block).
+def run_ids(df: DataFrame, order_col: str, value_col: str, blocks: int | None = None) -> DataFrame:
+    """Number runs of consecutive equal ``value_col`` along ``order_col``: rows
+    (order, value, ``run_start``), the order of the run's first row.
+
+    The rows are range-partitioned once into ``blocks`` (the number of shuffle
+    partitions by default) and written; windows stay inside a block.  What
+    crosses an edge (the last value of the block before, and where its last
+    run began) comes from a table with one row per block, joined on the block.
+    Nulls are equal to each other, also across edges.
     """
-    b = range_blocks(df, order_col, rows_per_block)
+    from quire.session import cut_lineage
+
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = df.select(order_col, value_col).repartitionByRange(blocks, order_col)
+    b = cut_lineage(b.withColumn("_blk", F.spark_partition_id()), "runs")
     w = Window.partitionBy("_blk").orderBy(order_col)
-    b = b.withColumn("_prev", F.lag(value_col).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    edges = b.groupBy("_blk").agg(F.max_by(value_col, order_col).alias("_last"))
-    we = Window.orderBy("_blk")  # one row per block: bounded
-    edges = edges.withColumn("_carry", F.lag("_last").over(we)).select("_blk", "_carry")
-    b = b.join(F.broadcast(edges), "_blk", "left")
-    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
-    starts = F.when(F.col("_first") & F.col("_carry").isNull(), True).otherwise(~F.col(value_col).eqNullSafe(prev))
-    b = b.withColumn("_start", starts)
-    # run start = last start at or before the row: within the block by a
-    # running max, across blocks by the last start of earlier blocks
-    b = b.withColumn(
-        "_ls", F.max(F.when(F.col("_start"), F.col(order_col))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    last_start = b.groupBy("_blk").agg(F.max(F.when(F.col("_start"), F.col(order_col))).alias("_bls"))
-    last_start = last_start.withColumn(
-        "_carry_start", F.max("_bls").over(we.rowsBetween(Window.unboundedPreceding, -1))
-    ).select("_blk", "_carry_start")
-    b = b.join(F.broadcast(last_start), "_blk", "left")
-    b = b.withColumn("run_start", F.coalesce(F.col("_ls"), F.col("_carry_start")))
-    return b.drop("_blk", "_prev", "_first", "_carry", "_start", "_ls", "_carry_start")
+    over_blocks = Window.orderBy("_blk")  # one row per block
+    edges = b.groupBy("_blk").agg(F.max_by(F.struct(value_col), order_col).alias("_last"))
+    edges = edges.select("_blk", F.lag("_last").over(over_blocks).alias("_carry"))
+    # a struct, so that "no row before" and "a null before" differ
+    before = F.coalesce(F.lag(F.struct(value_col)).over(w), F.col("_carry"))
+    b = b.join(edges, "_blk").withColumn("_before", before)
+    start = F.col("_before").isNull() | ~F.col("_before")[value_col].eqNullSafe(F.col(value_col))
+    b = b.withColumn("_at", F.when(start, F.col(order_col)))
+    begun = b.groupBy("_blk").agg(F.max("_at").alias("_begun"))
+    earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.select("_blk", F.max("_begun").over(earlier).alias("_earlier"))
+    here = F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = b.join(begun, "_blk").withColumn("run_start", F.coalesce(here, F.col("_earlier")))
+    return out.select(order_col, value_col, "run_start")

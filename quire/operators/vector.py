@@ -1,12 +1,10 @@
 """Vectors: hashing embedder, exact cosine top-k, upsert, dimension checks.
 
-Top-k retrieval never forms query x corpus pairs as rows.  The queries are
-cut into blocks of at most ``MAX_QUERY_BLOCK`` rows (size checked, one
-block on the driver at a time); each block is broadcast and every corpus
-partition scores it with one matrix product per Arrow batch, keeping a
-running top-k per query.  Only ``k`` candidates per query per partition
-leave the task; a final ``row_number() <= k`` (planned as a
-``WindowGroupLimit``) picks the global top-k.
+Top-k retrieval never forms query x corpus pairs as rows.  Both sides are
+cut into blocks by a hash of their ids; each pair of blocks meets in one task,
+which scores it with one matrix product and keeps ``k`` candidates per query.
+A final ``row_number() <= k`` (planned as a ``WindowGroupLimit``) picks the
+global top-k.
 """
 
 from __future__ import annotations
@@ -19,9 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_QUERY_BLOCK = 4096
-MAX_BLOCK_BYTES = 64 << 20
-
 
 # ------------------------------------------------------------------ embedding
 
@@ -100,87 +95,39 @@ def cosine(a: Column, b: Column) -> Column:
 
 # -------------------------------------------------------------------- top-k
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int):
-    """Yield bounded blocks (ids, matrix) of the query side, one at a time."""
-    rows_per_block = max(1, min(MAX_QUERY_BLOCK, MAX_BLOCK_BYTES // (8 * max(dim, 1))))
-    q = queries.select(qid, qvec)
-    # a query side that fits in one block (checked) is fetched in one job;
-    # a larger one streams partition by partition, one block held at a time
-    small = q.limit(rows_per_block + 1).count() <= rows_per_block
-    rows = q.collect() if small else q.toLocalIterator()
-    ids, vecs = [], []
-    for r in rows:
-        v = r[qvec]
-        if v is None:
-            continue
-        ids.append(r[qid])
-        vecs.append(np.asarray(v, dtype=np.float64))
-        if len(ids) == rows_per_block:
-            yield np.asarray(ids, dtype=np.int64), np.vstack(vecs)
-            ids, vecs = [], []
-    if ids:
-        yield np.asarray(ids, dtype=np.int64), np.vstack(vecs)
-
-
-def _partition_topk(block, k: int, cid: str, cvec: str, exclude_self: bool, payload: list[str]):
-    """``block`` is a broadcast of (ids, matrix), read inside the task.
-
-    ``payload`` columns of the corpus travel with the kept candidates, so
-    the caller needs no second pass over the corpus to fetch them.
-    """
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = block.value
-        kept: dict = {}  # candidate id -> payload values, for current bests only
-        qn = np.sqrt((qmat * qmat).sum(axis=1))
-        nq = len(qids)
-        best_s = np.full((nq, 0), -np.inf)
-        best_i = np.zeros((nq, 0), dtype=np.int64)
-        for pdf in it:
-            pdf = pdf[pdf[cvec].notna()]
-            if pdf.empty:
-                continue
-            ids = pdf[cid].to_numpy(dtype=np.int64)
-            mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[cvec]])
-            cn = np.sqrt((mat * mat).sum(axis=1))
-            keep = cn > 0
-            ids, mat, cn = ids[keep], mat[keep], cn[keep]
-            pay = pdf.loc[keep, payload] if payload else None
-            if len(ids) == 0:
-                continue
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = (qmat @ mat.T) / (qn[:, None] * cn[None, :])
-            s = np.where(np.isfinite(s), s, -np.inf)
-            if exclude_self:
-                s = np.where(qids[:, None] == ids[None, :], -np.inf, s)
-            all_s = np.concatenate([best_s, s], axis=1)
-            all_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-            # order by score desc, then id asc: sort by id first, then a
-            # stable sort on the negated score keeps id order among ties
-            o1 = np.argsort(all_i, axis=1, kind="stable")
-            all_s = np.take_along_axis(all_s, o1, axis=1)
-            all_i = np.take_along_axis(all_i, o1, axis=1)
-            o2 = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
-            best_s = np.take_along_axis(all_s, o2, axis=1)
-            best_i = np.take_along_axis(all_i, o2, axis=1)
-            if payload:
-                live = set(best_i[np.isfinite(best_s)].tolist())
-                for cand, row in zip(ids.tolist(), pay.itertuples(index=False)):
-                    if cand in live:
-                        kept[cand] = tuple(row)
-                kept = {c: v for c, v in kept.items() if c in live}
-        if best_s.shape[1] == 0:
-            return
-        q = np.repeat(qids, best_s.shape[1])
-        out = pd.DataFrame({"query_id": q, "cand_id": best_i.ravel(), "score": best_s.ravel()})
-        out = out[np.isfinite(out["score"])]
-        for j, col in enumerate(payload):
-            out[col] = [kept[c][j] for c in out["cand_id"]]
-        yield out
+def _score_block(k: int, cid_kind, payload: list[str]):
+    """Top-k of one block of questions over a stream of candidate batches."""
+
+    def run(questions: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in ("query_id", "cand_id", "score", *payload)}
+        if len(questions) and len(cands):
+            q = np.vstack([np.asarray(v, np.float64) for v in questions["vec"]])
+            m = np.vstack([np.asarray(v, np.float64) for v in cands["vec"]])
+            s = (q @ m.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((m * m).sum(1))[None, :])
+            ids = cands["cand_id"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")  # ties go to the smaller id
+            for i, qid in enumerate(questions["query_id"]):
+                row = s[i][by_id]
+                if k < len(row):  # all at least as good as the k-th, then the exact order
+                    near = np.flatnonzero(row >= -np.partition(-row, k - 1)[k - 1])
+                    near = near[np.argsort(-row[near], kind="stable")[:k]]
+                else:
+                    near = np.argsort(-row, kind="stable")
+                pick = by_id[near]
+                out["query_id"] += [qid] * len(pick)
+                out["cand_id"] += ids[pick].tolist()
+                out["score"] += row[near].tolist()
+                for c in payload:
+                    out[c] += cands[c].to_numpy()[pick].tolist()
+        return pd.DataFrame(out)
 
     return run
 
 
+def _usable(df: DataFrame, vec: str) -> DataFrame:
+    return df.where(F.col(vec).isNotNull() & F.exists(F.col(vec), lambda x: x != 0))
+
+
 def topk_cosine(
     queries: DataFrame,
     qid: str,
@@ -189,55 +136,72 @@ def topk_cosine(
     cid: str,
     cvec: str,
     k: int,
-    dim: int,
+    dim: int | None = None,
     exclude_self: bool = False,
     payload: list[str] | None = None,
+    block: int = 4096,
 ) -> DataFrame:
-    """Exact top-k by cosine: (query_id, rank, cand_id, score, *payload);
-    ties by id.  ``payload`` columns of the corpus ride along with the kept
-    candidates (one pass over the corpus, no join back)."""
+    """Exact top-k by cosine: (query_id, rank, cand_id, score, *payload).
+
+    Ids of any type; ties go to the smaller id.  Both sides are cut into
+    blocks of about ``block`` rows by a hash of their ids, and each pair of
+    blocks meets in one task that keeps k candidates per question, so neither
+    side passes through the driver or one task.  ``payload`` columns of the
+    corpus ride along with the kept candidates.  A question without a usable
+    vector has no rows here.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     payload = list(payload or [])
-    spark = corpus.sparkSession
-    pay_fields = [corpus.schema[c] for c in payload]
+    q = _usable(queries.select(F.col(qid).alias("query_id"), F.col(qvec).cast("array<double>").alias("vec")), "vec")
+    c = _usable(corpus.select(F.col(cid).alias("cand_id"), F.col(cvec).cast("array<double>").alias("vec"), *payload), "vec")
+    blocks = lambda df: max(1, -(-df.count() // block))
+    nq, nc = blocks(queries.select(qid)), blocks(corpus.select(cid))
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", part("query_id", nq)).withColumn("cb", every(nc))
+    right = c.withColumn("cb", part("cand_id", nc)).withColumn("qb", every(nq))
     schema = T.StructType(
-        [T.StructField("query_id", T.LongType()), T.StructField("cand_id", T.LongType()), T.StructField("score", T.DoubleType())]
-        + [T.StructField(f.name, f.dataType) for f in pay_fields]
+        [T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("cand_id", c.schema["cand_id"].dataType), T.StructField("score", T.DoubleType())]
+        + [corpus.schema[x] for x in payload]
     )
-    parts = []
-    for qids, qmat in _query_blocks(queries, qid, qvec, dim):
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        fn = _partition_topk(bq, k, cid, cvec, exclude_self, payload)
-        parts.append(corpus.select(cid, cvec, *payload).mapInPandas(fn, schema))
-    if not parts:
-        empty = spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-        return empty.select("query_id", "rank", "cand_id", "score", *payload)
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    more = 1 if exclude_self else 0
+    score = _score_block(k + more, c.schema["cand_id"].dataType, payload)
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda a, b: score(a, b), schema)
+    if exclude_self:
+        found = found.where("query_id <> cand_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
-    ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "cand_id", "score", *payload)
 
 
 # ------------------------------------------------------------------- upsert
 
-def latest_by_id(delta: DataFrame, id_col: str, version_col: str) -> DataFrame:
-    """One row per id: the one with the highest version (an aggregation,
-    pre-aggregated map-side; no window over a possibly hot id)."""
-    others = [c for c in delta.columns if c not in (id_col,)]
-    agg = delta.groupBy(id_col).agg(F.max_by(F.struct(*others), F.col(version_col)).alias("_r"))
-    return agg.select(id_col, *[F.col("_r")[c].alias(c) for c in others])
+def latest_by_id(points: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """One row per id: the greatest by ``order``, then by a hash of the row, so
+    the choice never depends on the input's order.  A map-side combined
+    aggregation; a hot id is no single task."""
+    others = [c for c in points.columns if c != id_col]
+    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*others).alias("_h"))
+    best = points.groupBy(id_col).agg(F.max_by(F.struct(*others), rank).alias("_r"))
+    return best.select(id_col, *[F.col("_r")[c].alias(c) for c in others])
 
 
 def upsert(base: DataFrame, delta: DataFrame, id_col: str, version_col: str | None = None) -> DataFrame:
-    """Insert or replace points by id: base rows without a delta row, plus
-    the latest delta row per id."""
-    d = latest_by_id(delta, id_col, version_col) if version_col else delta
-    cols = base.columns
-    kept = base.join(d.select(id_col), id_col, "left_anti")
-    return kept.unionByName(d.select(*cols))
+    """Insert or replace points by id: one row per id over both sides, the
+    highest version; without versions, and among equal ones, ``delta`` wins."""
+    both = base.withColumn("_side", F.lit(0)).unionByName(delta.select(*base.columns).withColumn("_side", F.lit(1)))
+    order = ([version_col] if version_col else []) + ["_side"]
+    return latest_by_id(both, id_col, order).select(*base.columns)
+
+
+def checked_points(points: DataFrame, vec_col: str, dim: int) -> DataFrame:
+    """``points``, failing the write at the first vector of another dimension
+    (null vectors pass: a point may have none)."""
+    wrong = F.col(vec_col).isNotNull() & (F.size(vec_col) != dim)
+    message = F.concat(F.lit(f"expected {dim} components, got "), F.size(vec_col).cast("string"))
+    checked = F.when(wrong, F.raise_error(message).cast(points.schema[vec_col].dataType)).otherwise(F.col(vec_col))
+    return points.withColumn(vec_col, checked)
 
 
 def dimension_check(df: DataFrame, vec_col: str, dim: int) -> Column:
@@ -248,10 +212,18 @@ def dimension_check(df: DataFrame, vec_col: str, dim: int) -> Column:
 def ensure_collection(spark, name: str, dim: int, schema: str | None = None) -> bool:
     """Create an empty point table if no table has exactly this name.
 
-    Returns True when it was created.  Existence is an exact name match.
+    Returns True when it was created.  The dimension is kept as the table
+    property ``vector.dim``; ``append_points`` enforces it.
     """
     if spark.catalog.tableExists(name):
         return False
     schema = schema or "id string, vector array<float>, payload struct<page_content:string,metadata:map<string,string>>"
     spark.createDataFrame([], schema).write.saveAsTable(name)
+    spark.sql(f"ALTER TABLE `{name}` SET TBLPROPERTIES ('vector.dim' = '{int(dim)}')")
     return True
+
+
+def append_points(spark, name: str, points: DataFrame, vec_col: str = "vector") -> None:
+    """Append to a table made by ``ensure_collection``, holding it to its dimension."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES `{name}` ('vector.dim')").collect()
+    checked_points(points, vec_col, int(rows[0]["value"])).write.mode("append").saveAsTable(name)

@@ -341,15 +341,13 @@ FROM documents WHERE text IS NOT NULL
 """,
 )
 def recursive_chunks_short(spark, sf_dir):
-    """C6/C10 native path: with a chunk size above every text, each text is one stripped chunk."""
+    """C6/C10 native path: a text below the chunk size is one stripped chunk; a
+    longer one has a row for each of its chunks."""
     cfg = recursive_cfg(size=1_000_000, overlap=0)
     d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
     ch = C.recursive_chunks(F.col("text"), cfg)
-    return d.select(
-        "doc_id",
-        F.size(ch).alias("n_chunks"),
-        F.try_element_at(ch, F.lit(1)).alias("chunk"),
-    )
+    rows = d.select("doc_id", ch.alias("chunks"))
+    return rows.select("doc_id", F.size("chunks").alias("n_chunks"), F.explode_outer("chunks").alias("chunk"))
 
 
 @query(

@@ -162,7 +162,9 @@ def profile_chunks(spark, sf_dir):
     prof = prof.withColumn("ov", F.floor(F.col("cs") / 4).cast("int"))
     lp = F.create_map(*[F.lit(x) for kv in sorted(LANG_PROFILE.items()) for x in kv])
     d = documents(spark, sf_dir).select("doc_id", F.element_at(lp, F.col("lang")).alias("profile"), "text")
-    j = d.join(F.broadcast(prof), "profile")
+    j = d.join(F.broadcast(prof), "profile", "left")
+    size = F.when(F.col("cs").isNull(), F.raise_error(F.lit("unsupported model profile"))).otherwise(F.col("cs"))
+    j = j.withColumn("cs", size.cast("int"))
     j = j.select("doc_id", "profile", "cs", "ov", ws_tokens(F.col("text")).alias("tok"))
     w = explode_rows(j, C.token_windows_col(F.col("tok"), F.col("cs"), F.col("ov")), ["doc_id", "profile", "cs", "ov"], ("chunk_no", "w"))
     return w.select(

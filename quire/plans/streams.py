@@ -20,7 +20,7 @@ from quire.streaming import jobs as J
 @query("stream_chunks", sql=ORACLES["token_windows"])
 def stream_chunks(spark, sf_dir):
     """L3: the document stream chunked by the same narrow plan as in batch."""
-    docs = J.file_stream(spark, sf_dir, "documents", spread_keys=["doc_id"]).select("doc_id", "lang", "text")
+    docs = J.file_stream(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     chunks = C.token_chunks(docs, "text", chunking.WIN, chunking.OVL, keep=["doc_id", "lang"])
     path = J.run_available(chunks, "stream-chunks")
     return spark.read.schema(chunks.schema).parquet(path)
@@ -35,9 +35,8 @@ def stream_rag(spark, sf_dir):
     def per_batch(batch, batch_id):
         # the batch D5 + E7 plan, run on this micro-batch's questions
         ctx = vectors._contexts(spark, sf_dir, questions=batch)
-        out = ctx.join(batch.select("item_id", "text"), "item_id").select(
-            "item_id", P.rag_prompt(F.col("context"), F.col("text")).alias("prompt")
-        )
+        asked = batch.select("item_id", "text").join(ctx, "item_id", "left")
+        out = asked.select("item_id", P.rag_prompt(F.coalesce("context", F.lit("")), F.col("text")).alias("prompt"))
         # one directory per batch id: a replayed batch overwrites itself
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
@@ -64,16 +63,16 @@ def stream_rolling_summary(spark, sf_dir):
 
 @query("stream_upsert", sql=ORACLES["vector_upsert"])
 def stream_upsert(spark, sf_dir):
-    """L4: incremental, batch-id idempotent upserts into a point collection."""
+    """L4: micro-batches as append-only folders, read as the latest version of each id."""
     schema = "id long, vector array<double>, origin string, version int"
-    coll = J.ParquetCollection(spark, scratch_path(spark, "collection"), schema)
-    coll.commit(vectors.points(spark, sf_dir), -1)
-    delta = J.file_stream(spark, sf_dir, "documents", spread_keys=["doc_id"]).select(
+    root = scratch_path(spark, "collection")
+    J.write_batch(vectors.points(spark, sf_dir), root, -1)
+    delta = J.file_stream(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         V.hash_embed(vectors._summary_tokens(F.col("text")), vectors.DIM).alias("vector"),
         F.lit("delta").alias("origin"),
         F.lit(1).alias("version"),
     )
-    J.run_available(delta, "stream-upsert", foreach_batch=lambda b, i: coll.upsert(b, i, "id", "version"))
-    cur = coll.current()
+    J.run_available(delta, "stream-upsert", foreach_batch=lambda b, i: J.write_batch(V.checked_points(b, "vector", vectors.DIM), root, i))
+    cur = J.current_points(spark, root, schema, "id", "version")
     return cur.select("id", "origin", F.when(F.size("vector") >= 0, F.size("vector")).alias("dim"))

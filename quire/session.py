@@ -36,7 +36,6 @@ def get_session(
         # long texts: keep Arrow batches small so a batch of 33k-char
         # documents never becomes one huge buffer in the Python worker
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
-        "spark.driver.memory": "16g",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -6,11 +6,11 @@
   restarted job resumes where it stopped.
 * ``rolling_state_fn``: the carry-forward fold as a stateful operator
   (``applyInPandasWithState``) keyed by document; chunks that arrive out of
-  order wait in the state until their number is next; the state is removed
-  after the last chunk.
-* ``ParquetCollection``: a point collection on plain Parquet with batch-id
-  idempotent upserts (each committed batch writes a new version and a
-  commit record; a replayed batch id is skipped).
+  order wait in the state until their number is next, chunks that arrive
+  twice are ignored, and a state that is quiet for too long is dropped, an
+  incomplete document being reported.
+* ``write_batch`` / ``current_points``: a point collection as one append-only
+  folder per micro-batch, read as the latest version of each id.
 """
 
 from __future__ import annotations
@@ -25,24 +25,13 @@ from pyspark.sql import functions as F
 from quire.session import scratch_path
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1, spread_keys=None) -> DataFrame:
-    """A table's Parquet files as a stream.
-
-    ``spread_keys``: hash each micro-batch on these keys over the shuffle
-    partitions, for CPU-heavy per-row work on batches that arrive as a few
-    large files.
-    """
-    base = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{base}/{table}.parquet").schema
-    df = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(base)
-    )
-    if spread_keys:
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *spread_keys)
-    return df
+def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
+    """A table's Parquet file or part files as a stream."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a pattern, as a table may be a folder of part files or a single file
+    # and a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path[:-1] + "[t]")
 
 
 def run_available(stream_df: DataFrame, name: str, sink_path: str | None = None,
@@ -66,130 +55,74 @@ def run_available(stream_df: DataFrame, name: str, sink_path: str | None = None,
 # ------------------------------------------------------------- rolling state
 
 ROLLING_OUTPUT = "doc_id long, step int, output string"
-ROLLING_STATE = "last string, next_no int, pending string"
+ROLLING_STATE = "last string, next_no int, total int, pending string"
 
 
-def rolling_state_fn(summarise: Callable[[str | None, str], str]):
+def rolling_state_fn(summarise: Callable[[str | None, str], str], quiet_ms: int | None = None):
     """State function for ``applyInPandasWithState``.
 
     Input rows: doc_id, chunk_no, n_chunks, chunk.  ``summarise(prev, chunk)``
-    gives the next output.  Emits (doc_id, step, output) in chunk order.
+    gives the next output.  Emits (doc_id, step, output) in chunk order.  A
+    chunk whose number was already used is a repeat and changes nothing, also
+    after the last one: of a finished document the step count stays.  With
+    ``quiet_ms`` the state goes once the document has been quiet for so long; if
+    chunks were still missing, (doc_id, the missing step, null) reports it.
     """
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        doc_id = key[0]
-        if state.exists:
-            last, next_no, pending_js = state.get
-            pending = {int(k): v for k, v in json.loads(pending_js).items()}
-        else:
-            last, next_no, pending = None, 0, {}
-        total = None
+        doc_id, out = key[0], []
+        if state.hasTimedOut:
+            _, next_no, total, _ = state.get
+            if total is None or next_no < total:
+                out.append((doc_id, next_no, None))
+            state.remove()
+            yield pd.DataFrame(out, columns=["doc_id", "step", "output"])
+            return
+        last, next_no, total, waiting = state.get if state.exists else (None, 0, None, "{}")
+        pending = {int(k): v for k, v in json.loads(waiting).items()}
         for pdf in pdfs:
             for no, n, chunk in zip(pdf["chunk_no"], pdf["n_chunks"], pdf["chunk"]):
-                pending[int(no)] = chunk
                 total = int(n)
-        out = []
+                if int(no) >= next_no:
+                    pending[int(no)] = chunk
         while next_no in pending:
             last = summarise(last, pending.pop(next_no))
             out.append((doc_id, next_no, last))
             next_no += 1
-        if total is not None and next_no >= total and not pending:
-            state.remove()
-        else:
-            state.update((last, next_no, json.dumps(pending)))
+        done = total is not None and next_no >= total
+        state.update((None if done else last, next_no, total, json.dumps({} if done else pending)))
+        if quiet_ms is not None:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(out, columns=["doc_id", "step", "output"])
 
     return fn
 
 
-def rolling_stream(chunk_rows: DataFrame, summarise: Callable[[str | None, str], str]) -> DataFrame:
+def rolling_stream(chunk_rows: DataFrame, summarise: Callable[[str | None, str], str], quiet_ms: int | None = None) -> DataFrame:
+    """``quiet_ms`` is for queries that keep running; an ``availableNow`` run
+    with time-outs would go on for ever."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    timeout = GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return chunk_rows.groupBy("doc_id").applyInPandasWithState(
-        rolling_state_fn(summarise), ROLLING_OUTPUT, ROLLING_STATE, "append", GroupStateTimeout.NoTimeout
+        rolling_state_fn(summarise, quiet_ms), ROLLING_OUTPUT, ROLLING_STATE, "append", timeout
     )
 
 
 # -------------------------------------------------------- point collection
 
-class ParquetCollection:
-    """Point table on plain Parquet, hash-bucketed by id, with idempotent,
-    batch-keyed upserts.
 
-    A batch rewrites only the buckets its ids fall into: the touched
-    buckets (at most ``buckets`` values reach the driver) are read with
-    partition pruning, merged with the batch, staged, and written back with
-    a dynamic partition overwrite.  A commit record per batch id makes a
-    replayed batch a no-op; an interrupted batch is simply re-run, since an
-    upsert by id is idempotent.
-    """
+def write_batch(points: DataFrame, root: str, batch_id: int) -> None:
+    """Write a micro-batch of points as a folder of its own.  A replayed batch
+    overwrites only itself; nothing else is read or rewritten."""
+    points.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch_id}")
+
+
+def current_points(spark: SparkSession, root: str, schema: str, id_col: str = "id", version_col: str | None = None) -> DataFrame:
+    """The collection as of now: one row per id, the highest version, then the
+    latest batch."""
+    from quire.operators.vector import latest_by_id
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, buckets: int = 64, id_col: str = "id"):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.schema = schema
-        self.buckets = buckets
-        self.id_col = id_col
-
-    @property
-    def _commits(self) -> str:
-        return f"{self.root}/_commits"
-
-    @property
-    def _data(self) -> str:
-        return f"{self.root}/data"
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(self.buckets)).cast("int")
-
-    def last_commit(self):
-        try:
-            rows = self.spark.read.schema("batch_id long").json(self._commits).agg(F.max("batch_id").alias("b")).collect()
-        except Exception:  # noqa: BLE001 - no commit yet
-            return None
-        return rows[0]["b"] if rows else None
-
-    def _read(self, buckets=None) -> DataFrame:
-        if self.last_commit() is None:
-            return self.spark.createDataFrame([], self.schema).withColumn("bucket", F.lit(0).cast("int")).limit(0)
-        df = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", self._data).parquet(self._data)
-        if buckets is not None:
-            df = df.filter(F.col("bucket").isin(buckets))  # partition pruning
-        return df
-
-    def current(self) -> DataFrame:
-        return self._read().drop("bucket")
-
-    def _record(self, batch_id: int) -> None:
-        rec = self.spark.createDataFrame([(batch_id,)], "batch_id long")
-        rec.coalesce(1).write.mode("append").json(self._commits)
-
-    def commit(self, df: DataFrame, batch_id: int) -> bool:
-        """Write a full collection (the initial load)."""
-        last = self.last_commit()
-        if last is not None and batch_id <= last:
-            return False
-        df.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(self._data)
-        self._record(batch_id)
-        return True
-
-    def upsert(self, delta: DataFrame, batch_id: int, id_col: str | None = None, version_col: str | None = None) -> bool:
-        from quire.operators.vector import latest_by_id
-
-        last = self.last_commit()
-        if last is not None and batch_id <= last:
-            return False  # replayed batch: already applied
-        d = latest_by_id(delta, self.id_col, version_col) if version_col else delta
-        d = d.withColumn("bucket", self._bucket())
-        touched = [r["bucket"] for r in d.select("bucket").distinct().collect()]
-        if touched:
-            cur = self._read(touched)
-            merged = cur.join(d.select(self.id_col), self.id_col, "left_anti").unionByName(d.select(*cur.columns))
-            # stage first: a path cannot be overwritten while it is read
-            stage = scratch_path(self.spark, "collection-stage")
-            merged.write.partitionBy("bucket").parquet(stage)
-            staged = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", stage).parquet(stage)
-            (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("bucket").parquet(self._data))
-        self._record(batch_id)
-        return True
+    points = spark.read.schema(f"{schema}, batch long").option("basePath", root).parquet(root)
+    order = ([version_col] if version_col else []) + ["batch"]
+    return latest_by_id(points, id_col, order).drop("batch")

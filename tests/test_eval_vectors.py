@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,15 +80,17 @@ def test_run_ids_adjacent_equal(spark, monkeypatch):
 
 
 def test_run_ids_across_blocks(spark):
-    vals = ["a", "a", "a", "b", "b", "a", "c", "c", "c", "c", "a", "a"]
+    vals = [None, None, "a", "a", "a", "b", "b", None, None, None, None, None, None, "c", "c", "a", "a", None]
     df = spark.createDataFrame(list(enumerate(vals)), "pos long, s string")
-    got = {r.pos: r.run_start for r in SM.run_ids(df, "pos", "s", rows_per_block=2).collect()}
     want, start = {}, 0
     for i, v in enumerate(vals):
         if i > 0 and vals[i - 1] != v:
             start = i
         want[i] = start
-    assert got == want
+    for blocks in (1, 3, 6, 40):
+        assert {r.pos: r.run_start for r in SM.run_ids(df, "pos", "s", blocks=blocks).collect()} == want
+    plan = SM.run_ids(df, "pos", "s", blocks=6)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_rolling_steps_closed_form(spark):
@@ -98,7 +101,7 @@ def test_rolling_steps_closed_form(spark):
 
 class _FakeState:
     def __init__(self):
-        self.value, self.exists = None, False
+        self.value, self.exists, self.hasTimedOut, self.ms = None, False, False, None
 
     @property
     def get(self):
@@ -110,6 +113,9 @@ class _FakeState:
     def remove(self):
         self.value, self.exists = None, False
 
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
 
 def test_stream_state_buffers_out_of_order_chunks():
     import pandas as pd
@@ -117,10 +123,10 @@ def test_stream_state_buffers_out_of_order_chunks():
     fn = J.rolling_state_fn(lambda prev, c: c if prev is None else prev + "|" + c)
     st = _FakeState()
     first = list(fn((7,), iter([pd.DataFrame({"chunk_no": [1], "n_chunks": [3], "chunk": ["b"]})]), st))
-    assert first[0].empty and json.loads(st.value[2]) == {"1": "b"}
+    assert first[0].empty and json.loads(st.value[3]) == {"1": "b"}
     second = list(fn((7,), iter([pd.DataFrame({"chunk_no": [0, 2], "n_chunks": [3, 3], "chunk": ["a", "c"]})]), st))
     assert second[0]["output"].tolist() == ["a", "a|b", "a|b|c"]
-    assert not st.exists  # state removed after the last chunk
+    assert st.value == (None, 3, 3, "{}")  # after the last chunk only the count stays
 
 
 def test_topk_against_brute_force_with_ties(spark):
@@ -170,13 +176,61 @@ def test_collection_exact_name(spark):
     assert not spark.catalog.tableExists("c")
 
 
-def test_parquet_collection_idempotent(spark, tmp_path):
-    schema = "id long, v string, version int"
-    coll = J.ParquetCollection(spark, str(tmp_path / "coll"), schema)
-    coll.commit(spark.createDataFrame([(1, "a", 0)], schema), -1)
-    assert coll.upsert(spark.createDataFrame([(1, "b", 1), (2, "c", 1)], schema), 0, "id", "version")
-    assert not coll.upsert(spark.createDataFrame([(1, "zzz", 9)], schema), 0, "id", "version")
-    assert {r.id: r.v for r in coll.current().collect()} == {1: "b", 2: "c"}
+def test_upsert_without_versions_and_with_older_ones(spark):
+    schema = "id string, v string, version int"
+    base = spark.createDataFrame([("a", "base5", 5), ("b", "base", 1), ("b", "base", 1)], schema)
+    delta = spark.createDataFrame([("a", "old2", 2), ("c", "x", 1), ("c", "y", 1)], schema)
+    got = V.upsert(base, delta, "id", "version").collect()
+    assert sorted(r.id for r in got) == ["a", "b", "c"] and {r.id: r.v for r in got}["a"] == "base5"
+    assert {r.id: r.v for r in V.upsert(base, delta, "id").collect()}["a"] == "old2"
+
+
+def test_batches_replay_and_older_versions(spark, tmp_path):
+    schema, root = "id long, v string, version int", str(tmp_path / "coll")
+    put = lambda rows, i: J.write_batch(spark.createDataFrame(rows, schema), root, i)
+    put([(1, "a", 0), (3, "z", 7)], -1)
+    put([(1, "b", 1), (2, "c", 1), (3, "older", 2)], 0)
+    put([(1, "b", 1), (2, "c", 1), (3, "older", 2)], 0)  # replayed
+    put([(2, "d", 1), (2, "d", 1)], 1)
+    got = J.current_points(spark, root, schema, "id", "version").collect()
+    assert sorted((r.id, r.v) for r in got) == [(1, "b"), (2, "d"), (3, "z")]
+
+
+def test_dimension_is_enforced_on_write(spark):
+    schema = "id string, vector array<float>, payload struct<page_content:string,metadata:map<string,string>>"
+    V.ensure_collection(spark, "x_dim", 2)
+    V.append_points(spark, "x_dim", spark.createDataFrame([("a", [1.0, 2.0], None), ("b", None, None)], schema))
+    with pytest.raises(Exception, match="expected 2 components"):
+        V.append_points(spark, "x_dim", spark.createDataFrame([("c", [1.0], None)], schema))
+    assert spark.table("x_dim").count() == 2
+
+
+def test_streams_read_folders_of_part_files(spark, tmp_path):
+    import __spark_entry__ as E
+    from quire.sources.tables import TABLES
+    from tests.conftest import SF_SMALL
+
+    for t in TABLES:
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").repartition(4).write.parquet(str(tmp_path / f"{t}.parquet"))
+    rows = lambda name, d: sorted(map(str, E.queries()[name](spark, d).collect()))
+    assert rows("stream_chunks", str(tmp_path)) == rows("token_windows", SF_SMALL)
+
+
+def test_rolling_state_ignores_repeats_and_reports_the_missing():
+    fn, state = J.rolling_state_fn(lambda prev, c: c if prev is None else prev + c, 50), _FakeState()
+
+    def feed(*rows):
+        pdf = pd.DataFrame(rows, columns=["doc_id", "chunk_no", "n_chunks", "chunk"])
+        return pd.concat(fn((1,), iter([pdf]), state))["output"].tolist()
+
+    assert feed((1, 0, 2, "a")) == ["a"] and feed((1, 0, 2, "a")) == [] and feed((1, 1, 2, "b")) == ["ab"]
+    assert feed((1, 0, 2, "a"), (1, 1, 2, "b")) == [] and state.ms == 50
+    state.hasTimedOut = True
+    assert pd.concat(fn((1,), iter([]), state)).empty and not state.exists
+    state.hasTimedOut = False
+    feed((1, 1, 3, "late"))
+    state.hasTimedOut = True
+    assert pd.concat(fn((1,), iter([]), state)).to_dict("records") == [{"doc_id": 1, "step": 0, "output": None}] and not state.exists
 
 
 def test_rolling_stream_out_of_order_micro_batches(spark, tmp_path):
@@ -214,14 +268,3 @@ def test_topk_payload_rides_along(spark):
     assert all(r.summary == f"doc{r.cand_id}" for r in got)
     plain = {(r.query_id, r.rank): r.cand_id for r in V.topk_cosine(qdf, "qid", "v", cdf, "doc_id", "v", 4, 3).collect()}
     assert plain == {(r.query_id, r.rank): r.cand_id for r in got}
-
-
-def test_collection_rewrites_only_touched_buckets(spark, tmp_path):
-    schema = "id long, v string, version int"
-    coll = J.ParquetCollection(spark, str(tmp_path / "coll2"), schema, buckets=8)
-    coll.commit(spark.createDataFrame([(i, f"v{i}", 0) for i in range(100)], schema), -1)
-    assert coll.upsert(spark.createDataFrame([(5, "new", 1), (500, "ins", 1)], schema), 0, "id", "version")
-    got = {r.id: r.v for r in coll.current().collect()}
-    want = {i: f"v{i}" for i in range(100)}
-    want.update({5: "new", 500: "ins"})
-    assert got == want
