@@ -1,9 +1,10 @@
 """Token records: vocabulary, encode/decode, padding, masks.
 
-The vocabulary is a table ``(token, id, n)``.  It is bounded by
-construction (top ``size`` tokens), so encoding ships it to the tasks once
-as a map built by a scalar subquery: the token data itself is never
-shuffled.  Decoding indexes a dense id array the same way.
+The vocabulary is a table ``(token, id, n)`` of every token of the corpus.
+Encoding and decoding are joins with it: the tokens of a row are exploded with
+their places, joined, and collected again by the row's key.  A frequent token
+is spread over ``SALTS`` join keys, and the table is repeated for each, so no
+token is one task.
 """
 
 from __future__ import annotations
@@ -11,106 +12,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.aggregate import blocked_row_number, ordered_collect
+from quire.session import cut_lineage
+
 # Fixed ids of the special tokens (our vocabulary layout).
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 SPECIALS = ["[PAD]", "[UNK]", "[BOS]", "[EOS]"]
 IGNORE_INDEX = -100
-MAX_VOCAB = 1_000_000
-# Up to this many entries the table travels inside the plan; above it the
-# vocabulary is broadcast-joined instead.
-INLINE_VOCAB = 200_000
+SALTS = 8
 
 
-def build_vocab(tokens_df: DataFrame, tokens_col: str, size: int) -> DataFrame:
-    """Top ``size`` tokens by (count desc, token asc); ids after the specials.
+def build_vocab(tokens_df: DataFrame, tokens_col: str) -> DataFrame:
+    """All tokens with dense ids after the specials, by (count desc, token asc).
 
-    ``groupBy`` pre-aggregates map-side; the top-k is a bounded
-    ``TakeOrderedAndProject``; the dense ids are numbered over those
-    ``size`` rows only.
+    Counts are combined map-side; the ids are numbered inside ranges of the
+    order, with each range's offset from a table of one row per range.  The
+    table is written once, and this runs when the query is built.
     """
-    if not 0 < size <= MAX_VOCAB:
-        raise ValueError(f"vocabulary size must be in (0, {MAX_VOCAB}]")
-    from pyspark.sql import Window
-
-    from quire.session import cut_lineage
-
-    from quire.functions.text import explode_rows
-
-    counts = explode_rows(tokens_df, F.col(tokens_col), [], ("token",), with_pos=False).groupBy("token").count()
-    top = counts.orderBy(F.desc("count"), F.asc("token")).limit(size)
-    w = Window.orderBy(F.desc("count"), F.asc("token"))  # over at most ``size`` rows
-    vocab = top.select(
-        "token",
-        (F.row_number().over(w) - 1 + len(SPECIALS)).cast("int").alias("id"),
-        F.col("count").alias("n"),
-    )
-    # built once: the lookups, the size check and the id array all read
-    # this reliable checkpoint instead of re-scanning the corpus
-    return cut_lineage(vocab, "vocab")
-
-
-def vocab_map(vocab: DataFrame, per_bucket: int = 4, max_size: int | None = None) -> Column:
-    """Scalar subquery: the vocabulary as a hash table ``array<map<token, id>>``.
-
-    A Spark map is searched linearly, so one map of V entries would cost
-    O(V) per token.  The table splits the vocabulary into ``V / per_bucket``
-    small maps indexed by ``pmod(hash(token), B)``: a lookup is one array
-    index plus a scan of a handful of entries.  Evaluated once per query
-    and shipped to the tasks; the token data is never shuffled.
+    counts = tokens_df.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    parts = int(tokens_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, F.desc("n"), F.asc("token")).withColumn("part", F.spark_partition_id())
+    ranked = blocked_row_number(cut_lineage(ranged, "counts"), [], F.col("part"), [F.desc("n"), F.asc("token")])
+    return cut_lineage(ranked.select("token", (F.col("rn") - 1 + len(SPECIALS)).cast("int").alias("id"), "n"), "vocab")
+
+
+def _salted(vocab: DataFrame, *cols: str) -> DataFrame:
+    return vocab.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def encode_df(
+    df: DataFrame, key, tokens_col: str, vocab: DataFrame, out_col: str = "ids", add_special: bool = True, limit: int | None = None
+) -> DataFrame:
+    """Adds ``out_col``, the ids of ``tokens_col``; unknown tokens give ``UNK``.
+
+    ``key`` names the columns that are unique per row.  With ``limit`` the ids
+    are cut so that they fit it with both markers, which always stay.
     """
-    spark = vocab.sparkSession
-    # ``max_size``: a known upper bound (a top-k build) spares the count job
-    n = max_size if max_size is not None else vocab.count()
-    if n > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries exceeds {MAX_VOCAB}")
-    buckets = max(1, n // per_bucket)
-    filled = (
-        vocab.select(F.pmod(F.hash("token"), F.lit(buckets)).alias("b"), "token", "id")
-        .groupBy("b")
-        .agg(F.collect_list(F.struct("token", "id")).alias("m"))
-    )
-    dense = spark.range(buckets).select(F.col("id").alias("b")).join(filled, "b", "left")
-    table = dense.select(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("b", "m"))),
-            lambda s: F.coalesce(F.map_from_entries(s["m"]), F.create_map().cast("map<string,int>")),
-        ).alias("t"),
-        F.lit(buckets).alias("nb"),
-    ).select(F.struct("t", "nb"))
-    return table.scalar()
-
-
-def lookup(vmap: Column, token: Column) -> Column:
-    """Id of ``token`` in a table built by ``vocab_map`` (null if absent)."""
-    bucket = F.pmod(F.hash(token), vmap["nb"]) + 1
-    return F.element_at(F.element_at(vmap["t"], bucket), token)
-
-
-def id_array(vocab: DataFrame) -> Column:
-    """Scalar subquery: token strings indexed by id (specials first)."""
-    sorted_tokens = F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda s: s["token"])
-    specials = F.array(*[F.lit(s) for s in SPECIALS])
-    return vocab.select(F.concat(specials, sorted_tokens)).scalar()
-
-
-def with_lookup(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Attach a scalar-subquery value as a column so higher-order functions
-    can reference it (subqueries are not allowed inside lambdas)."""
-    return df.withColumn(name, value)
-
-
-def encode(tokens: Column, vmap: Column, add_special: bool = True) -> Column:
-    ids = F.transform(tokens, lambda t: F.coalesce(lookup(vmap, t), F.lit(UNK)))
+    keys = [key] if isinstance(key, str) else list(key)
+    at = df.select(*keys, F.posexplode(tokens_col).alias("pos", "token")).withColumn("salt", F.col("pos") % SALTS)
+    found = at.join(_salted(vocab, "token", "id"), ["token", "salt"], "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
+    ids = ordered_collect(found, keys, "pos", "id", out_col)
+    out = df.join(ids, keys, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+    if limit is not None:
+        out = out.withColumn(out_col, F.slice(out_col, 1, limit - 2 * add_special))
     if add_special:
-        ids = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
-    return ids
+        out = out.withColumn(out_col, F.concat(F.array(F.lit(BOS)), F.col(out_col), F.array(F.lit(EOS))))
+    return out
 
 
-def decode(ids: Column, id_arr: Column, skip_special: bool = True, sep: str = " ") -> Column:
-    if skip_special:
-        ids = F.filter(ids, lambda i: (i >= len(SPECIALS)) | (i == UNK))
-    toks = F.transform(ids, lambda i: F.try_element_at(id_arr, i + 1))
-    return F.array_join(toks, sep)
+def decode_df(df: DataFrame, key, ids_col: str, vocab: DataFrame, out_col: str = "text", skip_special: bool = True, sep: str = " ") -> DataFrame:
+    """Adds ``out_col``, the tokens of ``ids_col`` joined by ``sep``; unknown ids
+    show as ``[UNK]``, the other specials are left out."""
+    keys = [key] if isinstance(key, str) else list(key)
+    ids = F.filter(ids_col, lambda i: (i >= len(SPECIALS)) | (i == UNK)) if skip_special else F.col(ids_col)
+    at = df.select(*keys, F.posexplode(ids).alias("pos", "id")).withColumn("salt", F.col("pos") % SALTS)
+    special = F.try_element_at(F.array(*map(F.lit, SPECIALS)), F.col("id") + 1)
+    found = at.join(_salted(vocab, "token", "id"), ["id", "salt"], "left").withColumn("token", F.coalesce("token", special, F.lit(SPECIALS[UNK])))
+    words = ordered_collect(found, keys, "pos", "token", "_words")
+    out = df.join(words, keys, "left")
+    return out.withColumn(out_col, F.coalesce(F.array_join("_words", sep), F.lit(""))).drop("_words")
 
 
 def pad_truncate(ids: Column, length: int, pad: int = PAD) -> Column:
@@ -135,32 +95,3 @@ def unmask_labels(labels: Column, pad: int = PAD) -> Column:
 
 def ids_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
-
-
-def encode_df(
-    df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out_col: str = "ids", add_special: bool = True
-) -> DataFrame:
-    """Encode ``tokens_col`` of every row with a vocabulary of any size.
-
-    Up to ``INLINE_VOCAB`` entries: the hashed table of ``vocab_map``, no
-    shuffle.  Larger (at most ``MAX_VOCAB``, so the broadcast is bounded):
-    explode with positions, broadcast hash join, ordered re-collect by
-    ``key`` (one row's tokens come back to one row).
-    """
-    from quire.functions.text import explode_rows
-    from quire.operators.aggregate import ordered_collect
-
-    n = vocab.count()
-    if n > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries exceeds {MAX_VOCAB}")
-    if n <= INLINE_VOCAB:
-        d = with_lookup(df, "_vm", vocab_map(vocab))
-        return d.withColumn(out_col, encode(F.col(tokens_col), F.col("_vm"), add_special)).drop("_vm")
-    ex = explode_rows(df.select(key, tokens_col), F.col(tokens_col), [key], ("pos", "token"))
-    j = ex.join(F.broadcast(vocab.select("token", F.col("id").alias("_tid"))), "token", "left")
-    j = j.withColumn("_tid", F.coalesce(F.col("_tid"), F.lit(UNK)))
-    ids = ordered_collect(j, key, "pos", "_tid", out_col)
-    out = df.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
-    if add_special:
-        out = out.withColumn(out_col, F.concat(F.array(F.lit(BOS)), F.col(out_col), F.array(F.lit(EOS))))
-    return out

@@ -13,7 +13,6 @@ from quire.sources.tables import conversations, documents
 
 WIN, OVL = 128, 32
 STRIDE = WIN - OVL
-VOCAB = 5000
 PREFIX = "summary: "
 LEAD = 16  # tokens kept by the extractive stand-in summariser
 
@@ -116,19 +115,20 @@ def prompt_first_follow(spark, sf_dir):
 # ----------------------------------------------------------------- vocabulary
 
 _D_TOK = f"SELECT doc_id, {d_tokens(d_clean('text'))} AS tok, {d_tokens(d_clean('split_part(text, chr(10), 1)'))} AS stok FROM documents WHERE text IS NOT NULL"
-_D_VOCAB = f"""
+_D_VOCAB = """
 cnt AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tok) AS t FROM tk) GROUP BY t),
-vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, n FROM cnt
-          QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB}),
-vm AS (SELECT map_from_entries(list({{'k': token, 'v': id}})) AS m FROM vocab),
-ids AS (SELECT id AS i, token FROM vocab UNION ALL
-        SELECT * FROM (VALUES (0, '[PAD]'), (1, '[UNK]'), (2, '[BOS]'), (3, '[EOS]')) s(i, token)),
-im AS (SELECT map_from_entries(list({{'k': i, 'v': token}})) AS im FROM ids)
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, n FROM cnt)
 """
 
 
-def _d_encode(tok: str) -> str:
-    return f"([2] || list_transform({tok}, lambda t: coalesce(m[t], 1)) || [3])"
+def _d_ids(name: str, src: str, keys: str, tok: str, limit: int | None = None) -> str:
+    """CTE ``name(keys, ids)``: the ids of a token list, with both markers."""
+    ids = "coalesce(e.ids, [])" if limit is None else f"list_slice(coalesce(e.ids, []), 1, {limit - 2})"
+    return f"""
+{name}_at AS (SELECT {keys}, unnest({tok}) AS token, generate_subscripts({tok}, 1) AS pos FROM {src}),
+{name}_e AS (SELECT {keys}, list(coalesce(id, 1) ORDER BY pos) AS ids FROM {name}_at LEFT JOIN vocab USING (token) GROUP BY {keys}),
+{name} AS (SELECT {keys}, [2] || {ids} || [3] AS ids FROM {src} LEFT JOIN {name}_e e USING ({keys}))
+"""
 
 
 def _d_ids_text(ids: str) -> str:
@@ -146,11 +146,7 @@ def vocab_and_tokens(spark, sf_dir):
         ws_tokens(clean_text(F.col("text"))).alias("tok"),
         ws_tokens(clean_text(first_line(F.col("text")))).alias("stok"),
     )
-    vocab = TK.build_vocab(tk, "tok", VOCAB)
-    # the bounded vocabulary travels as two scalar-subquery values
-    tk = TK.with_lookup(tk, "_vm", TK.vocab_map(vocab, max_size=VOCAB))
-    tk = TK.with_lookup(tk, "_ia", TK.id_array(vocab))
-    return vocab, tk
+    return TK.build_vocab(tk, "tok"), tk
 
 
 @query(
@@ -158,25 +154,23 @@ def vocab_and_tokens(spark, sf_dir):
     sql=f"WITH tk AS ({_D_TOK}), {_D_VOCAB} SELECT token, id, n FROM vocab",
 )
 def vocab_build(spark, sf_dir):
-    """I16: vocabulary table: top tokens by count, dense ids after the specials."""
-    vocab, _ = vocab_and_tokens(spark, sf_dir)
-    return vocab
+    """I16: vocabulary table: all tokens by count, dense ids after the specials."""
+    return vocab_and_tokens(spark, sf_dir)[0]
 
 
 @query(
     "encode_ids",
     sql=f"""
-WITH tk AS ({_D_TOK}), {_D_VOCAB}
-SELECT doc_id, {_d_ids_text(_d_encode('tok'))} AS ids, CAST(len(tok) + 2 AS INTEGER) AS n_ids,
-  CAST(len(list_filter({_d_encode('tok')}, lambda i: i = 1)) AS INTEGER) AS n_unk
-FROM tk, vm
+WITH tk AS ({_D_TOK}), {_D_VOCAB}, {_d_ids('x', 'tk', 'doc_id', 'tok')}
+SELECT doc_id, {_d_ids_text('ids')} AS ids, CAST(len(ids) AS INTEGER) AS n_ids,
+  CAST(len(list_filter(ids, lambda i: i = 1)) AS INTEGER) AS n_unk
+FROM x
 """,
 )
 def encode_ids(spark, sf_dir):
-    """I16: tokens -> ids through the vocabulary map (unknown -> [UNK])."""
+    """I16: tokens -> ids by a join with the vocabulary (unknown -> [UNK])."""
     vocab, tk = vocab_and_tokens(spark, sf_dir)
-    ids = TK.encode(F.col("tok"), F.col("_vm"))
-    e = tk.select("doc_id", ids.alias("ids"))
+    e = TK.encode_df(tk.select("doc_id", "tok"), "doc_id", "tok", vocab)
     return e.select(
         "doc_id",
         TK.ids_text(F.col("ids")).alias("ids"),
@@ -187,34 +181,28 @@ def encode_ids(spark, sf_dir):
 
 @query(
     "decode_ids",
-    sql=f"""
-WITH tk AS ({_D_TOK}), {_D_VOCAB},
-e AS (SELECT doc_id, list_filter({_d_encode('tok')}, lambda i: i >= 4 OR i = 1) AS ids FROM tk, vm)
-SELECT doc_id, array_to_string(list_transform(ids, lambda i: im[i]), ' ') AS text
-FROM e, im
-""",
+    sql=f"SELECT doc_id, array_to_string(tok, ' ') AS text FROM ({_D_TOK})",
 )
 def decode_ids(spark, sf_dir):
-    """I16: ids -> text (specials skipped, unknown shown as [UNK])."""
+    """I16: ids -> text; the round trip restores the cleaned tokens."""
     vocab, tk = vocab_and_tokens(spark, sf_dir)
-    ids = TK.encode(F.col("tok"), F.col("_vm"))
-    return tk.select("doc_id", TK.decode(ids, F.col("_ia")).alias("text"))
+    e = TK.encode_df(tk.select("doc_id", "tok"), "doc_id", "tok", vocab)
+    return TK.decode_df(e.select("doc_id", "ids"), "doc_id", "ids", vocab).select("doc_id", "text")
 
 
 @query(
     "pad_mask",
     sql=f"""
-WITH tk AS ({_D_TOK}), {_D_VOCAB}
-SELECT doc_id, {_d_ids_text(_d_pad(_d_encode('tok'), 512))} AS input_ids,
-  {_d_ids_text(f"list_slice(list_transform(range(least(len(tok) + 2, 512)), lambda x: 1) || list_transform(range(512), lambda x: 0), 1, 512)")} AS attention_mask
-FROM tk, vm
+WITH tk AS ({_D_TOK}), {_D_VOCAB}, {_d_ids('x', 'tk', 'doc_id', 'tok', 512)}
+SELECT doc_id, {_d_ids_text(_d_pad('ids', 512))} AS input_ids,
+  {_d_ids_text("list_slice(list_transform(range(len(ids)), lambda x: 1) || list_transform(range(512), lambda x: 0), 1, 512)")} AS attention_mask
+FROM x
 """,
 )
 def pad_mask(spark, sf_dir):
-    """Ids padded / cut to 512 and the attention mask."""
+    """Ids cut to 512 with both markers kept, or padded, and the attention mask."""
     vocab, tk = vocab_and_tokens(spark, sf_dir)
-    ids = TK.encode(F.col("tok"), F.col("_vm"))
-    e = tk.select("doc_id", ids.alias("ids"))
+    e = TK.encode_df(tk.select("doc_id", "tok"), "doc_id", "tok", vocab, limit=512)
     return e.select(
         "doc_id",
         TK.ids_text(TK.pad_truncate(F.col("ids"), 512)).alias("input_ids"),
@@ -222,36 +210,28 @@ def pad_mask(spark, sf_dir):
     )
 
 
-_D_LABELS = _d_pad(_d_encode("stok"), 128)
+def _labels(spark, sf_dir):
+    vocab, tk = vocab_and_tokens(spark, sf_dir)
+    e = TK.encode_df(tk.select("doc_id", "stok"), "doc_id", "stok", vocab, limit=128)
+    return e.select("doc_id", TK.mask_labels(TK.pad_truncate(F.col("ids"), 128)).alias("labels"))
+
+
+_D_LABELS = f"WITH tk AS ({_D_TOK}), {_D_VOCAB}, {_d_ids('x', 'tk', 'doc_id', 'stok', 128)}, l AS (SELECT doc_id, {_d_pad('ids', 128)} AS labels FROM x)"
 
 
 @query(
     "label_mask",
-    sql=f"""
-WITH tk AS ({_D_TOK}), {_D_VOCAB}
-SELECT doc_id, {_d_ids_text(f"list_transform({_D_LABELS}, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")} AS labels
-FROM tk, vm
-""",
+    sql=f"{_D_LABELS} SELECT doc_id, {_d_ids_text('list_transform(labels, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels FROM l",
 )
 def label_mask(spark, sf_dir):
     """Summary ids padded to 128 with padding replaced by -100."""
-    vocab, tk = vocab_and_tokens(spark, sf_dir)
-    lab = TK.pad_truncate(TK.encode(F.col("stok"), F.col("_vm")), 128)
-    return tk.select("doc_id", TK.ids_text(TK.mask_labels(lab)).alias("labels"))
+    return _labels(spark, sf_dir).select("doc_id", TK.ids_text(F.col("labels")).alias("labels"))
 
 
-@query(
-    "label_unmask",
-    sql=f"""
-WITH tk AS ({_D_TOK}), {_D_VOCAB}
-SELECT doc_id, {_d_ids_text(_D_LABELS)} AS labels FROM tk, vm
-""",
-)
+@query("label_unmask", sql=f"{_D_LABELS} SELECT doc_id, {_d_ids_text('labels')} AS labels FROM l")
 def label_unmask(spark, sf_dir):
     """-100 back to the padding id (round trip of the label mask)."""
-    vocab, tk = vocab_and_tokens(spark, sf_dir)
-    lab = TK.mask_labels(TK.pad_truncate(TK.encode(F.col("stok"), F.col("_vm")), 128))
-    return tk.select("doc_id", TK.ids_text(TK.unmask_labels(lab)).alias("labels"))
+    return _labels(spark, sf_dir).select("doc_id", TK.ids_text(TK.unmask_labels(F.col("labels"))).alias("labels"))
 
 
 @query(
@@ -260,16 +240,16 @@ def label_unmask(spark, sf_dir):
 WITH tk AS ({_D_TOK}), {_D_VOCAB},
 c AS (SELECT doc_id, chunk_no, {d_tokens(sql_lit(PREFIX) + ' || chunk')} AS itok,
              {d_tokens(d_clean('summary'))} AS ltok
-      FROM {_d_windows(d_clean('text'), "split_part(text, chr(10), 1)", "summary")})
-SELECT doc_id, chunk_no,
-  {_d_ids_text(f"list_slice({_d_encode('itok')}, 1, {WIN})")} AS input_ids,
-  {_d_ids_text(f"list_slice({_d_encode('ltok')}, 1, {WIN})")} AS labels,
+      FROM {_d_windows(d_clean('text'), "split_part(text, chr(10), 1)", "summary")}),
+{_d_ids('i', 'c', 'doc_id, chunk_no', 'itok', WIN)}, {_d_ids('l', 'c', 'doc_id, chunk_no', 'ltok', WIN)}
+SELECT doc_id, chunk_no, {_d_ids_text('i.ids')} AS input_ids, {_d_ids_text('l.ids')} AS labels,
   len(itok) + 2 > {WIN} AS was_truncated
-FROM c, vm
+FROM c JOIN i USING (doc_id, chunk_no) JOIN l USING (doc_id, chunk_no)
 """,
 )
 def seq2seq_pairs(spark, sf_dir):
-    """Prefix + chunk -> input ids, summary -> labels, both cut at the window.
+    """Prefix + chunk -> input ids, summary -> labels, both cut at the window
+    with their markers kept.
 
     The prefix counts against the cut, so a full chunk loses its tail
     (flagged by ``was_truncated``).
@@ -277,14 +257,13 @@ def seq2seq_pairs(spark, sf_dir):
     vocab, _ = vocab_and_tokens(spark, sf_dir)
     ch = chunk_rows(spark, sf_dir, cleaned=True)
     itok = ws_tokens(F.concat(F.lit(PREFIX), F.col("chunk")))
-    ltok = ws_tokens(F.col("summary"))
-    x = ch.select("doc_id", "chunk_no", itok.alias("itok"), ltok.alias("ltok"))
-    x = TK.with_lookup(x, "_vm", TK.vocab_map(vocab, max_size=VOCAB))
-    vmap = F.col("_vm")
+    x = ch.select("doc_id", "chunk_no", itok.alias("itok"), ws_tokens(F.col("summary")).alias("ltok"))
+    keys = ["doc_id", "chunk_no"]
+    x = TK.encode_df(x, keys, "itok", vocab, "input_ids", limit=WIN)
+    x = TK.encode_df(x, keys, "ltok", vocab, "label_ids", limit=WIN)
     return x.select(
-        "doc_id",
-        "chunk_no",
-        TK.ids_text(F.slice(TK.encode(F.col("itok"), vmap), 1, WIN)).alias("input_ids"),
-        TK.ids_text(F.slice(TK.encode(F.col("ltok"), vmap), 1, WIN)).alias("labels"),
+        *keys,
+        TK.ids_text(F.col("input_ids")).alias("input_ids"),
+        TK.ids_text(F.col("label_ids")).alias("labels"),
         (F.size("itok") + 2 > WIN).alias("was_truncated"),
     )

@@ -71,16 +71,6 @@ def test_content_id_is_deterministic(spark):
     assert len(ids) == 1
 
 
-def test_bucket_of_binary_search(spark):
-    from quire.operators.summarise import bucket_of
-
-    bounds = [3.0, 7.0, 7.0, 10.0, 20.0]
-    xs = [0, 3, 4, 7, 8, 10, 19, 20, 25]
-    df = spark.createDataFrame([(x,) for x in xs], "x long")
-    got = [r.b for r in df.select(bucket_of(F.col("x"), bounds).alias("b")).collect()]
-    assert got == [sum(1 for b in bounds if b <= x) for x in xs]
-
-
 def test_read_nested_results(spark, tmp_path):
     import json
 

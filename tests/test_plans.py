@@ -41,7 +41,7 @@ def test_per_document_aggregation_reuses_partitioning(spark):
 
 def test_topk_is_group_limited_and_pair_free(spark):
     plan = _plan(E.queries()["cosine_topk"](spark, SF_SMALL))
-    assert "MapInPandas" in plan
+    assert "FlatMapCoGroupsInPandas" in plan  # block against block, nothing broadcast
     assert "WindowGroupLimit" in plan  # k per query kept before and after the shuffle
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 

@@ -83,25 +83,19 @@ def test_padding_mask_and_back(spark):
 
 
 def test_vocab_encode_decode_roundtrip(spark):
-    docs = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, ["a", "b", "d"])], "id long, tok array<string>")
-    vocab = TK.build_vocab(docs, "tok", 3)
-    rows = {r.token: r.id for r in vocab.collect()}
-    assert rows == {"b": 4, "a": 5, "c": 6}  # count desc, then token
-    x = TK.with_lookup(docs, "_vm", TK.vocab_map(vocab, per_bucket=1))
-    x = TK.with_lookup(x, "_ia", TK.id_array(vocab))
-    out = x.select("id", TK.encode(F.col("tok"), F.col("_vm")).alias("ids")).orderBy("id").collect()
-    assert out[0].ids == [TK.BOS, 4, 5, 4, 6, TK.EOS]
-    assert out[1].ids == [TK.BOS, 5, 4, TK.UNK, TK.EOS]
-    dec = x.select("id", TK.decode(TK.encode(F.col("tok"), F.col("_vm")), F.col("_ia")).alias("t")).orderBy("id").collect()
-    assert dec[0].t == "b a b c"
-    assert dec[1].t == "a b [UNK]"
-
-
-def test_encode_df_both_paths_agree(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, ["a", "zz"]), (3, [])], "id long, tok array<string>")
-    vocab = TK.build_vocab(docs, "tok", 3)
-    inline = {r.id: r.ids for r in TK.encode_df(docs, "id", "tok", vocab).collect()}
-    monkeypatch.setattr(TK, "INLINE_VOCAB", 1)
-    joined = {r.id: r.ids for r in TK.encode_df(docs, "id", "tok", vocab).collect()}
-    assert inline == joined
-    assert inline[3] == [TK.BOS, TK.EOS]
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, ["a", "b", "d"]), (3, [])], "id long, tok array<string>")
+    vocab = TK.build_vocab(docs, "tok")
+    assert {r.token: r.id for r in vocab.collect()} == {"b": 4, "a": 5, "c": 6, "d": 7}  # count desc, then token
+    enc = TK.encode_df(docs, "id", "tok", vocab)
+    assert {r.id: r.ids for r in enc.collect()} == {1: [TK.BOS, 4, 5, 4, 6, TK.EOS], 2: [TK.BOS, 5, 4, 7, TK.EOS], 3: [TK.BOS, TK.EOS]}
+    dec = TK.decode_df(enc.select("id", "ids"), "id", "ids", vocab)
+    assert {r.id: r.text for r in dec.collect()} == {1: "b a b c", 2: "a b d", 3: ""}
+
+
+def test_unknown_tokens_and_cuts_keep_the_markers(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, ["zz"])], "id long, tok array<string>")
+    vocab = TK.build_vocab(docs.where("id = 1"), "tok")
+    cut = {r.id: r.ids for r in TK.encode_df(docs, ["id"], "tok", vocab, limit=4).collect()}
+    assert cut == {1: [TK.BOS, 4, 5, TK.EOS], 2: [TK.BOS, TK.UNK, TK.EOS]}
+    dec = TK.decode_df(TK.encode_df(docs, "id", "tok", vocab).select("id", "ids"), "id", "ids", vocab)
+    assert {r.id: r.text for r in dec.collect()}[2] == "[UNK]"
