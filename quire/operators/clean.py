@@ -17,10 +17,6 @@ from quire.functions.text import WS
 # attachment link below"); documents containing it are dropped.
 DEFAULT_BOILERPLATE = "點選下方附件連結"
 
-# Lexicons above this many entries are not inlined into the plan (an inline
-# array or map is searched linearly); larger ones use a hashed lookup table.
-MAX_INLINE_LEXICON = 256
-
 
 def drop_boilerplate(df: DataFrame, text_col: str = "text", phrase: str = DEFAULT_BOILERPLATE) -> DataFrame:
     """Keep rows whose text does not contain ``phrase`` (literal); null text dropped."""
@@ -51,35 +47,31 @@ def random_id(seed: int | None = None) -> Column:
     return F.uuid(seed) if seed is not None else F.uuid()
 
 
-def _lexicon_size_checked(lex: DataFrame, limit: int = MAX_INLINE_LEXICON) -> int:
-    n = lex.limit(limit + 1).count()
-    return n
-
-
 def remove_stop_words(tokens: Column, stop_words: list[str]) -> Column:
     """Drop tokens found in the stop set; duplicates and order kept."""
     stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))]) if stop_words else F.array().cast("array<string>")
     return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
 
 
-def remove_stop_words_df(
-    df: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens"
-) -> DataFrame:
-    """Stop-word removal against a lexicon table (column ``word``) of any size.
+def _over_tokens(df: DataFrame, key, tokens_col: str, lexicon: DataFrame, kept, out_col: str) -> DataFrame:
+    """Rebuild ``tokens_col`` from its places joined with a lexicon table (word,
+    value); ``kept(token, value)`` is the new token, null to drop it.  Places
+    are salted and the lexicon repeated, so a frequent word is no single task."""
+    from quire.operators.aggregate import ordered_collect
+    from quire.operators.tokens import places, salted
+
+    keys = [key] if isinstance(key, str) else list(key)
+    found = places(df, keys, F.col(tokens_col), "_token").join(salted(lexicon, _token="word", _value="value"), ["_token", "_salt"], "left")
+    found = found.withColumn("_token", kept(F.col("_token"), F.col("_value"))).where(F.col("_token").isNotNull())
+    out = ordered_collect(found, keys, "_pos", "_token", "_out")
+    joined = df.join(out, keys, "left").withColumn("_out", F.coalesce("_out", F.array().cast("array<string>")))
+    return joined.withColumn(out_col, F.col("_out")).drop("_out")
 
-    A small lexicon (checked) is inlined; a larger one becomes a hashed
-    lookup table shipped once by a scalar subquery.  Either way the token
-    data is filtered in place: no explode, no shuffle.
-    """
-    from quire.operators.tokens import lookup, vocab_map, with_lookup
 
-    if _lexicon_size_checked(lexicon) <= MAX_INLINE_LEXICON:
-        words = [r["word"] for r in lexicon.select("word").collect()]
-        return df.withColumn(out_col, remove_stop_words(F.col(tokens_col), words))
-    table = vocab_map(lexicon.select(F.col("word").alias("token"), F.lit(1).alias("id")).distinct())
-    df = with_lookup(df, "_stop", table)
-    kept = F.filter(F.col(tokens_col), lambda t: lookup(F.col("_stop"), t).isNull())
-    return df.withColumn(out_col, kept).drop("_stop")
+def remove_stop_words_df(df: DataFrame, key, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens") -> DataFrame:
+    """Stop-word removal against a lexicon table (column ``word``) of any size."""
+    words = lexicon.select("word").distinct().withColumn("value", F.lit(True))
+    return _over_tokens(df, key, tokens_col, words, lambda t, v: F.when(v.isNull(), t), out_col)
 
 
 def replace_synonyms(tokens: Column, synonyms: dict[str, str]) -> Column:
@@ -103,17 +95,8 @@ def replace_synonyms_df(
         lex = lex.groupBy("word").agg(F.min_by("synonym", "rank").alias("synonym"))
     else:
         lex = lex.groupBy("word").agg(F.min("synonym").alias("synonym"))
-    ex = df.select(key, F.posexplode(tokens_col).alias("pos", "tok"))
-    j = ex.join(lex.withColumnRenamed("word", "tok"), "tok", "left")
-    agg = j.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("synonym", "tok").alias("w")))),
-            lambda s: s["w"],
-        ).alias(out_col)
-    )
-    return df.drop(out_col).join(agg, key, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))
-    )
+    lex = lex.withColumnRenamed("synonym", "value")
+    return _over_tokens(df, key, tokens_col, lex, lambda t, v: F.coalesce(v, t), out_col)
 
 
 def join_tokens(tokens: Column, sep: str = " ") -> Column:

@@ -36,8 +36,15 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str) -> DataFrame:
     return cut_lineage(ranked.select("token", (F.col("rn") - 1 + len(SPECIALS)).cast("int").alias("id"), "n"), "vocab")
 
 
-def _salted(vocab: DataFrame, *cols: str) -> DataFrame:
-    return vocab.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+def salted(table: DataFrame, **names: str) -> DataFrame:
+    """Columns of a small side under new names, repeated for each value of ``_salt``."""
+    cols = [F.col(old).alias(new) for new, old in names.items()]
+    return table.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+
+
+def places(df: DataFrame, keys: list[str], items: Column, name: str) -> DataFrame:
+    """One row per item of an array: keys, ``_pos``, the item, and a salt by place."""
+    return df.select(*keys, F.posexplode(items).alias("_pos", name)).withColumn("_salt", F.col("_pos") % SALTS)
 
 
 def encode_df(
@@ -49,9 +56,9 @@ def encode_df(
     are cut so that they fit it with both markers, which always stay.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    at = df.select(*keys, F.posexplode(tokens_col).alias("pos", "token")).withColumn("salt", F.col("pos") % SALTS)
-    found = at.join(_salted(vocab, "token", "id"), ["token", "salt"], "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
-    ids = ordered_collect(found, keys, "pos", "id", out_col)
+    at = places(df, keys, F.col(tokens_col), "_token")
+    found = at.join(salted(vocab, _token="token", _id="id"), ["_token", "_salt"], "left")
+    ids = ordered_collect(found.withColumn("_id", F.coalesce("_id", F.lit(UNK))), keys, "_pos", "_id", out_col)
     out = df.join(ids, keys, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
     if limit is not None:
         out = out.withColumn(out_col, F.slice(out_col, 1, limit - 2 * add_special))
@@ -65,10 +72,10 @@ def decode_df(df: DataFrame, key, ids_col: str, vocab: DataFrame, out_col: str =
     show as ``[UNK]``, the other specials are left out."""
     keys = [key] if isinstance(key, str) else list(key)
     ids = F.filter(ids_col, lambda i: (i >= len(SPECIALS)) | (i == UNK)) if skip_special else F.col(ids_col)
-    at = df.select(*keys, F.posexplode(ids).alias("pos", "id")).withColumn("salt", F.col("pos") % SALTS)
-    special = F.try_element_at(F.array(*map(F.lit, SPECIALS)), F.col("id") + 1)
-    found = at.join(_salted(vocab, "token", "id"), ["id", "salt"], "left").withColumn("token", F.coalesce("token", special, F.lit(SPECIALS[UNK])))
-    words = ordered_collect(found, keys, "pos", "token", "_words")
+    at = places(df, keys, ids, "_id")
+    special = F.try_element_at(F.array(*map(F.lit, SPECIALS)), F.col("_id") + 1)
+    found = at.join(salted(vocab, _token="token", _id="id"), ["_id", "_salt"], "left")
+    words = ordered_collect(found.withColumn("_token", F.coalesce("_token", special, F.lit(SPECIALS[UNK]))), keys, "_pos", "_token", "_words")
     out = df.join(words, keys, "left")
     return out.withColumn(out_col, F.coalesce(F.array_join("_words", sep), F.lit(""))).drop("_words")
 

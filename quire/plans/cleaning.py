@@ -8,7 +8,9 @@ from quire.functions import text as X
 from quire.operators import chunk as C
 from quire.operators import clean as K
 from quire.operators.aggregate import tap
-from quire.plans.registry import D_NWORD, d_clean, d_strip, d_tokens, query, sql_lit
+from quire.plans.registry import D_NW, D_NWORD, D_WS, ORACLES, d_clean, d_strip, d_tokens, query, sql_lit
+from quire.session import scratch_path
+from quire.sources import io as IO
 from quire.sources.tables import documents, table
 
 BOILERPLATE = "Licensed under the"
@@ -127,6 +129,54 @@ def replace_synonyms(spark, sf_dir):
     )
 
 
+def _stop_lexicon(spark):
+    """The stop words through a lexicon file, as a caller would keep them."""
+    path = scratch_path(spark, "stop-words")
+    IO.write_lines(spark.createDataFrame([(f" {w}",) for w in STOP_WORDS], "line string"), "line", path)
+    return IO.read_lexicon(spark, path)
+
+
+@query("stop_words_table", sql=ORACLES["remove_stop_words"])
+def stop_words_table(spark, sf_dir):
+    """D3 with the lexicon as a table of any size, read from a lexicon file."""
+    d = K.dropna_subset(documents(spark, sf_dir), ["text"])
+    tok = d.select("doc_id", X.ws_tokens(X.clean_text(F.col("text"))).alias("tok"))
+    out = K.remove_stop_words_df(tok, "doc_id", "tok", _stop_lexicon(spark), "kept")
+    return out.select("doc_id", F.array_join("kept", " ").alias("text"), (F.size("tok") - F.size("kept")).alias("n_removed"))
+
+
+@query("synonyms_table", sql=ORACLES["replace_synonyms"])
+def synonyms_table(spark, sf_dir):
+    """D4 with the synonyms as a table of any size."""
+    d = K.dropna_subset(documents(spark, sf_dir), ["text"]).select("doc_id", X.ws_tokens(F.col("text")).alias("tok"))
+    lexicon = spark.createDataFrame(sorted(SYNONYMS.items()), "word string, synonym string")
+    out = K.replace_synonyms_df(d, "doc_id", "tok", lexicon, "out")
+    return out.select("doc_id", F.array_join("out", " ").alias("text"))
+
+
+_D_PLAIN = f"regexp_replace(regexp_replace(text, '{D_WS}+', ' ', 'g'), '{D_NW}', '', 'g')"
+
+
+@query(
+    "clean_pipeline",
+    sql=f"""
+WITH t AS (SELECT doc_id, {d_tokens(_D_PLAIN)} AS tok FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, array_to_string(list_filter(tok, lambda x: NOT list_contains([{_STOP_SQL_LIST}], x)), ' ') AS text FROM t)
+SELECT doc_id,
+  regexp_replace(regexp_replace(lower(text), '(^|{D_NWORD})can''t({D_NWORD}|$)', '\\1cannot\\2', 'g'),
+                 '(^|{D_NWORD})won''t({D_NWORD}|$)', '\\1will not\\2', 'g') AS text
+FROM k
+""",
+)
+def clean_pipeline(spark, sf_dir):
+    """I5 in its order: drop nulls, white space and punctuation, stop words, then
+    lower case and contractions."""
+    d = K.dropna_subset(documents(spark, sf_dir), ["text"])
+    tok = d.select("doc_id", X.ws_tokens(X.strip_punct(X.collapse_ws(F.col("text")))).alias("tok"))
+    kept = K.remove_stop_words_df(tok, "doc_id", "tok", _stop_lexicon(spark), "kept")
+    return kept.select("doc_id", X.normalize_contractions(F.lower(F.array_join("kept", " "))).alias("text"))
+
+
 def _d_fold(expr: str) -> str:
     out = expr
     for src in sorted(PHRASES, key=lambda s: (-len(s), s)):

@@ -109,16 +109,15 @@ def results_roundtrip(spark, sf_dir):
     "lexicon_roundtrip",
     sql=f"""
 WITH tk AS (SELECT {d_tokens(d_clean('text'))} AS tok FROM documents WHERE text IS NOT NULL),
-c AS (SELECT t AS word, count(*) AS n FROM (SELECT unnest(tok) AS t FROM tk) GROUP BY t)
-SELECT word FROM (SELECT word FROM c ORDER BY n DESC, word LIMIT 50) UNION ALL SELECT ''
+c AS (SELECT DISTINCT unnest(tok) AS word FROM tk)
+SELECT word FROM c UNION ALL SELECT ''
 """,
 )
 def lexicon_roundtrip(spark, sf_dir):
-    """A4: a stop-word file (padded lines and a blank line) read into a set."""
+    """A4: the corpus' words as a lexicon file (padded lines and a blank line), read into a set."""
     d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
     tok = explode_rows(d, ws_tokens(clean_text(F.col("text"))), [], ("t",), with_pos=False)
-    top = tok.groupBy("t").count().orderBy(F.desc("count"), F.asc("t")).limit(50)
-    lines = top.select(F.concat(F.lit("  "), F.col("t"), F.lit("\t")).alias("line")).unionByName(
+    lines = tok.select("t").distinct().select(F.concat(F.lit("  "), F.col("t"), F.lit("\t")).alias("line")).unionByName(
         spark.range(1).select(F.lit(" ").alias("line"))
     )
     path = scratch_path(spark, "lexicon")

@@ -24,12 +24,10 @@ def _exchanges(plan: str) -> list[str]:
             and "ReusedExchange" not in line]
 
 
-def test_encode_ids_does_not_shuffle_tokens(spark):
-    plan = _main_tree(_plan(E.queries()["encode_ids"](spark, SF_SMALL)))
-    # only the spread of the single-split scan; the vocabulary arrives as a
-    # scalar subquery, the tokens are never exploded
-    assert "Generate" not in plan
-    assert all("doc_id" in x for x in _exchanges(plan))
+def test_encode_ids_joins_on_salted_tokens(spark):
+    plan = _plan(E.queries()["encode_ids"](spark, SF_SMALL))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "_salt" in plan  # a frequent token is spread over several tasks
 
 
 def test_per_document_aggregation_reuses_partitioning(spark):

@@ -55,11 +55,10 @@ def test_stop_words_keep_duplicates(spark):
     assert df.select(K.remove_stop_words(F.col("t"), ["b"])).first()[0] == ["a", "a"]
 
 
-def test_stop_words_large_lexicon_path(spark, monkeypatch):
-    monkeypatch.setattr(K, "MAX_INLINE_LEXICON", 1)
+def test_stop_words_from_a_table(spark):
     lex = spark.createDataFrame([(w,) for w in ["b", "c", "zz"]], "word string")
     df = spark.createDataFrame([(1, ["a", "b", "a", "c", "d"])], "id long, t array<string>")
-    out = K.remove_stop_words_df(df, "t", lex, "kept").first()["kept"]
+    out = K.remove_stop_words_df(df, "id", "t", lex, "kept").first()["kept"]
     assert out == ["a", "a", "d"]
 
 
