@@ -50,7 +50,6 @@ SHARED = 3  # orders up to this one are shared by the classes
 WIDTH = 6  # bits of a symbol
 SEPARATOR, DIGIT, OTHER = 0, 27, 28
 WINDOW = 24  # symbols in the window that is looked for
-SLOTS = 20  # bits of the scoring tables
 
 
 def _symbols() -> np.ndarray:
@@ -146,7 +145,7 @@ class Model:
     """Log-likelihood ratios of the n-grams of each class order, and of the
     weights with which a seen context backs off."""
 
-    ratio: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # order: tags, values by slot
+    ratio: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # order: n-gram + 1 (or 0), value by slot
     backoff: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
@@ -168,20 +167,40 @@ def shared_backoff(trigrams: np.ndarray, discount: float = 0.75) -> np.ndarray:
     return p.reshape(-1)
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
     h = keys * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - SLOTS)).astype(np.int64), ((h & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16)
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hashed table of all keys, at most half full: a key whose slot is taken
+    stands in the next free one.  Slots hold the whole key (30 bits) plus one."""
+    size = 1 << max(4, (2 * len(keys)).bit_length())
+    tags, out = np.zeros(size, np.uint32), np.zeros(size, np.float32)
+    slot, tag, todo = _slots(keys, size), (keys + np.uint64(1)).astype(np.uint32), np.arange(len(keys))
+    while len(todo):
+        free = todo[tags[slot[todo]] == 0]
+        won = free[np.unique(slot[free], return_index=True)[1]]
+        tags[slot[won]], out[slot[won]] = tag[won], values[won]
+        todo = todo[tags[slot[todo]] != tag[todo]]
+        slot[todo] = (slot[todo] + 1) & (size - 1)
+    return tags, out
 
 
-def _table(keys: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hashed table; of two keys in one slot the more frequent stays."""
-    tags, out = np.zeros(1 << SLOTS, np.uint16), np.zeros(1 << SLOTS, np.float32)
-    order = np.lexsort((keys, weight))
-    slot, tag = _slots(keys[order])
-    tags[slot], out[slot] = tag, values[order]
-    return tags, out
+def _find(tags: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each key, and whether the table holds it."""
+    slot, tag = _slots(keys, len(tags)), (keys + np.uint64(1)).astype(np.uint32)
+    seen = tags[slot]
+    hit = seen == tag
+    todo = np.flatnonzero(~hit & (seen != 0))
+    while len(todo):
+        slot[todo] = (slot[todo] + 1) & (len(tags) - 1)
+        seen = tags[slot[todo]]
+        hit[todo] = seen == tag[todo]
+        todo = todo[(seen != tag[todo]) & (seen != 0)]
+    return slot, hit
 
 
 def kneser_ney(g: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shared: np.ndarray, discount: float = 0.9) -> Model:
@@ -207,9 +226,8 @@ def kneser_ney(g: np.ndarray, toxic: np.ndarray, plain: np.ndarray, shared: np.n
             loose[:, c] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
             own = np.maximum(counts[:, c] - discount, 0) / np.maximum(total[back], 1)
             p[:, c] = own + loose[back, c] * base[:, c]
-        weight = counts.sum(1)
-        model.ratio[order] = _table(keys, np.log(p[:, 0]) - np.log(p[:, 1]), weight)
-        model.backoff[order] = _table(ctx, np.log(loose[:, 0]) - np.log(loose[:, 1]), np.bincount(back, weight, len(ctx)))
+        model.ratio[order] = _table(keys, np.log(p[:, 0]) - np.log(p[:, 1]))
+        model.backoff[order] = _table(ctx, np.log(loose[:, 0]) - np.log(loose[:, 1]))
         lower_keys, lower = keys, p
     return model
 
@@ -227,12 +245,12 @@ def evidence(model: Model, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not len(code):
             break
         here = ratio[order - 1 :]
-        slot, tag = _slots(code >> np.uint64(WIDTH))
         tags, values = model.backoff[order]
-        here += np.where(tags[slot] == tag, values[slot], np.float32(0))
-        slot, tag = _slots(code)
+        slot, hit = _find(tags, code >> np.uint64(WIDTH))
+        here += np.where(hit, values[slot], np.float32(0))
         tags, values = model.ratio[order]
-        np.copyto(here, values[slot], where=tags[slot] == tag)
+        slot, hit = _find(tags, code)
+        np.copyto(here, values[slot], where=hit)
     ratio[~_own(off, len(s))] = 0
     total = np.append(0.0, np.cumsum(ratio, dtype=np.float64))
     x[:, 0] = (total[off[1:]] - total[off[:-1]]) / np.maximum(size, 1)
@@ -278,8 +296,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def score_column(spark, model: Model, text):
-    """Toxicity of each text as a double from 0 to 1.  The model's tables have a
-    fixed size (2^20 slots each), so they may be broadcast."""
+    """Toxicity of each text as a double from 0 to 1.  The model's tables hold the
+    n-grams of a bounded sample, so they may be broadcast."""
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -94,3 +94,21 @@ def test_logistic():
     w = logistic.fit(x, y)
     assert abs(w[0] - 0.5) < 0.2 and abs(w[1] - 2) < 0.3 and abs(w[2]) < 0.2
     assert logistic.apply(logistic.fit(np.zeros((0, 1)), np.zeros(0)), np.zeros((1, 1)))[0] == 0.5
+
+
+def test_every_ngram_of_the_sample_is_kept():
+    """The scoring tables hold each n-gram with its own value, however many there are."""
+    rnd = np.random.default_rng(8)
+    g = np.unique(rnd.integers(0, 1 << 30, 400_000).astype(np.uint64))
+    toxic, plain = rnd.integers(0, 3, len(g)).astype(float), rnd.integers(1, 3, len(g)).astype(float)
+    shared = toxicity.shared_backoff(rnd.integers(0, 3, 1 << 18).astype(float))
+    model = toxicity.kneser_ney(g, toxic, plain, shared)
+    four = np.unique(g & np.uint64((1 << 24) - 1))
+    assert (model.ratio[5][0] > 0).sum() == len(g) and (model.ratio[4][0] > 0).sum() == len(four)
+    slot, hit = toxicity._find(model.ratio[5][0], g)
+    assert hit.all() and len(np.unique(slot)) == len(g)
+    strange = np.setdiff1d(rnd.integers(0, 1 << 30, 400_000).astype(np.uint64), g)
+    assert not toxicity._find(model.ratio[5][0], strange)[1].any()
+    odd = np.array([0, (1 << 30) - 1], np.uint64)
+    tags, values = toxicity._table(odd, np.array([1.0, 2.0]))
+    assert values[toxicity._find(tags, odd)[0]].tolist() == [1.0, 2.0]
