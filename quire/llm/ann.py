@@ -11,7 +11,8 @@ abandoned when a test of the hypothesis that it belongs to the current
 nearest is rejected.  Survivors of the last block are scored with their
 original vectors in double precision.
 
-*Plan.*  The clustering and the rotation are fitted on a bounded sample
+*Plan.*  Rows of equal id and vector are collapsed first by a combinable
+aggregate.  The clustering and the rotation are fitted on a bounded sample
 (``sample`` rows with the smallest hashes), and so is the number of lists
 that a query probes; every row is indexed.  A list
 with more than ``chunk`` rows is cut into chunks, and a list that many
@@ -110,13 +111,21 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return np.asarray(vectors.flatten(), float).reshape(len(vectors), -1)
 
 
-def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, block: int = 16, eps: float = 2.1) -> np.ndarray:
+def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, block: int = 16, eps: float = 2.1, ids: np.ndarray | None = None) -> np.ndarray:
     """Numbers of the candidates that survive all hypothesis tests; the k
-    nearest of ``rows`` to ``q`` are among them with high probability."""
+    nearest of ``rows`` to ``q`` are among them with high probability.  With
+    ``ids``, where some rows share an id, the rows of the k nearest ids."""
     n, dim = rows.shape
     if n <= 4 * k:
         return np.arange(n)
-    first = np.argpartition(((rows[:, :block] - q[:block]) ** 2).sum(1), 2 * k)[: 2 * k]
+    start = ((rows[:, :block] - q[:block]) ** 2).sum(1)
+    if ids is None:
+        first = np.argpartition(start, 2 * k)[: 2 * k]
+    else:  # a row of each of the 2 k nearest ids, so that the bound holds k ids
+        order = np.argsort(start, kind="stable")
+        first = order[np.sort(np.unique(ids[order], return_index=True)[1])[: 2 * k]]
+        if len(first) < k:
+            return np.arange(n)
     bound = np.partition(((rows[first] - q) ** 2).sum(1), k - 1)[k - 1] + 1e-9
     alive, part = np.arange(n), np.zeros(n)
     for d in range(0, dim, block):
@@ -145,10 +154,10 @@ def _scan_group(model: Model, k: int, exact: bool):
             rows = _unit(vectors) @ model.rotation
             asked, qs = queries.column("id").to_numpy(), _matrix(queries.column("vec"))
             turned = _unit(qs) @ model.rotation
+            shared = len(np.unique(ids)) < len(ids)
             for i in range(len(asked)):
                 other = np.flatnonzero(ids != asked[i])
-                # a few more than k, as rows of one id count once
-                found = other if exact else other[adaptive_scan(turned[i], rows[other], k)]
+                found = other if exact else other[adaptive_scan(turned[i], rows[other], k, ids=ids[other] if shared else None)]
                 score = cosines(qs[i], vectors[found])
                 order = np.lexsort((ids[found], -score))
                 best, seen = [], set()
@@ -190,6 +199,7 @@ def nearest(
     vec = col(vec_col)
     rows = vectors.select(col(id_col).cast("long").alias("id"), vec.cast("array<double>").alias("vec"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
+    rows = cut_lineage(rows.dropDuplicates(["id", "vec"]), "vectors")
     picked = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(sample).select("vec").toPandas()["vec"]  # at most `sample` rows
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(picked):
@@ -212,13 +222,14 @@ def nearest(
 
         return lists_of("vec")
 
-    index = cut_lineage(rows.select("id", "vec", place(1)[0].alias("list")), "index")
-    asked = index.where(queries).select("id", "vec")
+    index = rows.select("id", "vec", place(1)[0].alias("list"))
+    asked = rows.where(queries).select("id", "vec")
     asked = cut_lineage(asked.select("id", "vec", F.explode(place(scanned)).alias("list")), "asked")
     # parts of each list: at most one row per list, so the table may be broadcast
     parts = index.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cuts"))
     asked_parts = asked.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("asks"))
-    grid = F.broadcast(parts.join(asked_parts, "list"))
+    # (a list that is asked but not counted, by a rounding of its centre, has one)
+    grid = F.broadcast(asked_parts.join(parts, "list", "left").select("list", "asks", F.coalesce("cuts", F.lit(1)).alias("cuts")))
     part = lambda n: F.pmod(F.xxhash64("id", "vec"), F.col(n)).cast("int")
     left = index.join(grid, "list").select("id", "vec", "list", part("cuts").alias("c"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("a"))
     right = asked.join(grid, "list").select("id", "vec", "list", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("c"), part("asks").alias("a"))

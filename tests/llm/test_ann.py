@@ -80,3 +80,24 @@ def test_scan_abandons_most_and_loses_few():
         left += len(alive)
         lost += len(set(np.argsort(((x - q) ** 2).sum(1))[:5]) - set(alive))
     assert left < 50 * 400 and lost <= 5
+
+
+def test_repeated_ids_lose_no_neighbour(spark):
+    """Five rows of each id, and an id with a thousand: the nearest ids stay."""
+    rnd = np.random.default_rng(11)
+    base = rnd.normal(size=(300, 32))
+    x = np.repeat(base, 5, 0) + 1e-6 * rnd.normal(size=(1500, 32))
+    ids = np.repeat(np.arange(300), 5)
+    for q in range(0, 300, 10):
+        other = np.flatnonzero(ids != q)
+        alive = ann.adaptive_scan(base[q], x[other], 5, ids=ids[other])
+        near = [i for i in np.argsort(((base - base[q]) ** 2).sum(1)) if i != q][:5]
+        assert set(near) <= set(ids[other][alive].tolist())
+    hot = [(7, (base[0] + 1e-3 * rnd.normal(size=32)).tolist()) for _ in range(1000)]
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + hot + [(8, base[8].tolist())] * 1000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = ({}, {})
+    for mine, exact in ((got, False), (want, True)):
+        for r in ann.nearest(df, ann.every(50), exact=exact, target=1.0, lists=1, chunk=100_000).collect():
+            mine.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert want == got and all(len(v) == 5 for v in got.values())
