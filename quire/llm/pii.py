@@ -9,8 +9,10 @@ and lengths stay as they were.  Card numbers keep their first digit and a
 valid Luhn digit, account numbers their country and valid check digits,
 addresses move to reserved ranges, social security numbers to the 9xx range.
 Names follow the gender of their title and their script; given and family
-names are drawn apart, so "Ms Ada Byron" and "Ms Byron" agree, and later
-mentions without a title are replaced too.
+names are drawn apart, so "Ms Ada Byron" and "Ms Byron" agree.  Mentions
+without a title in a text that names the person with one are replaced too:
+given and family names of any length between letter boundaries, and Han names
+as a whole, family and given name together, wherever they stand.
 
 *Collision checks.*  Surrogates of a type must differ from each other
 (distinctness) and from every value of the type that the corpus holds.  All
@@ -331,12 +333,19 @@ def pseudonymise(docs: DataFrame, key: str = "quire", text_col: str = "text", co
         .when(F.col("type").isin("phone", "ssn", "card", "iban"), _pour(F.col("match"), core))
         .otherwise(core)
     )
-    later = F.filter("parts", lambda p: (F.length(p["value"]) > 2) & ~p["kind"].startswith("name:han"))
-    later = F.when(F.col("type") == "person", F.transform(later, lambda p: F.struct(p["value"].alias("value"), p["core"].alias("core"))))
+    whole = F.array(F.struct(F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value"), F.array_join(names, "").alias("core"), F.lit(True).alias("han")))
+    each = F.transform("parts", lambda p: F.struct(p["value"].alias("value"), p["core"].alias("core"), F.lit(False).alias("han")))
+    later = F.when(F.col("type") == "person", F.when(han, whole).otherwise(each))
     cores = cores.select("h", "pos", new.alias("new"), later.alias("later"))
     edits = cores.groupBy("h").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("edits"), F.array_distinct(F.flatten(F.collect_list("later"))).alias("later")
+        F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("edits"), F.flatten(F.collect_list("later")).alias("later")
     )
+    # longer names first, as a Han name may begin another
+    by_length = lambda p: F.struct((-F.length(p["value"])).alias("n"), *[p[c].alias(c) for c in ("value", "core", "han")])
+    edits = edits.withColumn("later", F.array_sort(F.array_distinct(F.transform("later", by_length))))
+    literal = lambda p: F.concat(F.lit(r"\Q"), p["value"], F.lit(r"\E"))
+    forms = F.transform("later", lambda p: F.when(p["han"], literal(p)).otherwise(F.concat(F.lit(r"(?<!\p{L})"), literal(p), F.lit(r"(?!\p{L})"))))
+    edits = edits.withColumn("names", F.array_join(forms, "|"))
     edits = cut_lineage(edits.withColumnRenamed("h", h), "edits")
 
     row = fresh(docs, "_row")
@@ -346,9 +355,12 @@ def pseudonymise(docs: DataFrame, key: str = "quire", text_col: str = "text", co
     pieces = F.concat(F.transform(match, lambda m, i: F.coalesce(F.element_at("edits", i), m)), F.array(F.lit("")))
     text = F.array_join(F.zip_with(kept, pieces, lambda a, b: F.concat(a, b)), "")
     work = work.withColumn("new", F.when(F.col("edits").isNull(), F.col("t")).otherwise(text))
-    # later mentions of a person by name alone
-    bare = lambda a, p: F.regexp_replace(a, F.concat(F.lit(r"(?<!\p{L})\Q"), p["value"], F.lit(r"\E(?!\p{L})")), p["core"])
-    work = work.withColumn("new", F.when(F.size("later") > 0, F.aggregate("later", F.col("new"), bare)).otherwise(F.col("new")))
+    # mentions of a person by name alone, between the matches
+    own_core = lambda m: F.try_element_at(F.filter("later", lambda p: p["value"] == m), F.lit(1))["core"]
+    cores_of = lambda s: F.concat(F.transform(F.regexp_extract_all(s, F.col("names"), F.lit(0)), own_core), F.array(F.lit("")))
+    bare = lambda s: F.array_join(F.zip_with(F.split(s, F.col("names"), -1), cores_of(s), lambda a, b: F.concat(a, b)), "")
+    named = F.array_join(F.zip_with(F.transform(kept, bare), pieces, lambda a, b: F.concat(a, b)), "")
+    work = work.withColumn("new", F.when(F.size("later") > 0, named).otherwise(F.col("new")))
     own = [F.col("new").alias(c) if c == text_col else col(row)[c].alias(c) for c in docs.columns]
     number = [F.coalesce(F.size("edits"), F.lit(0)).cast("long").alias(count)] if count else []
     rest = docs.where(~hint).select(*map(col, docs.columns), *([F.lit(0).cast("long").alias(count)] if count else []))

@@ -117,3 +117,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan.replace("ArrowEval", "Arrow")
+
+
+def test_later_mentions_of_short_and_han_names(spark):
+    rows = [
+        (1, "Mr Li met Dr Wu. Li said to Wu: Lima, Wuhan. (Li)"),
+        (2, "王小明先生来了。后来王小明走了，王小明说好。"),
+        (3, "王小女士，王小明先生：王小明，王小。"),
+        (4, "Li and Wu of no title; 王小明"),
+    ]
+    got = {r.id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "id int, text string")).collect()}
+    li, wu = re.fullmatch(r"Mr (\w+) met Dr (\w+)\. .*", got[1]).groups()
+    assert got[1] == f"Mr {li} met Dr {wu}. {li} said to {wu}: Lima, Wuhan. ({li})" and li != "Li" and wu != "Wu"
+    whole = re.match(r"(\w+)先生来了", got[2])[1]
+    assert got[2] == f"{whole}先生来了。后来{whole}走了，{whole}说好。" and whole != "王小明"
+    a, b = re.match(r"(\w+)女士，(\w+)先生：", got[3]).groups()
+    assert got[3] == f"{a}女士，{b}先生：{b}，{a}。" and a != "王小" and b == whole
+    assert got[4] == rows[3][1]
