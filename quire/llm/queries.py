@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, decontaminate, licenses, mixing, pii, quality, spans, toxicity, warc
+from quire.llm import ann, decontaminate, licenses, mixing, pii, quality, spans, token_counts, toxicity, warc
 from quire.llm.common import read
 from quire.llm.simhash import simhash_near_dedup
 
@@ -53,6 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(read(spark, sf_dir, "pages"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 # base32 of a SHA-1: five hex digits are four base32 digits
 OP10_SQL = """
 with p as (
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op10_warc": OP10_SQL.strip()}
