@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, decontaminate, licenses, mixing, pii, quality, spans, token_counts, toxicity, warc
+from quire.llm import ann, decontaminate, licenses, mixing, pii, quality, runs, spans, token_counts, toxicity, warc
 from quire.llm.common import read
 from quire.llm.simhash import simhash_near_dedup
 
@@ -54,6 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(read(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.looped(read(spark, sf_dir, "documents")))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
