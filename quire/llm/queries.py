@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, decontaminate, licenses, mixing, pii, quality, runs, spans, token_counts, toxicity, warc
+from quire.llm import ann, decontaminate, licenses, mixing, phrases, pii, quality, runs, spans, token_counts, toxicity, warc
 from quire.llm.common import read
 from quire.llm.simhash import simhash_near_dedup
 
@@ -58,6 +58,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(runs.looped(read(spark, sf_dir, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -78,6 +82,46 @@ select page_id, n::bigint as payload_bytes, digest as payload_digest,
 from d
 """
 
+OP12_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), words as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+), sized as (
+  select 1 as m union all select 2 union all select 3
+), grams as (
+  select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+  from words, sized where len(w) >= m
+), f as (
+  select lang, m, phrase, count(*) as a from grams group by all
+), totals as (
+  select lang, sum(a) as n from f where m = 1 group by lang
+), often as (
+  select *, string_split(phrase, ' ') as w from f where a >= 10
+), cuts as (
+  select c.lang, c.m, c.phrase, c.a, k, x.a as l, y.a as r,
+         ((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a))::bigint as score
+  from often c, (select 1 as k union all select 2) ks, often x, often y
+  where c.m > k and x.lang = c.lang and y.lang = c.lang
+    and x.phrase = array_to_string(c.w[1:k], ' ') and y.phrase = array_to_string(c.w[k + 1:c.m], ' ')
+), worst as (
+  select *, row_number() over (partition by lang, phrase order by score, k) as nth from cuts
+), inner_parts as (
+  select lang, array_to_string(w[1:2], ' ') as phrase, a from often where m = 3
+  union all select lang, array_to_string(w[2:3], ' '), a from often where m = 3
+), most as (
+  select lang, phrase, max(a) as most from inner_parts group by all
+), ranked as (
+  select c.*, row_number() over (partition by c.lang order by score desc, a desc, c.phrase) as rank
+  from worst c left join most p on p.lang = c.lang and p.phrase = c.phrase
+  where nth = 1 and (most is null or 100 * most < 50 * a)
+)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -91,7 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL.strip()}
+ORACLES: dict[str, str] = {"op10_warc": OP10_SQL.strip(), "op12_collocations": OP12_SQL.strip()}
