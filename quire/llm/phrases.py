@@ -61,7 +61,7 @@ TILE = 10  # bits of an id inside a tile: 2^10 x 2^10 cells
 SUB = 12  # bits of a cell inside a sub-tile
 FIRST_BITS, WORD_BITS = 33, 30
 DENSE = 1 << (2 * TILE - 4)  # pairs of a tile from which it is counted densely
-HELD = 1 << 21  # codes that are held before they are merged
+HELD = 1 << 20  # codes that are held before they are merged
 WINDOW = 1 << 18  # bytes of text that are split at a time
 
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -165,21 +165,37 @@ def _found(batch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
 
 
+def _numbers(cell: pa.Scalar, kind="<i8") -> np.ndarray:
+    """The numbers of a binary cell, without a copy."""
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
+# ``firsts`` is null while the first words are the words themselves
 IDS = "chunk long, lang string, skip int, words binary, firsts binary"
 
 
+def _id_rows(batch):
+    """(chunk, lang, skip, words, firsts) of each row."""
+    for chunk, lang, skip, words, firsts in zip(*(batch.column(c) for c in ("chunk", "lang", "skip", "words", "firsts"))):
+        words = _numbers(words)
+        yield chunk.as_py(), lang.as_py(), skip.as_py(), words, _numbers(firsts) if firsts.is_valid else words
+
+
+def _id_batch(batch, i: int, words: bytes, firsts: bytes | None):
+    """One row, so that no batch holds many chunks."""
+    kept = [batch.column(c).slice(i, 1) for c in ("chunk", "lang", "skip")]
+    return pa.RecordBatch.from_arrays([*kept, pa.array([words], pa.binary()), pa.array([firsts], pa.binary())], ["chunk", "lang", "skip", "words", "firsts"])
+
+
 def _word_ids(batches):
     """Local word numbers become ids; words that are no candidate's become 0."""
     for batch in batches:
         at, place, ids = _found(batch, "found")
-        out = []
-        for i, (local, size) in enumerate(zip(batch.column("local").to_pylist(), batch.column("size").to_pylist())):
+        for i, (local, size) in enumerate(zip(batch.column("local"), batch.column("size").to_pylist())):
             table = np.zeros(size + 1, np.int64)
             mine = slice(at[i], at[i + 1])
             table[place[mine] + 1] = ids[mine]
-            out.append(table[np.frombuffer(local, "<i4")].tobytes())
-        words = pa.array(out, pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk", "lang", "skip")), words, words], ["chunk", "lang", "skip", "words", "firsts"])
+            yield _id_batch(batch, i, table[_numbers(local, "<i4")].tobytes(), None)
 
 
 def pair_code(first: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -204,13 +220,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _codes(words: bytes, firsts: bytes, skip: int, longer: bool) -> np.ndarray:
+def _codes(w: np.ndarray, f: np.ndarray, skip: int, longer: bool) -> np.ndarray:
     """Codes of the pairs (first words ending before p, word at p) for p >= skip.
 
     ``longer``: the first words are several, so that the phrase without its
     first word ends at p too, and must be frequent like the first words.
     """
-    w, f = np.frombuffer(words, np.int64), np.frombuffer(firsts, np.int64)
     first, word = f[:-1], w[1:]
     ok = (first > 0) & (word > 0)
     if longer:
@@ -272,7 +287,7 @@ def _partial(buckets: int, longer: bool):
     def run(batches):
         held: dict[str, list] = {}
         for batch in batches:
-            for lang, skip, words, firsts in zip(*(batch.column(c).to_pylist() for c in ("lang", "skip", "words", "firsts"))):
+            for _, lang, skip, words, firsts in _id_rows(batch):
                 codes, counts = held.setdefault(lang, [[], []])
                 for out, part in zip((codes, counts), tiled(_codes(words, firsts, skip, longer))):
                     out.append(part)
@@ -302,13 +317,14 @@ def _merged(least: int):
     def run(batches):
         now, codes, counts, size, after = None, [], [], 0, HELD
         for batch in batches:
-            for lang, bucket, code, count in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "codes", "counts"))):
+            for lang, bucket, code, count in zip(*(batch.column(c) for c in ("lang", "bucket", "codes", "counts"))):
+                lang, bucket = lang.as_py(), bucket.as_py()
                 if now != (lang, bucket):
                     if now:
                         yield pairs(now[0], codes, counts)
                     now, codes, counts, size, after = (lang, bucket), [], [], 0, HELD
-                codes.append(np.frombuffer(code, np.int64))
-                counts.append(np.frombuffer(count, np.int64))
+                codes.append(_numbers(code))
+                counts.append(_numbers(count))
                 size += len(codes[-1])
                 if size >= after:
                     code, count = merge(codes, counts)
@@ -341,7 +357,7 @@ def _asked(held, longer: bool):
 
     def run(batches):
         for batch in batches:
-            for chunk, lang, words, firsts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lang", "words", "firsts"))):
+            for chunk, lang, _, words, firsts in _id_rows(batch):
                 code = np.unique(_codes(words, firsts, 0, longer))
                 code = code[has(held.value, mixed(code))]
                 first, word = pair_of(code)
@@ -357,9 +373,7 @@ def _next_firsts(longer: bool):
     def run(batches):
         for batch in batches:
             at, key, ids = _found(batch, "found")
-            out = []
-            for i, (words, firsts) in enumerate(zip(batch.column("words").to_pylist(), batch.column("firsts").to_pylist())):
-                w, f = np.frombuffer(words, np.int64), np.frombuffer(firsts, np.int64)
+            for i, (_, _, _, w, f) in enumerate(_id_rows(batch)):
                 new = np.zeros(len(w), np.int64)
                 mine = slice(at[i], at[i + 1])
                 by = np.argsort(key[mine])
@@ -369,8 +383,7 @@ def _next_firsts(longer: bool):
                     code = pair_code(f[place], w[place + 1])
                     hit = np.minimum(np.searchsorted(known, code), len(known) - 1)
                     new[place + 1] = np.where(known[hit] == code, name[hit], 0)
-                out.append(new.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk", "lang", "skip", "words")), pa.array(out, pa.binary())], ["chunk", "lang", "skip", "words", "firsts"])
+                yield _id_batch(batch, i, w.tobytes(), new.tobytes())
 
     return run
 
