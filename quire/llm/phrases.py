@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.bitmap import bits_for, has, of_column
-from quire.llm.common import UPPER, col, text_bytes
+from quire.llm.common import UPPER, arrow_batches, col, text_bytes
 from quire.llm.prefix import running_sum
 from quire.session import cut_lineage
 
@@ -170,21 +170,33 @@ def _numbers(cell: pa.Scalar, kind="<i8") -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
 
-# ``firsts`` is null while the first words are the words themselves
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids in four bytes each, or in eight if one needs them."""
+    return ids.astype("<i4" if not len(ids) or int(ids.max()) < 1 << 31 else "<i8").tobytes()
+
+
+# ``words`` has four bytes an id; ``firsts`` four or eight, and is null while
+# the first words are the words themselves
 IDS = "chunk long, lang string, skip int, words binary, firsts binary"
 
 
 def _id_rows(batch):
     """(chunk, lang, skip, words, firsts) of each row."""
     for chunk, lang, skip, words, firsts in zip(*(batch.column(c) for c in ("chunk", "lang", "skip", "words", "firsts"))):
-        words = _numbers(words)
-        yield chunk.as_py(), lang.as_py(), skip.as_py(), words, _numbers(firsts) if firsts.is_valid else words
+        w = f = _numbers(words, "<i4").astype(np.int64)
+        if firsts.is_valid:
+            wide = len(firsts.as_buffer()) > 4 * len(w)
+            f = _numbers(firsts, "<i8" if wide else "<i4").astype(np.int64)
+        yield chunk.as_py(), lang.as_py(), skip.as_py(), w, f
 
 
-def _id_batch(batch, i: int, words: bytes, firsts: bytes | None):
+def _id_batch(batch, i: int, words: np.ndarray, firsts: np.ndarray | None):
     """One row, so that no batch holds many chunks."""
     kept = [batch.column(c).slice(i, 1) for c in ("chunk", "lang", "skip")]
-    return pa.RecordBatch.from_arrays([*kept, pa.array([words], pa.binary()), pa.array([firsts], pa.binary())], ["chunk", "lang", "skip", "words", "firsts"])
+    if len(words) and int(words.max()) >> WORD_BITS:
+        raise ValueError("too many frequent words of one language")
+    first = None if firsts is None else _packed(firsts)
+    return pa.RecordBatch.from_arrays([*kept, pa.array([words.astype("<i4").tobytes()], pa.binary()), pa.array([first], pa.binary())], ["chunk", "lang", "skip", "words", "firsts"])
 
 
 def _word_ids(batches):
@@ -195,7 +207,7 @@ def _word_ids(batches):
             table = np.zeros(size + 1, np.int64)
             mine = slice(at[i], at[i + 1])
             table[place[mine] + 1] = ids[mine]
-            yield _id_batch(batch, i, table[_numbers(local, "<i4")].tobytes(), None)
+            yield _id_batch(batch, i, table[_numbers(local, "<i4")], None)
 
 
 def pair_code(first: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -383,7 +395,7 @@ def _next_firsts(longer: bool):
                     code = pair_code(f[place], w[place + 1])
                     hit = np.minimum(np.searchsorted(known, code), len(known) - 1)
                     new[place + 1] = np.where(known[hit] == code, name[hit], 0)
-                yield _id_batch(batch, i, w.tobytes(), new.tobytes())
+                yield _id_batch(batch, i, w, new)
 
     return run
 
@@ -419,9 +431,14 @@ def phrase_counts(
     of the last word); a (count); words; heads and tails (counts of all
     proper beginnings and ends, by the cut).
     """
-    spark = docs.sparkSession
     if max_words < 2 or least < 1:
         raise ValueError("phrases have two words or more, and stand at least once")
+    with arrow_batches(docs.sparkSession, "8m"):  # a chunk's row has some megabytes
+        return _phrase_counts(docs, least, max_words, lang_col, text_col, chunk_words)
+
+
+def _phrase_counts(docs: DataFrame, least: int, max_words: int, lang_col: str, text_col: str, chunk_words: int):
+    spark = docs.sparkSession
     chunks = cut_lineage(chunked(docs, lang_col, text_col, chunk_words, max_words - 1), "chunks")
     entry = F.posexplode(F.arrays_zip("words", "counts")).alias("place", "e")
     entries = chunks.select("chunk", "lang", entry).select("chunk", "lang", "place", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))

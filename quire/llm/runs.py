@@ -330,8 +330,8 @@ def looped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     a = g % n and p = 1 + (n - a) / (3 + g % 8).  Other texts, null ids and
     texts without words stay as they are.
 
-    Written without lambda functions: Spark does not evaluate a Python
-    function whose argument holds one.
+    Written without lambda functions over structs: Spark 4.1.2 did not evaluate
+    a Python function whose argument holds them.
     """
     h = F.crc32(col(id_col).cast("string").cast("binary"))
     words = F.array_remove(F.split(col(text_col), r"[\x20\x09-\x0D]+"), "")

@@ -129,7 +129,7 @@ def test_merging_in_steps(monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 50)
     rnd = np.random.default_rng(2)
     ids = rnd.integers(0, 40, (30, 80))
-    rows = [{"chunk": i, "lang": "en" if i % 3 else "fr", "skip": 0, "words": x.tobytes(), "firsts": x.tobytes()} for i, x in enumerate(ids)]
+    rows = [{"chunk": i, "lang": "en" if i % 3 else "fr", "skip": 0, "words": x.astype("<i4").tobytes(), "firsts": x.tobytes() if i % 2 else None} for i, x in enumerate(ids)]
     batches = [pa.RecordBatch.from_pylist(rows[i : i + 4]) for i in range(0, 30, 4)]
     sent = pa.Table.from_batches(phrases._partial(3, False)(batches)).sort_by([("lang", "ascending"), ("bucket", "ascending")])
     assert sent.num_rows > 20  # several partial counts a bucket
