@@ -275,6 +275,18 @@ def tiled(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*out, sparse]), np.concatenate([*counts, n])
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs."""
+    kinds = ("<u1", "<u2", "<u4", "<i8")
+    return counts.astype(next(k for k in kinds if int(counts.max()) <= np.iinfo(k).max)).tobytes()
+
+
+def _wide(cell: pa.Scalar, n: int) -> np.ndarray:
+    """The n counts that ``_narrow`` wrote."""
+    kind = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[len(cell.as_buffer()) // n]
+    return _numbers(cell, kind).astype(np.int64)
+
+
 def _partial(buckets: int, longer: bool):
     """Counted pairs of a task, cut into buckets by sub-tile."""
 
@@ -291,7 +303,7 @@ def _partial(buckets: int, longer: bool):
                     pa.array([lang] * len(spans), pa.string()),
                     pa.array(bucket[cut[:-1]].astype(np.int32), pa.int32()),
                     pa.array([code[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([count[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([_narrow(count[a:b]) for a, b in spans], pa.binary()),
                 ],
                 ["lang", "bucket", "codes", "counts"],
             )
@@ -313,7 +325,7 @@ def _partial(buckets: int, longer: bool):
     return run
 
 
-PAIR = "lang string, i long, j long, a long, h long"
+PAIR = "lang string, i long, j long, a long, code long, h long"
 
 
 def _merged(least: int):
@@ -323,8 +335,8 @@ def _merged(least: int):
         code, count = merge(codes, counts)
         code, count = code[count >= least], count[count >= least]
         first, word = pair_of(code)
-        columns = [pa.array([lang] * len(code), pa.string()), *(pa.array(x, pa.int64()) for x in (first, word, count, mixed(code).view(np.int64)))]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "i", "j", "a", "h"])
+        columns = [pa.array([lang] * len(code), pa.string()), *(pa.array(x, pa.int64()) for x in (first, word, count, code, mixed(code).view(np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "i", "j", "a", "code", "h"])
 
     def run(batches):
         now, codes, counts, size, after = None, [], [], 0, HELD
@@ -336,7 +348,7 @@ def _merged(least: int):
                         yield pairs(now[0], codes, counts)
                     now, codes, counts, size, after = (lang, bucket), [], [], 0, HELD
                 codes.append(_numbers(code))
-                counts.append(_numbers(count))
+                counts.append(_wide(count, len(codes[-1])))
                 size += len(codes[-1])
                 if size >= after:
                     code, count = merge(codes, counts)
@@ -348,7 +360,7 @@ def _merged(least: int):
 
 
 def frequent_pairs(ids: DataFrame, least: int, buckets: int, longer: bool) -> DataFrame:
-    """(lang, i, j, a, h) of the pairs of first words and next word that stand ``least`` times."""
+    """(lang, i, j, a, code, hash) of the pairs of first words and next word that stand ``least`` times."""
     sent = ids.mapInArrow(_partial(buckets, longer), "lang string, bucket int, codes binary, counts binary")
     parts = max(buckets, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return sent.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_merged(least), PAIR)
@@ -372,9 +384,8 @@ def _asked(held, longer: bool):
             for chunk, lang, _, words, firsts in _id_rows(batch):
                 code = np.unique(_codes(words, firsts, 0, longer))
                 code = code[has(held.value, mixed(code))]
-                first, word = pair_of(code)
-                columns = [pa.array([chunk] * len(code), pa.int64()), pa.array([lang] * len(code), pa.string()), *(pa.array(x, pa.int64()) for x in (first, word, code))]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "i", "j", "code"])
+                columns = [pa.array([chunk] * len(code), pa.int64()), pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "code"])
 
     return run
 
@@ -408,8 +419,8 @@ def gathered(rows: DataFrame, key: str) -> DataFrame:
 def longer_ids(ids: DataFrame, pairs: DataFrame, longer: bool) -> DataFrame:
     spark = ids.sparkSession
     bitmap = of_column(pairs, F.col("h"), bits_for(pairs.count()))
-    asked = ids.mapInArrow(_asked(spark.sparkContext.broadcast(bitmap), longer), "chunk long, lang string, i long, j long, code long")
-    found = gathered(asked.join(pairs.select("lang", "i", "j", "id"), ["lang", "i", "j"]), "code")
+    asked = ids.mapInArrow(_asked(spark.sparkContext.broadcast(bitmap), longer), "chunk long, lang string, code long")
+    found = gathered(asked.join(pairs.select("lang", "code", "id"), ["lang", "code"]), "code")
     return cut_lineage(ids.join(found, "chunk", "left").mapInArrow(_next_firsts(longer), IDS), "ids")
 
 
