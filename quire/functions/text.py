@@ -92,11 +92,6 @@ def ws_tokens(c) -> Column:
     return F.filter(F.split(_col(c), f"{WS}+"), lambda t: t != "")
 
 
-def first_line(c) -> Column:
-    """Text before the first newline (the stand-in summary)."""
-    return F.substring_index(_col(c), "\n", 1)
-
-
 def template_parts(template: str):
     """Split a ``str.format`` template into (literal, field) pairs on the driver."""
     parts = []

@@ -1,9 +1,8 @@
 """Row filters, column replacement and lexicon operators.
 
-Lexicon operators (stop words, synonyms) take the lexicon as a DataFrame.
-A lexicon small enough to broadcast (size checked) is applied inside the
-row with higher-order functions; a larger one goes through an
-explode -> join -> ordered re-collect plan that shuffles by document.
+Lexicon operators (stop words, synonyms) take a list or a table of any size.
+A table is joined with the distinct tokens of each row, and only the tokens
+that it holds come back to their row (``operators.lookup``).
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS
+from quire.operators import lookup as L
 
 # Fixed value: the boilerplate phrase of the original corpus ("click the
 # attachment link below"); documents containing it are dropped.
@@ -42,36 +41,26 @@ def content_id(*cols) -> Column:
     return F.md5(F.concat_ws("\x1f", *parts))
 
 
-def random_id(seed: int | None = None) -> Column:
-    """UUID4 per row, as the original; materialise before reuse."""
-    return F.uuid(seed) if seed is not None else F.uuid()
-
-
 def remove_stop_words(tokens: Column, stop_words: list[str]) -> Column:
     """Drop tokens found in the stop set; duplicates and order kept."""
     stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))]) if stop_words else F.array().cast("array<string>")
     return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
 
 
-def _over_tokens(df: DataFrame, key, tokens_col: str, lexicon: DataFrame, kept, out_col: str) -> DataFrame:
-    """Rebuild ``tokens_col`` from its places joined with a lexicon table (word,
-    value); ``kept(token, value)`` is the new token, null to drop it.  Places
-    are salted and the lexicon repeated, so a frequent word is no single task."""
-    from quire.operators.aggregate import ordered_collect
-    from quire.operators.tokens import places, salted
-
-    keys = [key] if isinstance(key, str) else list(key)
-    found = places(df, keys, F.col(tokens_col), "_token").join(salted(lexicon, _token="word", _value="value"), ["_token", "_salt"], "left")
-    found = found.withColumn("_token", kept(F.col("_token"), F.col("_value"))).where(F.col("_token").isNotNull())
-    out = ordered_collect(found, keys, "_pos", "_token", "_out")
-    joined = df.join(out, keys, "left").withColumn("_out", F.coalesce("_out", F.array().cast("array<string>")))
-    return joined.withColumn(out_col, F.col("_out")).drop("_out")
+def _token_values(df: DataFrame, tokens_col: str, lexicon: DataFrame) -> DataFrame:
+    """Adds ``_value``: per token its value in a lexicon table (word, value), or null."""
+    kept = df.columns
+    rows = L.numbered(df, L.coded(F.col(tokens_col)).alias("_coded"))
+    rows = L.hits(rows, F.col("_coded.words"), lexicon, "_hits")
+    return rows.select(*kept, L.per_token(F.col("_hits"), F.col("_coded.codes"), lexicon.schema["value"].dataType).alias("_value"))
 
 
 def remove_stop_words_df(df: DataFrame, key, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens") -> DataFrame:
-    """Stop-word removal against a lexicon table (column ``word``) of any size."""
+    """Stop-word removal against a lexicon table (column ``word``) of any size.
+    Rows are numbered, so ``key`` may repeat or be null."""
     words = lexicon.select("word").distinct().withColumn("value", F.lit(True))
-    return _over_tokens(df, key, tokens_col, words, lambda t, v: F.when(v.isNull(), t), out_col)
+    rows = _token_values(df, tokens_col, words)
+    return rows.withColumn(out_col, F.filter(tokens_col, lambda t, i: F.get(F.col("_value"), i).isNull())).drop("_value")
 
 
 def replace_synonyms(tokens: Column, synonyms: dict[str, str]) -> Column:
@@ -82,9 +71,7 @@ def replace_synonyms(tokens: Column, synonyms: dict[str, str]) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.element_at(m, t), t))
 
 
-def replace_synonyms_df(
-    df: DataFrame, key: str, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens"
-) -> DataFrame:
+def replace_synonyms_df(df: DataFrame, key, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens") -> DataFrame:
     """Synonym replacement with a lexicon table (``word``, ``synonym``).
 
     The lexicon is reduced to one synonym per word (the first by order of
@@ -92,16 +79,8 @@ def replace_synonyms_df(
     """
     lex = lexicon
     if "rank" in lex.columns:
-        lex = lex.groupBy("word").agg(F.min_by("synonym", "rank").alias("synonym"))
+        lex = lex.groupBy("word").agg(F.min_by("synonym", "rank").alias("value"))
     else:
-        lex = lex.groupBy("word").agg(F.min("synonym").alias("synonym"))
-    lex = lex.withColumnRenamed("synonym", "value")
-    return _over_tokens(df, key, tokens_col, lex, lambda t, v: F.coalesce(v, t), out_col)
-
-
-def join_tokens(tokens: Column, sep: str = " ") -> Column:
-    return F.array_join(tokens, sep)
-
-
-def split_ws(c: Column) -> Column:
-    return F.filter(F.split(c, f"{WS}+"), lambda t: t != "")
+        lex = lex.groupBy("word").agg(F.min("synonym").alias("value"))
+    rows = _token_values(df, tokens_col, lex)
+    return rows.withColumn(out_col, F.transform(tokens_col, lambda t, i: F.coalesce(F.get(F.col("_value"), i), t))).drop("_value")

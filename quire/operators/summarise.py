@@ -1,10 +1,9 @@
 """Folding chunk outputs back to one result per document.
 
-* ``rolling_steps``: the carry-forward fold (step i sees the output of
-  step i-1) inside the row, with ``aggregate`` over the ordered chunk array;
-  every step is kept.  A pluggable model runs through ``rolling_apply``
-  (``applyInPandas`` by document: a document's chunks come from one row,
-  so the group is bounded by the largest document).
+* ``rolling_apply``: the carry-forward fold (step i sees the output of step
+  i-1) with a pluggable model (``applyInPandas`` by document: a document's
+  chunks come from one row, so the group is bounded by the largest document).
+  The built-in extractive model folds inside the row, see ``operators.rank``.
 * ``map_outputs`` + ``ordered_concat``: each chunk on its own, then joined
   in chunk order.
 * ``run_ids``: runs of consecutive equal keys over a global order (the
@@ -21,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import bind, ws_tokens
-
 # Phrases that mark an output declining to summarise.
 REFUSAL_PHRASES = [
     "無法根據所提供的文章",
@@ -34,33 +31,6 @@ REFUSAL_PHRASES = [
 ]
 
 
-def lead(text: Column, n: int) -> Column:
-    """Extractive stand-in summariser: the first ``n`` whitespace tokens."""
-    return F.array_join(F.slice(ws_tokens(text), 1, n), " ")
-
-
-def rolling_steps(chunks: Column, n: int) -> Column:
-    """All step outputs of the carry-forward fold with the lead-n stand-in:
-    step 0 summarises chunk 0; step i appends the summary of chunk i to the
-    output of step i-1.
-
-    For this stand-in the fold has a closed form, step i = the first i+1
-    chunk summaries joined, so each chunk is summarised once and no step
-    array is copied per step.  Models whose step depends on the previous
-    output in any other way go through ``rolling_apply``.
-    """
-    return bind(
-        F.transform(chunks, lambda c: lead(c, n)),
-        lambda leads: F.transform(leads, lambda _x, i: F.array_join(F.slice(leads, 1, i + 1), " ")),
-    )
-
-
-def rolling_last(chunks: Column, n: int) -> Column:
-    """Final step of ``rolling_steps`` in O(chunks)."""
-    out = F.array_join(F.transform(chunks, lambda c: lead(c, n)), " ")
-    return F.when(F.size(chunks) > 0, out)
-
-
 def rolling_apply(
     chunk_rows: DataFrame, key: str, order_col: str, chunk_col: str, fn: Callable[[str], str]
 ) -> DataFrame:
@@ -88,10 +58,8 @@ def rolling_apply(
     return chunk_rows.select(key, order_col, chunk_col).groupBy(key).applyInPandas(run, schema)
 
 
-def map_outputs(texts: Column, fn: Callable[[list], list] | None = None, n: int = 16) -> Column:
-    """Each chunk summarised on its own: native lead-n, or a batched model hook."""
-    if fn is None:
-        return lead(texts, n)
+def map_outputs(texts: Column, fn: Callable[[list], list]) -> Column:
+    """Each chunk summarised on its own by a batched model hook."""
 
     @F.pandas_udf(T.StringType())
     def _run(s: pd.Series) -> pd.Series:

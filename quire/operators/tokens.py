@@ -1,25 +1,24 @@
 """Token records: vocabulary, encode/decode, padding, masks.
 
 The vocabulary is a table ``(token, id, n)`` of every token of the corpus.
-Encoding and decoding are joins with it: the tokens of a row are exploded with
-their places, joined, and collected again by the row's key.  A frequent token
-is spread over ``SALTS`` join keys, and the table is repeated for each, so no
-token is one task.
+Encoding and decoding are joins of each row's distinct tokens with it
+(``operators.lookup``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.operators.aggregate import blocked_row_number, ordered_collect
+from quire.operators import lookup as L
+from quire.operators.aggregate import blocked_row_number
 from quire.session import cut_lineage
 
 # Fixed ids of the special tokens (our vocabulary layout).
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 SPECIALS = ["[PAD]", "[UNK]", "[BOS]", "[EOS]"]
 IGNORE_INDEX = -100
-SALTS = 8
 
 
 def build_vocab(tokens_df: DataFrame, tokens_col: str) -> DataFrame:
@@ -36,15 +35,21 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str) -> DataFrame:
     return cut_lineage(ranked.select("token", (F.col("rn") - 1 + len(SPECIALS)).cast("int").alias("id"), "n"), "vocab")
 
 
-def salted(table: DataFrame, **names: str) -> DataFrame:
-    """Columns of a small side under new names, repeated for each value of ``_salt``."""
-    cols = [F.col(old).alias(new) for new, old in names.items()]
-    return table.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+def token_ids(rows: DataFrame, tokens: Column, vocab: DataFrame, out_col: str) -> DataFrame:
+    """Adds ``out_col``, one id per token; unknown tokens give ``UNK``."""
+    kept = rows.columns
+    rows = L.numbered(rows, L.coded(tokens).alias("_coded"))
+    rows = L.hits(rows, F.col("_coded.words"), vocab.select(F.col("token").alias("word"), F.col("id").alias("value")), "_hits")
+    ids = L.per_token(F.col("_hits"), F.col("_coded.codes"), T.IntegerType())
+    rows = rows.select(*kept, ids.alias(out_col))
+    return rows.withColumn(out_col, F.transform(out_col, lambda i: F.coalesce(i, F.lit(UNK))))
 
 
-def places(df: DataFrame, keys: list[str], items: Column, name: str) -> DataFrame:
-    """One row per item of an array: keys, ``_pos``, the item, and a salt by place."""
-    return df.select(*keys, F.posexplode(items).alias("_pos", name)).withColumn("_salt", F.col("_pos") % SALTS)
+def with_markers(ids: Column, add_special: bool = True, limit: int | None = None) -> Column:
+    """Ids between their markers, cut so that they fit ``limit`` with them."""
+    if limit is not None:
+        ids = F.slice(ids, 1, limit - 2 * add_special)
+    return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))) if add_special else ids
 
 
 def encode_df(
@@ -52,32 +57,32 @@ def encode_df(
 ) -> DataFrame:
     """Adds ``out_col``, the ids of ``tokens_col``; unknown tokens give ``UNK``.
 
-    ``key`` names the columns that are unique per row.  With ``limit`` the ids
-    are cut so that they fit it with both markers, which always stay.
+    ``key`` names the row columns that callers group by; rows are numbered, so
+    it may repeat or be null.  With ``limit`` the ids are cut so that they fit
+    it with both markers, which always stay.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    at = places(df, keys, F.col(tokens_col), "_token")
-    found = at.join(salted(vocab, _token="token", _id="id"), ["_token", "_salt"], "left")
-    ids = ordered_collect(found.withColumn("_id", F.coalesce("_id", F.lit(UNK))), keys, "_pos", "_id", out_col)
-    out = df.join(ids, keys, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
-    if limit is not None:
-        out = out.withColumn(out_col, F.slice(out_col, 1, limit - 2 * add_special))
-    if add_special:
-        out = out.withColumn(out_col, F.concat(F.array(F.lit(BOS)), F.col(out_col), F.array(F.lit(EOS))))
-    return out
+    out = token_ids(df, F.col(tokens_col), vocab, out_col)
+    return out.withColumn(out_col, with_markers(F.col(out_col), add_special, limit))
 
 
 def decode_df(df: DataFrame, key, ids_col: str, vocab: DataFrame, out_col: str = "text", skip_special: bool = True, sep: str = " ") -> DataFrame:
     """Adds ``out_col``, the tokens of ``ids_col`` joined by ``sep``; unknown ids
     show as ``[UNK]``, the other specials are left out."""
-    keys = [key] if isinstance(key, str) else list(key)
     ids = F.filter(ids_col, lambda i: (i >= len(SPECIALS)) | (i == UNK)) if skip_special else F.col(ids_col)
-    at = places(df, keys, ids, "_id")
-    special = F.try_element_at(F.array(*map(F.lit, SPECIALS)), F.col("_id") + 1)
-    found = at.join(salted(vocab, _token="token", _id="id"), ["_id", "_salt"], "left")
-    words = ordered_collect(found.withColumn("_token", F.coalesce("_token", special, F.lit(SPECIALS[UNK]))), keys, "_pos", "_token", "_words")
-    out = df.join(words, keys, "left")
-    return out.withColumn(out_col, F.coalesce(F.array_join("_words", sep), F.lit(""))).drop("_words")
+    kept = df.columns
+    rows = L.numbered(df, L.coded(F.transform(ids, lambda i: i.cast("string"))).alias("_coded"))
+    table = vocab.select(F.col("id").cast("string").alias("word"), F.col("token").alias("value"))
+    rows = L.hits(rows, F.col("_coded.words"), table, "_hits")
+    words = L.per_token(F.col("_hits"), F.col("_coded.codes"), T.StringType())
+    rows = rows.select(*kept, words.alias("_words"), F.col("_coded").alias("_coded"))
+    special = F.array(*map(F.lit, SPECIALS))
+
+    def shown(word, i):
+        n = F.get(F.col("_coded.words"), F.get(F.col("_coded.codes"), i)).cast("int")
+        return F.coalesce(word, F.when((n >= 0) & (n < len(SPECIALS)), F.get(special, n)), F.lit(SPECIALS[UNK]))
+
+    out = rows.withColumn(out_col, F.coalesce(F.array_join(F.transform("_words", shown), sep), F.lit("")))
+    return out.select(*kept, out_col)
 
 
 def pad_truncate(ids: Column, length: int, pad: int = PAD) -> Column:

@@ -13,6 +13,7 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +29,19 @@ def token_bucket(token: Column, dim: int) -> Column:
 def hash_counts(tokens: Column, dim: int) -> Column:
     """Bag-of-words feature hashing: ``array<int>`` of bucket counts.
 
-    The bucket array is the fold's input, so each token is hashed once.
+    Tokens are hashed on the JVM; an Arrow function counts the buckets of a
+    whole batch at once, in time linear in the tokens.
     """
-    buckets = F.transform(tokens, lambda t: token_bucket(t, dim).cast("int"))
-    zero = F.array_repeat(F.lit(0), dim)
-    return F.aggregate(
-        buckets, zero, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x))
-    )
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def counted(buckets: pa.Array) -> pa.Array:
+        n = len(buckets)
+        flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(n), buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        counts = np.bincount(row * dim + flat, minlength=n * dim).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(counts))
+
+    return counted(F.transform(tokens, lambda t: token_bucket(t, dim).cast("int")))
 
 
 def _bind(value: Column, fn) -> Column:

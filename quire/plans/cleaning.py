@@ -53,19 +53,12 @@ def dropna_subset(spark, sf_dir):
 
 @query(
     "clean_text",
-    sql=f"""
-SELECT doc_id, {d_clean('text')} AS text, {d_clean("split_part(text, chr(10), 1)")} AS summary
-FROM documents WHERE text IS NOT NULL
-""",
+    sql=f"SELECT doc_id, {d_clean('text')} AS text FROM documents WHERE text IS NOT NULL",
 )
 def clean_text(spark, sf_dir):
     """Whitespace collapse, punctuation removal, lower case, contractions."""
     d = K.dropna_subset(documents(spark, sf_dir), ["text"])
-    return d.select(
-        "doc_id",
-        X.clean_text(F.col("text")).alias("text"),
-        X.clean_text(X.first_line(F.col("text"))).alias("summary"),
-    )
+    return d.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -435,14 +428,14 @@ def augmented(spark, sf_dir):
     "metadata_lines",
     sql=f"""
 SELECT doc_id, {sql_lit('案件類型: ')} || coalesce(lang, 'None') || {sql_lit(chr(10) + '爭點: ')} || coalesce(source, 'None')
-       || chr(10) || split_part(text, chr(10), 1) AS page_content
+       || chr(10) || text AS page_content
 FROM documents
 """,
 )
 def metadata_lines(spark, sf_dir):
-    """Labelled metadata lines (null prints None) ahead of the summary."""
+    """Labelled metadata lines (null prints None) ahead of the text."""
     d = documents(spark, sf_dir)
-    return d.select("doc_id", F.concat(X.format_metadata(F.col("lang"), F.col("source")), X.first_line(F.col("text"))).alias("page_content"))
+    return d.select("doc_id", F.concat(X.format_metadata(F.col("lang"), F.col("source")), F.col("text")).alias("page_content"))
 
 
 def ws_token_count(text: str) -> int:

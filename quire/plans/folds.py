@@ -4,180 +4,152 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS_CLASS, explode_rows, first_line, ws_tokens
+from quire.functions.text import explode_rows, ws_tokens
 from quire.operators import chunk as C
+from quire.operators import rank as RK
 from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
 from quire.operators.prompt import FOLLOW_PROMPT, INIT_PROMPT
-from quire.plans.registry import ORACLES, d_template, d_tokens, query
+from quire.plans.ranking import OVL, WIN, d_ranked
+from quire.plans.registry import d_template, query
+from quire.session import cut_lineage
 from quire.sources.tables import conversations, documents
 
-WIN, OVL = 128, 32
-STRIDE = WIN - OVL
-LEAD = 16
 
+def texts(spark, sf_dir, *keep):
+    return documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", *keep, "text")
 
-def _d_lead(expr: str) -> str:
-    return f"array_to_string(list_slice({d_tokens(expr)}, 1, {LEAD}), ' ')"
 
-
-# DuckDB: chunk arrays per document (token windows of the raw text)
-_D_CHUNK_ARRAYS = f"""
-t AS (SELECT doc_id, split_part(text, chr(10), 1) AS summary, {d_tokens('text')} AS tok FROM documents WHERE text IS NOT NULL),
-n AS (SELECT *, CASE WHEN len(tok) = 0 THEN 0 WHEN len(tok) <= {WIN} THEN 1
-                 ELSE CAST(ceil((len(tok) - {WIN}) / {STRIDE}.0) AS BIGINT) + 1 END AS nw FROM t),
-ca AS (SELECT doc_id, summary, list_transform(CASE WHEN nw > 0 THEN generate_series(0, nw - 1) ELSE [] END,
-          lambda i: array_to_string(list_slice(tok, i * {STRIDE} + 1, i * {STRIDE} + {WIN}), ' ')) AS chunks FROM n),
-cr AS (SELECT doc_id, summary, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS chunk_no, unnest(chunks) AS chunk FROM ca)"""
-
-
-def chunk_arrays(spark, sf_dir):
-    d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
-    return d.select(
-        "doc_id",
-        "lang",
-        "source",
-        first_line(F.col("text")).alias("summary"),
-        C.window_texts(ws_tokens(F.col("text")), WIN, OVL).alias("chunks"),
-    )
+def outputs(spark, sf_dir, *keep, carry=True, chunks_col=None):
+    """(doc_id, *keep, outputs): the ranked sentences of every chunk of the whole texts."""
+    return RK.ranked_outputs(texts(spark, sf_dir, *keep), "text", WIN, OVL, carry=carry, chunks_col=chunks_col)
 
 
 def chunk_rows(spark, sf_dir):
-    ca = chunk_arrays(spark, sf_dir)
-    return explode_rows(ca, F.col("chunks"), ["doc_id", "summary"], ("chunk_no", "chunk"))
+    chunks = C.window_texts(ws_tokens(F.col("text")), WIN, OVL)
+    return explode_rows(texts(spark, sf_dir), chunks, ["doc_id"], ("chunk_no", "chunk"))
 
 
-@query(
-    "rolling_summary",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS}
-SELECT doc_id, chunk_no AS step,
-  array_to_string(list_transform(list_slice(chunks, 1, chunk_no + 1), lambda c: {_d_lead('c')}), ' ') AS output
-FROM (SELECT doc_id, chunks, chunk_no FROM ca JOIN cr USING (doc_id))
-""",
-)
+@query("rolling_summary", sql=f"{d_ranked(True, True)} SELECT doc_id, step, output FROM ranked")
 def rolling_summary(spark, sf_dir):
-    """Carry-forward fold over each document's chunks, every step kept."""
-    ca = chunk_arrays(spark, sf_dir)
-    steps = SM.rolling_steps(F.col("chunks"), LEAD)
-    return explode_rows(ca, steps, ["doc_id"], ("step", "output"))
+    """Each step ranks the sentences of the previous output and of the
+    next chunk and keeps the best; every step is returned."""
+    return explode_rows(outputs(spark, sf_dir), F.col("outputs"), ["doc_id"], ("step", "output"))
 
 
 def _stand_in_model(prompt: str) -> str:
-    """Toy model for the pluggable fold: first tokens of the document part."""
-    body = prompt.split("<DOCUMENT>", 1)[-1].rsplit("</DOCUMENT>", 1)[0]
-    return " ".join(body.split()[:LEAD])
+    """Model of the pluggable fold: ranks the sentences of the prompt's document
+    part, whose first paragraph is the previous output if there is one."""
+    body = prompt.split("<DOCUMENT>\n", 1)[-1].rsplit("\n</DOCUMENT>", 1)[0]
+    previous, blank, chunk = body.partition("\n\n")
+    return RK.summarise(previous, chunk) if blank else RK.summarise(None, body)
 
 
-def _d_first_tokens(upto: str) -> str:
-    """First LEAD tokens of chunks 0..upto joined (the toy model's output)."""
-    return (f"array_to_string(list_slice(flatten(list_transform(list_slice(chunks, 1, {upto} + 1), "
-            f"lambda c: {d_tokens('c')})), 1, {LEAD}), ' ')")
+_D_CHUNK_TEXT = "cr AS c JOIN ranked r ON r.doc_id = c.doc_id AND r.step = c.chunk_no"
 
 
 @query(
     "rolling_summary_udf",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS},
-s AS (SELECT doc_id, chunk_no, chunk, chunks FROM ca JOIN cr USING (doc_id))
-SELECT doc_id, chunk_no AS step,
-  CASE WHEN chunk_no = 0 THEN {d_template(INIT_PROMPT, document='chunk')}
-       ELSE {d_template(FOLLOW_PROMPT, summary=_d_first_tokens('chunk_no - 1'), document='chunk')} END AS prompt,
-  {_d_first_tokens('chunk_no')} AS output
-FROM s
+    sql=f"""{d_ranked(False, True)},
+b AS (SELECT c.doc_id, r.step, array_to_string(c.w, ' ') AS chunk, r.output, lag(r.output) OVER (PARTITION BY c.doc_id ORDER BY r.step) AS prev
+      FROM {_D_CHUNK_TEXT})
+SELECT doc_id, step,
+  CASE WHEN step = 0 THEN {d_template(INIT_PROMPT, document='chunk')}
+       ELSE {d_template(FOLLOW_PROMPT, summary='prev', document='chunk')} END AS prompt, output
+FROM b
 """,
 )
 def rolling_summary_udf(spark, sf_dir):
-    """K2 with a pluggable model: prompts (first / follow-up) built per step."""
-    rows = chunk_rows(spark, sf_dir)
-    return SM.rolling_apply(rows, "doc_id", "chunk_no", "chunk", _stand_in_model)
+    """K2 with a pluggable model: prompts (first / follow-up) built per step, the
+    previous output inside; the model ranks sentences without corpus counts."""
+    return SM.rolling_apply(chunk_rows(spark, sf_dir), "doc_id", "chunk_no", "chunk", _stand_in_model)
 
 
 @query(
     "map_combine_summary",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS}
-SELECT doc_id, string_agg({_d_lead('chunk')}, '' ORDER BY chunk_no) AS summary FROM cr GROUP BY doc_id
-""",
+    sql=f"{d_ranked(True, False)} SELECT doc_id, string_agg(output, '' ORDER BY step) AS summary FROM ranked GROUP BY doc_id",
 )
 def map_combine_summary(spark, sf_dir):
-    """K3/E2 by document: each chunk summarised alone, joined in chunk order."""
-    rows = chunk_rows(spark, sf_dir).withColumn("out", SM.map_outputs(F.col("chunk"), n=LEAD))
-    return ordered_concat(rows, "doc_id", "chunk_no", "out", "", "summary")
+    """K3/E2 by document: each chunk summarised alone, joined in chunk order
+    inside the row."""
+    out = outputs(spark, sf_dir, carry=False).where(F.size("outputs") > 0)
+    return out.select("doc_id", F.array_join("outputs", "").alias("summary"))
+
+
+def _model_batch(chunks):
+    """Batched model of the map hook."""
+    return [None if c is None else RK.summarise(None, c) for c in chunks]
 
 
 @query(
-    "last_summary",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS}
-SELECT doc_id, CASE WHEN len(chunks) = 0 THEN NULL
-  ELSE array_to_string(list_transform(chunks, lambda c: {_d_lead('c')}), ' ') END AS summary FROM ca
-""",
+    "map_combine_udf",
+    sql=f"{d_ranked(False, False)} SELECT doc_id, string_agg(output, '' ORDER BY step) AS summary FROM ranked GROUP BY doc_id",
 )
+def map_combine_udf(spark, sf_dir):
+    """K3/M2 with a pluggable batched model (Arrow ``pandas_udf``) per chunk,
+    then the ordered combine by document."""
+    rows = chunk_rows(spark, sf_dir).withColumn("out", SM.map_outputs(F.col("chunk"), _model_batch))
+    return ordered_concat(rows, "doc_id", "chunk_no", "out", "", "summary")
+
+
+_D_LAST = f"""{d_ranked(True, True)},
+la AS (SELECT doc_id, max_by(output, step) AS summary FROM ranked GROUP BY doc_id)"""
+
+
+@query("last_summary", sql=f"{_D_LAST} SELECT tk.doc_id, la.summary FROM tk LEFT JOIN la USING (doc_id)")
 def last_summary(spark, sf_dir):
     """The final step of each document's fold (null without chunks)."""
-    ca = chunk_arrays(spark, sf_dir)
-    return ca.select("doc_id", SM.rolling_last(F.col("chunks"), LEAD).alias("summary"))
+    return outputs(spark, sf_dir).select("doc_id", SM.last_output(F.col("outputs")).alias("summary"))
 
 
 @query(
     "attach_results",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS},
-r AS (SELECT doc_id, CASE WHEN len(chunks) = 0 THEN NULL
-        ELSE array_to_string(list_transform(chunks, lambda c: {_d_lead('c')}), ' ') END AS summary FROM ca)
-SELECT d.doc_id, d.lang, d.source, r.summary FROM documents d JOIN r USING (doc_id)
-""",
+    sql=f"{_D_LAST} SELECT d.doc_id, d.lang, d.source, la.summary FROM documents d LEFT JOIN la USING (doc_id) WHERE d.text IS NOT NULL",
 )
 def attach_results(spark, sf_dir):
     """Replace the summary column of the document table by the final
     fold output, matched by key; a document without a result row fails."""
     res = last_summary(spark, sf_dir).withColumn("_hit", F.lit(True))
-    d = documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", "lang", "source")
-    j = d.join(res, "doc_id", "left")
+    j = texts(spark, sf_dir, "lang", "source").drop("text").join(res, "doc_id", "left")
     checked = F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("no result for document "), F.col("doc_id").cast("string"))))
     return j.select("doc_id", "lang", "source", F.coalesce(checked.cast("string"), F.col("summary")).alias("summary"))
 
 
+RUN_PART = 256  # documents whose outputs one row of a run holds at most
+
+
 @query(
     "run_concat",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS},
-dd AS (SELECT doc_id, summary FROM ca WHERE len(chunks) > 0),
-fl AS (SELECT doc_id, summary, coalesce(lag(summary) OVER (ORDER BY doc_id) IS DISTINCT FROM summary, true) AS st FROM dd),
-rs AS (SELECT doc_id, summary, max(CASE WHEN st THEN doc_id END) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run_start FROM fl)
-SELECT rs.run_start, CAST(count(DISTINCT rs.doc_id) AS BIGINT) AS n_docs, min(rs.summary) AS summary,
-  string_agg({_d_lead('cr.chunk')}, '' ORDER BY cr.doc_id, cr.chunk_no) AS text
-FROM rs JOIN cr USING (doc_id) GROUP BY rs.run_start
+    sql=f"""{d_ranked(True, False)},
+o AS (SELECT doc_id, string_agg(output, '' ORDER BY step) AS out FROM ranked GROUP BY doc_id),
+dd AS (SELECT doc_id, d.lang FROM documents d JOIN o USING (doc_id)),
+fl AS (SELECT doc_id, lang, coalesce(lag(lang) OVER (ORDER BY doc_id) IS DISTINCT FROM lang, true) AS st FROM dd),
+rs AS (SELECT doc_id, lang, max(CASE WHEN st THEN doc_id END) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run_start FROM fl)
+SELECT run_start, doc_id // {RUN_PART} AS part, CAST(count(*) AS BIGINT) AS n_docs, min(lang) AS lang, string_agg(o.out, '' ORDER BY doc_id) AS text
+FROM rs JOIN o USING (doc_id) GROUP BY 1, 2
 """,
 )
 def run_concat(spark, sf_dir):
-    """E2/F1 positional form: outputs concatenated while consecutive chunk rows
-    share a summary, so neighbouring documents with equal summaries merge."""
-    rows = chunk_rows(spark, sf_dir).withColumn("out", SM.map_outputs(F.col("chunk"), n=LEAD))
-    # documents that produce at least one chunk, straight from the table
-    d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
-    # "has a token" = has a non-whitespace character: one regex find, no split
-    docs = d.filter(F.col("text").rlike(f"[^{WS_CLASS}]")).select("doc_id", first_line(F.col("text")).alias("summary"))
-    runs = SM.run_ids(docs, "doc_id", "summary")
-    r = rows.join(runs.select("doc_id", "run_start"), "doc_id")
-    # text, document count and summary of each run in one two-level pass
-    extras = {
-        "n_docs": (F.sum(F.when(F.col("chunk_no") == 0, 1).otherwise(0)).cast("bigint"), F.sum),
-        "summary": (F.min("summary"), F.min),
-    }
-    out = ordered_concat(r, "run_start", ["doc_id", "chunk_no"], "out", "", "text", extras=extras)
-    return out.select("run_start", F.col("n_docs").cast("bigint").alias("n_docs"), "summary", "text")
+    """E2/F1 positional form: outputs concatenated while consecutive documents
+    share a key (here the language).  A run may be as long as the table, so
+    its text comes in parts of at most ``RUN_PART`` ids, in order."""
+    out = outputs(spark, sf_dir, "lang", carry=False).where(F.size("outputs") > 0)
+    out = cut_lineage(out.select("doc_id", "lang", F.array_join("outputs", "").alias("out")), "outputs")
+    runs = SM.run_ids(out, "doc_id", "lang").select("doc_id", "run_start")
+    part = F.expr(f"doc_id div {RUN_PART}").alias("part")
+    r = out.join(runs, "doc_id").select("run_start", part, "doc_id", "lang", "out")
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", "out")))  # at most RUN_PART of them
+    text = F.array_join(F.transform(rows, lambda x: x["out"]), "")
+    return r.groupBy("run_start", "part").agg(F.count("*").alias("n_docs"), F.min("lang").alias("lang"), text.alias("text"))
 
 
 @query(
     "ordered_distinct",
-    sql="SELECT split_part(text, chr(10), 1) AS summary, min(doc_id) AS first_pos FROM documents GROUP BY 1",
+    sql="SELECT text, min(doc_id) AS first_pos FROM documents GROUP BY 1",
 )
 def ordered_distinct(spark, sf_dir):
-    """Distinct summaries with the position of their first appearance."""
-    d = documents(spark, sf_dir)
-    return d.groupBy(first_line(F.col("text")).alias("summary")).agg(F.min("doc_id").alias("first_pos"))
+    """Distinct texts with the position of their first appearance."""
+    return documents(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("first_pos"))
 
 
 @query(
@@ -226,16 +198,3 @@ def refusal_rate(spark, sf_dir):
         F.sum(F.col("refused").cast("bigint")).alias("n_refused"),
         F.round(F.avg(F.col("refused").cast("double")), 6).alias("refusal_rate"),
     )
-
-
-def _stand_in_batch(texts):
-    """Toy batched model for the map hook: the first LEAD tokens of each text."""
-    return [None if t is None else " ".join(t.split()[:LEAD]) for t in texts]
-
-
-@query("map_combine_udf", sql=ORACLES["map_combine_summary"])
-def map_combine_udf(spark, sf_dir):
-    """K3/M2 with a pluggable batched model (Arrow ``pandas_udf``) per chunk,
-    then the ordered combine by document."""
-    rows = chunk_rows(spark, sf_dir).withColumn("out", SM.map_outputs(F.col("chunk"), fn=_stand_in_batch))
-    return ordered_concat(rows, "doc_id", "chunk_no", "out", "", "summary")

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_text, explode_rows, first_line, ws_tokens
+from quire.functions.text import clean_text, explode_rows, ws_tokens
 from quire.operators import clean as K
-from quire.operators import summarise as SM
-from quire.operators import vector as V
-from quire.plans.folds import LEAD, _D_CHUNK_ARRAYS, _d_lead, chunk_arrays
+from quire.plans.folds import outputs
+from quire.plans.ranking import d_ranked
 from quire.plans.registry import d_clean, d_tokens, query
 from quire.session import scratch_path
 from quire.sources import io as IO
-from quire.sources.tables import documents
+from quire.sources.tables import documents, embeddings
 
 BOILERPLATE = "Licensed under the"
 
@@ -20,42 +19,40 @@ BOILERPLATE = "Licensed under the"
 @query(
     "parquet_roundtrip",
     sql=f"""
-SELECT doc_id, md5(concat_ws(chr(31), text, split_part(text, chr(10), 1))) AS id,
-       split_part(text, chr(10), 1) AS summary
+SELECT doc_id, md5(concat_ws(chr(31), text, source)) AS id, md5(text) AS digest
 FROM documents WHERE text IS NOT NULL AND NOT contains(text, '{BOILERPLATE}')
 """,
 )
 def parquet_roundtrip(spark, sf_dir):
     """Filter, project, content id, write, read back."""
-    d = K.drop_boilerplate(documents(spark, sf_dir), "text", BOILERPLATE)
-    d = d.select("doc_id", "text", first_line(F.col("text")).alias("summary"))
-    d = d.withColumn("id", K.content_id("text", "summary"))
+    d = K.drop_boilerplate(documents(spark, sf_dir), "text", BOILERPLATE).select("doc_id", "text", "source")
+    d = d.withColumn("id", K.content_id("text", "source"))
     path = scratch_path(spark, "preprocessed")
     IO.write_parquet(d, path)
-    back = IO.read_parquet(spark, path, "doc_id long, text string, summary string, id string")
-    return back.select("doc_id", "id", "summary")
+    back = IO.read_parquet(spark, path, "doc_id long, text string, source string, id string")
+    return back.select("doc_id", "id", F.md5("text").alias("digest"))
 
 
 @query(
     "jsonl_roundtrip",
-    sql=f"""
-SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS page_content, text, lang, source,
-  CAST(NULL AS VARCHAR) AS issue,
-  CAST(CASE WHEN len({d_tokens(d_clean("split_part(text, chr(10), 1)"))}) = 0 THEN NULL ELSE 64 END AS INTEGER) AS dim
-FROM documents
+    sql="""
+SELECT CAST(vec_id AS VARCHAR) AS id, d.text AS page_content, d.lang, d.source, CAST(NULL AS VARCHAR) AS issue,
+  CAST(len(embedding) AS INTEGER) AS dim
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
 """,
 )
 def jsonl_roundtrip(spark, sf_dir):
-    """Nested vector points to JSON Lines and back (explicit schema)."""
-    d = documents(spark, sf_dir)
-    summary = first_line(F.col("text"))
-    pts = d.select(
-        F.col("doc_id").cast("string").alias("id"),
-        V.hash_embed(ws_tokens(clean_text(summary)), 64).cast("array<float>").alias("vector"),
+    """Nested vector points to JSON Lines and back (explicit schema):
+    stored vectors with the whole text of their document as payload."""
+    d = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    pts = e.join(d, e.vec_id == d.doc_id, "left").select(
+        F.col("vec_id").cast("string").alias("id"),
+        F.col("embedding").cast("array<float>").alias("vector"),
         F.struct(
-            summary.alias("page_content"),
+            F.col("text").alias("page_content"),
             F.struct(
-                F.col("text").alias("text"),
+                F.lit(None).cast("string").alias("text"),
                 F.col("lang").alias("lang"),
                 F.col("source").alias("source"),
                 F.lit(None).cast("string").alias("issue"),
@@ -68,7 +65,6 @@ def jsonl_roundtrip(spark, sf_dir):
     return back.select(
         "id",
         F.col("payload.page_content").alias("page_content"),
-        F.col("payload.metadata.text").alias("text"),
         F.col("payload.metadata.lang").alias("lang"),
         F.col("payload.metadata.source").alias("source"),
         F.col("payload.metadata.issue").alias("issue"),
@@ -85,20 +81,11 @@ def csv_roundtrip(spark, sf_dir):
     return IO.read_csv(spark, path, "doc_id long, lang string, text string")
 
 
-@query(
-    "results_roundtrip",
-    sql=f"""
-WITH {_D_CHUNK_ARRAYS}
-SELECT doc_id, chunk_no AS step,
-  array_to_string(list_transform(list_slice(chunks, 1, chunk_no + 1), lambda c: {_d_lead('c')}), ' ') AS output
-FROM (SELECT doc_id, chunks, chunk_no FROM ca JOIN cr USING (doc_id))
-""",
-)
+@query("results_roundtrip", sql=f"{d_ranked(True, True)} SELECT doc_id, step, output FROM ranked")
 def results_roundtrip(spark, sf_dir):
     """Every fold step written as keyed JSON (one line per document)
     and read back into (doc_id, step, output) rows."""
-    ca = chunk_arrays(spark, sf_dir)
-    res = ca.select("doc_id", SM.rolling_steps(F.col("chunks"), LEAD).alias("steps"))
+    res = outputs(spark, sf_dir).select("doc_id", F.col("outputs").alias("steps"))
     path = scratch_path(spark, "results")
     IO.write_jsonl(res, path)
     back = IO.read_jsonl(spark, path, "doc_id long, steps array<string>")

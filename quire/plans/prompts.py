@@ -4,65 +4,72 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_text, first_line, ws_tokens
+from quire.functions.text import clean_text, explode_rows, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import prompt as P
 from quire.operators import tokens as TK
+from quire.plans.folds import outputs
+from quire.plans.ranking import d_ranked
 from quire.plans.registry import d_clean, d_template, d_tokens, query, sql_lit
 from quire.sources.tables import conversations, documents
 
-WIN, OVL = 128, 32
-STRIDE = WIN - OVL
 PREFIX = "summary: "
-LEAD = 16  # tokens kept by the extractive stand-in summariser
+PAIR_WIN, PAIR_OVL = 64, 16  # windows of the long side of a pair
+PAIR_STRIDE = PAIR_WIN - PAIR_OVL
 
 
 def _d_turn(role: str, content: str) -> str:
     return d_template(P.DEFAULT_TURN_TEMPLATE, role=role, content=content)
 
 
-def _d_windows(text_expr: str, extra: str = "", extra_name: str = "") -> str:
-    """DuckDB rows (doc_id[, extra], chunk_no, chunk) of token windows."""
-    keep = f", {extra_name}" if extra_name else ""
-    src = f", {extra} AS {extra_name}" if extra_name else ""
+def pairs(spark, sf_dir, cleaned: bool = False):
+    """(conv_id, turn, text, summary): an assistant turn as the document, the
+    user turn before it as its summary."""
+    cv = conversations(spark, sf_dir)
+    side = (lambda c: clean_text(c)) if cleaned else (lambda c: c)
+    text = cv.where("role = 'assistant'").select("conv_id", "turn", side(F.col("text")).alias("text"))
+    summary = cv.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), side(F.col("text")).alias("summary"))
+    return text.join(summary, ["conv_id", "turn"])
+
+
+def _d_pairs(side=lambda c: c) -> str:
+    return (f"SELECT a.conv_id, a.turn, {side('a.text')} AS text, {side('u.text')} AS summary FROM conversations a "
+            "JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant'")
+
+
+def _d_pair_windows(src: str) -> str:
+    """DuckDB rows (conv_id, turn, summary, chunk_no, chunk) of the windows of ``src``."""
     return f"""
-(SELECT doc_id{keep}, CAST(i AS INTEGER) AS chunk_no,
-        array_to_string(list_slice(tok, i * {STRIDE} + 1, i * {STRIDE} + {WIN}), ' ') AS chunk
+(SELECT conv_id, turn, summary, CAST(i AS INTEGER) AS chunk_no,
+        array_to_string(list_slice(tok, i * {PAIR_STRIDE} + 1, i * {PAIR_STRIDE} + {PAIR_WIN}), ' ') AS chunk
  FROM (SELECT *, unnest(generate_series(0, nw - 1)) AS i FROM (
-   SELECT doc_id{keep}, tok,
-     CASE WHEN len(tok) = 0 THEN 0 WHEN len(tok) <= {WIN} THEN 1
-          ELSE CAST(ceil((len(tok) - {WIN}) / {STRIDE}.0) AS BIGINT) + 1 END AS nw
-   FROM (SELECT doc_id{src}, {d_tokens(text_expr)} AS tok FROM documents WHERE text IS NOT NULL))
-   WHERE nw > 0))
+   SELECT *, CASE WHEN len(tok) = 0 THEN 0 WHEN len(tok) <= {PAIR_WIN} THEN 1
+          ELSE CAST(ceil((len(tok) - {PAIR_WIN}) / {PAIR_STRIDE}.0) AS BIGINT) + 1 END AS nw
+   FROM (SELECT *, {d_tokens('text')} AS tok FROM ({src}))) WHERE nw > 0))
 """
 
 
-def chunk_rows(spark, sf_dir, cleaned: bool = False):
-    """(doc_id, summary, chunk_no, chunk): windows of the text, summary = first line."""
-    d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
-    text = clean_text(F.col("text")) if cleaned else F.col("text")
-    summ = clean_text(first_line(F.col("text"))) if cleaned else first_line(F.col("text"))
-    d = d.select("doc_id", text.alias("text"), summ.alias("summary"))
-    return C.token_chunks(d, "text", WIN, OVL, keep=["doc_id", "summary"]).select(
-        "doc_id", "summary", "chunk_no", "chunk"
-    )
+def pair_chunks(spark, sf_dir, cleaned: bool = False):
+    """(conv_id, turn, summary, chunk_no, chunk): windows of the pairs' documents."""
+    keep = ["conv_id", "turn", "summary"]
+    return C.token_chunks(pairs(spark, sf_dir, cleaned), "text", PAIR_WIN, PAIR_OVL, keep=keep).select(*keep, "chunk_no", "chunk")
 
 
 _SFT_SQL = f"""
-SELECT doc_id, chunk_no,
+SELECT conv_id, turn, chunk_no,
   {_d_turn("'system'", sql_lit(P.SYSTEM_PROMPT))} ||
   {_d_turn("'user'", d_template(P.INIT_PROMPT, document='chunk'))} ||
   {_d_turn("'assistant'", 'summary')} AS text
-FROM {_d_windows('text', "split_part(text, chr(10), 1)", "summary")}
+FROM {_d_pair_windows(_d_pairs())}
 """
 
 
 @query("sft_chat", sql=_SFT_SQL)
 def sft_chat(spark, sf_dir):
     """Chunk + summary -> three-message chat -> rendered training text."""
-    ch = chunk_rows(spark, sf_dir)
+    ch = pair_chunks(spark, sf_dir)
     chat = P.format_chat(F.col("chunk"), F.col("summary"))
-    return ch.select("doc_id", "chunk_no", P.render_chat(chat).alias("text"))
+    return ch.select("conv_id", "turn", "chunk_no", P.render_chat(chat).alias("text"))
 
 
 @query(
@@ -80,41 +87,32 @@ def chat_render(spark, sf_dir):
     return out.select("conv_id", "text", F.col("n_turns").cast("bigint").alias("n_turns"))
 
 
-def _lead(col, n=LEAD):
-    return F.array_join(F.slice(ws_tokens(col), 1, n), " ")
-
-
 @query(
     "prompt_first_follow",
-    sql=f"""
-WITH c AS {_d_windows('text')},
-o AS (SELECT doc_id, chunk_no, array_to_string(list_slice({d_tokens('chunk')}, 1, {LEAD}), ' ') AS output FROM c)
-SELECT c.doc_id, c.chunk_no,
-  CASE WHEN c.chunk_no = 0 THEN {d_template(P.INIT_PROMPT, document='c.chunk')}
-       ELSE {d_template(P.FOLLOW_PROMPT, summary="coalesce(o.output, '')", document='c.chunk')} END AS prompt
-FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND o.chunk_no = c.chunk_no - 1
+    sql=f"""{d_ranked(True, True)},
+b AS (SELECT c.doc_id, c.chunk_no, array_to_string(c.w, ' ') AS chunk, lag(r.output) OVER (PARTITION BY c.doc_id ORDER BY r.step) AS prev
+      FROM cr c JOIN ranked r ON r.doc_id = c.doc_id AND r.step = c.chunk_no)
+SELECT doc_id, chunk_no,
+  CASE WHEN chunk_no = 0 THEN {d_template(P.INIT_PROMPT, document='chunk')}
+       ELSE {d_template(P.FOLLOW_PROMPT, summary='prev', document='chunk')} END AS prompt
+FROM b
 """,
 )
 def prompt_first_follow(spark, sf_dir):
     """Step 0 prompts the chunk; later steps the previous step's output first.
 
-    Previous outputs (here the extractive stand-in of each chunk) are
-    attached by an equi-join on (doc_id, chunk_no - 1): no window, no
-    per-document gathering.
+    A row holds its chunks and its outputs side by side, so the previous
+    output is the array's element before: no window, no join.
     """
-    ch = chunk_rows(spark, sf_dir).select("doc_id", "chunk_no", "chunk")
-    out = ch.select(
-        "doc_id", (F.col("chunk_no") + 1).alias("chunk_no"), _lead(F.col("chunk")).alias("output")
-    )
-    j = ch.join(out, ["doc_id", "chunk_no"], "left")
-    return j.select(
-        "doc_id", "chunk_no", P.first_or_follow_prompt(F.col("chunk"), F.col("chunk_no"), F.col("output")).alias("prompt")
-    )
+    out = outputs(spark, sf_dir, chunks_col="chunks")
+    steps = F.transform("chunks", lambda c, i: F.struct(c.alias("chunk"), F.get(F.col("outputs"), i - 1).alias("prev")))
+    rows = explode_rows(out, steps, ["doc_id"], ("chunk_no", "s"))
+    return rows.select("doc_id", "chunk_no", P.first_or_follow_prompt(F.col("s.chunk"), F.col("chunk_no"), F.col("s.prev")).alias("prompt"))
 
 
 # ----------------------------------------------------------------- vocabulary
 
-_D_TOK = f"SELECT doc_id, {d_tokens(d_clean('text'))} AS tok, {d_tokens(d_clean('split_part(text, chr(10), 1)'))} AS stok FROM documents WHERE text IS NOT NULL"
+_D_TOK = f"SELECT doc_id, {d_tokens(d_clean('text'))} AS tok FROM documents WHERE text IS NOT NULL"
 _D_VOCAB = """
 cnt AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tok) AS t FROM tk) GROUP BY t),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, n FROM cnt)
@@ -141,11 +139,7 @@ def _d_pad(ids: str, n: int) -> str:
 
 def vocab_and_tokens(spark, sf_dir):
     d = documents(spark, sf_dir).filter(F.col("text").isNotNull())
-    tk = d.select(
-        "doc_id",
-        ws_tokens(clean_text(F.col("text"))).alias("tok"),
-        ws_tokens(clean_text(first_line(F.col("text")))).alias("stok"),
-    )
+    tk = d.select("doc_id", ws_tokens(clean_text(F.col("text"))).alias("tok"))
     return TK.build_vocab(tk, "tok"), tk
 
 
@@ -170,7 +164,7 @@ FROM x
 def encode_ids(spark, sf_dir):
     """I16: tokens -> ids by a join with the vocabulary (unknown -> [UNK])."""
     vocab, tk = vocab_and_tokens(spark, sf_dir)
-    e = TK.encode_df(tk.select("doc_id", "tok"), "doc_id", "tok", vocab)
+    e = TK.encode_df(tk, "doc_id", "tok", vocab)
     return e.select(
         "doc_id",
         TK.ids_text(F.col("ids")).alias("ids"),
@@ -186,7 +180,7 @@ def encode_ids(spark, sf_dir):
 def decode_ids(spark, sf_dir):
     """I16: ids -> text; the round trip restores the cleaned tokens."""
     vocab, tk = vocab_and_tokens(spark, sf_dir)
-    e = TK.encode_df(tk.select("doc_id", "tok"), "doc_id", "tok", vocab)
+    e = TK.encode_df(tk, "doc_id", "tok", vocab)
     return TK.decode_df(e.select("doc_id", "ids"), "doc_id", "ids", vocab).select("doc_id", "text")
 
 
@@ -202,7 +196,7 @@ FROM x
 def pad_mask(spark, sf_dir):
     """Ids cut to 512 with both markers kept, or padded, and the attention mask."""
     vocab, tk = vocab_and_tokens(spark, sf_dir)
-    e = TK.encode_df(tk.select("doc_id", "tok"), "doc_id", "tok", vocab, limit=512)
+    e = TK.encode_df(tk, "doc_id", "tok", vocab, limit=512)
     return e.select(
         "doc_id",
         TK.ids_text(TK.pad_truncate(F.col("ids"), 512)).alias("input_ids"),
@@ -211,40 +205,42 @@ def pad_mask(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    vocab, tk = vocab_and_tokens(spark, sf_dir)
-    e = TK.encode_df(tk.select("doc_id", "stok"), "doc_id", "stok", vocab, limit=128)
-    return e.select("doc_id", TK.mask_labels(TK.pad_truncate(F.col("ids"), 128)).alias("labels"))
+    vocab, _ = vocab_and_tokens(spark, sf_dir)
+    x = pairs(spark, sf_dir, cleaned=True).select("conv_id", "turn", ws_tokens(F.col("summary")).alias("stok"))
+    e = TK.encode_df(x, ["conv_id", "turn"], "stok", vocab, limit=128)
+    return e.select("conv_id", "turn", TK.mask_labels(TK.pad_truncate(F.col("ids"), 128)).alias("labels"))
 
 
-_D_LABELS = f"WITH tk AS ({_D_TOK}), {_D_VOCAB}, {_d_ids('x', 'tk', 'doc_id', 'stok', 128)}, l AS (SELECT doc_id, {_d_pad('ids', 128)} AS labels FROM x)"
+_D_LABELS = f"""WITH tk AS ({_D_TOK}), {_D_VOCAB},
+sp AS (SELECT conv_id, turn, {d_tokens('summary')} AS stok FROM ({_d_pairs(d_clean)})),
+{_d_ids('x', 'sp', 'conv_id, turn', 'stok', 128)}, l AS (SELECT conv_id, turn, {_d_pad('ids', 128)} AS labels FROM x)"""
 
 
 @query(
     "label_mask",
-    sql=f"{_D_LABELS} SELECT doc_id, {_d_ids_text('list_transform(labels, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels FROM l",
+    sql=f"{_D_LABELS} SELECT conv_id, turn, {_d_ids_text('list_transform(labels, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels FROM l",
 )
 def label_mask(spark, sf_dir):
     """Summary ids padded to 128 with padding replaced by -100."""
-    return _labels(spark, sf_dir).select("doc_id", TK.ids_text(F.col("labels")).alias("labels"))
+    return _labels(spark, sf_dir).select("conv_id", "turn", TK.ids_text(F.col("labels")).alias("labels"))
 
 
-@query("label_unmask", sql=f"{_D_LABELS} SELECT doc_id, {_d_ids_text('labels')} AS labels FROM l")
+@query("label_unmask", sql=f"{_D_LABELS} SELECT conv_id, turn, {_d_ids_text('labels')} AS labels FROM l")
 def label_unmask(spark, sf_dir):
     """-100 back to the padding id (round trip of the label mask)."""
-    return _labels(spark, sf_dir).select("doc_id", TK.ids_text(TK.unmask_labels(F.col("labels"))).alias("labels"))
+    return _labels(spark, sf_dir).select("conv_id", "turn", TK.ids_text(TK.unmask_labels(F.col("labels"))).alias("labels"))
 
 
 @query(
     "seq2seq_pairs",
     sql=f"""
 WITH tk AS ({_D_TOK}), {_D_VOCAB},
-c AS (SELECT doc_id, chunk_no, {d_tokens(sql_lit(PREFIX) + ' || chunk')} AS itok,
-             {d_tokens(d_clean('summary'))} AS ltok
-      FROM {_d_windows(d_clean('text'), "split_part(text, chr(10), 1)", "summary")}),
-{_d_ids('i', 'c', 'doc_id, chunk_no', 'itok', WIN)}, {_d_ids('l', 'c', 'doc_id, chunk_no', 'ltok', WIN)}
-SELECT doc_id, chunk_no, {_d_ids_text('i.ids')} AS input_ids, {_d_ids_text('l.ids')} AS labels,
-  len(itok) + 2 > {WIN} AS was_truncated
-FROM c JOIN i USING (doc_id, chunk_no) JOIN l USING (doc_id, chunk_no)
+c AS (SELECT conv_id, turn, chunk_no, {d_tokens(sql_lit(PREFIX) + ' || chunk')} AS itok, {d_tokens('summary')} AS ltok
+      FROM {_d_pair_windows(_d_pairs(d_clean))}),
+{_d_ids('i', 'c', 'conv_id, turn, chunk_no', 'itok', PAIR_WIN)}, {_d_ids('l', 'c', 'conv_id, turn, chunk_no', 'ltok', PAIR_WIN)}
+SELECT conv_id, turn, chunk_no, {_d_ids_text('i.ids')} AS input_ids, {_d_ids_text('l.ids')} AS labels,
+  len(itok) + 2 > {PAIR_WIN} AS was_truncated
+FROM c JOIN i USING (conv_id, turn, chunk_no) JOIN l USING (conv_id, turn, chunk_no)
 """,
 )
 def seq2seq_pairs(spark, sf_dir):
@@ -252,18 +248,18 @@ def seq2seq_pairs(spark, sf_dir):
     with their markers kept.
 
     The prefix counts against the cut, so a full chunk loses its tail
-    (flagged by ``was_truncated``).
+    (flagged by ``was_truncated``).  Both sides are encoded in one pass.
     """
     vocab, _ = vocab_and_tokens(spark, sf_dir)
-    ch = chunk_rows(spark, sf_dir, cleaned=True)
+    ch = pair_chunks(spark, sf_dir, cleaned=True)
     itok = ws_tokens(F.concat(F.lit(PREFIX), F.col("chunk")))
-    x = ch.select("doc_id", "chunk_no", itok.alias("itok"), ws_tokens(F.col("summary")).alias("ltok"))
-    keys = ["doc_id", "chunk_no"]
-    x = TK.encode_df(x, keys, "itok", vocab, "input_ids", limit=WIN)
-    x = TK.encode_df(x, keys, "ltok", vocab, "label_ids", limit=WIN)
-    return x.select(
-        *keys,
-        TK.ids_text(F.col("input_ids")).alias("input_ids"),
-        TK.ids_text(F.col("label_ids")).alias("labels"),
-        (F.size("itok") + 2 > WIN).alias("was_truncated"),
+    x = ch.select("conv_id", "turn", "chunk_no", itok.alias("itok"), ws_tokens(F.col("summary")).alias("ltok"))
+    x = x.select("conv_id", "turn", "chunk_no", F.size("itok").alias("n"), F.concat("itok", "ltok").alias("tok"))
+    ids = TK.token_ids(x, F.col("tok"), vocab, "ids")
+    left, right = F.slice("ids", F.lit(1), F.col("n")), F.slice("ids", F.col("n") + 1, F.size("ids"))
+    return ids.select(
+        "conv_id", "turn", "chunk_no",
+        TK.ids_text(TK.with_markers(left, limit=PAIR_WIN)).alias("input_ids"),
+        TK.ids_text(TK.with_markers(right, limit=PAIR_WIN)).alias("labels"),
+        (F.col("n") + 2 > PAIR_WIN).alias("was_truncated"),
     )

@@ -11,7 +11,9 @@ from quire.functions.text import explode_rows, ws_tokens
 from quire.operators import chunk as C
 from quire.operators import prompt as P
 from quire.operators import vector as V
+from quire.operators.rank import summarise
 from quire.plans import chunking, folds, vectors
+from quire.plans.ranking import d_ranked
 from quire.plans.registry import ORACLES, query
 from quire.session import scratch_path
 from quire.streaming import jobs as J
@@ -31,10 +33,11 @@ def stream_rag(spark, sf_dir):
     """L1: question stream -> retrieve -> context -> prompt, per micro-batch."""
     sink = scratch_path(spark, "stream-rag-sink")
     questions = J.file_stream(spark, sf_dir, "benchmark").select("item_id", "text")
+    index = vectors.passage_index(spark, sf_dir)  # built and written once, read by every batch
 
     def per_batch(batch, batch_id):
         # the batch D5 + E7 plan, run on this micro-batch's questions
-        ctx = vectors._contexts(spark, sf_dir, questions=batch)
+        ctx = vectors._contexts(spark, sf_dir, questions=batch, index=index)
         asked = batch.select("item_id", "text").join(ctx, "item_id", "left")
         out = asked.select("item_id", P.rag_prompt(F.coalesce("context", F.lit("")), F.col("text")).alias("prompt"))
         # one directory per batch id: a replayed batch overwrites itself
@@ -44,19 +47,15 @@ def stream_rag(spark, sf_dir):
     return spark.read.schema("item_id long, prompt string").parquet(f"{sink}/batch=*")
 
 
-def _lead_step(prev, chunk):
-    head = " ".join(chunk.split()[: folds.LEAD])
-    return head if prev is None else prev + " " + head
-
-
-@query("stream_rolling_summary", sql=ORACLES["rolling_summary"])
+@query("stream_rolling_summary", sql=f"{d_ranked(False, True)} SELECT doc_id, step, output FROM ranked")
 def stream_rolling_summary(spark, sf_dir):
-    """L2: the carry-forward fold as a stateful stream keyed by document."""
+    """L2: the carry-forward fold as a stateful stream keyed by document; a
+    stream knows no corpus counts, so every word weighs 1."""
     docs = J.file_stream(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
     arr = docs.select("doc_id", C.window_texts(ws_tokens(F.col("text")), folds.WIN, folds.OVL).alias("chunks"))
     arr = arr.withColumn("n_chunks", F.size("chunks"))
     rows = explode_rows(arr, F.col("chunks"), ["doc_id", "n_chunks"], ("chunk_no", "chunk"))
-    out = J.rolling_stream(rows, _lead_step)
+    out = J.rolling_stream(rows, summarise)
     path = J.run_available(out, "stream-rolling")
     return spark.read.schema(J.ROLLING_OUTPUT).parquet(path)
 
@@ -69,7 +68,7 @@ def stream_upsert(spark, sf_dir):
     J.write_batch(vectors.points(spark, sf_dir), root, -1)
     delta = J.file_stream(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        V.hash_embed(vectors._summary_tokens(F.col("text")), vectors.DIM).alias("vector"),
+        V.hash_embed(vectors.text_tokens(F.col("text")), vectors.DIM).alias("vector"),
         F.lit("delta").alias("origin"),
         F.lit(1).alias("version"),
     )

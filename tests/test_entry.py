@@ -49,7 +49,7 @@ def test_small_queries_run(spark):
 
 def test_stream_equals_batch(spark):
     q = E.queries()
-    for stream, batch in [("stream_chunks", "token_windows"), ("stream_rolling_summary", "rolling_summary")]:
+    for stream, batch in [("stream_chunks", "token_windows"), ("stream_rolling_summary", "rolling_summary_udf")]:
         a = sorted(map(tuple, q[stream](spark, SF_SMALL).collect()))
         b = sorted(map(tuple, q[batch](spark, SF_SMALL).select(*q[stream](spark, SF_SMALL).columns).collect()))
         assert a == b, stream

@@ -93,12 +93,6 @@ def test_run_ids_across_blocks(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_rolling_steps_closed_form(spark):
-    df = spark.createDataFrame([(["a b c", "d e", "f"],), ([],)], "chunks array<string>")
-    out = [r.s for r in df.select(SM.rolling_steps(F.col("chunks"), 2).alias("s")).collect()]
-    assert out == [["a b", "a b d e", "a b d e f"], []]
-
-
 class _FakeState:
     def __init__(self):
         self.value, self.exists, self.hasTimedOut, self.ms = None, False, False, None
