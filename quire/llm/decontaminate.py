@@ -14,8 +14,8 @@ blocks of at most ``block_chars`` characters, and each block scans all
 documents in a narrow pass.  Nothing is shuffled but the matches.
 
 *Defined results.*  Null and empty texts and items match nothing.  Items
-shorter than ``least`` characters say too little to be found inside a text;
-they match a text that equals them.  Repeated items are matched once per
+shorter than ``least`` characters have no error budget and must stand between
+word boundaries: no letter or digit may touch them.  Repeated items are matched once per
 row; repeated and null document ids get rows of their own.  Empty tables
 give empty results.  Long texts are scanned whole.
 """
@@ -83,17 +83,16 @@ class Matcher:
     """The automaton and bit masks of one block of items."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float, least: int):
-        self.whole: dict[str, list[int]] = {}
+        self.short: set[int] = set()
         self.items, owners = [], {}
         for ident, text in items:
             item = normal(text)
             if not item:
                 continue
-            n, k = len(self.items), budget(len(item), rate)
+            n, k = len(self.items), budget(len(item), rate) if len(item) >= least else 0
             self.items.append((ident, item, k, masks(item)))
             if len(item) < least:
-                self.whole.setdefault(item, []).append(n)
-                continue
+                self.short.add(n)
             for at, piece in pieces(item, k):
                 owners.setdefault(piece, []).append((n, at))
         self.find = ahocorasick.Automaton()
@@ -106,8 +105,6 @@ class Matcher:
     def match(self, text: str | None):
         """(item number, distance, end) of the best match of each item that matches."""
         s = normal(text)
-        for n in self.whole.get(s, ()):
-            yield n, 0, len(s)
         if not self.any or not s:
             return
         starts: dict[int, set[int]] = {}
@@ -116,6 +113,11 @@ class Matcher:
                 starts.setdefault(n, set()).add(end + 1 - size - at)
         for n, where in sorted(starts.items()):
             _, item, k, peq = self.items[n]
+            if n in self.short:
+                ends = [a + len(item) for a in sorted(where) if not (s[a - 1 : a].isalnum() or s[a + len(item) : a + len(item) + 1].isalnum())]
+                if ends:
+                    yield n, 0, ends[0]
+                continue
             best = None
             for lo, hi in self._windows(sorted(where), len(item), k, len(s)):
                 exact = s.find(item, lo, hi)
@@ -223,12 +225,15 @@ def _is_clean(held):
     return clean
 
 
+MOST_BUILT = 8  # matchers that a Python worker holds
 _built: dict[int, tuple[object, Matcher]] = {}
 
 
 def _matcher(held) -> Matcher:
-    """The block's matcher, built once in a Python worker."""
+    """The block's matcher, built once in a Python worker; the oldest go first."""
     block = held.value
     if id(block) not in _built:
+        while len(_built) >= MOST_BUILT:
+            del _built[next(iter(_built))]
         _built[id(block)] = (block, Matcher(*block))  # holding the block keeps its id its own
     return _built[id(block)][1]

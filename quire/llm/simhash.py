@@ -49,6 +49,7 @@ from quire.session import cut_lineage
 
 BITS = 64
 SEED = 42
+SALTS = 16  # parts of a component that are named apart
 
 
 def _signed(x: int) -> int:
@@ -171,12 +172,14 @@ def simhash_groups(
     rows = cut_lineage(docs.select(col(id_col).alias("id"), simhash64(col(text_col), words).alias("fp")), "prints")
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "prints")
     comps = connected_components(near_edges(prints, radius, dense))
-    named = prints.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = cut_lineage(named, "groups")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = named.select("fp", "root").join(least, "root")
+    named = cut_lineage(prints.join(comps.withColumnRenamed("node", "fp"), "fp", "left"), "groups")
+    linked = named.where(F.col("root").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # a component may be large: its fingerprints meet its name in SALTS places
+    least = least.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    groups = linked.select("fp", "root", "_salt").join(least, ["root", "_salt"]).select("fp", "root", "component_id")
+    alone = named.where(F.col("root").isNull()).select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))
+    groups = groups.unionAll(alone)
     return rows.join(groups, "fp", "left").select(
         col("id").alias(id_col), "fp", "root", "component_id"
     )
@@ -191,19 +194,25 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, dense: int = 4096) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the smallest id.
+    """The rows of ``docs`` that stand for their group: one with the smallest id.
 
-    Rows without an id go if their group has an id, and otherwise the group
-    keeps one of them.  Of repeated rows one stays.
+    Rows of one id may hold different texts and so belong to several groups;
+    each group keeps a row of its own.  Rows without an id go if their group
+    has an id, and otherwise the group keeps one of them.  Of repeated rows
+    one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, words, radius, dense)
-    named = groups.where(F.col("component_id").isNotNull())
-    keep = named.where(col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_id")).distinct()
-    row, rank = fresh(docs, "_hash"), fresh(docs, "_id")
-    keep = keep.withColumnRenamed("_id", rank)
-    stay = docs.join(keep, col(id_col) == col(rank), "left_semi").dropDuplicates([id_col])
+    groups = cut_lineage(simhash_groups(docs, id_col, text_col, words, radius, dense).withColumnRenamed(id_col, "_id"), "groups")
+    row, rank, fp = fresh(docs, "_hash"), fresh(docs, "_id"), fresh(docs, "_fp")
+    first = F.min(F.struct("_id", "fp")).alias("k")
+    keep = groups.where(F.col("_id") == F.col("component_id")).groupBy("root").agg(first)
+    keep = keep.select(F.col("k._id").alias(rank), F.col("k.fp").alias(fp))
+    many = groups.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias(rank)).agg(F.count("*").alias("n")).where("n > 1").select(rank)
+    # an id of one row is found by its id; only texts of repeated ids are hashed again
+    once = keep.join(many, rank, "left_anti")
+    stay = docs.join(once, col(id_col) == col(rank), "left_semi")
+    again = docs.join(many, col(id_col) == col(rank), "left_semi").withColumn(row, simhash64(col(text_col), words))
+    again = again.join(keep, (col(id_col) == col(rank)) & (col(row) == col(fp)), "left_semi").dropDuplicates([id_col, row]).drop(row)
     none = docs.where(col(id_col).isNull()).withColumn(row, simhash64(col(text_col), words))
-    unnamed = groups.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("_first"))
-    unnamed = unnamed.select(F.col("_first").alias(rank))
+    unnamed = groups.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias(rank)).select(rank)
     alone = none.join(unnamed, col(row) == col(rank), "left_semi").dropDuplicates([row]).drop(row)
-    return stay.unionByName(alone)
+    return stay.unionByName(again).unionByName(alone)

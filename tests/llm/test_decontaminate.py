@@ -58,8 +58,7 @@ def test_query_equals_table_on_fixture(spark):
         (d, i) for d in docs for i in items if (d.doc_id, i.item_id) in got and got[d.doc_id, i.item_id]
     ]
     for d, i in sample:
-        s = texts[d.doc_id][:4000] if (d.doc_id, i.item_id) not in got else texts[d.doc_id]
-        want = distance(dc.normal(i.text), s)
+        want = distance(dc.normal(i.text), texts[d.doc_id])
         assert (want <= dc.budget(len(dc.normal(i.text)), 0.06)) == ((d.doc_id, i.item_id) in got)
 
 
@@ -72,9 +71,19 @@ def test_edge_rows(spark):
     )
     bench = spark.createDataFrame([(1, item, "q"), (2, None, "q"), (3, "", "q"), (4, " Short  ONE", "q"), (5, item, "q")], "item_id long, text string, doc_id string")
     rows = sorted((str(r.doc_id), r.item_id, r.distance) for r in dc.contaminated(docs, bench).collect())
-    assert rows == sorted([(d, i, int(d == "5")) for d in ("3", "3", "4", "5", "None") for i in (1, 5)] + [("6", 4, 0)])
+    assert rows == sorted([(d, i, int(d == "5")) for d in ("3", "3", "4", "5", "None") for i in (1, 5)] + [("6", 4, 0), ("7", 4, 0)])
     assert dc.contaminated(docs, bench, block_chars=10).count() == len(rows)
     clean = dc.drop_contaminated(docs, bench)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 7, 8]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 8]
     assert dc.contaminated(docs, bench.limit(0)).collect() == [] and dc.contaminated(docs.limit(0), bench).collect() == []
     assert dc.drop_contaminated(docs, bench.limit(0)).count() == 10
+
+
+def test_short_items_stand_between_word_boundaries():
+    matcher = dc.Matcher([(1, "fox"), (2, "Go!"), (3, "a b"), (4, "é"), (5, "nineteen characters")], 0.06, 20)
+    found = lambda t: {matcher.items[n][0]: end for n, _, end in matcher.match(t)}
+    assert found("The fox.") == {1: 7} and found("fox") == {1: 3} and found("foxes firefox fox1") == {}
+    assert found("ready, go! now") == {2: 10} and found("go!x") == {}
+    assert found("na b, a  b") == {3: 9} and found("é") == {4: 1} and found("née") == {}
+    assert found("x " * 50_000 + "nineteen characters") == {5: 100_019}
+    assert found("nineteen charakters") == {}

@@ -95,6 +95,22 @@ def test_edge_rows(spark):
     assert simhash_near_dedup(docs.limit(0)).collect() == [] and keep_one(docs.limit(0)).collect() == []
 
 
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = "alpha beta gamma delta epsilon", "one two three four five six", "quite another text of its own here"
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c), (1, b), (4, b), (None, a), (None, "no id and no copy anywhere")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit(0))
+    got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, "no id and no copy anywhere")], key=str)
+    hot = spark.range(3000).selectExpr("7L AS doc_id", "concat('text number ', id % 50, ' word', id % 50, ' more', id % 50) AS text")
+    kept = keep_one(hot)
+    assert {r.text for r in kept.collect()} and kept.select("doc_id").distinct().count() == 1
+    groups = simhash_near_dedup(hot.dropDuplicates(["text"])).select("fingerprint").distinct().count()
+    assert kept.count() <= groups  # one row a group, none of them lost
+    prints = {int(r.fingerprint, 16) for r in simhash_near_dedup(hot).collect()}
+    near = brute_groups({x: x for x in prints})
+    assert kept.count() == len(set(near.values()))
+
+
 def test_components_of_chains(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (5, 5), (None, 3), (3, 9)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
