@@ -81,3 +81,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` wrote, once all made from it is written.
+
+    Only folders directly inside the shared checkpoint folder go; ``df`` must
+    not be read again.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    root = root.getFileSystem(conf).makeQualified(root)
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path = path.getFileSystem(conf).makeQualified(path)
+        if path.getParent().equals(root):
+            path.getFileSystem(conf).delete(path, True)

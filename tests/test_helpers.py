@@ -80,3 +80,18 @@ def test_read_nested_results(spark, tmp_path):
     p.write_text(json.dumps([["s0", "s1"], [], ["t0"]], ensure_ascii=False))
     rows = sorted((r.doc_pos, r.step, r.output) for r in read_nested_results(spark, str(p)).collect())
     assert rows == [(0, 0, "s0"), (0, 1, "s1"), (2, 0, "t0")]
+
+
+def test_a_written_table_can_be_dropped(spark, tmp_path):
+    import os
+
+    from quire.session import cut_lineage, drop_written
+
+    df = cut_lineage(spark.range(5), "gone")
+    files = [f.split("file:", 1)[-1].lstrip("/") for f in df.inputFiles()]
+    assert files and all(os.path.exists("/" + f) for f in files)
+    drop_written(df)
+    assert not any(os.path.exists("/" + f) for f in files)
+    spark.range(3).write.parquet(f"{tmp_path}/kept")
+    drop_written(spark.read.parquet(f"{tmp_path}/kept"))  # not one of ours
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 3
