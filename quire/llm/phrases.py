@@ -55,13 +55,13 @@ from pyspark.sql import functions as F
 from quire.llm.bitmap import bits_for, has, of_column
 from quire.llm.common import UPPER, arrow_batches, col, text_bytes
 from quire.llm.prefix import running_sum
-from quire.session import cut_lineage
+from quire.session import cut_lineage, drop_written
 
 TILE = 10  # bits of an id inside a tile: 2^10 x 2^10 cells
 SUB = 12  # bits of a cell inside a sub-tile
 FIRST_BITS, WORD_BITS = 33, 30
 DENSE = 1 << (2 * TILE - 4)  # pairs of a tile from which it is counted densely
-HELD = 1 << 20  # codes that are held before they are merged
+HELD = 1 << 19  # codes that are held before they are merged
 WINDOW = 1 << 18  # bytes of text that are split at a time
 
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -421,7 +421,9 @@ def longer_ids(ids: DataFrame, pairs: DataFrame, longer: bool) -> DataFrame:
     bitmap = of_column(pairs, F.col("h"), bits_for(pairs.count()))
     asked = ids.mapInArrow(_asked(spark.sparkContext.broadcast(bitmap), longer), "chunk long, lang string, code long")
     found = gathered(asked.join(pairs.select("lang", "code", "id"), ["lang", "code"]), "code")
-    return cut_lineage(ids.join(found, "chunk", "left").mapInArrow(_next_firsts(longer), IDS), "ids")
+    out = cut_lineage(ids.join(found, "chunk", "left").mapInArrow(_next_firsts(longer), IDS), "ids")
+    drop_written(ids)
+    return out
 
 
 # ---------------------------------------------------------------- phrases
@@ -433,7 +435,7 @@ def phrase_counts(
     max_words: int = 3,
     lang_col: str = "lang",
     text_col: str = "text",
-    chunk_words: int = 1 << 19,
+    chunk_words: int = 1 << 18,
 ) -> tuple[list[DataFrame], DataFrame]:
     """Tables of frequent phrases of 1 to ``max_words`` words, and (lang, n).
 
@@ -458,7 +460,8 @@ def _phrase_counts(docs: DataFrame, least: int, max_words: int, lang_col: str, t
     found = gathered(entries.join(words.select("lang", "word", "id"), ["lang", "word"]), "place")
     local = chunks.select("chunk", "lang", "skip", F.size("words").alias("size"), "local").join(found, "chunk", "left")
     ids = cut_lineage(local.mapInArrow(_word_ids, IDS), "ids")
-    totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = cut_lineage(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    drop_written(chunks)
     # a bucket per 2^22 words, so that a bucket's codes stay small at any size
     buckets = max(1, int((totals.agg(F.sum("n")).first()[0] or 0) >> 22))
     buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -502,7 +505,7 @@ def collocations(
     top: int = 2000,
     lang_col: str = "lang",
     text_col: str = "text",
-    chunk_words: int = 1 << 19,
+    chunk_words: int = 1 << 18,
 ) -> DataFrame:
     """Each language's ``top`` candidates: lang, rank, phrase, a, l, r, n, score.
 
