@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import chunk as C
 from quire.operators import clean as K
+from quire.operators import replace as RP
+from quire.operators import segment as SG
 from quire.operators.aggregate import tap
 from quire.plans.registry import D_NW, D_NWORD, D_WS, ORACLES, d_clean, d_strip, d_tokens, query, sql_lit
 from quire.session import scratch_path
@@ -206,6 +208,99 @@ def segment_words(spark, sf_dir):
     return d.select("doc_id", F.size(w).alias("n_words"), F.array_join(w, " ").alias("words"))
 
 
+# lexicon of the phrase replacement: frequent longer runs of the corpus, marked
+# wherever they stand, inside other words too
+MARK_LEAST, MARK_FROM, MARK_TO = 20, 5, 12
+
+
+@query(
+    "replace_lexicon",
+    sql=f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+rn AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS w FROM d),
+lx AS (SELECT w FROM rn WHERE length(w) BETWEEN {MARK_FROM} AND {MARK_TO} GROUP BY w HAVING count(*) >= {MARK_LEAST}),
+ps AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS a FROM d),
+sb AS (SELECT doc_id, a, n, substr(text, a, n) AS s FROM ps, range({MARK_FROM}, {MARK_TO + 1}) t(n)),
+mt AS (SELECT doc_id, a, max(n) AS n FROM sb JOIN lx ON lx.w = sb.s GROUP BY doc_id, a),
+ml AS (SELECT doc_id, list([a, n] ORDER BY a) AS m FROM mt GROUP BY doc_id),
+pk AS (SELECT doc_id, list_reduce(m, lambda acc, x: CASE WHEN x[1] >= acc[1] THEN [x[1] + x[2]] || acc[2:] || x ELSE acc END, [0::BIGINT]) AS k FROM ml),
+pc AS (SELECT d.doc_id, text, coalesce(k, [1::BIGINT]) AS k, (len(coalesce(k, [1::BIGINT])) - 1) // 2 AS many FROM d LEFT JOIN pk USING (doc_id))
+SELECT doc_id, array_to_string(list_transform(range(1, many + 1), lambda i:
+    substr(text, CASE WHEN i = 1 THEN 1 ELSE k[2 * i - 2] + k[2 * i - 1] END, k[2 * i] - CASE WHEN i = 1 THEN 1 ELSE k[2 * i - 2] + k[2 * i - 1] END)
+    || '<' || substr(text, k[2 * i], k[2 * i + 1]) || '>'), '')
+  || substr(text, CASE WHEN many = 0 THEN 1 ELSE k[2 * many] + k[2 * many + 1] END) AS text
+FROM pc
+""",
+)
+def replace_lexicon(spark, sf_dir):
+    """Leftmost-longest replacement from a lexicon taken from the corpus."""
+    d = K.dropna_subset(documents(spark, sf_dir), ["text"]).select("doc_id", "text")
+    words = X.explode_rows(d, SG.runs(F.col("text")), [], ("w",), with_pos=False)
+    counts = words.where(F.length("w").between(MARK_FROM, MARK_TO)).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MARK_LEAST)
+    lexicon = counts.select(F.col("w").alias("source"), F.concat(F.lit("<"), F.col("w"), F.lit(">")).alias("target"))
+    return RP.replace_phrases(d, "text", lexicon)
+
+
+# lexicon of the segmenter: frequent short runs of the corpus itself
+SEG_LEAST, SEG_LONGEST, SEG_UNKNOWN = 50, 6, 64
+_RUN_D = r"[\p{L}\p{N}]+"
+
+# runs, the unigram lexicon, the lattice of each distinct run (edges by end) and
+# the cheapest prefix cuts; path[i] is the cut of the first i characters
+D_SEGMENTED = f"""
+rn AS (SELECT doc_id, regexp_extract_all(lower(text), '{_RUN_D}') AS r FROM documents WHERE text IS NOT NULL),
+wn AS (SELECT w, count(*) AS n FROM (SELECT unnest(r) AS w FROM rn) GROUP BY w),
+lx AS (SELECT w, length(bin((SELECT sum(n) FROM wn)::BIGINT // n)) + 1 AS cost FROM wn WHERE n >= {SEG_LEAST} AND length(w) <= {SEG_LONGEST}),
+sp AS (SELECT w AS run, b, unnest(range(greatest(0, b - {SEG_LONGEST}), b)) AS a FROM (SELECT w, unnest(range(1, length(w) + 1)) AS b FROM wn)),
+eg AS (SELECT run, b, a, cost FROM sp JOIN lx ON lx.w = substr(run, a + 1, b - a)),
+es AS (SELECT run, b, list(struct_pack(a := a, cost := cost)) AS e FROM eg GROUP BY run, b),
+vt(run, i, cost, path) AS (
+  SELECT w, 0, [0::BIGINT], [''] FROM wn
+  UNION ALL
+  SELECT run, i + 1, cost || [best // 100000], path || [CASE WHEN best % 100000 = 0 THEN '' ELSE path[best % 100000 + 1] || ' ' END || substr(run, best % 100000 + 1, i + 1 - best % 100000)]
+  FROM (SELECT vt.*, list_min([(cost[i + 1] + {SEG_UNKNOWN}) * 100000 + i] || coalesce(list_transform(e, lambda x: (cost[x.a + 1] + x.cost) * 100000 + x.a), [])) AS best
+        FROM vt LEFT JOIN es ON es.run = vt.run AND es.b = vt.i + 1 WHERE i < length(vt.run))),
+sg AS (SELECT run, path[length(run) + 1] AS parts FROM vt WHERE i = length(run))"""
+
+
+@query(
+    "segment_lexicon",
+    sql=f"""WITH RECURSIVE {D_SEGMENTED},
+ra AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS k FROM rn),
+ws AS (SELECT doc_id, string_agg(parts, ' ' ORDER BY k) AS words FROM ra JOIN sg USING (run) GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN words IS NULL THEN 0 ELSE len(string_split(words, ' ')) END AS INTEGER) AS n_words, coalesce(words, '') AS words
+FROM rn LEFT JOIN ws USING (doc_id)
+""",
+)
+def segment_lexicon(spark, sf_dir):
+    """Every run of letters and digits cut into words of a lexicon along the
+    cheapest path of its lattice."""
+    rows = segmented_documents(spark, sf_dir)
+    return rows.select("doc_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+def segmented_documents(spark, sf_dir):
+    """(doc_id, words): the documents in lexicon words."""
+    d = K.dropna_subset(documents(spark, sf_dir), ["text"]).select("doc_id", SG.runs(F.lower("text")).alias("runs"))
+    lexicon = SG.unigram_lexicon(d, "runs", SEG_LEAST, SEG_LONGEST)
+    return SG.segment_df(d, "runs", lexicon, "words", SEG_UNKNOWN).select("doc_id", "words")
+
+
+@query(
+    "segmented_stop_words",
+    sql=f"""WITH RECURSIVE {D_SEGMENTED},
+ra AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS k FROM rn),
+pt AS (SELECT doc_id, k, unnest(string_split(parts, ' ')) AS w, generate_subscripts(string_split(parts, ' '), 1) AS j FROM ra JOIN sg USING (run)),
+ws AS (SELECT doc_id, string_agg(w, ' ' ORDER BY k, j) AS text FROM pt WHERE w NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY doc_id)
+SELECT doc_id, coalesce(text, '') AS text FROM rn LEFT JOIN ws USING (doc_id)
+""",
+)
+def segmented_stop_words(spark, sf_dir):
+    """D3 on I7's words: the text segmented first, then without stop words."""
+    rows = K.remove_stop_words_df(segmented_documents(spark, sf_dir), "doc_id", "words", _stop_lexicon(spark), "kept")
+    return rows.select("doc_id", F.array_join("kept", " ").alias("text"))
+
+
 @query(
     "content_id",
     sql="""

@@ -20,9 +20,9 @@ def texts(spark, sf_dir, *keep):
     return documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", *keep, "text")
 
 
-def outputs(spark, sf_dir, *keep, carry=True, chunks_col=None):
+def outputs(spark, sf_dir, *keep, carry=True, chunks_col=None, alone_col=None):
     """(doc_id, *keep, outputs): the ranked sentences of every chunk of the whole texts."""
-    return RK.ranked_outputs(texts(spark, sf_dir, *keep), "text", WIN, OVL, carry=carry, chunks_col=chunks_col)
+    return RK.ranked_outputs(texts(spark, sf_dir, *keep), "text", WIN, OVL, carry=carry, chunks_col=chunks_col, alone_col=alone_col)
 
 
 def chunk_rows(spark, sf_dir):

@@ -56,14 +56,18 @@ def _with_relevance(c: str) -> str:
 
 def d_ranked(weighted: bool, carry: bool) -> str:
     """CTEs up to ``ranked(doc_id, step, output)``."""
+    return f"WITH RECURSIVE {D_WINDOWS},{_WEIGHTS + ',' if weighted else ''}{_sentences(weighted)},{d_fold(carry)}"
+
+
+def d_fold(carry: bool, fold: str = "fold", ranked: str = "ranked") -> str:
+    """The two CTEs of a fold over the sentences ``sc``."""
     shared = """coalesce(list_sum(list_transform(range(1, len(e.t) + 1), lambda j: CASE WHEN list_contains(b.t, e.t[j]) THEN e.x[j] ELSE 0 END)), 0)::BIGINT"""
     follow = f"""
     SELECT doc_id, step, {_with_relevance('base')} AS c, 0::BIGINT AS used, false AS done
     FROM (SELECT f.doc_id, f.step + 1 AS step, list_filter(f.c, lambda e: e."on") || sc.c AS base
-          FROM fold f JOIN sc ON sc.doc_id = f.doc_id AND sc.chunk_no = f.step + 1 WHERE f.done)""" if carry else ""
+          FROM {fold} f JOIN sc ON sc.doc_id = f.doc_id AND sc.chunk_no = f.step + 1 WHERE f.done)""" if carry else ""
     return f"""
-WITH RECURSIVE {D_WINDOWS},{_WEIGHTS + ',' if weighted else ''}{_sentences(weighted)},
-fold(doc_id, step, c, used, done) AS (
+{fold}(doc_id, step, c, used, done) AS (
   SELECT doc_id, chunk_no, {_with_relevance('c')}, 0::BIGINT, false FROM sc {'WHERE chunk_no = 0' if carry else ''}
   UNION ALL (
     SELECT doc_id, step,
@@ -74,8 +78,8 @@ fold(doc_id, step, c, used, done) AS (
       SELECT *, 100000 - ((best % 100000 + 100000) % 100000) AS p FROM (
         SELECT *, list_max(list_transform(list_filter(range(1, len(c) + 1), lambda i: NOT c[i]."on" AND (used = 0 OR (used + c[i].n <= {BUDGET} AND {RELEVANCE} * c[i].rel > {REDUNDANCY} * c[i].red))),
           lambda i: ({RELEVANCE} * c[i].rel - {REDUNDANCY} * c[i].red) * 100000 - i)) AS best
-        FROM fold WHERE NOT done)))
+        FROM {fold} WHERE NOT done)))
     {'UNION ALL' if carry else ''} {follow})),
-ranked AS (SELECT doc_id, CAST(step AS INTEGER) AS step,
+{ranked} AS (SELECT doc_id, CAST(step AS INTEGER) AS step,
              array_to_string(list_transform(list_filter(c, lambda e: e."on"), lambda e: e.text), chr(10)) AS output
-           FROM fold WHERE done)"""
+           FROM {fold} WHERE done)"""
