@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 BLOCK = 1024
 
 
@@ -92,3 +94,15 @@ def blocked_row_number(df: DataFrame, keys: list[str], block, order: list, out_c
     wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
     return d.join(cnt, [*keys, "_b"]).withColumn(out_col, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off")
+
+
+def in_order(df: DataFrame, order_col: str, out_col: str = "pos") -> DataFrame:
+    """Adds each row's place (from 0) along ``order_col``, which must be unique.
+
+    Rows are dealt to ranges of the order and written once; a range's offset
+    comes from a table of one row per range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, order_col).withColumn("_part", F.spark_partition_id()), "ranged")
+    out = blocked_row_number(ranged, [], F.col("_part"), [F.col(order_col)], out_col)
+    return out.withColumn(out_col, (F.col(out_col) - 1).cast("long")).drop("_part")

@@ -595,3 +595,58 @@ def recursive_profile(spark, sf_dir):
         F.max("n_chars").alias("max_chars"),
         F.sum(F.col("is_oversize").cast("bigint")).alias("n_oversize"),
     )
+
+
+LINE_SIZE, LINE_OVERLAP = 120, 20
+_LINE_SEPARATORS = ["\n"]
+
+
+@query(
+    "oversize_chunks",
+    sql=f"""SELECT doc_id, lang, chunk_no, n_chars FROM ({_d_recursive_chunks(LINE_SIZE, LINE_OVERLAP, _LINE_SEPARATORS)}) WHERE is_oversize""",
+)
+def oversize_chunks(spark, sf_dir):
+    """Chunks that cannot be cut down to the size, as lines are the only
+    separators given."""
+    d = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    cfg = C.SplitterConfig(chunk_size=LINE_SIZE, chunk_overlap=LINE_OVERLAP, separators=tuple(_LINE_SEPARATORS), keep_separator="end")
+    out = X.explode_rows(d, C.recursive_chunks(F.col("text"), cfg), ["doc_id", "lang"], ("chunk_no", "chunk"))
+    return out.withColumn("n_chars", F.length("chunk")).where(F.col("n_chars") > LINE_SIZE).select("doc_id", "lang", "chunk_no", "n_chars")
+
+
+def paragraphs(text: str) -> list[str]:
+    """A caller's splitter: lines that hold a full stop, stripped of blanks."""
+    return [line.strip(" ") for line in text.split("\n") if "." in line]
+
+
+@query(
+    "splitter_hook",
+    sql="""
+WITH p AS (SELECT doc_id, lang, list_transform(list_filter(string_split(text, chr(10)), lambda l: contains(l, '.')), lambda l: trim(l, ' ')) AS c
+           FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, lang, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_no, unnest(c) AS chunk FROM p
+""",
+)
+def splitter_hook(spark, sf_dir):
+    """M5: a caller's splitter as a table function, joined laterally."""
+    return C.split_rows(documents(spark, sf_dir), "text", paragraphs, ["doc_id", "lang"])
+
+
+@query(
+    "stage_chain",
+    sql=f"""
+WITH c AS (SELECT doc_id, lang, {d_clean('text')} AS text FROM documents WHERE text IS NOT NULL AND NOT contains(text, '{BOILERPLATE}')),
+t AS (SELECT lang, {d_tokens('text')} AS tok FROM c)
+SELECT lang, count(*) AS n_docs, CAST(sum(len(tok)) AS BIGINT) AS n_tokens, CAST(max(len(tok)) AS INTEGER) AS longest FROM t GROUP BY lang
+""",
+)
+def stage_chain(spark, sf_dir):
+    """M7: stages composed as a chain of DataFrame functions."""
+    return (
+        documents(spark, sf_dir)
+        .select("doc_id", "lang", "text")
+        .transform(K.drop_boilerplate, "text", BOILERPLATE)
+        .transform(lambda d: d.withColumn("text", X.clean_text("text")))
+        .transform(lambda d: d.withColumn("n", F.size(X.ws_tokens("text"))))
+        .transform(lambda d: d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest")))
+    )

@@ -11,8 +11,9 @@ from quire.operators import summarise as SM
 from quire.operators.aggregate import blocked_row_number, ordered_concat
 from quire.operators.prompt import FOLLOW_PROMPT, INIT_PROMPT
 from quire.plans.ranking import OVL, WIN, d_ranked
-from quire.plans.registry import d_template, query
-from quire.session import cut_lineage
+from quire.plans.registry import d_template, query, sql_lit
+from quire.session import cut_lineage, scratch_path
+from quire.sources import io as IO
 from quire.sources.tables import conversations, documents
 
 
@@ -174,27 +175,58 @@ def zip_shortest(spark, sf_dir):
     )
 
 
-@query(
-    "refusal_rate",
-    sql="""
+# phrases that the corpus itself holds, to screen its outputs for
+SCREENED = ["of the", "que la", "die der"]
+
+
+def _d_screen(phrases) -> str:
+    found = " OR ".join(f"contains(c.text, {sql_lit(p)})" for p in phrases)
+    return f"""
 WITH s AS (SELECT conv_id, bool_or(role = 'system') AS has_system FROM conversations GROUP BY conv_id),
-a AS (SELECT c.conv_id, s.has_system,
-        (contains(c.text, '無法根據所提供的文章') OR contains(c.text, '無法提供') OR contains(c.text, 'I''m sorry')
-         OR contains(c.text, 'I cannot') OR contains(c.text, 'I can''t') OR contains(c.text, 'I don''t know the answer')) AS refused
+a AS (SELECT c.conv_id, s.has_system, ({found}) AS refused
       FROM conversations c JOIN s USING (conv_id) WHERE c.role = 'assistant')
 SELECT has_system, CAST(count(*) AS BIGINT) AS n_outputs, CAST(sum(CASE WHEN refused THEN 1 ELSE 0 END) AS BIGINT) AS n_refused,
   round(avg(CASE WHEN refused THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate
 FROM a GROUP BY has_system
-""",
-)
+"""
+
+
+def _screen(cv, phrases):
+    """Outputs that hold a phrase, with vs without a system turn: flags and counts
+    of a conversation in one map-side combined aggregation, no join."""
+    output = F.col("role") == "assistant"
+    hit = (output & SM.refusal_flag(F.col("text"), phrases)).cast("bigint")
+    each = cv.groupBy("conv_id").agg(
+        F.max(F.col("role") == "system").alias("has_system"), F.sum(output.cast("bigint")).alias("n"), F.sum(hit).alias("hits")
+    )
+    rows = each.where("n > 0").groupBy("has_system").agg(F.sum("n").alias("n_outputs"), F.sum("hits").alias("n_refused"))
+    return rows.withColumn("refusal_rate", F.round(F.col("n_refused") / F.col("n_outputs"), 6))
+
+
+@query("refusal_rate", sql=_d_screen(SM.REFUSAL_PHRASES))
 def refusal_rate(spark, sf_dir):
     """K4: share of outputs that decline, with vs without a system turn."""
-    cv = conversations(spark, sf_dir)
-    sys_flag = cv.groupBy("conv_id").agg(F.max(F.col("role") == "system").alias("has_system"))
-    a = cv.filter(F.col("role") == "assistant").join(sys_flag, "conv_id")
-    a = a.withColumn("refused", SM.refusal_flag(F.col("text")))
-    return a.groupBy("has_system").agg(
-        F.count(F.lit(1)).alias("n_outputs"),
-        F.sum(F.col("refused").cast("bigint")).alias("n_refused"),
-        F.round(F.avg(F.col("refused").cast("double")), 6).alias("refusal_rate"),
-    )
+    return _screen(conversations(spark, sf_dir), SM.REFUSAL_PHRASES)
+
+
+@query("phrase_screen", sql=_d_screen(SCREENED))
+def phrase_screen(spark, sf_dir):
+    """K4 with the caller's phrases, here some that the outputs do hold."""
+    return _screen(conversations(spark, sf_dir), SCREENED)
+
+
+@query(
+    "positional_results",
+    sql=f"""{d_ranked(True, True)},
+la AS (SELECT doc_id, count(*) AS n, max_by(output, step) AS last FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, d.lang, CAST(coalesce(n, 0) AS INTEGER) AS n_steps, last FROM documents d LEFT JOIN la USING (doc_id) WHERE d.text IS NOT NULL
+""",
+)
+def positional_results(spark, sf_dir):
+    """Results as JSON lists without keys, written in the rows' order, read
+    back and attached by place; a length mismatch fails."""
+    path = scratch_path(spark, "positional")
+    IO.write_positional(outputs(spark, sf_dir), "doc_id", "outputs", path, rows_per_file=100)
+    docs = texts(spark, sf_dir, "lang").select("doc_id", "lang")
+    rows = IO.attach_positional(docs, "doc_id", IO.read_positional(spark, path))
+    return rows.select("doc_id", "lang", F.size("steps").alias("n_steps"), SM.last_output(F.col("steps")).alias("last"))

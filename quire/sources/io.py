@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import py_strip
+from quire.operators.aggregate import in_order
 
 POINT_SCHEMA = (
     "id string, vector array<float>, "
@@ -84,3 +85,38 @@ def read_nested_results(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     docs = raw.select("file", F.posexplode(F.from_json("value", "array<array<string>>")).alias("doc_pos", "steps"))
     return docs.select("file", "doc_pos", F.posexplode("steps").alias("step", "output"))
+
+
+# ------------------------------------------------------- positional results
+
+
+def write_positional(df: DataFrame, order_col: str, steps_col: str, path: str, rows_per_file: int = 1000, mode: str = "overwrite") -> None:
+    """Results as JSON arrays of arrays of strings, aligned with the rows' order.
+
+    A single document would be one task's, so the rows are cut into files of
+    ``rows_per_file``; a file's folder names the place of its first row.
+    """
+    rows = in_order(df.select(order_col, F.col(steps_col).alias("steps")), order_col)
+    first = F.expr(f"pos - pos % {int(rows_per_file)}").alias("first")
+    lists = rows.groupBy(first).agg(F.sort_array(F.collect_list(F.struct("pos", "steps"))).alias("l"))  # rows_per_file of them
+    lists.select("first", F.to_json(F.transform("l", lambda x: x["steps"])).alias("value")).write.mode(mode).partitionBy("first").text(path)
+
+
+def read_positional(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, steps) of files that ``write_positional`` wrote."""
+    files = spark.read.schema("value string, first long").option("wholetext", True).option("basePath", path).text(path)
+    rows = files.select("first", F.posexplode(F.from_json("value", "array<array<string>>")).alias("i", "steps"))
+    return rows.select((F.col("first") + F.col("i")).alias("pos"), "steps")
+
+
+def attach_positional(df: DataFrame, order_col: str, results: DataFrame, out_col: str = "steps") -> DataFrame:
+    """``df`` with the result of each row's place; a row without a result or a
+    result without a row fails."""
+    rows = in_order(df, order_col, "_pos").withColumn("_row", F.lit(True))
+    both = rows.join(results.select(F.col("pos").alias("_at"), F.col("steps").alias("_steps"), F.lit(True).alias("_got")), F.col("_pos") == F.col("_at"), "full")
+    place = F.coalesce("_pos", "_at").cast("string")
+    wrong = F.when(F.col("_got").isNull(), F.raise_error(F.concat(F.lit("no result for row "), place))).when(
+        F.col("_row").isNull(), F.raise_error(F.concat(F.lit("no row for result "), place))
+    )
+    kind = results.schema["steps"].dataType
+    return both.select(*[c for c in df.columns if c != out_col], F.coalesce(wrong.cast(kind), F.col("_steps")).alias(out_col))
