@@ -1,14 +1,15 @@
 """Vectors: hashing embedder, exact cosine top-k, upsert, dimension checks.
 
-Top-k retrieval never forms query x corpus pairs as rows.  Both sides are
-cut into blocks by a hash of their ids; each pair of blocks meets in one task,
-which scores it with one matrix product and keeps ``k`` candidates per query.
-A final ``row_number() <= k`` (planned as a ``WindowGroupLimit``) picks the
-global top-k.
+Top-k retrieval never forms query x corpus pairs as rows.  The corpus is cut
+into cells around pivots; a question meets only the cells whose members can
+be near enough, in one matrix product a cell part, which keeps ``k`` candidates
+per query.  A final ``row_number() <= k`` (planned as a ``WindowGroupLimit``)
+picks the global top-k.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import cut_lineage
+
 
 # ------------------------------------------------------------------ embedding
 
@@ -131,8 +134,98 @@ def _score_block(k: int, cid_kind, payload: list[str]):
     return run
 
 
-def _usable(df: DataFrame, vec: str) -> DataFrame:
-    return df.where(F.col(vec).isNotNull() & F.exists(F.col(vec), lambda x: x != 0))
+def _usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
+    """Vectors that have a direction: ``dim`` finite components, not all zero."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where((F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0))
+
+
+def _directions(vectors: pa.Array, dim: int) -> np.ndarray:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return m / np.sqrt((m * m).sum(1))[:, None]
+
+
+def _chords(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors to the pivots, a metric that falls as cosine rises."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_directions(vectors, pivots.shape[1]) @ pivots.T)))
+
+
+def _nearest_pivot(held):
+    @F.arrow_udf("struct<cell:int,far:double>")
+    def nearest(vectors: pa.Array) -> pa.Array:
+        d = _chords(vectors, held.value)
+        cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
+        far = d[np.arange(len(d)), cell]
+        return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["cell", "far"])
+
+    return nearest
+
+
+def _bounds(held, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """For each question the cells and the least distance that a member can have."""
+
+    @F.arrow_udf("array<struct<cell:int,near:double>>")
+    def bounds(vectors: pa.Array) -> pa.Array:
+        d = _chords(vectors, held.value[cells])
+        near = np.maximum(0.0, np.maximum(d - high, low - d))
+        pairs = pa.StructArray.from_arrays([pa.array(np.tile(cells, len(d)), pa.int32()), pa.array(near.ravel(), pa.float64())], ["cell", "near"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(d) * len(cells) + 1, max(1, len(cells)), dtype=np.int32)[: len(d) + 1]), pairs)
+
+    return bounds
+
+
+@dataclass
+class Cells:
+    """A corpus cut into cells around pivots.
+
+    ``rows`` has cand_id, vec, the payload, cell and sub (parts of a cell of
+    about ``block`` rows); ``sizes`` maps a cell to (rows, least, greatest
+    distance to the pivot, parts).
+    """
+
+    rows: DataFrame
+    pivots: object
+    sizes: dict[int, tuple[int, float, float, int]]
+    dim: int
+    block: int
+
+
+def build_cells(corpus: DataFrame, cid: str, cvec: str, payload: list[str], dim: int | None, block: int, pivots: int) -> Cells:
+    """``pivots`` bounds the sample of vectors that cells are built around, and so
+    the broadcast."""
+    spark = corpus.sparkSession
+    c = corpus.select(F.col(cid).alias("cand_id"), F.col(cvec).cast("array<double>").alias("vec"), *payload)
+    if dim is None:
+        dim = c.where(F.size("vec") > 0).agg(F.mode(F.size("vec"), True)).first()[0] or 1
+    c = cut_lineage(_usable(c, "vec", dim).withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    sample = c.orderBy(F.xxhash64("vec", "_row")).limit(pivots).select("vec").collect()
+    points = np.array([r.vec for r in sample], np.float64).reshape(-1, dim)
+    held = spark.sparkContext.broadcast(points / np.sqrt((points * points).sum(1))[:, None] if len(points) else np.ones((1, dim)))
+    c = cut_lineage(c.withColumn("_c", _nearest_pivot(held)("vec")).select("*", "_c.cell", "_c.far").drop("_c"), "cells")
+    found = c.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()  # a row a pivot
+    sizes = {r.cell: (r.n, r.low, r.high, -(-r.n // block)) for r in found}
+    parts = F.create_map(*[F.lit(x) for cell, s in sizes.items() for x in (cell, s[3])]) if sizes else F.lit(None).cast("map<int,int>")
+    rows = c.withColumn("sub", F.pmod(F.col("_row"), F.element_at(parts, F.col("cell"))).cast("int")).drop("far", "_row")
+    return Cells(rows, held, sizes, dim, block)
+
+
+def _scored(cells: Cells, asked: DataFrame, k: int, payload: list[str]) -> DataFrame:
+    """The k best of each (question, cell) pair's parts; ``asked`` has query_id, vec, cell."""
+    corpus, q = cells.rows, asked.schema["query_id"]
+    counts = asked.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row a cell
+    groups = {r.cell: -(-r.n // cells.block) for r in counts}
+    many = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.lit(None).cast("map<int,int>")
+    every = lambda table: F.explode(F.sequence(F.lit(0), F.element_at(many(table), F.col("cell")) - 1))
+    left = asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.element_at(many(groups), F.col("cell"))).cast("int"))
+    left = left.withColumn("sub", every({c: s[3] for c, s in cells.sizes.items()}))
+    right = corpus.where(F.col("cell").isin(list(groups))).withColumn("grp", every(groups))
+    schema = T.StructType(
+        [T.StructField("query_id", q.dataType), T.StructField("cand_id", corpus.schema["cand_id"].dataType), T.StructField("score", T.DoubleType())]
+        + [corpus.schema[x] for x in payload]
+    )
+    score = _score_block(k, corpus.schema["cand_id"].dataType, payload)
+    keys = ["cell", "sub", "grp"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: score(a, b), schema)
 
 
 def topk_cosine(
@@ -147,38 +240,60 @@ def topk_cosine(
     exclude_self: bool = False,
     payload: list[str] | None = None,
     block: int = 4096,
+    pivots: int = 256,
+    report: dict | None = None,
 ) -> DataFrame:
     """Exact top-k by cosine: (query_id, rank, cand_id, score, *payload).
 
-    Ids of any type; ties go to the smaller id.  Both sides are cut into
-    blocks of about ``block`` rows by a hash of their ids, and each pair of
-    blocks meets in one task that keeps k candidates per question, so neither
-    side passes through the driver or one task.  ``payload`` columns of the
-    corpus ride along with the kept candidates.  A question without a usable
-    vector has no rows here.
+    The corpus is cut into cells around pivots.  On unit vectors the chord is a
+    metric, so a question at distance d from a pivot is at least d - r from a
+    member at distance r.  A question first meets the cells that may be
+    nearest, until they hold k members; its k-th distance there bounds the
+    rest, and only cells whose least possible distance does not exceed it are
+    met.  Skipped cells cannot change the answer.
+
+    Ids of any type; ties go to the smaller id.  A cell is met in parts of
+    about ``block`` members and questions, by one matrix product each.
+    ``dim`` is the vectors' dimension (the commonest of the corpus if not
+    given); null, zero, non-finite and other vectors take no part.  ``report``
+    receives how many (question, cell) pairs there are and were met.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     payload = list(payload or [])
-    q = _usable(queries.select(F.col(qid).alias("query_id"), F.col(qvec).cast("array<double>").alias("vec")), "vec")
-    c = _usable(corpus.select(F.col(cid).alias("cand_id"), F.col(cvec).cast("array<double>").alias("vec"), *payload), "vec")
-    blocks = lambda df: max(1, -(-df.count() // block))
-    nq, nc = blocks(queries.select(qid)), blocks(corpus.select(cid))
-    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("qb", part("query_id", nq)).withColumn("cb", every(nc))
-    right = c.withColumn("cb", part("cand_id", nc)).withColumn("qb", every(nq))
-    schema = T.StructType(
-        [T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("cand_id", c.schema["cand_id"].dataType), T.StructField("score", T.DoubleType())]
-        + [corpus.schema[x] for x in payload]
-    )
+    cells = build_cells(corpus, cid, cvec, payload, dim, block, pivots)
+    names = np.array(sorted(cells.sizes), np.int64)
+    low, high = (np.array([cells.sizes[c][i] for c in names]) for i in (1, 2))
+    q = _usable(queries.select(F.col(qid).alias("query_id"), F.col(qvec).cast("array<double>").alias("vec")), "vec", cells.dim)
     more = 1 if exclude_self else 0
-    score = _score_block(k + more, c.schema["cand_id"].dataType, payload)
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda a, b: score(a, b), schema)
+    sizes = F.create_map(*[F.lit(x) for c in names.tolist() for x in (c, cells.sizes[c][0])]) if len(names) else F.lit(None).cast("map<int,int>")
+    # cells by their bound; each question meets the first ones that hold k members
+    order = F.array_sort(F.transform(_bounds(cells.pivots, names, low, high)("vec"), lambda b: F.struct(b["near"].alias("near"), b["cell"].alias("cell"))))
+    q = cut_lineage(q.withColumn("order", order).withColumn("_q", F.monotonically_increasing_id()), "questions")
+    need = k + more
+    held = F.aggregate(
+        "order",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("cells")),
+        lambda acc, b: F.when(acc["n"] >= need, acc).otherwise(
+            F.struct((acc["n"] + F.element_at(sizes, b["cell"])).alias("n"), (acc["cells"] + 1).alias("cells"))
+        ),
+    )
+    q = q.withColumn("first", held["cells"])
+    near = q.select("query_id", "vec", F.explode(F.slice("order", F.lit(1), F.greatest("first", F.lit(1)))).alias("b")).select("query_id", "vec", "b.cell")
+    found = cut_lineage(_scored(cells, near, need, payload), "near")
+    kept = found.where("query_id <> cand_id") if exclude_self else found
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id")))
+    kth = kept.withColumn("r", rank).where(F.col("r") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reach"))
+    left = q.join(kth, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(3.0)) + 1e-7)
+    later = F.filter(F.slice("order", F.col("first") + 1, F.greatest(F.size("order"), F.lit(1))), lambda b: b["near"] <= F.col("reach"))
+    far = cut_lineage(left.select("query_id", "vec", F.explode(later).alias("b")).select("query_id", "vec", "b.cell"), "far")
+    if report is not None:
+        report["pairs"], report["met"] = q.count() * len(names), near.count() + far.count()
+    everything = kept.unionByName(_scored(cells, far, need, payload))
     if exclude_self:
-        found = found.where("query_id <> cand_id")
+        everything = everything.where("query_id <> cand_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = everything.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "cand_id", "score", *payload)
 
 

@@ -56,7 +56,8 @@ def stream_rolling_summary(spark, sf_dir):
     arr = arr.withColumn("n_chunks", F.size("chunks"))
     rows = explode_rows(arr, F.col("chunks"), ["doc_id", "n_chunks"], ("chunk_no", "chunk"))
     out = J.rolling_stream(rows, summarise)
-    path = J.run_available(out, "stream-rolling")
+    with J.rocksdb_state(spark):
+        path = J.run_available(out, "stream-rolling")
     return spark.read.schema(J.ROLLING_OUTPUT).parquet(path)
 
 

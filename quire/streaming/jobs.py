@@ -4,23 +4,23 @@
 * ``run_available``: run a query over everything available now
   (``availableNow`` trigger), checkpointed in the shared folder, so a
   restarted job resumes where it stopped.
-* ``rolling_state_fn``: the carry-forward fold as a stateful operator
-  (``applyInPandasWithState``) keyed by document; chunks that arrive out of
-  order wait in the state until their number is next, chunks that arrive
-  twice are ignored, and a state that is quiet for too long is dropped, an
-  incomplete document being reported.
+* ``RollingFold``: the carry-forward fold as a stateful operator
+  (``transformWithStateInPandas``) keyed by document; chunks that arrive out of
+  order wait in a map state until their number is next, chunks that arrive
+  twice are ignored, and a state that is quiet for too long is dropped by a
+  timer, an incomplete document being reported.
 * ``write_batch`` / ``current_points``: a point collection as one append-only
   folder per micro-batch, read as the latest version of each id.
 """
 
 from __future__ import annotations
 
-import json
+from contextlib import contextmanager
 from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.session import scratch_path
 
@@ -55,58 +55,104 @@ def run_available(stream_df: DataFrame, name: str, sink_path: str | None = None,
 # ------------------------------------------------------------- rolling state
 
 ROLLING_OUTPUT = "doc_id long, step int, output string"
-ROLLING_STATE = "last string, next_no int, total int, pending string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def rolling_state_fn(summarise: Callable[[str | None, str], str], quiet_ms: int | None = None):
-    """State function for ``applyInPandasWithState``.
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Stateful queries started inside keep their state in RocksDB, as state with
+    several variables needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class RollingFold(StatefulProcessor):
+    """The carry-forward fold of one document.
 
     Input rows: doc_id, chunk_no, n_chunks, chunk.  ``summarise(prev, chunk)``
-    gives the next output.  Emits (doc_id, step, output) in chunk order.  A
-    chunk whose number was already used is a repeat and changes nothing, also
-    after the last one: of a finished document the step count stays.  With
-    ``quiet_ms`` the state goes once the document has been quiet for so long; if
-    chunks were still missing, (doc_id, the missing step, null) reports it.
+    gives the next output.  Emits (doc_id, step, output) in chunk order.
+
+    State: ``last`` (the last output), ``next`` (the number awaited, and the
+    number of chunks), and ``waiting``, a map from chunk number to the text of
+    a chunk that came too early.  A chunk is read and written on its own; what
+    waits is never copied.  A chunk that comes again changes nothing.  Of a
+    finished document only ``next`` stays, so that late repeats are known;
+    with ``quiet_ms`` it goes after that time without a chunk, and so does an
+    unfinished document's state, whose missing step is reported as (doc_id,
+    step, null).
     """
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        doc_id, out = key[0], []
-        if state.hasTimedOut:
-            _, next_no, total, _ = state.get
-            if total is None or next_no < total:
-                out.append((doc_id, next_no, None))
-            state.remove()
-            yield pd.DataFrame(out, columns=["doc_id", "step", "output"])
-            return
-        last, next_no, total, waiting = state.get if state.exists else (None, 0, None, "{}")
-        pending = {int(k): v for k, v in json.loads(waiting).items()}
-        for pdf in pdfs:
+    def __init__(self, summarise: Callable[[str | None, str], str], quiet_ms: int | None = None):
+        self.summarise, self.quiet_ms = summarise, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "output string")
+        self.next = handle.getValueState("next", "chunk_no int, total int")
+        self.waiting = handle.getMapState("waiting", "chunk_no int", "chunk string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        awaited, total = self.next.get() if self.next.exists() else (0, None)
+        last, out, fresh = self.last.get()[0] if self.last.exists() else None, [], {}
+        for pdf in rows:
             for no, n, chunk in zip(pdf["chunk_no"], pdf["n_chunks"], pdf["chunk"]):
                 total = int(n)
-                if int(no) >= next_no:
-                    pending[int(no)] = chunk
-        while next_no in pending:
-            last = summarise(last, pending.pop(next_no))
-            out.append((doc_id, next_no, last))
-            next_no += 1
-        done = total is not None and next_no >= total
-        state.update((None if done else last, next_no, total, json.dumps({} if done else pending)))
-        if quiet_ms is not None:
-            state.setTimeoutDuration(quiet_ms)
+                if int(no) >= awaited:
+                    fresh[int(no)] = chunk
+        start = awaited
+        while awaited in fresh or (out and self._waits(awaited)):
+            chunk = fresh.pop(awaited) if awaited in fresh else self.waiting.getValue((awaited,))[0]
+            if self._waits(awaited):
+                self.waiting.removeKey((awaited,))
+            last = self.summarise(last, chunk)
+            out.append((key[0], awaited, last))
+            awaited += 1
+        for no, chunk in fresh.items():
+            self.waiting.updateValue((no,), (chunk,))
+        done = total is not None and awaited >= total
+        if done:
+            self.last.clear()
+            self.waiting.clear()
+        elif awaited > start:
+            self.last.update((last,))
+        self.next.update((awaited, total))
+        self._wake(timerValues)
         yield pd.DataFrame(out, columns=["doc_id", "step", "output"])
 
-    return fn
+    def _waits(self, no: int) -> bool:
+        return self.waiting.exists() and self.waiting.containsKey((no,))
+
+    def _wake(self, timerValues) -> None:
+        """One timer a document: ``quiet_ms`` after its last chunk."""
+        if self.quiet_ms is None:
+            return
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        awaited, total = self.next.get() if self.next.exists() else (0, None)
+        missing = total is None or awaited < total
+        for state in (self.last, self.next, self.waiting):
+            state.clear()
+        yield pd.DataFrame([(key[0], awaited, None)] if missing else [], columns=["doc_id", "step", "output"])
+
+    def close(self) -> None:
+        pass
 
 
 def rolling_stream(chunk_rows: DataFrame, summarise: Callable[[str | None, str], str], quiet_ms: int | None = None) -> DataFrame:
-    """``quiet_ms`` is for queries that keep running; an ``availableNow`` run
-    with time-outs would go on for ever."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    timeout = GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return chunk_rows.groupBy("doc_id").applyInPandasWithState(
-        rolling_state_fn(summarise, quiet_ms), ROLLING_OUTPUT, ROLLING_STATE, "append", timeout
-    )
+    """The fold as a stream; start its query inside ``rocksdb_state``.
+
+    ``quiet_ms`` is for queries that keep running.
+    """
+    mode = "none" if quiet_ms is None else "processingTime"
+    return chunk_rows.groupBy("doc_id").transformWithStateInPandas(RollingFold(summarise, quiet_ms), ROLLING_OUTPUT, "append", mode)
 
 
 # -------------------------------------------------------- point collection

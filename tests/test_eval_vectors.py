@@ -93,34 +93,89 @@ def test_run_ids_across_blocks(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-class _FakeState:
+class _Value:
     def __init__(self):
-        self.value, self.exists, self.hasTimedOut, self.ms = None, False, False, None
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
 
-    @property
     def get(self):
         return self.value
 
     def update(self, v):
-        self.value, self.exists = v, True
+        self.value = v
+
+    def clear(self):
+        self.value = None
 
-    def remove(self):
-        self.value, self.exists = None, False
 
-    def setTimeoutDuration(self, ms):
-        self.ms = ms
+class _Map(_Value):
+    def __init__(self):
+        self.value = {}
 
+    def exists(self):
+        return bool(self.value)
 
-def test_stream_state_buffers_out_of_order_chunks():
-    import pandas as pd
+    def containsKey(self, k):
+        return k in self.value
+
+    def getValue(self, k):
+        return self.value[k]
+
+    def updateValue(self, k, v):
+        self.value[k] = v
+
+    def removeKey(self, k):
+        del self.value[k]
+
+    def clear(self):
+        self.value = {}
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def getMapState(self, name, key, value):
+        return _Map()
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
 
-    fn = J.rolling_state_fn(lambda prev, c: c if prev is None else prev + "|" + c)
-    st = _FakeState()
-    first = list(fn((7,), iter([pd.DataFrame({"chunk_no": [1], "n_chunks": [3], "chunk": ["b"]})]), st))
-    assert first[0].empty and json.loads(st.value[3]) == {"1": "b"}
-    second = list(fn((7,), iter([pd.DataFrame({"chunk_no": [0, 2], "n_chunks": [3, 3], "chunk": ["a", "c"]})]), st))
-    assert second[0]["output"].tolist() == ["a", "a|b", "a|b|c"]
-    assert st.value == (None, 3, 3, "{}")  # after the last chunk only the count stays
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class _Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def _fold(quiet_ms=None):
+    fold = J.RollingFold(lambda prev, c: c if prev is None else prev + "|" + c, quiet_ms)
+    fold.init(_Handle())
+
+    def feed(*rows):
+        pdf = pd.DataFrame(rows, columns=["doc_id", "chunk_no", "n_chunks", "chunk"])
+        return pd.concat(fold.handleInputRows((rows[0][0],), iter([pdf]), _Clock()))["output"].tolist()
+
+    return fold, feed
+
+
+def test_stream_state_buffers_out_of_order_chunks():
+    fold, feed = _fold()
+    assert feed((7, 1, 3, "b")) == [] and fold.waiting.value == {(1,): ("b",)}
+    assert feed((7, 0, 3, "a"), (7, 2, 3, "c")) == ["a", "a|b", "a|b|c"]
+    # of a finished document only the counts stay, so that repeats are known
+    assert not fold.waiting.exists() and not fold.last.exists() and fold.next.value == (3, 3)
+    assert feed((7, 0, 3, "a"), (7, 2, 3, "c")) == [] and not fold.waiting.exists()
 
 
 def test_topk_against_brute_force_with_ties(spark):
@@ -211,20 +266,14 @@ def test_streams_read_folders_of_part_files(spark, tmp_path):
 
 
 def test_rolling_state_ignores_repeats_and_reports_the_missing():
-    fn, state = J.rolling_state_fn(lambda prev, c: c if prev is None else prev + c, 50), _FakeState()
-
-    def feed(*rows):
-        pdf = pd.DataFrame(rows, columns=["doc_id", "chunk_no", "n_chunks", "chunk"])
-        return pd.concat(fn((1,), iter([pdf]), state))["output"].tolist()
-
-    assert feed((1, 0, 2, "a")) == ["a"] and feed((1, 0, 2, "a")) == [] and feed((1, 1, 2, "b")) == ["ab"]
-    assert feed((1, 0, 2, "a"), (1, 1, 2, "b")) == [] and state.ms == 50
-    state.hasTimedOut = True
-    assert pd.concat(fn((1,), iter([]), state)).empty and not state.exists
-    state.hasTimedOut = False
+    fold, feed = _fold(50)
+    assert feed((1, 0, 2, "a")) == ["a"] and feed((1, 0, 2, "a")) == [] and feed((1, 1, 2, "b")) == ["a|b"]
+    assert fold.handle.timers == [1050]  # one timer, moved by every chunk
+    assert pd.concat(fold.handleExpiredTimer((1,), None, None)).empty
+    assert not (fold.next.exists() or fold.last.exists() or fold.waiting.exists())
     feed((1, 1, 3, "late"))
-    state.hasTimedOut = True
-    assert pd.concat(fn((1,), iter([]), state)).to_dict("records") == [{"doc_id": 1, "step": 0, "output": None}] and not state.exists
+    out = pd.concat(fold.handleExpiredTimer((1,), None, None))
+    assert out.to_dict("records") == [{"doc_id": 1, "step": 0, "output": None}] and not fold.waiting.exists()
 
 
 def test_rolling_stream_out_of_order_micro_batches(spark, tmp_path):
@@ -248,7 +297,8 @@ def test_rolling_stream_out_of_order_micro_batches(spark, tmp_path):
         os.utime(flat / f"part-{i}.parquet", (1_000_000 + i, 1_000_000 + i))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
     out = J.rolling_stream(stream, lambda prev, c: c if prev is None else prev + "|" + c)
-    path = J.run_available(out, "test-rolling")
+    with J.rocksdb_state(spark):
+        path = J.run_available(out, "test-rolling")
     rows = sorted((r.doc_id, r.step, r.output) for r in spark.read.parquet(path).collect())
     assert rows == [(7, 0, "a a"), (7, 1, "a a|b b"), (8, 0, "x")]
 
