@@ -215,7 +215,7 @@ MARK_LEAST, MARK_FROM, MARK_TO = 20, 5, 12
 
 @query(
     "replace_lexicon",
-    sql=f"""
+    sql=rf"""
 WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 rn AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS w FROM d),
 lx AS (SELECT w FROM rn WHERE length(w) BETWEEN {MARK_FROM} AND {MARK_TO} GROUP BY w HAVING count(*) >= {MARK_LEAST}),
