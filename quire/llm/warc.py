@@ -215,7 +215,9 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     step = records.where("concurrent_to IS NOT NULL").select(F.col("record_id").alias("named"), F.col("concurrent_to").alias("onward"))
     step = step.groupBy("named").agg(F.min("onward").alias("onward"))
-    linked = records.join(step, F.col("concurrent_to") == F.col("named"), "left")
+    # records that name none get a key of their own, so that they spread
+    asks = F.coalesce("concurrent_to", F.concat(F.lit(" "), "record_id"))
+    linked = records.withColumn("asks", asks).join(step, F.col("asks") == F.col("named"), "left")
     first = F.coalesce("concurrent_to", "record_id")
     # two records that name each other meet at the smaller id
     key = F.when(F.col("onward") == F.col("record_id"), F.least("record_id", "concurrent_to")).otherwise(F.coalesce("onward", first))
