@@ -9,6 +9,7 @@ from quire.operators import chunk as C
 from quire.operators import clean as K
 from quire.operators import replace as RP
 from quire.operators import segment as SG
+from quire.operators import subword as SW
 from quire.operators.aggregate import tap
 from quire.plans.registry import D_NW, D_NWORD, D_WS, ORACLES, d_clean, d_strip, d_tokens, query, sql_lit
 from quire.session import scratch_path
@@ -650,3 +651,37 @@ def stage_chain(spark, sf_dir):
         .transform(lambda d: d.withColumn("n", F.size(X.ws_tokens("text"))))
         .transform(lambda d: d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest")))
     )
+
+
+SUB_SIZE, SUB_OVERLAP = 128, 32
+SUB_FILE = "byte_bpe_50k.json"
+
+
+def subword_codec(name: str = SUB_FILE) -> SW.Subword:
+    """The codec of a public tokenizer file."""
+    import public_tokenizers
+
+    return SW.Subword.from_file(public_tokenizers.path(name))
+
+
+@query("subword_roundtrip", sql="SELECT doc_id, md5(text) AS digest, text = '' AS is_empty FROM documents WHERE text IS NOT NULL")
+def subword_roundtrip(spark, sf_dir):
+    """I16 with sub-words: whole texts to ids of a byte-level vocabulary and back,
+    without a loss and without unknown tokens."""
+    codec = subword_codec()
+    d = K.dropna_subset(documents(spark, sf_dir), ["text"])
+    ids = d.select("doc_id", codec.encode_column(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.md5(codec.decode_column(F.col("ids"))).alias("digest"), (F.size("ids") == 0).alias("is_empty"))
+
+
+@query("recursive_chunks_subword")
+def recursive_chunks_subword(spark, sf_dir):
+    """C9 with a sub-word length: chunks measured by a public tokenizer (no SQL:
+    a tokenizer has no SQL form; tested against a plain splitter)."""
+    codec = subword_codec()
+    cfg = C.SplitterConfig(
+        chunk_size=SUB_SIZE, chunk_overlap=SUB_OVERLAP, separators=tuple(C.CJK_SEPARATORS),
+        keep_separator="end", length_function=codec.length,
+    )
+    d = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return X.explode_rows(d, C.recursive_chunks(F.col("text"), cfg), ["doc_id", "lang"], ("chunk_no", "chunk"))
