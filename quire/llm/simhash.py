@@ -206,13 +206,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     first = F.min(F.struct("_id", "fp")).alias("k")
     keep = groups.where(F.col("_id") == F.col("component_id")).groupBy("root").agg(first)
     keep = keep.select(F.col("k._id").alias(rank), F.col("k.fp").alias(fp))
-    many = groups.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias(rank)).agg(F.count("*").alias("n")).where("n > 1").select(rank)
+    many = groups.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias(rank)).agg(F.count("*").alias("n"))
+    many = cut_lineage(many.where("n > 1").select(rank), "repeated")
     # an id of one row is found by its id; only texts of repeated ids are hashed again
     once = keep.join(many, rank, "left_anti")
     stay = docs.join(once, col(id_col) == col(rank), "left_semi")
-    again = docs.join(many, col(id_col) == col(rank), "left_semi").withColumn(row, simhash64(col(text_col), words))
-    again = again.join(keep, (col(id_col) == col(rank)) & (col(row) == col(fp)), "left_semi").dropDuplicates([id_col, row]).drop(row)
+    if not many.isEmpty():
+        again = cut_lineage(docs.join(many, col(id_col) == col(rank), "left_semi"), "repeated").withColumn(row, simhash64(col(text_col), words))
+        again = again.join(keep, (col(id_col) == col(rank)) & (col(row) == col(fp)), "left_semi").dropDuplicates([id_col, row]).drop(row)
+        stay = stay.unionByName(again)
     none = docs.where(col(id_col).isNull()).withColumn(row, simhash64(col(text_col), words))
     unnamed = groups.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias(rank)).select(rank)
     alone = none.join(unnamed, col(row) == col(rank), "left_semi").dropDuplicates([row]).drop(row)
-    return stay.unionByName(again).unionByName(alone)
+    return stay.unionByName(alone)
