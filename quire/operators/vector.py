@@ -174,6 +174,10 @@ def _bounds(held, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
     return bounds
 
 
+CELL = 1024  # rows of a cell, if there are pivots enough
+MOST_PIVOTS = 4096
+
+
 @dataclass
 class Cells:
     """A corpus cut into cells around pivots.
@@ -190,18 +194,19 @@ class Cells:
     block: int
 
 
-def build_cells(corpus: DataFrame, cid: str, cvec: str, payload: list[str], dim: int | None, block: int, pivots: int) -> Cells:
-    """``pivots`` bounds the sample of vectors that cells are built around, and so
-    the broadcast."""
+def build_cells(corpus: DataFrame, cid: str, cvec: str, payload: list[str], dim: int | None, block: int, pivots: int | None) -> Cells:
+    """``pivots`` sampled vectors are broadcast and cells built around them; if not
+    given, one for ``CELL`` rows, ``MOST_PIVOTS`` at most."""
     spark = corpus.sparkSession
     c = corpus.select(F.col(cid).alias("cand_id"), F.col(cvec).cast("array<double>").alias("vec"), *payload)
     if dim is None:
         dim = c.where(F.size("vec") > 0).agg(F.mode(F.size("vec"), True)).first()[0] or 1
     c = cut_lineage(_usable(c, "vec", dim).withColumn("_row", F.monotonically_increasing_id()), "vectors")
-    sample = c.orderBy(F.xxhash64("vec", "_row")).limit(pivots).select("vec").collect()
+    many = pivots or min(MOST_PIVOTS, max(1, c.count() // CELL))
+    sample = c.orderBy(F.xxhash64("vec", "_row")).limit(many).select("vec").collect()
     points = np.array([r.vec for r in sample], np.float64).reshape(-1, dim)
     held = spark.sparkContext.broadcast(points / np.sqrt((points * points).sum(1))[:, None] if len(points) else np.ones((1, dim)))
-    c = cut_lineage(c.withColumn("_c", _nearest_pivot(held)("vec")).select("*", "_c.cell", "_c.far").drop("_c"), "cells")
+    c = c.withColumn("_c", _nearest_pivot(held)("vec")).select("*", "_c.cell", "_c.far").drop("_c")
     found = c.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()  # a row a pivot
     sizes = {r.cell: (r.n, r.low, r.high, -(-r.n // block)) for r in found}
     parts = F.create_map(*[F.lit(x) for cell, s in sizes.items() for x in (cell, s[3])]) if sizes else F.lit(None).cast("map<int,int>")
@@ -240,7 +245,7 @@ def topk_cosine(
     exclude_self: bool = False,
     payload: list[str] | None = None,
     block: int = 4096,
-    pivots: int = 256,
+    pivots: int | None = None,
     report: dict | None = None,
 ) -> DataFrame:
     """Exact top-k by cosine: (query_id, rank, cand_id, score, *payload).
@@ -280,8 +285,14 @@ def topk_cosine(
     )
     q = q.withColumn("first", held["cells"])
     near = q.select("query_id", "vec", F.explode(F.slice("order", F.lit(1), F.greatest("first", F.lit(1)))).alias("b")).select("query_id", "vec", "b.cell")
-    found = cut_lineage(_scored(cells, near, need, payload), "near")
+    found = _scored(cells, near, need, payload)
+    if len(names) > 1:  # read twice
+        found = cut_lineage(found, "near")
     kept = found.where("query_id <> cand_id") if exclude_self else found
+    if len(names) < 2:  # nothing else to meet
+        if report is not None:
+            report["pairs"] = report["met"] = near.count()
+        return _best(kept, k, payload)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id")))
     kth = kept.withColumn("r", rank).where(F.col("r") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reach"))
     left = q.join(kth, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(3.0)) + 1e-7)
@@ -292,8 +303,12 @@ def topk_cosine(
     everything = kept.unionByName(_scored(cells, far, need, payload))
     if exclude_self:
         everything = everything.where("query_id <> cand_id")
+    return _best(everything, k, payload)
+
+
+def _best(found: DataFrame, k: int, payload: list[str]) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
-    ranked = everything.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "cand_id", "score", *payload)
 
 

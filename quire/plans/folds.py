@@ -109,11 +109,16 @@ def last_summary(spark, sf_dir):
 )
 def attach_results(spark, sf_dir):
     """Replace the summary column of the document table by the final
-    fold output, matched by key; a document without a result row fails."""
+    fold output, matched by key; a document without a result row fails, and so
+    does a result without a document."""
     res = last_summary(spark, sf_dir).withColumn("_hit", F.lit(True))
-    j = texts(spark, sf_dir, "lang", "source").drop("text").join(res, "doc_id", "left")
-    checked = F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("no result for document "), F.col("doc_id").cast("string"))))
-    return j.select("doc_id", "lang", "source", F.coalesce(checked.cast("string"), F.col("summary")).alias("summary"))
+    d = texts(spark, sf_dir, "lang", "source").drop("text").withColumn("_doc", F.lit(True))
+    j = d.join(res, "doc_id", "full")
+    name = F.col("doc_id").cast("string")
+    wrong = F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("no result for document "), name))).when(
+        F.col("_doc").isNull(), F.raise_error(F.concat(F.lit("no document for result "), name))
+    )
+    return j.select("doc_id", "lang", "source", F.coalesce(wrong.cast("string"), F.col("summary")).alias("summary"))
 
 
 RUN_PART = 256  # documents whose outputs one row of a run holds at most
@@ -163,16 +168,13 @@ SELECT u.conv_id, CAST(u.k AS INTEGER) AS k, u.text AS user_text, a.text AS assi
 )
 def zip_shortest(spark, sf_dir):
     """User and assistant turns paired by position; the longer side is cut."""
-    cv = conversations(spark, sf_dir)
+    cv = conversations(spark, sf_dir).where(F.col("role").isin("user", "assistant")).select("conv_id", "role", "turn", "text")
     blk = F.floor(F.col("turn") / F.lit(4096))  # a long conversation spans many blocks
-
-    def ordinal(role, text_name):
-        side = cv.filter(F.col("role") == role).select("conv_id", "turn", F.col("text").alias(text_name))
-        return blocked_row_number(side, ["conv_id"], blk, [F.col("turn")], "k").drop("turn")
-
-    return ordinal("user", "user_text").join(ordinal("assistant", "assistant_text"), ["conv_id", "k"]).select(
-        "conv_id", F.col("k").cast("int").alias("k"), "user_text", "assistant_text"
-    )
+    rows = blocked_row_number(cv, ["conv_id", "role"], blk, [F.col("turn")], "k")
+    side = lambda role: F.max(F.when(F.col("role") == role, F.struct("text")))
+    both = rows.groupBy("conv_id", "k").agg(side("user").alias("u"), side("assistant").alias("a"))
+    both = both.where(F.col("u").isNotNull() & F.col("a").isNotNull())
+    return both.select("conv_id", F.col("k").cast("int").alias("k"), F.col("u.text").alias("user_text"), F.col("a.text").alias("assistant_text"))
 
 
 # phrases that the corpus itself holds, to screen its outputs for

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_text, explode_rows, ws_tokens
+from quire.functions.text import clean_text, collapse_ws, explode_rows, normalize_contractions, strip_punct, ws_tokens
 from quire.operators import chunk as C
+from quire.operators import clean as K
 from quire.operators import prompt as P
 from quire.operators import tokens as TK
+from quire.plans.cleaning import STOP_WORDS
 from quire.plans.folds import outputs
 from quire.plans.ranking import d_ranked
-from quire.plans.registry import d_clean, d_template, d_tokens, query, sql_lit
+from quire.plans.registry import D_NW, D_NWORD, D_WS, d_clean, d_template, d_tokens, query, sql_lit
 from quire.sources.tables import conversations, documents
 
 PREFIX = "summary: "
@@ -55,6 +57,32 @@ def pair_chunks(spark, sf_dir, cleaned: bool = False):
     return C.token_chunks(pairs(spark, sf_dir, cleaned), "text", PAIR_WIN, PAIR_OVL, keep=keep).select(*keep, "chunk_no", "chunk")
 
 
+_D_PLAIN = lambda c: f"regexp_replace(regexp_replace({c}, '{D_WS}+', ' ', 'g'), '{D_NW}', '', 'g')"
+
+
+def _d_cleaned(column: str) -> str:
+    """DuckDB: the clean pipeline of one column, in its order."""
+    stop = ", ".join(sql_lit(w) for w in STOP_WORDS)
+    kept = f"array_to_string(list_filter({d_tokens(_D_PLAIN(column))}, lambda x: NOT list_contains([{stop}], x)), ' ')"
+    out = f"lower({kept})"
+    for src, dst in (("can''t", "cannot"), ("won''t", "will not")):
+        out = f"regexp_replace({out}, '(^|{D_NWORD}){src}({D_NWORD}|$)', '\\1{dst}\\2', 'g')"
+    return out
+
+
+@query("clean_pairs", sql=f"SELECT conv_id, turn, {_d_cleaned('text')} AS text, {_d_cleaned('summary')} AS summary FROM ({_d_pairs()})")
+def clean_pairs(spark, sf_dir):
+    """I5 for both columns of a pair: white space, punctuation, stop words from a
+    table, then lower case and contractions."""
+    lexicon = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+    rows = pairs(spark, sf_dir).na.drop(subset=["text", "summary"])
+    for c in ("text", "summary"):
+        rows = rows.withColumn(c, ws_tokens(strip_punct(collapse_ws(F.col(c)))))
+        rows = K.remove_stop_words_df(rows, ["conv_id", "turn"], c, lexicon, c)
+        rows = rows.withColumn(c, normalize_contractions(F.lower(F.array_join(c, " "))))
+    return rows.select("conv_id", "turn", "text", "summary")
+
+
 _SFT_SQL = f"""
 SELECT conv_id, turn, chunk_no,
   {_d_turn("'system'", sql_lit(P.SYSTEM_PROMPT))} ||

@@ -41,10 +41,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Submission CSV: header, quotes escaped by doubling, newlines kept inside quotes."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 50_000) -> None:
+    """Submission CSV: header, quotes escaped by doubling, newlines kept inside quotes.
+
+    A file with newlines in its values is read by one task, so files are
+    bounded by ``rows_per_file``.
+    """
     (
         df.write.mode(mode)
+        .option("maxRecordsPerFile", rows_per_file)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
