@@ -12,7 +12,11 @@ Names follow the gender of their title and their script; given and family
 names are drawn apart, so "Ms Ada Byron" and "Ms Byron" agree.  Mentions
 without a title in a text that names the person with one are replaced too:
 given and family names of any length between letter boundaries, and Han names
-as a whole, family and given name together, wherever they stand.
+of two characters and more as a whole, family and given name together,
+wherever they stand.  Names that are ordinary words (``ORDINARY``: months,
+colours and the like) and single Han characters are replaced beside a title
+only.  A Han name begins with a family name (``HAN_FAMILY``); inside running
+text the one nearest to the title counts.
 
 *Collision checks.*  Surrogates of a type must differ from each other
 (distinctness) and from every value of the type that the corpus holds.  All
@@ -35,7 +39,7 @@ empty result.  Numbers with a wrong check digit are not entities.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import col, fresh
@@ -48,6 +52,19 @@ TITLES = {
     "n": "Dr|Prof",
 }
 HAN_TITLES = {"f": "女士|小姐", "m": "先生"}
+# Common Han family names, of one and of two characters.
+HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤張劉陳楊黃趙吳孫馬羅鄭謝許韓馮鄧蕭葉蘇呂盧鍾譚陸範賈韋鄒閻龍陶賀顧龔萬錢嚴湯"
+HAN_FAMILY_2 = "欧阳|司马|上官|诸葛|司徒|东方|独孤|南宫|歐陽|司馬|諸葛|東方|獨孤|南宮"
+# Small words inside a family name.
+PARTICLES = "van|von|de|der|den|del|della|di|da|du|la|le|ten|ter|zu|zur|dos|das|bin|ibn|al|el"
+# Words after a title that make it a role, and names that are
+# ordinary words: these are replaced beside a title only.
+ROLES = "Developer|Engineer|Manager|Analyst|Architect|Consultant|Director|Designer|Editor|Officer|Scientist|Programmer|Administrator|Universe|World|America|Speaker|Chairman|President|Minister|Secretary"
+ORDINARY = (
+    "January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|"
+    "Will|Mark|Bill|Art|Rose|Grace|Hope|Joy|Faith|Dawn|Summer|Autumn|Frank|Grant|Chance|Young|Long|Short|Brown|Black|White|Green|Gray|Grey|King|Prince|"
+    "Bishop|Church|Hill|Wood|Woods|Stone|Rivers|Field|Fields|Banks|Bush|Rich|Price|Love|Good|Best|Wise|Swift|Sharp|Strong|Small|Little|Day|Page|Case|Bell"
+)
 # Letters and syllables from which names and values are drawn.
 LETTERS = {
     "[0-9]": "0123456789",
@@ -76,19 +93,23 @@ ENDINGS = {
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+PARTICLE = rf"(?:(?:{PARTICLES}) )"
+# a family name and up to two more characters; inside running Han text the
+# nearest family name before the title
+HAN_NAME = rf"(?:(?<!\p{{IsHan}})(?:{HAN_FAMILY_2}|[{HAN_FAMILY}])\p{{IsHan}}{{0,2}}?|(?:{HAN_FAMILY_2}|[{HAN_FAMILY}])(?:(?![{HAN_FAMILY}])\p{{IsHan}}){{0,2}}?)"
 # The formats that are looked for, in order of precedence.
 FORMATS = {
-    "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?\s*[=:]\s*["']?[^\s"',;]{8,}""",
+    "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?(?:\s*=\s*["']?|\s*:\s*["']?(?=[^\s"',;]*[^a-z\s"',;]))[^\s"',;]{8,}""",
     "key": r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})\b",
     "email": r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-]@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "ipv4": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\w)",
+    "ipv4": rf"(?<![\w.])(?<!(?i:version|release|build|ver)\.? ){OCTET}(?:\.{OCTET}){{3}}(?!\.?\w)",
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "mac": r"(?<![\w:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])",
-    "person": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES.values())})\.? {NAME}(?: {NAME})?|[\p{{IsHan}}]{{2,4}}(?:{'|'.join(HAN_TITLES.values())})",
+    "person": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES.values())})\.? (?!(?:{ROLES})(?!\p{{L}})){PARTICLE}{{0,3}}{NAME}(?: {PARTICLE}{{0,3}}{NAME})?|{HAN_NAME}(?:{'|'.join(HAN_TITLES.values())})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMATS.values())
 GROWS = 4  # attempts after which a draw gets one more character
@@ -188,7 +209,13 @@ def _name_parts(match: Column) -> Column:
     """(kind, value) of the given and family names of a person."""
     han = match.rlike(TAIL)
     name = F.when(han, F.regexp_extract(match, TAIL, 1)).otherwise(F.regexp_extract(match, HEAD, 2))
-    words = F.when(han, F.filter(F.array(F.substring(name, 1, 1), F.substring(name, 2, 9)), lambda w: w != "")).otherwise(F.split(name, " "))
+    double = name.rlike(f"^(?:{HAN_FAMILY_2})")
+    size = F.when(double, 2).otherwise(1)
+    both = F.array(F.substring(name, F.lit(1), size), F.substring(name, size + 1, F.lit(9)))
+    # a small word stays with the name that it precedes
+    joined = F.regexp_replace(name, rf"(?<![^ ])({PARTICLES}) ", "$1\u00a0")
+    latin = F.transform(F.split(joined, " "), lambda w: F.replace(w, F.lit("\u00a0"), F.lit(" ")))
+    words = F.when(han, F.filter(both, lambda w: w != "")).otherwise(latin)
     family = F.when(han, F.lit(0)).otherwise(F.size(words) - 1)
     gender, script = _gender(match), _script(name)
 
@@ -212,7 +239,9 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     )
     rows = entities.withColumn("head", head).withColumn("drawn", drawn.otherwise(value))
     rows = rows.withColumn("more", F.floor(F.col("attempt") / GROWS).cast("int"))
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, F.col("attempt").cast("string")).cast("binary"), 256)
+    # a keyed hash of a keyed hash, as in HMAC: the outer one hides the inner's state
+    inner = F.sha2(F.concat_ws("|", F.lit(f"inner:{key}"), kind, value, F.col("attempt").cast("string")).cast("binary"), 256)
+    seed = F.sha2(F.concat_ws("|", F.lit(f"outer:{key}"), inner).cast("binary"), 256)
     rows = rows.withColumn("v", _bytes(seed, F.length("value") + 48 + 3 * more))
     hexadecimal = kind.isin("ipv6", "mac") | ((kind == "secret") & value.rlike("^[0-9a-f]{12,}$"))
     rows = rows.withColumn("like", _like(F.col("drawn"), v, hexadecimal))
@@ -281,17 +310,26 @@ def _entities(match: Column, kind: Column) -> Column:
 
 # A text without any of these holds no entity.
 HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)|" + "|".join(
-    [rf"\b(?:{t})\.? \p{{Lu}}" for t in TITLES.values()] + ["|".join(HAN_TITLES.values())]
+    [rf"\b(?:{t})\.? {PARTICLE}{{0,3}}\p{{Lu}}" for t in TITLES.values()] + ["|".join(HAN_TITLES.values())]
 )
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session's setting ``spark.quire.pii.key``; a fixed one where
+    it is unset, for tests and runs whose results must be compared."""
+    return spark.conf.get("spark.quire.pii.key", "no secret")
+
+
 def draw(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, core): distinct surrogates of distinct entities."""
-    table = cut_lineage(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), "entities")
+    table = entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
+    # drawing costs time, not bytes: rows are dealt evenly, however few bytes they have
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = cut_lineage(table, "entities")
     group = F.regexp_replace("kind", ":[fmn]$", "")  # names of any gender
     real = table.select(group.alias("k"), F.col("value").alias("c")).distinct()
     while True:
-        drawn = cut_lineage(with_surrogates(table, key), "drawn")
+        drawn = cut_lineage(with_surrogates(table.repartition(parts, "kind", "value"), key), "drawn")
         # of equal surrogates the smallest value keeps its draw
         first = drawn.groupBy("kind", "core").agg(F.min("value").alias("first"), F.count("*").alias("n")).where("n > 1")
         first = first.select(F.col("kind").alias("k"), F.col("core").alias("c"), "first")
@@ -306,9 +344,12 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
         table = cut_lineage(table.select("kind", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")), "entities")
 
 
-def pseudonymise(docs: DataFrame, key: str = "quire", text_col: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with every entity of ``text_col`` replaced.  ``count`` names an
-    added column with the number of replaced matches."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with every entity of ``text_col`` replaced.  ``key`` is the caller's
+    secret: whoever has it can test guesses.  ``count`` names an added column
+    with the number of replaced matches."""
+    if not key:
+        raise ValueError("a key is required")
     t, h = col(text_col), fresh(docs, "_hash")
     hint = F.coalesce(t.rlike(HINT), F.lit(False))
     name = lambda c: F.sha2(c.cast("binary"), 256)
@@ -335,7 +376,8 @@ def pseudonymise(docs: DataFrame, key: str = "quire", text_col: str = "text", co
     )
     whole = F.array(F.struct(F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value"), F.array_join(names, "").alias("core"), F.lit(True).alias("han")))
     each = F.transform("parts", lambda p: F.struct(p["value"].alias("value"), p["core"].alias("core"), F.lit(False).alias("han")))
-    later = F.when(F.col("type") == "person", F.when(han, whole).otherwise(each))
+    alone = lambda p: F.when(p["han"], F.length(p["value"]) > 1).otherwise(~p["value"].rlike(f"^(?:{ORDINARY})$"))
+    later = F.when(F.col("type") == "person", F.filter(F.when(han, whole).otherwise(each), alone))
     cores = cores.select("h", "pos", new.alias("new"), later.alias("later"))
     edits = cores.groupBy("h").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("edits"), F.flatten(F.collect_list("later")).alias("later")

@@ -19,7 +19,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, count="n_replaced")
+    return pii.pseudonymise(docs, pii.secret_key(spark), count="n_replaced")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from quire.llm import pii, queries
 from tests.conftest import SF_SMALL
 
@@ -52,7 +54,7 @@ def test_query(spark):
 
 def run(spark, texts, **options):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id int, text string, edits string, h int")
-    out = pii.pseudonymise(df, **options)
+    out = pii.pseudonymise(df, **{"key": "test"} | options)
     assert out.columns == df.columns
     return [r.text for r in out.orderBy("doc_id").collect()]
 
@@ -110,12 +112,14 @@ def test_odd_rows(spark):
     assert got[2] == texts[2].replace("a@b.co", got[3]) and got[6] == texts[6].replace("a@b.co", got[3])
     assert "Arcy" not in got[7] and " $1 " in got[7]
     empty = spark.createDataFrame([], "doc_id int, text string")
-    assert pii.pseudonymise(empty, count="n").collect() == []
+    assert pii.pseudonymise(empty, "k", count="n").collect() == []
+    with pytest.raises(ValueError):
+        pii.pseudonymise(empty, "")
 
 
 def test_no_python_in_the_plan(spark):
     df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan.replace("ArrowEval", "Arrow")
 
 
@@ -126,7 +130,7 @@ def test_later_mentions_of_short_and_han_names(spark):
         (3, "王小女士，王小明先生：王小明，王小。"),
         (4, "Li and Wu of no title; 王小明"),
     ]
-    got = {r.id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "id int, text string")).collect()}
+    got = {r.id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "id int, text string"), "k").collect()}
     li, wu = re.fullmatch(r"Mr (\w+) met Dr (\w+)\. .*", got[1]).groups()
     assert got[1] == f"Mr {li} met Dr {wu}. {li} said to {wu}: Lima, Wuhan. ({li})" and li != "Li" and wu != "Wu"
     whole = re.match(r"(\w+)先生来了", got[2])[1]
@@ -134,3 +138,24 @@ def test_later_mentions_of_short_and_han_names(spark):
     a, b = re.match(r"(\w+)女士，(\w+)先生：", got[3]).groups()
     assert got[3] == f"{a}女士，{b}先生：{b}，{a}。" and a != "王小" and b == whole
     assert got[4] == rows[3][1]
+
+
+def test_ordinary_words_stay(spark):
+    same = [
+        "Sr Developer wanted; Miss Universe; Dr Engineer", "secret: ingredients of the soup", "build 1.2.3.4, Version 10.0.0.1",
+        "我们今天来了，天气好", "In May we left. May I?",
+    ]
+    a, b, c, d, e, f, *rest = run(
+        spark,
+        ["我们感谢李先生，李先生来了", "今天王先生和欧阳小姐", "王先生来了，王国", "Ms May met us. In May we left. May I? Ms May", "Mr van Gogh met Mr. de Vries; van Gogh left", "secret: 8f2a-77b1c"] + same,
+    )
+    m = re.fullmatch(r"我们感谢(.)先生，(.)先生来了", a)
+    assert m and m[1] == m[2] != "李"
+    m = re.fullmatch(r"今天(.)先生和(.{2})小姐", b)
+    assert m and m[1] != "王" and m[2] != "欧阳"
+    assert re.fullmatch(r"[^王]先生来了，王国", c)
+    m = re.fullmatch(r"Ms (\w+) met us\. In May we left\. May I\? Ms (\w+)", d)
+    assert m and m[1] == m[2] != "May"
+    m = re.fullmatch(r"Mr (\w+) met Mr\. (\w+); (\w+) left", e)
+    assert m and m[1] == m[3] != m[2] and "Gogh" not in e and "Vries" not in e
+    assert f.startswith("secret: ") and f != "secret: 8f2a-77b1c" and rest == same
