@@ -37,7 +37,7 @@ def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.secret_key(spark))
     if "n_chars" in docs.columns:  # the length of the text as it now is
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
