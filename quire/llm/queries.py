@@ -82,6 +82,33 @@ select page_id, n::bigint as payload_bytes, digest as payload_digest,
 from d
 """
 
+# bytes as two hexadecimal digits each; every 50-byte string with its first document
+OP8_SQL = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), w as (
+  select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from d)
+), first as (
+  select s, min(doc_id) as first from w group by s having count(*) > 1
+), x as (
+  select distinct doc_id, p from w join first using (s) where doc_id > first
+), g as (
+  select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as new from x
+), r as (
+  select doc_id, min(p) as a, max(p) + 50 as b from (select *, sum(new) over (partition by doc_id order by p) as k from g) group by doc_id, k
+), runs as (
+  select doc_id, list(a order by a) as a, list(b order by a) as b, sum(b - a) as removed, count(*) as n from r group by doc_id
+), kept as (
+  select doc_id, h, coalesce(removed, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans, n,
+         array_to_string(list_transform(range(1, coalesce(n, 0) + 2), lambda i: substr(h,
+           1 + 2 * case when i = 1 then 0 else b[i - 1] end,
+           2 * (case when i = coalesce(n, 0) + 1 then len(h) // 2 else a[i] end - case when i = 1 then 0 else b[i - 1] end))), '') as rest
+  from d left join runs using (doc_id)
+)
+select doc_id, (len(h) // 2)::bigint as n_bytes, n_removed, n_spans, sha256(unhex(rest)) as kept_sha256 from kept
+"""
+
+
 OP12_SQL = r"""
 with pieces as (
   select coalesce(lang, 'und') as lang,
@@ -139,4 +166,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL.strip(), "op12_collocations": OP12_SQL.strip()}
+ORACLES: dict[str, str] = {"op8_suffix_dedup": OP8_SQL.strip(), "op10_warc": OP10_SQL.strip(), "op12_collocations": OP12_SQL.strip()}
