@@ -1,22 +1,22 @@
 """Licence scan with a positional rare-token index.
 
-Every licence template is a word sequence with mandatory key phrases.  The
-index holds, for each template and each key phrase, the postings
-(word, position) of its highest-IDF words only; IDF counts the documents of
-the whole corpus that hold a word.  For each file
+Every licence template is a word sequence with mandatory key phrases; a key
+phrase is a template of its own too.  The index holds, for each template, the
+postings (word, position) of its highest-IDF words only; IDF counts the
+documents of the whole corpus that hold a word.  For each file
 
 1. its rare licence words are looked up in the index;
 2. each pair of a place in the file and a posting votes, with the word's
-   IDF, for a relative position; the best position of a template is where
-   the two texts line up, and the votes there over the template's total are
-   its coverage;
-3. a label is given only if one of its key phrases stands in the file word
-   for word.  Phrases are found through their rarest word: the places of
-   that word are intersected with the phrase's other words at their relative
-   positions, so every place is found.
-
-The template texts are short notices; their vocabulary bounds the index
-(some hundred words), whatever the corpus.  One pass counts document
+   IDF, for a relative position; the votes at a position over the template's
+   total are its coverage there.  A notice is proposed by a coverage of
+   ``propose`` at its best position, a key phrase at every position where all
+   its postings line up;
+3. a proposed place of a key phrase is verified word for word, and a proposed
+   notice by one of its key phrases.  Labels are those of verified templates.
+
+A phrase that stands in a file has all its postings in line, so no place is
+lost.  The template texts are short notices; their vocabulary bounds the
+index (some hundred words), whatever the corpus.  One pass counts document
 frequencies, a second, narrow pass scans; both work on flat arrays of word
 hashes.
 
@@ -104,10 +104,15 @@ def hash_words(words: list[str]) -> np.ndarray:
 class Index:
     vocab: np.ndarray  # sorted word hashes
     idf: np.ndarray
-    phrases: list[tuple[str, bool, np.ndarray, int]]  # label, base, word ids, anchor
-    postings: list[tuple[int, int, int]]  # rare word id, template, position
+    words: list[np.ndarray]  # word ids of each template
+    labels: list[str]
+    keys: list[list[int]]  # key phrases of each template, as template numbers
+    base: list[bool]  # whether the template is a base phrase
+    need: np.ndarray  # coverage from which a template is proposed
     total: np.ndarray  # votes that a whole template gets
-    labels: list[str]  # of each template
+    first: np.ndarray  # postings of word x are first[x] to first[x + 1]
+    template: np.ndarray
+    position: np.ndarray
 
 
 def vocabulary() -> np.ndarray:
@@ -116,25 +121,28 @@ def vocabulary() -> np.ndarray:
     return np.unique(hash_words(sorted(words)))
 
 
-def build_index(vocab: np.ndarray, df: np.ndarray, n_docs: int, rare: int = 8) -> Index:
-    """Postings of the ``rare`` highest-IDF words of each template."""
-    idf = np.log((n_docs + 1.0) / (df + 0.5))
-    idf = np.maximum(idf, 1e-3)
+COMMON = 0.01  # words of a larger share of the documents are postings only if a template has no two others
+
+
+def build_index(vocab: np.ndarray, df: np.ndarray, n_docs: int, rare: int = 8, propose: float = 0.3) -> Index:
+    """Postings of up to ``rare`` highest-IDF words of each template."""
+    idf = np.maximum(np.log((n_docs + 1.0) / (df + 0.5)), 1e-3)
     ids = lambda s: np.searchsorted(vocab, hash_words(split_words(s)))
-    phrases = []
-    keys = {(label, key) for label, _, many in TEMPLATES for key in many}
-    for label, key in sorted(keys | set(BASE.items())):
-        w = ids(key)
-        phrases.append((label, BASE.get(label) == key, w, int(np.argmax(idf[w]))))
-    postings, total = [], np.zeros(len(TEMPLATES))
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        w = ids(text)
+    phrases = sorted({(label, key) for label, _, many in TEMPLATES for key in many} | set(BASE.items()))
+    number = {p: i for i, p in enumerate(phrases)}
+    texts = [(label, key, [i], BASE.get(label) == key, 0.999) for i, (label, key) in enumerate(phrases)]
+    texts += [(label, text, [number[label, k] for k in many], False, propose) for label, text, many in TEMPLATES]
+    words, total, postings = [ids(text) for _, text, *_ in texts], np.zeros(len(texts)), []
+    for t, w in enumerate(words):
         best = sorted(set(w.tolist()), key=lambda x: (-idf[x], x))[:rare]
+        best = [x for i, x in enumerate(best) if i < 2 or df[x] <= COMMON * n_docs]
         for q, x in enumerate(w.tolist()):
             if x in best:
                 postings.append((x, t, q))
                 total[t] += idf[x]
-    return Index(vocab, idf, phrases, postings, total, [label for label, _, _ in TEMPLATES])
+    x, t, q = np.array(sorted(postings), np.int64).T
+    first = np.searchsorted(x, np.arange(len(vocab) + 1))
+    return Index(vocab, idf, words, [e[0] for e in texts], [e[2] for e in texts], [e[3] for e in texts], np.array([e[4] for e in texts]), total, first, t, q)
 
 
 def _ids(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -163,59 +171,62 @@ def count_documents(vocab: np.ndarray):
     return run
 
 
-def _votes(index: Index, file: np.ndarray, place: np.ndarray) -> dict[str, float]:
-    """Coverage of each label: the best template's votes at its best position."""
-    where: dict[int, list[int]] = {}
-    for p in place.tolist():
-        where.setdefault(int(file[p]), []).append(p)
-    votes: dict[tuple[int, int], float] = {}
-    for x, t, q in index.postings:
-        for p in where.get(x, ()):
-            votes[t, p - q] = votes.get((t, p - q), 0.0) + float(index.idf[x])
-    out: dict[str, float] = {}
-    for (t, _), v in votes.items():
-        label = index.labels[t]
-        out[label] = max(out.get(label, 0.0), v / index.total[t])
-    return out
+BACK = 1 << 20  # added to relative positions, which may be below zero
+
+
+def _votes(index: Index, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, template, relative position, coverage) wherever a posting meets its word."""
+    place = np.flatnonzero(w >= 0)
+    x = w[place]
+    many = index.first[x + 1] - index.first[x]
+    place, x = np.repeat(place, many), np.repeat(x, many)
+    nth = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+    posting = index.first[x] + nth
+    doc = np.searchsorted(off, place, side="right") - 1
+    t, rel = index.template[posting], place - off[doc] - index.position[posting]
+    key = (doc * len(index.words) + t) << 32 | (rel + BACK)
+    key, which = np.unique(key, return_inverse=True)
+    votes = np.bincount(which, index.idf[x], minlength=len(key))
+    doc, t = np.divmod(key >> 32, len(index.words))
+    return doc, t, (key & ((1 << 32) - 1)) - BACK, votes / index.total[t]
 
 
 def scan_batch(index: Index, raw: np.ndarray, at: np.ndarray) -> dict[str, list]:
     h, off = word_hashes(raw, at)
     w, n = _ids(index.vocab, h), len(at) - 1
-    doc = np.repeat(np.arange(n), np.diff(off))
+    doc, t, rel, cover = _votes(index, w, off)
+    proposed = cover >= index.need[t]
+    doc, t, rel, cover = doc[proposed], t[proposed], rel[proposed], np.minimum(cover[proposed], 1.0)
+    stands: set[tuple[int, int]] = set()
     places: list[list[np.ndarray]] = [[] for _ in range(n)]
-    labels: list[set[str]] = [set() for _ in range(n)]
     base: list[set[str]] = [set() for _ in range(n)]
-    for label, is_base, words, anchor in index.phrases:
-        start = np.flatnonzero(w == words[anchor]) - anchor
-        start = start[(start >= 0) & (start + len(words) <= len(w))]
-        start = start[doc[start] == doc[start + len(words) - 1]] if len(start) else start
+    for e in np.unique(t[index.need[t] > 0.9]).tolist():  # key phrases: word for word
+        d, start, words = doc[t == e], rel[t == e], index.words[e]
+        inside = (start >= 0) & (off[d] + start + len(words) <= off[d + 1])
+        d, start = d[inside], start[inside]
         for k, x in enumerate(words):
-            start = start[w[start + k] == x]
-        for d in np.unique(doc[start]).tolist():
-            labels[d].add(label)
-            if is_base:
-                base[d].add(label)
-                places[d].append(start[doc[start] == d] - off[d])
-    rare = np.zeros(len(index.vocab) + 1, bool)
-    rare[[x for x, _, _ in index.postings]] = True
-    rare[-1] = False
-    looked = rare[w]
+            same = w[off[d] + start + k] == x
+            d, start = d[same], start[same]
+        for i in np.unique(d).tolist():
+            stands.add((i, e))
+            if index.base[e]:
+                base[i].add(index.labels[e])
+                places[i].append(start[d == i])
+    labels: list[dict[str, float]] = [{} for _ in range(n)]
+    for d, e, c in zip(doc.tolist(), t.tolist(), cover.tolist()):
+        if any((d, k) in stands for k in index.keys[e]):
+            c = 0.0 if index.need[e] > 0.9 else c  # coverage is that of a whole notice
+            labels[d][index.labels[e]] = max(labels[d].get(index.labels[e], 0.0), c)
     out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
     for d in range(n):
         found = np.concatenate(places[d]) if places[d] else np.zeros(0, np.int64)
-        score = 0.0
-        if labels[d]:
-            own = slice(off[d], off[d + 1])
-            cover = _votes(index, w[own], np.flatnonzero(looked[own]))
-            score = max(0.5 + 0.5 * min(1.0, cover.get(x, 0.0)) for x in labels[d])
         out["n_words"].append(int(off[d + 1] - off[d]))
         out["n_base"].append(len(found))
         out["first_word"].append(int(found.min()) if len(found) else None)
         out["last_word"].append(int(found.max()) if len(found) else None)
         out["base_labels"].append(",".join(sorted(base[d])))
         out["labels"].append(",".join(sorted(labels[d])))
-        out["score"].append(score)
+        out["score"].append(0.5 + 0.5 * max(labels[d].values()) if labels[d] else 0.0)
     return out
 
 
