@@ -96,7 +96,7 @@ NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 PARTICLE = rf"(?:(?:{PARTICLES}) )"
 # a family name and up to two more characters; inside running Han text the
 # nearest family name before the title
-HAN_NAME = rf"(?:(?<!\p{{IsHan}})(?:{HAN_FAMILY_2}|[{HAN_FAMILY}])\p{{IsHan}}{{0,2}}?|(?:{HAN_FAMILY_2}|[{HAN_FAMILY}])(?:(?![{HAN_FAMILY}])\p{{IsHan}}){{0,2}}?)"
+HAN_NAME = rf"(?=\p{{IsHan}})(?:(?<!\p{{IsHan}})(?:{HAN_FAMILY_2}|[{HAN_FAMILY}])\p{{IsHan}}{{0,2}}?|(?:{HAN_FAMILY_2}|[{HAN_FAMILY}])(?:(?![{HAN_FAMILY}])\p{{IsHan}}){{0,2}}?)"
 # The formats that are looked for, in order of precedence.
 FORMATS = {
     "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?(?:\s*=\s*["']?|\s*:\s*["']?(?=[^\s"',;]*[^a-z\s"',;]))[^\s"',;]{8,}""",
@@ -106,7 +106,7 @@ FORMATS = {
     "phone": r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "ipv4": rf"(?<![\w.])(?<!(?i:version|release|build|ver)\.? ){OCTET}(?:\.{OCTET}){{3}}(?!\.?\w)",
+    "ipv4": rf"(?=[0-9])(?<![\w.])(?<!(?i:version|release|build|ver)\.? ){OCTET}(?:\.{OCTET}){{3}}(?!\.?\w)",
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "mac": r"(?<![\w:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])",
     "person": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES.values())})\.? (?!(?:{ROLES})(?!\p{{L}})){PARTICLE}{{0,3}}{NAME}(?: {PARTICLE}{{0,3}}{NAME})?|{HAN_NAME}(?:{'|'.join(HAN_TITLES.values())})",
