@@ -64,17 +64,6 @@ def tap(df: DataFrame, name: str, *metrics) -> DataFrame:
     return df.observe(name, *metrics) if metrics else df
 
 
-def ordered_collect(df: DataFrame, key, order_col: str, value_col: str, out_col: str) -> DataFrame:
-    """Ordered array per key (use only where a group is one logical row,
-    e.g. the tokens of one document)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(value_col).alias("v")))),
-            lambda s: s["v"],
-        ).alias(out_col)
-    )
-
 
 def blocked_row_number(df: DataFrame, keys: list[str], block, order: list, out_col: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without
