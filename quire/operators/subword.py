@@ -12,6 +12,7 @@ import hashlib
 import os
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ class Subword:
 
     def encode(self, text: str) -> list[int]:
         codec = self._codec()
-        return codec.encode(text, add_special_tokens=False).ids if self.kind == ".json" else codec.encode(text)
+        return codec.encode_batch_fast([text], add_special_tokens=False)[0].ids if self.kind == ".json" else codec.encode(text)
 
     def decode(self, ids: list[int]) -> str:
         codec = self._codec()
@@ -73,9 +74,9 @@ class Subword:
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encode(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else self.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+            return pa.array([None if t is None else np.asarray(self.encode(t), np.int32) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-        return encode(text)
+        return encode.asNondeterministic()(text)  # ids that are used twice are made once
 
     def decode_column(self, ids: Column) -> Column:
         """The text of each array of ids; null stays null."""
