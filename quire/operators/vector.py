@@ -82,15 +82,13 @@ def embed_batches(
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            texts = pdf[text_col].tolist()
-            for i in range(0, len(texts), batch_size):
-                part = fn(texts[i:i + batch_size])
-                if len(part) != len(texts[i:i + batch_size]):
+            for i in range(0, len(pdf), batch_size):  # handed on batch by batch
+                part = pdf.iloc[i:i + batch_size].copy()
+                vectors = fn(part[text_col].tolist())
+                if len(vectors) != len(part):
                     raise ValueError("embedder returned a different number of vectors")
-                out.extend(part)
-            pdf[out_col] = out
-            yield pdf
+                part[out_col] = pd.Series(vectors, index=part.index, dtype=object)
+                yield part
 
     return df.mapInPandas(run, schema)
 
