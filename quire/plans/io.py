@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import clean_text, explode_rows, ws_tokens
 from quire.operators import clean as K
+from quire.operators import vector as V
 from quire.plans.folds import outputs
 from quire.plans.ranking import d_ranked
 from quire.plans.registry import d_clean, d_tokens, query
@@ -14,6 +15,7 @@ from quire.sources import io as IO
 from quire.sources.tables import documents, embeddings
 
 BOILERPLATE = "Licensed under the"
+EMBED_DIM = 64  # of the vectors that are made here
 
 
 @query(
@@ -35,24 +37,27 @@ def parquet_roundtrip(spark, sf_dir):
 
 @query(
     "jsonl_roundtrip",
-    sql="""
-SELECT CAST(vec_id AS VARCHAR) AS id, d.text AS page_content, d.lang, d.source, CAST(NULL AS VARCHAR) AS issue,
-  CAST(len(embedding) AS INTEGER) AS dim
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+    sql=f"""
+SELECT CAST(coalesce(vec_id, doc_id) AS VARCHAR) AS id, d.text AS page_content, d.text AS text, d.lang, d.source, CAST(NULL AS VARCHAR) AS issue,
+  CAST(CASE WHEN embedding IS NOT NULL THEN len(embedding) WHEN coalesce(len({d_tokens(d_clean('text'))}), 0) = 0 THEN NULL ELSE {EMBED_DIM} END AS INTEGER) AS dim
+FROM embeddings e FULL JOIN documents d ON d.doc_id = e.vec_id
 """,
 )
 def jsonl_roundtrip(spark, sf_dir):
     """Nested vector points to JSON Lines and back (explicit schema):
-    stored vectors with the whole text of their document as payload."""
+    every document and every stored vector.  A document without a stored vector
+    gets one embedded from its whole text."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     e = embeddings(spark, sf_dir).select("vec_id", "embedding")
-    pts = e.join(d, e.vec_id == d.doc_id, "left").select(
-        F.col("vec_id").cast("string").alias("id"),
-        F.col("embedding").cast("array<float>").alias("vector"),
+    made = V.hash_embed(ws_tokens(clean_text(F.coalesce("text", F.lit("")))), EMBED_DIM).cast("array<float>")
+    d = d.withColumn("made", made)
+    pts = e.join(d, e.vec_id == d.doc_id, "full").select(
+        F.coalesce("vec_id", "doc_id").cast("string").alias("id"),
+        F.coalesce(F.col("embedding").cast("array<float>"), "made").alias("vector"),
         F.struct(
             F.col("text").alias("page_content"),
             F.struct(
-                F.lit(None).cast("string").alias("text"),
+                F.col("text").alias("text"),
                 F.col("lang").alias("lang"),
                 F.col("source").alias("source"),
                 F.lit(None).cast("string").alias("issue"),
@@ -65,6 +70,7 @@ def jsonl_roundtrip(spark, sf_dir):
     return back.select(
         "id",
         F.col("payload.page_content").alias("page_content"),
+        F.col("payload.metadata.text").alias("text"),
         F.col("payload.metadata.lang").alias("lang"),
         F.col("payload.metadata.source").alias("source"),
         F.col("payload.metadata.issue").alias("issue"),
