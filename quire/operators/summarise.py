@@ -1,8 +1,9 @@
 """Folding chunk outputs back to one result per document.
 
 * ``rolling_apply``: the carry-forward fold (step i sees the output of step
-  i-1) with a pluggable model (``applyInPandas`` by document: a document's
-  chunks come from one row, so the group is bounded by the largest document).
+  i-1) with a pluggable model.  A document's chunks lie in one partition, in
+  order, and stream through Arrow batches: a task holds one batch and the
+  previous output, and no document costs a call of its own.
   The built-in extractive model folds inside the row, see ``operators.rank``.
 * ``map_outputs`` + ``ordered_concat``: each chunk on its own, then joined
   in chunk order.
@@ -13,9 +14,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,17 +48,24 @@ def rolling_apply(
     key_type = chunk_rows.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, step int, prompt string, output string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col)
-        prev = None
-        rows = []
-        for step, (k, chunk) in enumerate(zip(pdf[key], pdf[chunk_col])):
-            prompt = INIT_PROMPT.format(document=chunk) if prev is None else FOLLOW_PROMPT.format(summary=prev, document=chunk)
-            prev = fn(prompt)
-            rows.append((k, step, prompt, prev))
-        return pd.DataFrame(rows, columns=[key, "step", "prompt", "output"])
-
-    return chunk_rows.select(key, order_col, chunk_col).groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, step, prev = None, -1, None
+        for batch in batches:
+            keys, _, chunks = batch.columns
+            steps, prompts, outputs = [], [], []
+            for k, chunk in zip(keys.to_pylist(), chunks.to_pylist()):
+                first = step < 0 or k != before
+                before, step = k, 0 if first else step + 1
+                prompt = INIT_PROMPT.format(document=chunk) if first or prev is None else FOLLOW_PROMPT.format(summary=prev, document=chunk)
+                prev = fn(prompt)
+                steps.append(step)
+                prompts.append(prompt)
+                outputs.append(prev)
+            cols = [keys, pa.array(steps, pa.int32()), pa.array(prompts, pa.string()), pa.array(outputs, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [key, "step", "prompt", "output"])
+
+    rows = chunk_rows.select(key, order_col, chunk_col)
+    return rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last(order_col), chunk_col).mapInArrow(run, schema)
 
 
 def map_outputs(texts: Column, fn: Callable[[list], list]) -> Column:
