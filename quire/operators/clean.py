@@ -1,8 +1,9 @@
 """Row filters, column replacement and lexicon operators.
 
 Lexicon operators (stop words, synonyms) take a list or a table of any size.
-A table is joined with the distinct tokens of each row, and only the tokens
-that it holds come back to their row (``operators.lookup``).
+A small table goes to the tasks; a larger one is joined with the distinct tokens
+of each row, and only the tokens that it holds come back to their row
+(``operators.lookup``).
 """
 
 from __future__ import annotations
@@ -49,10 +50,13 @@ def remove_stop_words(tokens: Column, stop_words: list[str]) -> Column:
 
 def _token_values(df: DataFrame, tokens_col: str, lexicon: DataFrame) -> DataFrame:
     """Adds ``_value``: per token its value in a lexicon table (word, value), or null."""
-    kept = df.columns
+    kept, kind = df.columns, lexicon.schema["value"].dataType
+    small = L.small_table(lexicon)
+    if small is not None:
+        return df.withColumn("_value", L.in_place(F.col(tokens_col), small, kind))
     rows = L.numbered(df, L.coded(F.col(tokens_col)).alias("_coded"))
     rows = L.hits(rows, F.col("_coded.words"), lexicon, "_hits")
-    return rows.select(*kept, L.per_token(F.col("_hits"), F.col("_coded.codes"), lexicon.schema["value"].dataType).alias("_value"))
+    return rows.select(*kept, L.per_token(F.col("_hits"), F.col("_coded.codes"), kind).alias("_value"))
 
 
 def remove_stop_words_df(df: DataFrame, key, tokens_col: str, lexicon: DataFrame, out_col: str = "tokens") -> DataFrame:
