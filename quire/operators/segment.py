@@ -5,10 +5,10 @@ costs is least (unigram model, Viterbi path); a character that no word covers
 stands alone at ``unknown`` cost.  Ties go to the longer last word.
 
 *Plan.*  Only distinct runs are segmented.  The substrings of each run, up to
-the longest lexicon word, meet the lexicon in a join: the hits are the edges
-of the run's word lattice.  So the lexicon may have any size and is never sent
-whole to a task.  The lattice of a run is one row, and its best path is found
-in Arrow batches.  The parts come back to the texts like any word's value
+the longest lexicon word, meet the lexicon: the hits are the edges of the run's
+word lattice.  A small lexicon goes to the tasks, which look substrings up where
+the run lies; a larger one meets them in a join, so it may have any size.  The
+lattice of a run is one row, and its best path is found in Arrow batches.  The parts come back to the texts like any word's value
 (``operators.lookup``).
 """
 
@@ -64,8 +64,24 @@ def _paths(unknown: int):
     return paths
 
 
+def _cuts(cost: dict[str, int], unknown: int, longest: int):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cuts(run: pa.Array) -> pa.Array:
+        out = []
+        for r in run.to_pylist():
+            spans = [(a, b) for a in range(len(r or "")) for b in range(a + 1, min(len(r), a + longest) + 1)]
+            out.append(None if r is None else best_path(r, [(a, b, cost[r[a:b]]) for a, b in spans if r[a:b] in cost], unknown))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return cuts
+
+
 def segmented(words: DataFrame, lexicon: DataFrame, unknown: int, longest: int) -> DataFrame:
     """(word, value) for the distinct ``word`` rows: the parts of each."""
+    small = L.small_table(lexicon.select("word", F.col("cost").alias("value")))
+    if small is not None:
+        cost = dict(zip(small["word"].to_pylist(), small["value"].to_pylist()))
+        return words.select("word", _cuts(cost, unknown, longest)(F.col("word")).alias("value"))
     ends = lambda a: F.sequence(a + 1, F.least(F.length("word"), a + longest))
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda a: F.transform(ends(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     parts = words.where(F.length("word") > 0).select("word", F.explode(spans).alias("s"))
