@@ -12,7 +12,7 @@ def test_blocks_share_their_words(spark, monkeypatch):
     df = spark.createDataFrame(data, "id int, tok array<string>").coalesce(1)
     table = spark.createDataFrame([("a", 4), ("w0", 5), ("w2", 6), ("unseen", 7)], "word string, value int")
     rows = L.blocked(df, F.col("tok"), ["id"])
-    sizes = rows.groupBy("_block").agg(F.sum(F.size("_codes")).alias("n"), F.sum(F.size("_words")).alias("w"))
+    sizes = rows.groupBy("_block").agg(F.sum(F.size("_coded")).alias("n"), F.sum(F.size("_words")).alias("w"))
     assert all(r.w <= 6 and (r.n <= 45 or r.n >= 100) for r in sizes.collect()) and sizes.count() > 5
     known = {"a": 4, "w0": 5, "w2": 6}
     want = [(i, [known.get(w, 1) for w in t or []]) for i, t in data]
