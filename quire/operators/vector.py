@@ -2,8 +2,8 @@
 
 Top-k retrieval never forms query x corpus pairs as rows.  The corpus is cut
 into cells around pivots; a question meets only the cells whose members can
-be near enough, in one matrix product a cell part, which keeps ``k`` candidates
-per query.  A final ``row_number() <= k`` (planned as a ``WindowGroupLimit``)
+be near enough, in tiles of many questions by many members, which keep ``k``
+candidates per query.  A final ``row_number() <= k`` (planned as a ``WindowGroupLimit``)
 picks the global top-k.
 """
 
@@ -103,31 +103,87 @@ def cosine(a: Column, b: Column) -> Column:
 
 # -------------------------------------------------------------------- top-k
 
-def _score_block(k: int, cid_kind, payload: list[str]):
-    """Top-k of one block of questions over a stream of candidate batches."""
-
-    def run(questions: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("query_id", "cand_id", "score", *payload)}
-        if len(questions) and len(cands):
-            q = np.vstack([np.asarray(v, np.float64) for v in questions["vec"]])
-            m = np.vstack([np.asarray(v, np.float64) for v in cands["vec"]])
-            s = (q @ m.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((m * m).sum(1))[None, :])
-            ids = cands["cand_id"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")  # ties go to the smaller id
-            for i, qid in enumerate(questions["query_id"]):
-                row = s[i][by_id]
-                if k < len(row):  # all at least as good as the k-th, then the exact order
-                    near = np.flatnonzero(row >= -np.partition(-row, k - 1)[k - 1])
-                    near = near[np.argsort(-row[near], kind="stable")[:k]]
-                else:
-                    near = np.argsort(-row, kind="stable")
-                pick = by_id[near]
-                out["query_id"] += [qid] * len(pick)
-                out["cand_id"] += ids[pick].tolist()
-                out["score"] += row[near].tolist()
-                for c in payload:
-                    out[c] += cands[c].to_numpy()[pick].tolist()
-        return pd.DataFrame(out)
+AREA = 1 << 21  # scores that a task holds at once
+HITS = 1 << 16  # pairs whose exact score is made at once
+
+
+def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+    return np.concatenate(vectors.to_list()).astype(np.float64).reshape(-1, dim)
+
+
+def _met(q: np.ndarray, m: np.ndarray, cell: np.ndarray, ids: np.ndarray, own: tuple | None, k: int, floor: np.ndarray, shape) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and places of the k best rows of ``m`` for each row of ``q`` (-inf, -1: none).
+
+    Only what scores ``floor`` or more counts; it rises with the k-th best found, and a
+    cell (``m`` lies in their order) is met by the questions that it may serve
+    better.  Products of four-byte numbers choose the pairs, their error bound
+    included; what is chosen is scored exactly, alike for equal vectors.  ``ids``
+    rank equal scores, ``own`` numbers both sides' ids if equal ones do not meet.
+    """
+    pivots, low, high = shape
+    best, at, floor = np.full((len(q), k), -np.inf), np.full((len(q), k), -1), floor.copy()
+    qn, mn = np.sqrt((q * q).sum(1)), np.sqrt((m * m).sum(1))
+    direction = q / qn[:, None]
+    left, right = direction.astype(np.float32), (m / mn[:, None]).astype(np.float32)
+    slack = (q.shape[1] + 8) * 2.0**-22
+    spare = k + (np.unique(ids, return_counts=True)[1].max(initial=0) if own else 0)
+    edge = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+    for start, end in zip(edge[:-1], edge[1:]):
+        c = cell[start]
+        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (direction @ pivots[c])))
+        reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.maximum(floor, -1.0))) + 1e-7
+        reach[np.isneginf(floor)] = 3.0
+        who = np.flatnonzero(np.maximum(d - high[c], low[c] - d) <= reach)
+        for x in range(start, end, 1024):
+            y = min(x + 1024, end)
+            for w in np.split(who, range(AREA // 1024, len(who), AREA // 1024)):
+                s = left[w] @ right[x:y].T
+                bar = floor[w] - slack
+                new = np.flatnonzero(np.isneginf(bar))
+                if len(new) and y - x >= spare:  # nothing found yet: the block's own k-th
+                    bar[new] = np.partition(s[new], y - x - spare, axis=1)[:, y - x - spare] - slack
+                p, j = np.nonzero(s >= bar[:, None].astype(np.float32))
+                p, j = w[p], j + x
+                if own:
+                    other = own[0][p] != own[1][j]
+                    p, j = p[other], j[other]
+                if not len(p):
+                    continue
+                exact = np.concatenate([(q[p[h : h + HITS]] * m[j[h : h + HITS]]).sum(1) for h in range(0, len(p), HITS)]) / (qn[p] * mn[j])
+                good = exact >= floor[p]
+                p, j, exact = p[good], j[good], exact[good]
+                u, place = np.unique(p, return_inverse=True)
+                row = np.concatenate([np.repeat(np.arange(len(u)), k), place])
+                score, cand = np.concatenate([best[u].ravel(), exact]), np.concatenate([at[u].ravel(), j])
+                order = np.lexsort((ids[cand], -score, row))
+                row, score, cand = row[order], score[order], cand[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = rank < k
+                best[u[row[kept]], rank[kept]], at[u[row[kept]], rank[kept]] = score[kept], cand[kept]
+                floor[u] = np.maximum(floor[u], best[u, k - 1])
+    return best, at
+
+
+def _score_block(k: int, dim: int, exclude_self: bool, shape, payload: list[str], only_floor: bool):
+    """Top-k of some questions among some members; or just the k-th score, where there is one."""
+    names = ["_q", "floor"] if only_floor else ["query_id", "cand_id", "score", *payload]
+
+    def run(asked: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(cands):
+            return pd.DataFrame({c: [] for c in names})
+        cands = cands.sort_values("cell", kind="stable", ignore_index=True)
+        ids = pd.factorize(cands["cand_id"], sort=True)[0]
+        both = pd.factorize(pd.concat([asked["query_id"], cands["cand_id"]]))[0] if exclude_self else None
+        own = (both[: len(asked)], both[len(asked) :]) if exclude_self else None
+        floor = np.full(len(asked), -np.inf) if only_floor else asked["floor"].fillna(-np.inf).to_numpy(np.float64)
+        q, m = _matrix(asked["vec"], dim), _matrix(cands["vec"], dim)
+        best, at = _met(q, m, cands["cell"].to_numpy(), ids, own, k, floor, (shape[0].value, *shape[1:]))
+        if only_floor:
+            full = at[:, k - 1] >= 0
+            return pd.DataFrame({"_q": asked["_q"].to_numpy()[full], "floor": best[full, k - 1]})
+        p, r = np.nonzero(at >= 0)
+        found = cands.iloc[at[p, r]]
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[p], "cand_id": found["cand_id"].to_numpy(), "score": best[p, r]} | {c: found[c].to_numpy() for c in payload})
 
     return run
 
@@ -138,49 +194,60 @@ def _usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return df.where((F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0))
 
 
-def _directions(vectors: pa.Array, dim: int) -> np.ndarray:
-    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    return m / np.sqrt((m * m).sum(1))[:, None]
-
-
 def _chords(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
     """Distances of unit vectors to the pivots, a metric that falls as cosine rises."""
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_directions(vectors, pivots.shape[1]) @ pivots.T)))
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, pivots.shape[1])
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * ((m / np.sqrt((m * m).sum(1))[:, None]) @ pivots.T)))
+
 
+def _nearest_pivot(held, among: np.ndarray | None = None):
+    """The nearest pivot (of those numbered ``among``) and its distance."""
 
-def _nearest_pivot(held):
     @F.arrow_udf("struct<cell:int,far:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
-        d = _chords(vectors, held.value)
-        cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
-        far = d[np.arange(len(d)), cell]
-        return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["cell", "far"])
+        some = np.arange(len(held.value)) if among is None else among
+        d = _chords(vectors, held.value[some])
+        near = d.argmin(1) if len(d) else np.zeros(0, np.int64)
+        far = d[np.arange(len(d)), near]
+        return pa.StructArray.from_arrays([pa.array(some[near], pa.int32()), pa.array(far, pa.float64())], ["cell", "far"])
 
     return nearest
 
 
-def _bounds(held, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """For each question the cells and the least distance that a member can have."""
+def _needed(shape):
+    """For mapInArrow: (grp, cell, met), the cells that may serve a group's questions
+    better than their floor, and how many of them."""
+    held, low, high = shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            d = _chords(batch.column("vec"), held.value)
+            floor = batch.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            reach = np.where(np.isneginf(floor), 3.0, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.maximum(floor, -1.0))) + 1e-7)
+            need = np.maximum(d - high, low - d) <= reach[:, None]
+            grp = batch.column("grp").to_numpy(zero_copy_only=False)
+            for g in np.unique(grp).tolist():
+                met[g] = met.get(g, 0) + need[grp == g].sum(0)
+        for g, n in met.items():
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), g), pa.int32()), pa.array(cell, pa.int32()), pa.array(n[cell], pa.int64())], ["grp", "cell", "met"])
 
-    @F.arrow_udf("array<struct<cell:int,near:double>>")
-    def bounds(vectors: pa.Array) -> pa.Array:
-        d = _chords(vectors, held.value[cells])
-        near = np.maximum(0.0, np.maximum(d - high, low - d))
-        pairs = pa.StructArray.from_arrays([pa.array(np.tile(cells, len(d)), pa.int32()), pa.array(near.ravel(), pa.float64())], ["cell", "near"])
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(d) * len(cells) + 1, max(1, len(cells)), dtype=np.int32)[: len(d) + 1]), pairs)
-
-    return bounds
+    return run
 
 
 CELL = 1024  # rows of a cell, if there are pivots enough
 MOST_PIVOTS = 4096
 
 
+TILE = 16  # blocks of questions, and of members, that a task holds
+
+
 @dataclass
 class Cells:
     """A corpus cut into cells around pivots.
 
-    ``rows`` has cand_id, vec, the payload, cell and sub (parts of a cell of
+    ``rows`` has cand_id, vec, the payload, _row, cell and sub (parts of a cell of
     about ``block`` rows); ``sizes`` maps a cell to (rows, least, greatest
     distance to the pivot, parts).
     """
@@ -191,44 +258,83 @@ class Cells:
     dim: int
     block: int
 
+    @property
+    def shape(self) -> tuple:
+        """The pivots with the least and greatest distance of each one's members."""
+        low, high = np.full(len(self.pivots.value), np.inf), np.full(len(self.pivots.value), -np.inf)
+        for cell, (_, near, far, _) in self.sizes.items():
+            low[cell], high[cell] = near, far
+        return self.pivots, low, high
+
+
+def _vectors(df: DataFrame, vec: str) -> Column:
+    """Four-byte components stay so, others become double."""
+    four = df.select(vec).schema[0].dataType == T.ArrayType(T.FloatType())
+    return F.col(vec).cast("array<float>" if four else "array<double>").alias("vec")
+
+
+def _useful(c: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Without the copies of a vector that can be no question's k best: smaller ids
+    come first, and at most k of a copy's rows share a question's id."""
+    first = lambda d, most, *keys: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("cand_id"))).where(F.col("_n") <= most).drop("_n")
+    return first(first(c, k, "vec", "cand_id"), 2 * k, "vec") if exclude_self else first(c, k, "vec")
 
-def build_cells(corpus: DataFrame, cid: str, cvec: str, payload: list[str], dim: int | None, block: int, pivots: int | None) -> Cells:
+
+def build_cells(corpus: DataFrame, cid: str, cvec: str, payload: list[str], dim: int | None, block: int, pivots: int | None, k: int, exclude_self: bool) -> Cells:
     """``pivots`` sampled vectors are broadcast and cells built around them; if not
     given, one for ``CELL`` rows, ``MOST_PIVOTS`` at most."""
     spark = corpus.sparkSession
-    c = corpus.select(F.col(cid).alias("cand_id"), F.col(cvec).cast("array<double>").alias("vec"), *payload)
+    c = corpus.select(F.col(cid).alias("cand_id"), _vectors(corpus, cvec), *payload)
+    if exclude_self:
+        c = c.where(F.col("cand_id").isNotNull())
     if dim is None:
         dim = c.where(F.size("vec") > 0).agg(F.mode(F.size("vec"), True)).first()[0] or 1
-    c = cut_lineage(_usable(c, "vec", dim).withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    c = cut_lineage(_useful(_usable(c, "vec", dim), k, exclude_self).withColumn("_row", F.monotonically_increasing_id()), "vectors")
     many = pivots or min(MOST_PIVOTS, max(1, c.count() // CELL))
     sample = c.orderBy(F.xxhash64("vec", "_row")).limit(many).select("vec").collect()
     points = np.array([r.vec for r in sample], np.float64).reshape(-1, dim)
     held = spark.sparkContext.broadcast(points / np.sqrt((points * points).sum(1))[:, None] if len(points) else np.ones((1, dim)))
     c = c.withColumn("_c", _nearest_pivot(held)("vec")).select("*", "_c.cell", "_c.far").drop("_c")
+    c = cut_lineage(c, "cells")  # read for each pass
     found = c.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()  # a row a pivot
     sizes = {r.cell: (r.n, r.low, r.high, -(-r.n // block)) for r in found}
-    parts = F.create_map(*[F.lit(x) for cell, s in sizes.items() for x in (cell, s[3])]) if sizes else F.lit(None).cast("map<int,int>")
-    rows = c.withColumn("sub", F.pmod(F.col("_row"), F.element_at(parts, F.col("cell"))).cast("int")).drop("far", "_row")
+    rows = c.withColumn("sub", F.pmod(F.col("_row"), _of_cell({x: s[3] for x, s in sizes.items()})).cast("int")).drop("far")
     return Cells(rows, held, sizes, dim, block)
 
 
-def _scored(cells: Cells, asked: DataFrame, k: int, payload: list[str]) -> DataFrame:
-    """The k best of each (question, cell) pair's parts; ``asked`` has query_id, vec, cell."""
-    corpus, q = cells.rows, asked.schema["query_id"]
-    counts = asked.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row a cell
-    groups = {r.cell: -(-r.n // cells.block) for r in counts}
-    many = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.lit(None).cast("map<int,int>")
-    every = lambda table: F.explode(F.sequence(F.lit(0), F.element_at(many(table), F.col("cell")) - 1))
-    left = asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.element_at(many(groups), F.col("cell"))).cast("int"))
+def _of_cell(table: dict[int, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.lit(None).cast("map<int,int>"), F.col("cell"))
+
+
+def _dealt(row: str, counts: dict[int, int], parts: int) -> Column:
+    """Rows with a ``cell`` dealt evenly to parts, cell by cell; a large cell to several."""
+    cells = sorted(counts)
+    first = dict(zip(cells, np.cumsum([0, *(counts[c] for c in cells)]).tolist()))
+    place = _of_cell({c: first[c] for c in cells}).cast("double") + F.pmod(F.xxhash64(row), _of_cell(counts))
+    return F.least(F.floor(place * parts / max(1, sum(counts.values()))), F.lit(parts - 1)).cast("int")
+
+
+def _floors(cells: Cells, asked: DataFrame, counts: dict[int, int], k: int, exclude_self: bool) -> DataFrame:
+    """(_q, floor): a score that a question's k best reach, from its own cell's parts."""
+    every = lambda table: F.explode(F.sequence(F.lit(0), _of_cell(table) - 1))
+    groups = {c: -(-n // cells.block) for c, n in counts.items()}
+    left = asked.select("_q", "query_id", "vec", "cell").withColumn("grp", F.pmod(F.xxhash64("_q"), _of_cell(groups)).cast("int"))
     left = left.withColumn("sub", every({c: s[3] for c, s in cells.sizes.items()}))
-    right = corpus.where(F.col("cell").isin(list(groups))).withColumn("grp", every(groups))
-    schema = T.StructType(
-        [T.StructField("query_id", q.dataType), T.StructField("cand_id", corpus.schema["cand_id"].dataType), T.StructField("score", T.DoubleType())]
-        + [corpus.schema[x] for x in payload]
-    )
-    score = _score_block(k, corpus.schema["cand_id"].dataType, payload)
+    right = cells.rows.select("cand_id", "vec", "cell", "sub").where(F.col("cell").isin(list(groups))).withColumn("grp", every(groups))
+    score = _score_block(k, cells.dim, exclude_self, cells.shape, [], True)
     keys = ["cell", "sub", "grp"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: score(a, b), schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: score(a, b), "_q long, floor double")
+    return found.groupBy("_q").agg((F.max("floor") - 1e-12).alias("floor"))
+
+
+def _tiles(questions: int, members: int, block: int, cores: int) -> tuple[int, int]:
+    """How many groups of questions and slices of members: of at most ``TILE`` blocks
+    each, and tiles enough for the cores while they hold more than a block."""
+    side = TILE * block
+    groups, slices = max(1, -(-questions // side)), max(1, -(-members // side))
+    more = max(1.0, (4 * cores / (groups * slices)) ** 0.5)
+    fit = lambda n, rows: max(n, min(int(np.ceil(n * more)), -(-rows // block)))
+    return fit(groups, questions), fit(slices, members)
 
 
 def topk_cosine(
@@ -250,58 +356,54 @@ def topk_cosine(
 
     The corpus is cut into cells around pivots.  On unit vectors the chord is a
     metric, so a question at distance d from a pivot is at least d - r from a
-    member at distance r.  A question first meets the cells that may be
-    nearest, until they hold k members; its k-th distance there bounds the
-    rest, and only cells whose least possible distance does not exceed it are
-    met.  Skipped cells cannot change the answer.
-
-    Ids of any type; ties go to the smaller id.  A cell is met in parts of
-    about ``block`` members and questions, by one matrix product each.
-    ``dim`` is the vectors' dimension (the commonest of the corpus if not
-    given); null, zero, non-finite and other vectors take no part.  ``report``
-    receives how many (question, cell) pairs there are and were met.
+    member at distance r.  A question first meets the nearest cell that holds k
+    members; its k-th score there bounds the rest, and only cells whose least
+    possible distance does not exceed it are met.  Skipped cells cannot change
+    the answer.
+
+    The pairs are met in tiles of ``TILE`` blocks of questions by as many of members,
+    both in the order of their cells.  A vector is sent once for a tile it is in, not
+    for a cell: what is shuffled is the rows times the tiles of a side, which are
+    a few up to millions of rows.
+
+    Ids of any type; ties go to the smaller id.  ``dim`` is the vectors' dimension
+    (the commonest of the corpus if not given); null, zero, non-finite and
+    other vectors take no part.  ``report`` receives how many (question, cell)
+    pairs there are and were met.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     payload = list(payload or [])
-    cells = build_cells(corpus, cid, cvec, payload, dim, block, pivots)
-    names = np.array(sorted(cells.sizes), np.int64)
-    low, high = (np.array([cells.sizes[c][i] for c in names]) for i in (1, 2))
-    q = _usable(queries.select(F.col(qid).alias("query_id"), F.col(qvec).cast("array<double>").alias("vec")), "vec", cells.dim)
-    more = 1 if exclude_self else 0
-    sizes = F.create_map(*[F.lit(x) for c in names.tolist() for x in (c, cells.sizes[c][0])]) if len(names) else F.lit(None).cast("map<int,int>")
-    # cells by their bound; each question meets the first ones that hold k members
-    order = F.array_sort(F.transform(_bounds(cells.pivots, names, low, high)("vec"), lambda b: F.struct(b["near"].alias("near"), b["cell"].alias("cell"))))
-    q = cut_lineage(q.withColumn("order", order).withColumn("_q", F.monotonically_increasing_id()), "questions")
-    need = k + more
-    held = F.aggregate(
-        "order",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("cells")),
-        lambda acc, b: F.when(acc["n"] >= need, acc).otherwise(
-            F.struct((acc["n"] + F.element_at(sizes, b["cell"])).alias("n"), (acc["cells"] + 1).alias("cells"))
-        ),
-    )
-    q = q.withColumn("first", held["cells"])
-    near = q.select("query_id", "vec", F.explode(F.slice("order", F.lit(1), F.greatest("first", F.lit(1)))).alias("b")).select("query_id", "vec", "b.cell")
-    found = _scored(cells, near, need, payload)
-    if len(names) > 1:  # read twice
-        found = cut_lineage(found, "near")
-    kept = found.where("query_id <> cand_id") if exclude_self else found
-    if len(names) < 2:  # nothing else to meet
-        if report is not None:
-            report["pairs"] = report["met"] = near.count()
-        return _best(kept, k, payload)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id")))
-    kth = kept.withColumn("r", rank).where(F.col("r") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reach"))
-    left = q.join(kth, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(3.0)) + 1e-7)
-    later = F.filter(F.slice("order", F.col("first") + 1, F.greatest(F.size("order"), F.lit(1))), lambda b: b["near"] <= F.col("reach"))
-    far = cut_lineage(left.select("query_id", "vec", F.explode(later).alias("b")).select("query_id", "vec", "b.cell"), "far")
+    cells = build_cells(corpus, cid, cvec, payload, dim, block, pivots, k, exclude_self)
+    q = queries.select(F.col(qid).alias("query_id"), _vectors(queries, qvec))
+    q = _usable(q.where(F.col("query_id").isNotNull()) if exclude_self else q, "vec", cells.dim)
+    members = {c: s[0] for c, s in cells.sizes.items()}
+    full = np.array(sorted(c for c, n in members.items() if n > k) or [0], np.int64)
+    q = cut_lineage(q.withColumn("cell", _nearest_pivot(cells.pivots, full)("vec")["cell"]).withColumn("_q", F.monotonically_increasing_id()), "questions")
+    counts = {r.cell: r.n for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    many = sum(counts.values())
+    groups, slices = _tiles(many, sum(members.values()), block, q.sparkSession.sparkContext.defaultParallelism)
+    asked = q.withColumn("grp", _dealt("_q", counts, groups)).drop("cell")
+    if len(members) > 1:
+        asked = cut_lineage(asked.join(_floors(cells, q, counts, k, exclude_self), "_q", "left"), "asked")
+    else:  # nothing can be skipped
+        asked = asked.withColumn("floor", F.lit(None).cast("double"))
+    need = asked.select("grp", "vec", "floor").mapInArrow(_needed(cells.shape), "grp int, cell int, met long")
+    need = cut_lineage(need.groupBy("grp", "cell").agg(F.sum("met").alias("met")), "needed")  # groups x cells at most
     if report is not None:
-        report["pairs"], report["met"] = q.count() * len(names), near.count() + far.count()
-    everything = kept.unionByName(_scored(cells, far, need, payload))
-    if exclude_self:
-        everything = everything.where("query_id <> cand_id")
-    return _best(everything, k, payload)
+        report["pairs"], report["met"] = many * len(members), need.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0] + (many if len(members) > 1 else 0)
+    right = cells.rows.drop("sub").withColumn("slice", _dealt("_row", members, slices)).join(F.broadcast(need.select("grp", "cell")), "cell").drop("_row")
+    tiles = right.select(F.col("grp").alias("_g"), F.col("slice").alias("_s")).distinct()
+    left = asked.join(F.broadcast(tiles), F.col("grp") == F.col("_g")).select("grp", F.col("_s").alias("slice"), "query_id", "vec", "floor")
+    corpus = cells.rows
+    schema = T.StructType(
+        [T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("cand_id", corpus.schema["cand_id"].dataType), T.StructField("score", T.DoubleType())]
+        + [corpus.schema[x] for x in payload]
+    )
+    score = _score_block(k, cells.dim, exclude_self, cells.shape, payload, False)
+    keys = ["grp", "slice"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: score(a, b), schema)
+    return _best(found, k, payload)
 
 
 def _best(found: DataFrame, k: int, payload: list[str]) -> DataFrame:

@@ -55,3 +55,34 @@ def test_odd_vectors(spark):
     assert V.topk_cosine(frame(spark, asked).limit(0), "id", "v", frame(spark, corpus), "id", "v", 2).collect() == []
     with pytest.raises(ValueError):
         V.topk_cosine(frame(spark, asked), "id", "v", frame(spark, corpus), "id", "v", 0)
+
+
+def test_a_vector_is_not_sent_once_a_cell(spark, monkeypatch):
+    rnd = random.Random(3)
+    corpus = [(i, [rnd.gauss(0, 1) for _ in range(12)]) for i in range(400)]  # no clusters: hardly a cell can be skipped
+    written, cut = {}, V.cut_lineage
+
+    def counted(df, name="stage"):
+        out = cut(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(V, "cut_lineage", counted)
+    df, report = frame(spark, corpus), {}
+    got = V.topk_cosine(df, "id", "v", df, "id", "v", 2, exclude_self=True, block=100, pivots=20, report=report)
+    assert rows(got) == brute(corpus, corpus, 2, same=True)
+    assert report["met"] > 0.5 * report["pairs"], report
+    assert max(written.values()) <= len(corpus), written
+    assert V._tiles(600_000, 600_000, 4096, 12) == (10, 10)
+
+
+def test_copies_and_repeated_ids(spark):
+    rnd = random.Random(4)
+    corpus = [(100 - i, [1.0, 2.0, 3.0]) for i in range(40)] + [(7, [1.0, 2.0, 3.0])] * 9 + [(200 + i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(30)]
+    df = frame(spark, corpus)
+    ids = lambda df: {(r.query_id, r["rank"]): r.cand_id for r in df.collect()}
+    apart = ids(V.topk_cosine(df, "id", "v", df, "id", "v", 3, exclude_self=True, block=9, pivots=4))
+    assert [apart[7, r] for r in (1, 2, 3)] == [61, 61, 61]  # nine questions of this id, the nearest id for each
+    assert all(apart[i, r] == 7 for i in range(61, 101) for r in (1, 2, 3))
+    asked = frame(spark, [(1, [2.0, 4.0, 6.0])])
+    assert ids(V.topk_cosine(asked, "id", "v", df.where("id <> 7"), "id", "v", 3)) == {(1, 1): 61, (1, 2): 62, (1, 3): 63}
