@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import py_strip
 from quire.operators.aggregate import in_order
+from quire.session import cut_lineage
 
 POINT_SCHEMA = (
     "id string, vector array<float>, "
@@ -99,9 +100,10 @@ def write_positional(df: DataFrame, order_col: str, steps_col: str, path: str, r
     """Results as JSON arrays of arrays of strings, aligned with the rows' order.
 
     A single document would be one task's, so the rows are cut into files of
-    ``rows_per_file``; a file's folder names the place of its first row.
+    ``rows_per_file``; a file's folder names the place of its first row.  The
+    rows are written before they are dealt to ranges, which reads them twice.
     """
-    rows = in_order(df.select(order_col, F.col(steps_col).alias("steps")), order_col)
+    rows = in_order(cut_lineage(df.select(order_col, F.col(steps_col).alias("steps")), "results"), order_col)
     first = F.expr(f"pos - pos % {int(rows_per_file)}").alias("first")
     lists = rows.groupBy(first).agg(F.sort_array(F.collect_list(F.struct("pos", "steps"))).alias("l"))  # rows_per_file of them
     lists.select("first", F.to_json(F.transform("l", lambda x: x["steps"])).alias("value")).write.mode(mode).partitionBy("first").text(path)

@@ -1,10 +1,12 @@
 """Positional results, a caller's splitter, places along an order."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chunk as C
 from quire.operators.aggregate import in_order
+from quire.operators.lookup import as_lists
 from quire.sources import io as IO
 
 
@@ -37,6 +39,31 @@ def test_length_mismatch_fails(spark, tmp_path):
             IO.attach_positional(ids, "id", back).collect()
 
 
+def test_results_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def steps(i):
+        made.add(1)
+        return [f"s{i}"]
+
+    df = spark.range(40).select("id", steps.asNondeterministic()("id").alias("steps"))
+    IO.write_positional(df, "id", "steps", f"{tmp_path}/r", 7)
+    assert made.value == 40
+    assert sorted((r.pos, r.steps) for r in IO.read_positional(spark, f"{tmp_path}/r").collect()) == [(i, [f"s{i}"]) for i in range(40)]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.int32()])
+def test_lists_of_a_slice(kind):
+    rows = [[1, 2], None, [], [3, None], [4]]
+    rows = [r and [v if v is None or kind == pa.int32() else str(v) for v in r] for r in rows]
+    array = pa.array(rows, pa.list_(kind))
+    for a, b in ((0, 5), (1, 4), (0, 3), (4, 5), (2, 2)):
+        got = as_lists(array.slice(a, b - a))
+        assert got == [r or [] for r in rows[a:b]]
+        assert all(type(v) in (int, str, type(None)) for r in got for v in r)
+
+
 def test_callers_splitter(spark):
     df = spark.createDataFrame([(1, "a;b;c"), (1, "d"), (2, None), (3, "")], "id int, text string").withColumn("chunk_", F.lit(1))
     got = C.split_rows(df, "text", lambda t: [x for x in t.split(";") if x], ["id"])
