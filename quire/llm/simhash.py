@@ -124,7 +124,8 @@ def near_edges(prints: DataFrame, radius: int, dense: int) -> DataFrame:
     )
     keys = prints.select("fp", entry.alias("e")).select("fp", "e.t", "e.k")
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(keys.join(sizes, ["t", "k"]), "buckets")
+    # merged: Spark sizes an exploded table like its input, 31 times too low, and would broadcast it
+    members = cut_lineage(keys.join(sizes.hint("merge"), ["t", "k"]), "buckets")
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def links(buckets: pa.Array) -> pa.Array:
@@ -172,15 +173,15 @@ def simhash_groups(
     rows = cut_lineage(docs.select(col(id_col).alias("id"), simhash64(col(text_col), words).alias("fp")), "prints")
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "prints")
     comps = connected_components(near_edges(prints, radius, dense))
-    named = cut_lineage(prints.join(comps.withColumnRenamed("node", "fp"), "fp", "left"), "groups")
+    named = cut_lineage(prints.join(comps.withColumnRenamed("node", "fp").hint("merge"), "fp", "left"), "groups")
     linked = named.where(F.col("root").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # a component may be large: its fingerprints meet its name in SALTS places
     least = least.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    groups = linked.select("fp", "root", "_salt").join(least, ["root", "_salt"]).select("fp", "root", "component_id")
+    groups = linked.select("fp", "root", "_salt").join(least.hint("merge"), ["root", "_salt"]).select("fp", "root", "component_id")
     alone = named.where(F.col("root").isNull()).select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))
     groups = groups.unionAll(alone)
-    return rows.join(groups, "fp", "left").select(
+    return rows.join(groups.hint("merge"), "fp", "left").select(
         col("id").alias(id_col), "fp", "root", "component_id"
     )
 
