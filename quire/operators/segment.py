@@ -4,16 +4,18 @@ A run of letters and digits is cut into lexicon words so that the sum of their
 costs is least (unigram model, Viterbi path); a character that no word covers
 stands alone at ``unknown`` cost.  Ties go to the longer last word.
 
-*Plan.*  Only distinct runs are segmented.  The substrings of each run, up to
-the longest lexicon word, meet the lexicon: the hits are the edges of the run's
-word lattice.  A small lexicon goes to the tasks, which look substrings up where
-the run lies; a larger one meets them in a join, so it may have any size.  The
-lattice of a run is one row, and its best path is found in Arrow batches.  The parts come back to the texts like any word's value
-(``operators.lookup``).
+*Plan.*  The substrings of a run, up to the longest lexicon word, meet the
+lexicon: the hits are the edges of the run's word lattice.  A lexicon of up to
+``SMALL_WORDS`` goes to the tasks, which cut a batch's distinct runs where they
+lie: no row is written or shuffled.  A larger one meets the substrings of all
+distinct runs in a join, so it may have any size.  The lattice of a run is one
+row, its best path is found in Arrow batches, and the parts come back to the
+texts like any word's value (``operators.lookup``).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 from quire.operators import lookup as L
 from quire.session import cut_lineage
 
+SMALL_WORDS, SMALL_CHARS = 500_000, 1 << 23  # a lexicon up to these goes to the tasks
 RUN_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -66,12 +69,20 @@ def _paths(unknown: int):
 
 def _cuts(cost: dict[str, int], unknown: int, longest: int):
     @F.arrow_udf(T.ArrayType(T.StringType()))
-    def cuts(run: pa.Array) -> pa.Array:
-        out = []
-        for r in run.to_pylist():
-            spans = [(a, b) for a in range(len(r or "")) for b in range(a + 1, min(len(r), a + longest) + 1)]
-            out.append(None if r is None else best_path(r, [(a, b, cost[r[a:b]]) for a, b in spans if r[a:b] in cost], unknown))
-        return pa.array(out, pa.list_(pa.string()))
+    def cuts(runs: pa.Array) -> pa.Array:
+        """The parts of each row's runs; each distinct run of a batch is cut once."""
+        each = runs.flatten().dictionary_encode()
+        cut = []
+        for r in each.dictionary.to_pylist():
+            spans = [(a, b) for a in range(len(r)) for b in range(a + 1, min(len(r), a + longest) + 1)]
+            cut.append(best_path(r, [(a, b, cost[r[a:b]]) for a, b in spans if r[a:b] in cost], unknown))
+        cut.append([])  # of a null
+        parts = L._strings(cut).take(each.indices.fill_null(len(cut) - 1))
+        ends = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])
+        rows = np.concatenate([[0], np.cumsum(runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        nulls = np.concatenate([[0], np.cumsum(each.indices.is_null().to_numpy(zero_copy_only=False))])
+        # a row with a null run has no parts
+        return pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), parts.flatten(), mask=pa.array(np.diff(nulls[rows]) > 0))
 
     return cuts
 
@@ -81,7 +92,7 @@ def segmented(words: DataFrame, lexicon: DataFrame, unknown: int, longest: int)
     small = L.small_table(lexicon.select("word", F.col("cost").alias("value")))
     if small is not None:
         cost = dict(zip(small["word"].to_pylist(), small["value"].to_pylist()))
-        return words.select("word", _cuts(cost, unknown, longest)(F.col("word")).alias("value"))
+        return words.select("word", _cuts(cost, unknown, longest)(F.array("word")).alias("value"))
     ends = lambda a: F.sequence(a + 1, F.least(F.length("word"), a + longest))
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda a: F.transform(ends(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     parts = words.where(F.length("word") > 0).select("word", F.explode(spans).alias("s"))
@@ -99,8 +110,12 @@ def segment_df(df: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: str
     Rows may repeat; a null or empty array gives an empty one.
     """
     kept = df.columns
-    rows = L.numbered(df, L.coded(F.col(tokens_col)).alias("_coded"))
     longest = lexicon.agg(F.max(F.length("word"))).first()[0] or 1
+    small = L.small_table(lexicon.select("word", F.col("cost").alias("value")), SMALL_WORDS, SMALL_CHARS)
+    if small is not None:
+        cost = dict(zip(small["word"].to_pylist(), small["value"].to_pylist()))
+        return df.select(*kept, _cuts(cost, unknown, longest)(F.col(tokens_col)).alias(out_col))
+    rows = L.numbered(df, L.coded(F.col(tokens_col)).alias("_coded"))
     distinct = L.pairs(rows, F.col("_coded.words")).select("word").distinct()
     table = cut_lineage(segmented(distinct, lexicon, unknown, longest), "segmented")
     rows = L.hits(rows, F.col("_coded.words"), table, "_hits")
