@@ -5,7 +5,7 @@
   (``availableNow`` trigger), checkpointed in the shared folder, so a
   restarted job resumes where it stopped.
 * ``RollingFold``: the carry-forward fold as a stateful operator
-  (``transformWithStateInPandas``) keyed by document; chunks that arrive out of
+  (``transformWithState``) keyed by document; chunks that arrive out of
   order wait in a map state until their number is next, chunks that arrive
   twice are ignored, and a state that is quiet for too long is dropped by a
   timer, an incomplete document being reported.
@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.session import scratch_path
@@ -55,20 +55,27 @@ def run_available(stream_df: DataFrame, name: str, sink_path: str | None = None,
 # ------------------------------------------------------------- rolling state
 
 ROLLING_OUTPUT = "doc_id long, step int, output string"
+OUTPUT_COLUMNS = ["doc_id", "step", "output"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     """Stateful queries started inside keep their state in RocksDB, as state with
-    several variables needs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    several variables needs.  A micro-batch commits what it changed, not a
+    snapshot of all state."""
+    keys = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class RollingFold(StatefulProcessor):
@@ -97,35 +104,45 @@ class RollingFold(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "chunk_no int", "chunk string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        awaited, total = self.next.get() if self.next.exists() else (0, None)
-        last, out, fresh = self.last.get()[0] if self.last.exists() else None, [], {}
-        for pdf in rows:
-            for no, n, chunk in zip(pdf["chunk_no"], pdf["n_chunks"], pdf["chunk"]):
-                total = int(n)
-                if int(no) >= awaited:
-                    fresh[int(no)] = chunk
+        chunks = (c for pdf in rows for c in zip(pdf["chunk_no"], pdf["n_chunks"], pdf["chunk"]))
+        yield pd.DataFrame(self._advance(key, chunks, timerValues), columns=OUTPUT_COLUMNS)
+
+    def _advance(self, key, chunks: Iterator[tuple], timerValues) -> list[tuple]:
+        """The outputs that chunks (number, number of all, text) make possible.  Each
+        access to the state is a message, so a new document asks only for ``next``."""
+        known = self.next.get()
+        awaited, total = known or (0, None)
+        last, out, fresh = None, [], {}
+        for no, n, chunk in chunks:
+            total = int(n)
+            if int(no) >= awaited:
+                fresh[int(no)] = chunk
+        waits = bool(known and fresh and self.waiting.exists())
+        if awaited and fresh:
+            last = self.last.get()
+            last = last and last[0]
         start = awaited
-        while awaited in fresh or (out and self._waits(awaited)):
+        while awaited in fresh or (out and waits and self.waiting.containsKey((awaited,))):
+            there = waits and self.waiting.containsKey((awaited,))
             chunk = fresh.pop(awaited) if awaited in fresh else self.waiting.getValue((awaited,))[0]
-            if self._waits(awaited):
+            if there:
                 self.waiting.removeKey((awaited,))
             last = self.summarise(last, chunk)
             out.append((key[0], awaited, last))
             awaited += 1
         for no, chunk in fresh.items():
             self.waiting.updateValue((no,), (chunk,))
-        done = total is not None and awaited >= total
-        if done:
-            self.last.clear()
-            self.waiting.clear()
+        if total is not None and awaited >= total:
+            if start:
+                self.last.clear()
+            if waits or fresh:
+                self.waiting.clear()
         elif awaited > start:
             self.last.update((last,))
-        self.next.update((awaited, total))
+        if known != (awaited, total):
+            self.next.update((awaited, total))
         self._wake(timerValues)
-        yield pd.DataFrame(out, columns=["doc_id", "step", "output"])
-
-    def _waits(self, no: int) -> bool:
-        return self.waiting.exists() and self.waiting.containsKey((no,))
+        return out
 
     def _wake(self, timerValues) -> None:
         """One timer a document: ``quiet_ms`` after its last chunk."""
@@ -136,23 +153,42 @@ class RollingFold(StatefulProcessor):
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(self._dropped(key), columns=OUTPUT_COLUMNS)
+
+    def _dropped(self, key) -> list[tuple]:
         awaited, total = self.next.get() if self.next.exists() else (0, None)
         missing = total is None or awaited < total
         for state in (self.last, self.next, self.waiting):
             state.clear()
-        yield pd.DataFrame([(key[0], awaited, None)] if missing else [], columns=["doc_id", "step", "output"])
+        return [(key[0], awaited, None)] if missing else []
 
     def close(self) -> None:
         pass
 
 
+class RollingRows(RollingFold):
+    """The fold on plain rows: most documents have few chunks, and a pandas frame for
+    each costs more than their outputs."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        chunks = ((r["chunk_no"], r["n_chunks"], r["chunk"]) for r in rows)
+        return map(self._row, self._advance(key, chunks, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return map(self._row, self._dropped(key))
+
+    @staticmethod
+    def _row(values: tuple) -> Row:
+        return Row(**dict(zip(OUTPUT_COLUMNS, values)))
+
+
 def rolling_stream(chunk_rows: DataFrame, summarise: Callable[[str | None, str], str], quiet_ms: int | None = None) -> DataFrame:
     """The fold as a stream; start its query inside ``rocksdb_state``.
 
     ``quiet_ms`` is for queries that keep running.
     """
     mode = "none" if quiet_ms is None else "processingTime"
-    return chunk_rows.groupBy("doc_id").transformWithStateInPandas(RollingFold(summarise, quiet_ms), ROLLING_OUTPUT, "append", mode)
+    return chunk_rows.groupBy("doc_id").transformWithState(RollingRows(summarise, quiet_ms), ROLLING_OUTPUT, "append", mode)
 
 
 # -------------------------------------------------------- point collection
